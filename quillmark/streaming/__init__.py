@@ -1,0 +1,8 @@
+"""Streaming.
+
+The evaluated workflow has no streaming part (no event time, watermark or
+state). Every metric in :mod:`quillmark.operators.metrics` is a function
+``DataFrame -> DataFrame`` with no global state, so a caller who receives
+pairs as a stream can apply one inside ``foreachBatch``; nothing else is
+provided here on purpose.
+"""
