@@ -71,7 +71,11 @@ def no_whitespace(c) -> Column:
 
 
 def ngrams(tokens, n: int) -> Column:
-    """Array of space-joined word n-grams of a token array (empty if too short)."""
+    """Array of space-joined word n-grams of a token array (empty if too short).
+
+    Pass a column reference, not an expression: the array is read inside a
+    lambda, so an expression there would be re-evaluated per element.
+    """
     t = _col(tokens)
     return F.when(F.size(t) >= n,
                   F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)),

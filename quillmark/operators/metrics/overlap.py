@@ -25,31 +25,38 @@ def _tagged_ngrams(toks: Column, ns) -> Column:
     return F.concat(*[F.transform(tx.ngrams(toks, n), _tag(n)) for n in ns])
 
 
-def ngram_overlap(tp: DataFrame, ns, key: str = "pair_id") -> DataFrame:
-    """``(key, ov_<n>...)``: clipped n-gram matches ``Σ min(c_gold, c_pred)``
-    for every n, from a tokenised-pairs frame. Pairs without any common
-    n-gram are absent (callers left-join)."""
-    grams = tp.select(key, F.inline(F.array(
+def ngram_overlap(tp: DataFrame, ns, key: str = "pair_id", extra: tuple[str, ...] = ()) -> DataFrame:
+    """``(key, lg, lh, *extra, ov_<n>...)`` for every pair of a tokenised-pairs
+    frame: token counts of both sides and clipped n-gram matches
+    ``Σ min(c_gold, c_pred)`` for every n.
+
+    One pass: the per-pair lengths ride along as group keys (they are
+    functions of the key), so no join back to the pair table is needed and
+    the plan has a single exchange — the texts' move to ``pair_id``.
+    A side without n-grams yields one null row (``inline_outer``), so every
+    pair survives the aggregation.
+    """
+    carry = ["lg", "lh", *extra]
+    base = tp.select(key, F.size("g").alias("lg"), F.size("h").alias("lh"), *extra, "g", "h")
+    sides = base.select(key, *carry, F.inline(F.array(
         F.struct(F.lit(0).alias("side"), F.col("g").alias("toks")),
         F.struct(F.lit(1).alias("side"), F.col("h").alias("toks")))))
-    grams = grams.select(key, "side", F.inline(_tagged_ngrams(F.col("toks"), ns)))
-    counts = grams.groupBy(key, "n", "gram").agg(
-        F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).alias("cg"),
-        F.sum(F.when(F.col("side") == 1, 1).otherwise(0)).alias("ch"))
+    grams = sides.select(key, *carry, "side", F.inline_outer(_tagged_ngrams(F.col("toks"), ns)))
+    real = F.col("gram").isNotNull()
+    counts = grams.groupBy(key, *carry, "n", "gram").agg(
+        F.sum(F.when(real & (F.col("side") == 0), 1).otherwise(0)).alias("cg"),
+        F.sum(F.when(real & (F.col("side") == 1), 1).otherwise(0)).alias("ch"))
     m = F.least("cg", "ch")
-    return counts.groupBy(key).agg(*[
+    return counts.groupBy(key, *carry).agg(*[
         F.sum(F.when(F.col("n") == n, m).otherwise(0)).cast("long").alias(f"ov_{n}") for n in ns])
 
 
 def rouge_n(pairs: DataFrame, ns=(1, 2), key: str = "pair_id", tokenizer=tx.tok) -> DataFrame:
     """MET-1: ROUGE-N precision, recall, F for each n (no stemming)."""
-    tp = tokenised_pairs(pairs, tokenizer, key)
-    ov = ngram_overlap(tp, ns, key)
-    base = tp.select(key, F.size("g").alias("lg"), F.size("h").alias("lh"))
-    j = base.join(ov, key, "left")
+    j = ngram_overlap(tokenised_pairs(pairs, tokenizer, key), ns, key)
     cols = []
     for n in ns:
-        o = F.coalesce(F.col(f"ov_{n}"), F.lit(0))
+        o = F.col(f"ov_{n}")
         p = o / F.greatest(F.col("lh") - (n - 1), F.lit(1))
         r = o / F.greatest(F.col("lg") - (n - 1), F.lit(1))
         cols += [tx.r6(p).alias(f"rouge{n}_p"), tx.r6(r).alias(f"rouge{n}_r"),
@@ -65,13 +72,11 @@ def bleu_stats(pairs: DataFrame, key: str = "pair_id", extra: tuple[str, ...] =
     clipped matches, possible n-grams and 13a lengths."""
     ns = range(1, BLEU_ORDER + 1)
     tp = tokenised_pairs(pairs, tx.tok13a, key, extra=extra)
-    ov = ngram_overlap(tp, ns, key)
-    base = tp.select(key, *extra, F.size("h").cast("long").alias("hyp_len"),
-                     F.size("g").cast("long").alias("ref_len"))
-    j = base.join(ov, key, "left")
-    return j.select(key, *extra, "hyp_len", "ref_len",
-                    *[F.coalesce(F.col(f"ov_{n}"), F.lit(0)).cast("long").alias(f"m{n}") for n in ns],
-                    *[F.greatest(F.col("hyp_len") - (n - 1), F.lit(0)).alias(f"t{n}") for n in ns])
+    j = ngram_overlap(tp, ns, key, extra)
+    return j.select(key, *extra, F.col("lh").cast("long").alias("hyp_len"),
+                    F.col("lg").cast("long").alias("ref_len"),
+                    *[F.col(f"ov_{n}").alias(f"m{n}") for n in ns],
+                    *[F.greatest(F.col("lh") - (n - 1), F.lit(0)).cast("long").alias(f"t{n}") for n in ns])
 
 
 def bleu_from_stats(df: DataFrame, keep: list[str]) -> DataFrame:

@@ -72,3 +72,354 @@ def _bleu_corpus(pairs: str, by: str) -> str:
 
 
 ORACLE["bleu_corpus"] = _bleu_corpus("pairs_conv", "conv_id")
+
+
+# --- shared CTE builders --------------------------------------------------------
+
+PAIRS_T = ("pairs_t", "SELECT p.pair_id, p.conv_id, p.gold, p.predicted, t.transcript "
+                      "FROM pairs_conv p LEFT JOIN transcripts t ON p.conv_id = t.conv_id")
+
+
+def strip(x: str) -> str:
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+def vocab_ctes() -> list[tuple[str, str]]:
+    return [
+        ("vtok", f"SELECT unnest({sp.tok('gold')}) AS token FROM pairs_conv "
+                 f"UNION ALL SELECT unnest({sp.tok('predicted')}) FROM pairs_conv"),
+        ("vcnt", "SELECT token, count(*) AS count FROM vtok GROUP BY token"),
+        ("vocab", "SELECT token, count, CAST(row_number() OVER (ORDER BY count DESC, token) - 1 AS BIGINT) AS rank, "
+                  "CAST(row_number() OVER (ORDER BY count DESC, token) + 1 AS BIGINT) AS id FROM vcnt"),
+    ]
+
+
+def ids_ctes(col: str, name: str) -> list[tuple[str, str]]:
+    return [
+        (f"{name}_o", f"SELECT pair_id, unnest({sp.tok(col)}) AS token, "
+                      f"generate_subscripts({sp.tok(col)}, 1) AS pos FROM pairs_conv"),
+        (f"{name}_l", f"SELECT o.pair_id, list(CAST(coalesce(v.id, 1) AS INTEGER) ORDER BY o.pos) AS ids "
+                      f"FROM {name}_o o LEFT JOIN vocab v ON o.token = v.token GROUP BY o.pair_id"),
+        (name, f"SELECT p.pair_id, coalesce(l.ids, CAST([] AS INTEGER[])) AS ids FROM pairs_conv p "
+               f"LEFT JOIN {name}_l l ON p.pair_id = l.pair_id"),
+    ]
+
+
+def encoded_ctes() -> list[tuple[str, str]]:
+    return vocab_ctes() + ids_ctes("gold", "src_ids") + ids_ctes("predicted", "tgt_ids") + [
+        ("enc", "SELECT s.pair_id, list_resize(s.ids, 64, 0) AS input_ids, list_resize(t.ids, 32, 0) AS labels "
+                "FROM src_ids s JOIN tgt_ids t ON s.pair_id = t.pair_id")]
+
+
+def ids_str(x: str, name: str) -> str:
+    return f"array_to_string({x}, ',') AS {name}"
+
+
+def bigram_occ(src: str, key: str, text: str, name: str) -> list[tuple[str, str]]:
+    return [
+        (f"{name}_t", f"SELECT {key} AS k, {sp.tok(text)} AS t FROM {src}"),
+        (f"{name}_i", f"SELECT k, t, unnest(range(1, len(t) + 1)) AS i FROM {name}_t"),
+        (name, f"SELECT k, CASE WHEN i = 1 THEN '<s>' ELSE t[i - 1] END AS v, t[i] AS w FROM {name}_i"),
+    ]
+
+
+def perplexity_ctes(src: str, key: str, text: str) -> list[tuple[str, str]]:
+    """CTE ``ppl(k, n_tokens, perplexity)`` scoring ``src.text``, model from documents."""
+    return bigram_occ("documents", "doc_id", "text", "tr") + bigram_occ(src, key, text, "sc") + [
+        ("pc", "SELECT v, w, count(*) AS c_vw FROM tr GROUP BY v, w"),
+        ("vc", "SELECT v, sum(c_vw) AS c_v FROM pc GROUP BY v"),
+        ("vv", "SELECT CAST(count(DISTINCT w) AS DOUBLE) + 1.0 AS vsize FROM pc"),
+        ("occ", "SELECT k, v, w, count(*) AS kk FROM sc GROUP BY k, v, w"),
+        ("per", "SELECT o.k, sum(kk) AS n, sum(kk * ln((CAST(coalesce(pc.c_vw, 0) AS DOUBLE) + CAST(0.1 AS DOUBLE)) / "
+                "(CAST(coalesce(vc.c_v, 0) AS DOUBLE) + CAST(0.1 AS DOUBLE) * vv.vsize))) AS s "
+                "FROM occ o LEFT JOIN pc ON o.v = pc.v AND o.w = pc.w LEFT JOIN vc ON o.v = vc.v, vv GROUP BY o.k"),
+        ("ppl", f"SELECT s.{key} AS k, CAST(coalesce(per.n, 0) AS BIGINT) AS n_tokens, "
+                f"round(exp(-per.s / per.n), 4) AS perplexity FROM {src} s LEFT JOIN per ON s.{key} = per.k"),
+    ]
+
+
+def repeat_rate_expr(text: str) -> tuple[str, str]:
+    g = sp.ngrams(sp.tok(text), 3)
+    return (f"CAST(len({g}) AS BIGINT)",
+            f"round(CASE WHEN len({g}) > 0 THEN 1.0 - len(list_distinct({g})) / len({g}) END, 6)")
+
+
+def doc_scores_ctes() -> list[tuple[str, str]]:
+    ngr, rate = repeat_rate_expr("predicted")
+    rouge = sp.overlap_sql("pairs_doc", sp.tok, (1,), name="dr")
+    p = "(dr.ov_1 / greatest(len(t.h), 1))"
+    r = "(dr.ov_1 / greatest(len(t.g), 1))"
+    return rouge + perplexity_ctes("pairs_doc", "pair_id", "predicted") + [
+        ("ds", f"SELECT d.pair_id, d.system, d.arch, {r6(f_measure(p, r))} AS rouge1_f, ppl.perplexity, "
+               f"{rate} AS repeat_rate, ppl.n_tokens FROM pairs_doc d "
+               f"JOIN dr_t t ON d.pair_id = t.pair_id JOIN dr ON d.pair_id = dr.pair_id "
+               f"JOIN ppl ON d.pair_id = ppl.k")]
+
+
+DOC_METRICS = ["rouge1_f", "perplexity", "repeat_rate", "n_tokens"]
+
+
+def corr_ctes(yname: str) -> list[tuple[str, str]]:
+    """CTE ``corr(metric, error_type, n, pearson, spearman)`` over ``ds`` x ``ann_doc``."""
+    unions = " UNION ALL ".join(
+        f"SELECT pair_id, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM ds WHERE {m} IS NOT NULL"
+        for m in DOC_METRICS)
+    return doc_scores_ctes() + [
+        ("lng", unions),
+        ("obs", f"SELECT l.metric, a.error_type, l.value AS x, CAST(a.{yname} AS DOUBLE) AS y "
+                f"FROM lng l JOIN ann_doc a ON l.pair_id = a.pair_id"),
+        ("rk", "SELECT metric, error_type, x, y, "
+               "rank() OVER (PARTITION BY metric, error_type ORDER BY x) "
+               "+ (count(*) OVER (PARTITION BY metric, error_type, x) - 1) / 2.0 AS rx, "
+               "rank() OVER (PARTITION BY metric, error_type ORDER BY y) "
+               "+ (count(*) OVER (PARTITION BY metric, error_type, y) - 1) / 2.0 AS ry FROM obs"),
+        ("corr", "SELECT metric, error_type, count(*) AS n, "
+                 "round(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 6) AS pearson, "
+                 "round(covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0), 6) AS spearman "
+                 "FROM rk GROUP BY metric, error_type"),
+    ]
+
+
+DOC_FIX = ["pairs_doc", "ann_doc"]
+
+
+# --- sources and sinks ------------------------------------------------------------
+
+ORACLE["read_pairs"] = (with_fixtures(["pairs_conv", "transcripts"], PAIRS_T)
+                        + "SELECT pair_id, gold, predicted, transcript FROM pairs_t")
+ORACLE["select_pair_columns"] = ORACLE["read_pairs"]
+ORACLE["write_scores"] = ORACLE["rouge_n"]
+
+ORACLE["write_run_results"] = (
+    with_fixtures(["pairs_conv"], *sp.overlap_sql("pairs_conv", sp.tok, (1, 2))) + f"""
+SELECT p.pair_id, p.predicted AS prediction, p.gold AS label,
+  round({r6(f_measure('(coalesce(ov.ov_1,0) / greatest(len(t.h), 1))', '(coalesce(ov.ov_1,0) / greatest(len(t.g), 1))'))} * 100, 4) AS rouge1_f,
+  round({r6(f_measure('(coalesce(ov.ov_2,0) / greatest(len(t.h) - 1, 1))', '(coalesce(ov.ov_2,0) / greatest(len(t.g) - 1, 1))'))} * 100, 4) AS rouge2_f,
+  'run1' AS run_id, CASE WHEN p.pair_id % 2 = 0 THEN 'eval' ELSE 'test' END AS split
+FROM pairs_conv p JOIN ov_t t ON p.pair_id = t.pair_id LEFT JOIN ov ON p.pair_id = ov.pair_id""")
+
+ORACLE["write_predictions_text"] = (
+    with_fixtures(["pairs_conv"])
+    + f"SELECT pair_id, regexp_replace({strip('predicted')}, chr(10), ' ', 'g') AS predicted FROM pairs_conv")
+
+ORACLE["read_splits"] = with_fixtures(["docs_split"]) + "SELECT doc_id, lang, source, n_chars, split FROM docs_split"
+
+ORACLE["append_run_log"] = with_fixtures(["docs_split"]) + """
+SELECT run_id, split, metric, round(value, 6) AS value FROM (
+  SELECT 'run1' AS run_id, split, 'samples' AS metric, CAST(count(*) AS DOUBLE) AS value FROM docs_split GROUP BY split
+  UNION ALL SELECT 'run1', split, 'mean_value', avg(n_chars) FROM docs_split GROUP BY split
+  UNION ALL SELECT 'run2', split, 'samples', CAST(count(*) AS DOUBLE) FROM docs_split GROUP BY split
+  UNION ALL SELECT 'run2', split, 'mean_value', avg(doc_id) FROM docs_split GROUP BY split)"""
+
+# --- projections --------------------------------------------------------------------
+
+ORACLE["optional_transcript"] = with_fixtures(["pairs_conv", "transcripts"], PAIRS_T) + """
+SELECT pair_id, (tr IS NOT NULL AND length(tr) > 0) AS has_transcript, coalesce(length(tr), -1) AS transcript_chars
+FROM (SELECT pair_id, CASE WHEN pair_id % 3 = 0 THEN NULL WHEN pair_id % 3 = 1 THEN '' ELSE transcript END AS tr
+      FROM pairs_t)"""
+
+ORACLE["drop_incomplete_pairs"] = with_fixtures(["pairs_conv"]) + """
+SELECT pair_id, gold, predicted FROM (
+  SELECT pair_id, CASE WHEN pair_id % 7 = 0 THEN NULL ELSE gold END AS gold,
+         CASE WHEN pair_id % 7 = 3 THEN '' ELSE predicted END AS predicted FROM pairs_conv)
+WHERE gold IS NOT NULL AND gold <> '' AND predicted IS NOT NULL AND predicted <> ''"""
+
+ORACLE["strip_text"] = (with_fixtures(["pairs_conv"])
+                        + f"SELECT pair_id, {strip(chr(39) + '  ' + chr(39) + ' || chr(10) || gold || ' + chr(39) + ' ' + chr(39) + ' || chr(9)')} AS gold, "
+                        + f"{strip('predicted')} AS predicted FROM pairs_conv")
+
+ORACLE["split_sentences_naive"] = with_fixtures(["pairs_conv"]) + """
+SELECT pair_id, CAST(len(string_split(predicted, '. ')) AS INTEGER) AS n_sentences,
+       string_split(predicted, '. ')[1] AS first_sentence,
+       array_to_string(string_split(predicted, '. '), '. ') = predicted AS identity FROM pairs_conv"""
+
+_SL = r"regexp_replace({x}, '([.!?])\s+', '\1' || chr(10), 'g')"
+ORACLE["sentence_lines"] = with_fixtures(["pairs_conv"]) + (
+    f"SELECT pair_id, {_SL.format(x='gold')} AS gold, {_SL.format(x='predicted')} AS predicted, "
+    f"CAST(length({_SL.format(x='predicted')}) - length(replace({_SL.format(x='predicted')}, chr(10), '')) AS INTEGER) "
+    f"AS pred_breaks FROM pairs_conv")
+
+ORACLE["build_vocab"] = with_fixtures(["pairs_conv"], *vocab_ctes()) + "SELECT token, count, rank, id FROM vocab"
+
+ORACLE["encode_truncate_pad"] = with_fixtures(["pairs_conv"], *encoded_ctes()) + (
+    f"SELECT pair_id, {ids_str('input_ids', 'input_ids')}, {ids_str('labels', 'labels')} FROM enc")
+
+_AM = "list_transform(input_ids, lambda x: CASE WHEN x <> 0 THEN 1 ELSE 0 END)"
+_GM = "list_transform(input_ids, lambda x, i: CASE WHEN i = 1 THEN 1 ELSE 0 END)"
+_ML = "list_transform(labels, lambda x: CASE WHEN x = 0 THEN -100 ELSE x END)"
+ORACLE["attention_masks"] = with_fixtures(["pairs_conv"], *encoded_ctes()) + (
+    f"SELECT pair_id, {ids_str(_AM, 'attention_mask')}, {ids_str(_GM, 'global_attention_mask')}, "
+    f"CAST(list_sum({_AM}) AS INTEGER) AS tokens FROM enc")
+
+ORACLE["mask_labels"] = with_fixtures(["pairs_conv"], *encoded_ctes()) + (
+    f"SELECT pair_id, {ids_str(_ML, 'labels')}, "
+    f"{ids_str('list_transform(' + _ML + ', lambda x: CASE WHEN x = -100 THEN 0 ELSE x END)', 'restored')} FROM enc")
+
+ORACLE["prune_columns"] = with_fixtures(["pairs_conv"], *encoded_ctes()) + (
+    f"SELECT pair_id, {ids_str('input_ids', 'input_ids')}, {ids_str(_AM, 'attention_mask')}, "
+    f"{ids_str(_GM, 'global_attention_mask')}, {ids_str(_ML, 'labels')} FROM enc")
+
+ORACLE["decode_ids"] = with_fixtures(["pairs_conv"]) + (
+    f"SELECT pair_id, array_to_string({sp.tok('gold')}[1:64], ' ') AS decoded FROM pairs_conv")
+
+
+def _rouge_cols(alias_t: str = "t", alias_o: str = "ov") -> str:
+    cols = []
+    for n in (1, 2):
+        o = f"coalesce({alias_o}.ov_{n}, 0)"
+        p = f"({o} / greatest(len({alias_t}.h) - {n - 1}, 1))"
+        r = f"({o} / greatest(len({alias_t}.g) - {n - 1}, 1))"
+        cols += [f"{r6(p)} AS rouge{n}_p", f"{r6(r)} AS rouge{n}_r", f"{r6(f_measure(p, r))} AS rouge{n}_f"]
+    return ", ".join(cols)
+
+
+_ROUGE_CONV = ("rouge", f"SELECT t.pair_id, {_rouge_cols()} FROM ov_t t LEFT JOIN ov ON t.pair_id = ov.pair_id")
+_BLEU_CONV = ("bleu_s", _bleu_select("st", ["pair_id"]))
+_RB = sp.overlap_sql("pairs_conv", sp.tok, (1, 2)) + [_ROUGE_CONV] + _bleu_stats_ctes("pairs_conv") + [_BLEU_CONV]
+
+ORACLE["flatten_scores"] = with_fixtures(["pairs_conv"], *_RB) + (
+    "SELECT r.*, b.bleu, b.brevity_penalty FROM rouge r JOIN bleu_s b ON r.pair_id = b.pair_id")
+ORACLE["combine_metrics"] = ORACLE["flatten_scores"]
+
+ORACLE["scale_round"] = with_fixtures(["pairs_conv"], *sp.overlap_sql("pairs_conv", sp.tok, (1, 2)), _ROUGE_CONV) + (
+    "SELECT pair_id, " + ", ".join(f"round({c} * 100, 4) AS {c}" for n in (1, 2) for c in
+                                   (f"rouge{n}_p", f"rouge{n}_r", f"rouge{n}_f")) + " FROM rouge")
+
+ORACLE["add_prefix"] = with_fixtures(["pairs_conv"]) + "SELECT pair_id, 'summarize: ' || gold AS gold FROM pairs_conv"
+
+# --- joins, sets, limits, aggregates over pairs -------------------------------------------
+
+ORACLE["align_pairs"] = with_fixtures(["pairs_conv"]) + "SELECT pair_id, gold, predicted FROM pairs_conv"
+
+ORACLE["check_alignment"] = with_fixtures(["pairs_conv"]) + """
+SELECT pair_id, CASE WHEN pair_id % 7 = 0 THEN 'predicted' ELSE 'gold' END AS only_in
+FROM pairs_conv WHERE pair_id % 7 IN (0, 3)"""
+
+ORACLE["gen_len"] = with_fixtures(["pairs_conv"]) + (
+    f"SELECT round(avg(least(len({sp.tok('predicted')}), 32)), 6) AS gen_len FROM pairs_conv")
+
+ORACLE["corpus_mean"] = with_fixtures(["pairs_conv"], *sp.overlap_sql("pairs_conv", sp.tok, (1, 2)), _ROUGE_CONV) + (
+    "SELECT count(*) AS pairs, round(avg(rouge1_f), 6) AS corpus_rouge1_f, "
+    "round(avg(rouge2_f), 6) AS corpus_rouge2_f FROM rouge")
+
+_MR_REFS = ("refs", """
+SELECT p.pair_id * 10 AS pair_id, p.gold, p.predicted FROM pairs_conv p
+UNION ALL
+SELECT p.pair_id * 10 + 1, n.text, p.predicted FROM pairs_conv p
+JOIN conversations n ON n.conv_id = p.conv_id AND n.turn = p.pair_id % 1000 + 2 AND n.role = 'user'""")
+_MR = sp.overlap_sql("refs", sp.tok, (1,), name="mr")
+ORACLE["multi_reference_mean"] = with_fixtures(["pairs_conv"], _MR_REFS, *_MR) + f"""
+SELECT pair_id, count(*) AS references, round(avg(f), 6) AS mean_rouge1_f FROM (
+  SELECT CAST(floor(t.pair_id / 10) AS BIGINT) AS pair_id,
+         {r6(f_measure('(coalesce(mr.ov_1,0) / greatest(len(t.h), 1))', '(coalesce(mr.ov_1,0) / greatest(len(t.g), 1))'))} AS f
+  FROM mr_t t LEFT JOIN mr ON t.pair_id = mr.pair_id) GROUP BY pair_id"""
+
+ORACLE["preview"] = ORACLE["rouge_n"] + " ORDER BY t.pair_id LIMIT 20"
+
+# --- documents --------------------------------------------------------------------------
+
+ORACLE["cap_samples"] = with_fixtures(["docs_split"]) + """
+SELECT doc_id, split FROM (SELECT doc_id, split, row_number() OVER (PARTITION BY split ORDER BY doc_id) AS rn
+FROM docs_split) WHERE rn <= 50"""
+
+ORACLE["sample_counts"] = with_fixtures(["docs_split"]) + (
+    "SELECT split, least(count(*), CAST(500 AS BIGINT)) AS samples FROM docs_split GROUP BY split")
+
+ORACLE["idf_table"] = f"""
+WITH n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents),
+t AS (SELECT unnest(list_distinct({sp.tok('text')})) AS token FROM documents),
+g AS (SELECT token, count(*) AS df FROM t GROUP BY token)
+SELECT token, df, round(ln((n.n + 1.0) / (df + 1.0)), 6) AS idf FROM g, n"""
+
+ORACLE["lm_perplexity"] = (with_fixtures([], *perplexity_ctes("documents", "doc_id", "text"))
+                           .replace("WITH ,", "WITH ")
+                           + "SELECT k AS doc_id, n_tokens, perplexity FROM ppl")
+
+ORACLE["require_splits"] = with_fixtures(["docs_split"]) + """
+SELECT split FROM (VALUES ('train'), ('validation'), ('test'), ('holdout')) r(split)
+WHERE split NOT IN (SELECT DISTINCT split FROM docs_split)"""
+
+_NG, _RATE = repeat_rate_expr("text")
+ORACLE["repeat_ngram_rate"] = f"SELECT doc_id, {_NG} AS ngrams, {_RATE} AS repeat_rate FROM documents"
+
+_NT = f"len({sp.tok('text')})"
+ORACLE["length_bounds"] = f"""
+SELECT source, count(*) AS n,
+  CAST(sum(CASE WHEN {_NT} BETWEEN 100 AND 1024 THEN 1 ELSE 0 END) AS BIGINT) AS within,
+  CAST(sum(CASE WHEN {_NT} < 100 THEN 1 ELSE 0 END) AS BIGINT) AS too_short,
+  CAST(sum(CASE WHEN {_NT} > 1024 THEN 1 ELSE 0 END) AS BIGINT) AS too_long
+FROM documents GROUP BY source"""
+
+# --- conversations ------------------------------------------------------------------------
+
+ORACLE["assemble_transcript"] = with_fixtures(["transcripts"]) + "SELECT conv_id, transcript FROM transcripts"
+
+ORACLE["turn_challenges"] = f"""
+WITH t AS (SELECT conv_id, turn, role, len({sp.tok('text')}) AS ntok,
+                  lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev_role FROM conversations)
+SELECT conv_id, count(*) AS turns, count(DISTINCT role) AS speakers,
+  CAST(sum(CASE WHEN prev_role IS NOT NULL AND prev_role <> role THEN 1 ELSE 0 END) AS BIGINT) AS switches,
+  round(avg(ntok), 6) AS mean_tokens_per_turn FROM t GROUP BY conv_id"""
+
+# --- labelled documents: systems and analysis -----------------------------------------------
+
+_DS = doc_scores_ctes()
+
+ORACLE["union_systems"] = with_fixtures(["pairs_doc"], *_DS) + (
+    "SELECT pair_id, 'arch_' || arch AS system, rouge1_f FROM ds")
+
+ORACLE["mean_scores"] = with_fixtures(["pairs_doc"], *_DS) + (
+    "SELECT system, " + ", ".join(f"round(avg({m}), 6) AS mean_{m}" for m in DOC_METRICS)
+    + " FROM ds GROUP BY system")
+
+ORACLE["leaderboard"] = with_fixtures(["pairs_doc"], *_DS) + """
+SELECT system, mean, std, n, rank() OVER (ORDER BY mean DESC) AS rank FROM (
+  SELECT system, round(avg(rouge1_f), 6) AS mean, round(stddev_samp(rouge1_f), 6) AS std, count(*) AS n
+  FROM ds GROUP BY system)"""
+
+ORACLE["join_annotations"] = with_fixtures(DOC_FIX, *_DS) + """
+SELECT d.pair_id, d.rouge1_f, d.perplexity, a.error_type, a.present, a.severity
+FROM ds d JOIN ann_doc a ON d.pair_id = a.pair_id"""
+
+ORACLE["metric_error_correlation"] = with_fixtures(DOC_FIX, *corr_ctes("present")) + "SELECT * FROM corr"
+ORACLE["metric_impact_correlation"] = with_fixtures(DOC_FIX, *corr_ctes("severity")) + "SELECT * FROM corr"
+
+ORACLE["error_masking_flags"] = with_fixtures(DOC_FIX, *corr_ctes("present")) + """
+SELECT metric, error_type, pearson, round(pearson * o, 6) AS oriented_r, pearson * o > -0.1 AS masked FROM (
+  SELECT *, CASE WHEN metric IN ('perplexity', 'repeat_rate') THEN -1 ELSE 1 END AS o FROM corr)"""
+
+
+def _strength(c: str) -> str:
+    return (f"CASE WHEN {c} IS NULL THEN NULL WHEN abs({c}) < 0.1 THEN 'negligible' WHEN abs({c}) < 0.3 THEN 'weak' "
+            f"WHEN abs({c}) < 0.5 THEN 'moderate' ELSE 'strong' END AS {c}_strength")
+
+
+ORACLE["strength_labels"] = with_fixtures(DOC_FIX, *corr_ctes("present")) + (
+    f"SELECT metric, error_type, pearson, spearman, {_strength('pearson')}, {_strength('spearman')} FROM corr")
+
+ORACLE["challenge_error_link"] = with_fixtures(["pairs_doc", "ann_doc", "chal_doc"]) + """
+SELECT arch, challenge, error_type, n, n_chal, n_err, n_both,
+  round(CASE WHEN n_chal > 0 THEN n_both / n_chal END, 6) AS p_err_given_chal,
+  round(CASE WHEN n > 0 THEN n_err / n END, 6) AS base_rate,
+  round(CASE WHEN n_chal > 0 AND n_err > 0 THEN (n_both / n_chal) / (n_err / n) END, 6) AS lift,
+  round(CASE WHEN n_chal * (n - n_chal) * n_err * (n - n_err) > 0 THEN
+     (n_both * (n - n_chal - n_err + n_both) - (n_chal - n_both) * (n_err - n_both))
+     / sqrt(n_chal * (n - n_chal) * n_err * (n - n_err)) END, 6) AS phi
+FROM (
+  SELECT p.arch, c.challenge, a.error_type, count(*) AS n, CAST(sum(c.present) AS BIGINT) AS n_chal,
+         CAST(sum(a.present) AS BIGINT) AS n_err, CAST(sum(c.present * a.present) AS BIGINT) AS n_both
+  FROM chal_doc c JOIN ann_doc a ON c.pair_id = a.pair_id JOIN pairs_doc p ON p.pair_id = c.pair_id
+  GROUP BY p.arch, c.challenge, a.error_type)"""
+
+_W = {"rouge1_f": 1.0, "perplexity": -1.0, "repeat_rate": -1.0}
+ORACLE["composite_score"] = with_fixtures(["pairs_doc"], *_DS, (
+    "st", "SELECT " + ", ".join(f"avg({m}) AS mu_{m}, stddev_pop({m}) AS sd_{m}" for m in _W) + " FROM ds")) + (
+    "SELECT pair_id, round(" + " + ".join(
+        f"CAST({w} AS DOUBLE) * (CASE WHEN sd_{m} > 0 THEN ({m} - mu_{m}) / sd_{m} ELSE 0.0 END)"
+        for m, w in _W.items()) + ", 6) AS composite FROM ds, st")
+
+ORACLE["error_rates_by_system"] = with_fixtures(["pairs_doc", "ann_doc"]) + """
+SELECT p.system, p.arch,
+  round(avg(CASE WHEN a.error_type = 'low_quality' THEN a.present END), 6) AS low_quality,
+  round(avg(CASE WHEN a.error_type = 'toxic' THEN a.present END), 6) AS toxic
+FROM ann_doc a JOIN pairs_doc p ON a.pair_id = p.pair_id GROUP BY p.system, p.arch"""
