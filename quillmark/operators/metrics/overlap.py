@@ -51,16 +51,21 @@ def ngram_overlap(tp: DataFrame, ns, key: str = "pair_id", extra: tuple[str, ...
         F.sum(F.when(F.col("n") == n, m).otherwise(0)).cast("long").alias(f"ov_{n}") for n in ns])
 
 
-def rouge_n(pairs: DataFrame, ns=(1, 2), key: str = "pair_id", tokenizer=tx.tok) -> DataFrame:
-    """MET-1: ROUGE-N precision, recall, F for each n (no stemming)."""
+def rouge_n(pairs: DataFrame, ns=(1, 2), key: str = "pair_id", tokenizer=tx.tok,
+            places: int | None = 6) -> DataFrame:
+    """MET-1: ROUGE-N precision, recall, F for each n (no stemming).
+
+    ``places=None`` keeps full precision (for scores that are averaged later).
+    """
+    rnd = (lambda c: F.round(c, places)) if places is not None else (lambda c: c)
     j = ngram_overlap(tokenised_pairs(pairs, tokenizer, key), ns, key)
     cols = []
     for n in ns:
         o = F.col(f"ov_{n}")
         p = o / F.greatest(F.col("lh") - (n - 1), F.lit(1))
         r = o / F.greatest(F.col("lg") - (n - 1), F.lit(1))
-        cols += [tx.r6(p).alias(f"rouge{n}_p"), tx.r6(r).alias(f"rouge{n}_r"),
-                 tx.r6(tx.f_measure(p, r)).alias(f"rouge{n}_f")]
+        cols += [rnd(p).alias(f"rouge{n}_p"), rnd(r).alias(f"rouge{n}_r"),
+                 rnd(tx.f_measure(p, r)).alias(f"rouge{n}_f")]
     return j.select(key, *cols)
 
 

@@ -319,7 +319,7 @@ def q_gen_len(spark, d):
 
 @query("corpus_mean")
 def q_corpus_mean(spark, d):
-    return ag.corpus_mean(overlap.rouge_n(tb.pairs_conv(spark, d)), ["rouge1_f", "rouge2_f"])
+    return ag.corpus_mean(overlap.rouge_n(tb.pairs_conv(spark, d), places=None), ["rouge1_f", "rouge2_f"])
 
 
 @query("multi_reference_mean")
@@ -336,7 +336,7 @@ def q_multi_reference_mean(spark, d):
         F.struct(F.lit(1).alias("ref_no"), F.col("ref2").alias("ref"))))).where(F.col("ref").isNotNull())
     refs = refs.select((F.col("pair_id") * 10 + F.col("ref_no")).alias("ref_key"),
                        F.col("ref").alias("gold"), "predicted")
-    s = overlap.rouge_n(refs, ns=(1,), key="ref_key")
+    s = overlap.rouge_n(refs, ns=(1,), key="ref_key", places=None)
     s = s.withColumn("pair_id", F.floor(F.col("ref_key") / 10).cast("long"))
     return ag.multi_reference_mean(s, "pair_id", ["rouge1_f"])
 

@@ -298,7 +298,10 @@ FROM pairs_conv WHERE pair_id % 7 IN (0, 3)"""
 ORACLE["gen_len"] = with_fixtures(["pairs_conv"]) + (
     f"SELECT round(avg(least(len({sp.tok('predicted')}), 32)), 6) AS gen_len FROM pairs_conv")
 
-ORACLE["corpus_mean"] = with_fixtures(["pairs_conv"], *sp.overlap_sql("pairs_conv", sp.tok, (1, 2)), _ROUGE_CONV) + (
+_ROUGE_RAW = ("rouge", "SELECT t.pair_id, " + ", ".join(
+    f"{f_measure(f'(coalesce(ov.ov_{n}, 0) / greatest(len(t.h) - {n - 1}, 1))', f'(coalesce(ov.ov_{n}, 0) / greatest(len(t.g) - {n - 1}, 1))')} AS rouge{n}_f"
+    for n in (1, 2)) + " FROM ov_t t LEFT JOIN ov ON t.pair_id = ov.pair_id")
+ORACLE["corpus_mean"] = with_fixtures(["pairs_conv"], *sp.overlap_sql("pairs_conv", sp.tok, (1, 2)), _ROUGE_RAW) + (
     "SELECT count(*) AS pairs, round(avg(rouge1_f), 6) AS corpus_rouge1_f, "
     "round(avg(rouge2_f), 6) AS corpus_rouge2_f FROM rouge")
 
@@ -311,7 +314,7 @@ _MR = sp.overlap_sql("refs", sp.tok, (1,), name="mr")
 ORACLE["multi_reference_mean"] = with_fixtures(["pairs_conv"], _MR_REFS, *_MR) + f"""
 SELECT pair_id, count(*) AS references, round(avg(f), 6) AS mean_rouge1_f FROM (
   SELECT CAST(floor(t.pair_id / 10) AS BIGINT) AS pair_id,
-         {r6(f_measure('(coalesce(mr.ov_1,0) / greatest(len(t.h), 1))', '(coalesce(mr.ov_1,0) / greatest(len(t.g), 1))'))} AS f
+         {f_measure('(coalesce(mr.ov_1,0) / greatest(len(t.h), 1))', '(coalesce(mr.ov_1,0) / greatest(len(t.g), 1))')} AS f
   FROM mr_t t LEFT JOIN mr ON t.pair_id = mr.pair_id) GROUP BY pair_id"""
 
 ORACLE["preview"] = ORACLE["rouge_n"] + " ORDER BY t.pair_id LIMIT 20"
