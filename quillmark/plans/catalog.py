@@ -456,3 +456,29 @@ def q_composite_score(spark, d):
 @query("error_rates_by_system")
 def q_error_rates_by_system(spark, d):
     return an.error_rates_by_system(tb.ann_doc(spark, d), tb.pairs_doc(spark, d), ERROR_TYPES)
+
+
+# --- character and alignment metrics ------------------------------------------------
+
+from quillmark.operators.metrics import chrf as chrf_m  # noqa: E402
+from quillmark.operators.metrics import meteor as meteor_m  # noqa: E402
+
+
+@query("chrf")
+def q_chrf(spark, d):
+    return chrf_m.chrf(tb.pairs_conv(spark, d))
+
+
+@query("chrf_lead")
+def q_chrf_lead(spark, d):
+    return chrf_m.chrf(tb.pairs_lead(spark, d))
+
+
+@query("meteor")
+def q_meteor(spark, d):
+    return meteor_m.meteor(tb.pairs_conv(spark, d))
+
+
+@query("meteor_lead")
+def q_meteor_lead(spark, d):
+    return meteor_m.meteor(tb.pairs_lead(spark, d))

@@ -426,3 +426,57 @@ SELECT p.system, p.arch,
   round(avg(CASE WHEN a.error_type = 'low_quality' THEN a.present END), 6) AS low_quality,
   round(avg(CASE WHEN a.error_type = 'toxic' THEN a.present END), 6) AS toxic
 FROM ann_doc a JOIN pairs_doc p ON a.pair_id = p.pair_id GROUP BY p.system, p.arch"""
+
+
+# --- chrF and METEOR ----------------------------------------------------------------
+
+
+def chars(x: str) -> str:
+    return rf"list_filter(string_split(regexp_replace({x}, '\s+', '', 'g'), ''), lambda t: t <> '')"
+
+
+def _chrf(pairs: str) -> str:
+    ns = range(1, 7)
+    ctes = sp.overlap_sql(pairs, chars, ns, name="cf")
+    eff = "least(len(t.g), len(t.h))"
+    neff = f"least({eff}, 6)"
+    psum = " + ".join(f"(CASE WHEN {eff} >= {n} THEN coalesce(cf.ov_{n}, 0) / (len(t.h) - {n - 1}) ELSE 0.0 END)" for n in ns)
+    rsum = " + ".join(f"(CASE WHEN {eff} >= {n} THEN coalesce(cf.ov_{n}, 0) / (len(t.g) - {n - 1}) ELSE 0.0 END)" for n in ns)
+    ctes.append(("pr", f"SELECT t.pair_id, {neff} AS ne, ({psum}) / greatest({neff}, 1) AS p, "
+                       f"({rsum}) / greatest({neff}, 1) AS r FROM cf_t t LEFT JOIN cf ON t.pair_id = cf.pair_id"))
+    return with_fixtures([pairs], *ctes) + (
+        "SELECT pair_id, round(CASE WHEN ne = 0 OR p + r = 0 THEN 0.0 "
+        "ELSE 100.0 * 5.0 * p * r / (4.0 * p + r) END, 6) AS chrf FROM pr")
+
+
+ORACLE["chrf"] = _chrf("pairs_conv")
+ORACLE["chrf_lead"] = _chrf("pairs_lead")
+
+
+def token_occ_ctes(pairs: str, name: str = "mt") -> list[tuple[str, str]]:
+    return [
+        (f"{name}_t", f"SELECT pair_id, {sp.tok('gold')} AS g, {sp.tok('predicted')} AS h FROM {pairs}"),
+        (f"{name}_o", f"SELECT pair_id, 0 AS side, unnest(g) AS token, generate_subscripts(g, 1) - 1 AS pos FROM {name}_t "
+                      f"UNION ALL SELECT pair_id, 1, unnest(h), generate_subscripts(h, 1) - 1 FROM {name}_t"),
+    ]
+
+
+def _meteor(pairs: str) -> str:
+    ctes = token_occ_ctes(pairs) + [
+        ("mk", "SELECT *, row_number() OVER (PARTITION BY pair_id, side, token ORDER BY pos DESC) AS k FROM mt_o"),
+        ("mm", "SELECT h.pair_id, h.pos AS hpos, g.pos AS gpos FROM mk h JOIN mk g ON h.pair_id = g.pair_id "
+               "AND h.token = g.token AND h.k = g.k AND h.side = 1 AND g.side = 0"),
+        ("mb", "SELECT pair_id, CASE WHEN hpos - lag(hpos) OVER w = 1 AND gpos - lag(gpos) OVER w = 1 THEN 0 ELSE 1 END AS b "
+               "FROM mm WINDOW w AS (PARTITION BY pair_id ORDER BY hpos)"),
+        ("mp", "SELECT pair_id, count(*) AS m, sum(b) AS chunks FROM mb GROUP BY pair_id"),
+        ("ms", "SELECT t.pair_id, CAST(coalesce(mp.m, 0) AS DOUBLE) AS m, mp.chunks, "
+               "CAST(coalesce(mp.m, 0) AS DOUBLE) / greatest(len(t.h), 1) AS p, "
+               "CAST(coalesce(mp.m, 0) AS DOUBLE) / greatest(len(t.g), 1) AS r FROM mt_t t LEFT JOIN mp ON t.pair_id = mp.pair_id"),
+    ]
+    return with_fixtures([pairs], *ctes) + (
+        "SELECT pair_id, round(CASE WHEN m = 0 THEN 0.0 ELSE (p * r / (0.9 * p + 0.1 * r)) "
+        "* (1 - 0.5 * pow(chunks / m, 3.0)) END, 6) AS meteor FROM ms")
+
+
+ORACLE["meteor"] = _meteor("pairs_conv")
+ORACLE["meteor_lead"] = _meteor("pairs_lead")
