@@ -19,9 +19,11 @@ CHAR_ORDER = 6
 BETA = 2.0
 
 
-def chars(c) -> "F.Column":
-    """Characters of a text with all whitespace removed."""
-    return tx.drop_empty(F.split(tx.no_whitespace(c), ""))
+def char_ngrams(s, n: int) -> "F.Column":
+    """Array of the character n-grams of a (column) string, by ``substring``."""
+    return F.when(F.length(s) >= n, F.transform(
+        F.sequence(F.lit(1), F.length(s) - (n - 1)), lambda i: F.substring(s, i, n))
+    ).otherwise(F.array().cast("array<string>"))
 
 
 def chrf(pairs: DataFrame, key: str = "pair_id", order: int = CHAR_ORDER,
@@ -32,9 +34,8 @@ def chrf(pairs: DataFrame, key: str = "pair_id", order: int = CHAR_ORDER,
     P and R are averaged over those orders; ``100 (1+β²)PR / (β²P + R)``.
     """
     ns = range(1, order + 1)
-    # Character arrays joined by spaces inside ngram_overlap are injective
-    # here (no whitespace is left), so the counts are character n-gram counts.
-    ov = ngram_overlap(tokenised_pairs(pairs, chars, key), ns, key)
+    ov = ngram_overlap(tokenised_pairs(pairs, tx.no_whitespace, key), ns, key,
+                       gram_fn=char_ngrams, size_fn=F.length)
     eff = F.least("lg", "lh")
     n_eff = F.least(eff, F.lit(order))
     p_sum = sum(F.when(eff >= n, F.col(f"ov_{n}") / (F.col("lh") - (n - 1))).otherwise(F.lit(0.0)) for n in ns)

@@ -21,11 +21,12 @@ def _tag(n: int):
     return lambda x: F.struct(F.lit(n).alias("n"), x.alias("gram"))
 
 
-def _tagged_ngrams(toks: Column, ns) -> Column:
-    return F.concat(*[F.transform(tx.ngrams(toks, n), _tag(n)) for n in ns])
+def _tagged_ngrams(toks: Column, ns, gram_fn=tx.ngrams) -> Column:
+    return F.concat(*[F.transform(gram_fn(toks, n), _tag(n)) for n in ns])
 
 
-def ngram_overlap(tp: DataFrame, ns, key: str = "pair_id", extra: tuple[str, ...] = ()) -> DataFrame:
+def ngram_overlap(tp: DataFrame, ns, key: str = "pair_id", extra: tuple[str, ...] = (),
+                  gram_fn=tx.ngrams, size_fn=F.size) -> DataFrame:
     """``(key, lg, lh, *extra, ov_<n>...)`` for every pair of a tokenised-pairs
     frame: token counts of both sides and clipped n-gram matches
     ``Σ min(c_gold, c_pred)`` for every n.
@@ -37,11 +38,11 @@ def ngram_overlap(tp: DataFrame, ns, key: str = "pair_id", extra: tuple[str, ...
     pair survives the aggregation.
     """
     carry = ["lg", "lh", *extra]
-    base = tp.select(key, F.size("g").alias("lg"), F.size("h").alias("lh"), *extra, "g", "h")
+    base = tp.select(key, size_fn("g").alias("lg"), size_fn("h").alias("lh"), *extra, "g", "h")
     sides = base.select(key, *carry, F.inline(F.array(
         F.struct(F.lit(0).alias("side"), F.col("g").alias("toks")),
         F.struct(F.lit(1).alias("side"), F.col("h").alias("toks")))))
-    grams = sides.select(key, *carry, "side", F.inline_outer(_tagged_ngrams(F.col("toks"), ns)))
+    grams = sides.select(key, *carry, "side", F.inline_outer(_tagged_ngrams(F.col("toks"), ns, gram_fn)))
     real = F.col("gram").isNotNull()
     counts = grams.groupBy(key, *carry, "n", "gram").agg(
         F.sum(F.when(real & (F.col("side") == 0), 1).otherwise(0)).alias("cg"),

@@ -482,3 +482,25 @@ def q_meteor(spark, d):
 @query("meteor_lead")
 def q_meteor_lead(spark, d):
     return meteor_m.meteor(tb.pairs_lead(spark, d))
+
+
+# --- coverage and cloze --------------------------------------------------------------
+
+from quillmark.operators.metrics import cloze as cloze_m  # noqa: E402
+from quillmark.operators.metrics import coverage as cov_m  # noqa: E402
+
+
+@query("answer_coverage")
+def q_answer_coverage(spark, d):
+    return cov_m.answer_coverage(tb.pairs_conv(spark, d), tb.table(spark, d, "documents"),
+                                 tb.transcripts(spark, d))
+
+
+@query("answer_coverage_lead")
+def q_answer_coverage_lead(spark, d):
+    return cov_m.answer_coverage(tb.pairs_lead(spark, d), tb.table(spark, d, "documents"))
+
+
+@query("cloze_gain_lead")
+def q_cloze_gain_lead(spark, d):
+    return cloze_m.cloze_gain(tb.pairs_lead(spark, d), tb.table(spark, d, "documents"))

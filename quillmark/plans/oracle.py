@@ -480,3 +480,99 @@ def _meteor(pairs: str) -> str:
 
 ORACLE["meteor"] = _meteor("pairs_conv")
 ORACLE["meteor_lead"] = _meteor("pairs_lead")
+
+
+# --- coverage and cloze ---------------------------------------------------------------
+
+
+def coverage_ctes(pairs: str, with_transcript: bool) -> list[tuple[str, str]]:
+    tk = sp.tok
+    ctes = [
+        ("nd", "SELECT CAST(count(*) AS DOUBLE) AS n FROM documents"),
+        ("idft", f"SELECT token, round(ln((nd.n + 1.0) / (count(*) + 1.0)), 6) AS w FROM "
+                 f"(SELECT unnest(list_distinct({tk('text')})) AS token FROM documents), nd GROUP BY token, nd.n"),
+        ("stop", f"SELECT token FROM (SELECT unnest({tk('text')}) AS token FROM documents) GROUP BY token "
+                 f"ORDER BY count(*) DESC, token LIMIT 50"),
+        ("terms", f"SELECT pair_id, 0 AS side, unnest(list_distinct({tk('gold')})) AS token FROM {pairs} "
+                  f"UNION ALL SELECT pair_id, 1, unnest(list_distinct({tk('predicted')})) FROM {pairs}"),
+        ("tw", "SELECT t.pair_id, t.side, t.token, coalesce(i.w, ln(nd.n + 1.0)) AS w FROM terms t "
+               "LEFT JOIN idft i ON t.token = i.token, nd WHERE length(t.token) >= 4 "
+               "AND t.token NOT IN (SELECT token FROM stop)"),
+        ("pt", "SELECT pair_id, token, w, max(CASE WHEN side = 0 THEN 1 ELSE 0 END) AS in_g, "
+               "max(CASE WHEN side = 1 THEN 1 ELSE 0 END) AS in_h FROM tw GROUP BY pair_id, token, w"),
+        ("sm", "SELECT p.pair_id, coalesce(sum(w * in_g), 0.0) AS Wg, coalesce(sum(w * in_h), 0.0) AS Wh, "
+               f"coalesce(sum(w * in_g * in_h), 0.0) AS Wgh FROM {pairs} p LEFT JOIN pt ON p.pair_id = pt.pair_id "
+               "GROUP BY p.pair_id"),
+    ]
+    rg, pg = safe_div("Wgh", "Wg"), safe_div("Wgh", "Wh")
+    if not with_transcript:
+        ctes.append(("cov", f"SELECT pair_id, {pg} AS precision, {rg} AS recall FROM sm"))
+        return ctes
+    ctes += [
+        ("tt", f"SELECT conv_id, token, coalesce(i.w, ln(nd.n + 1.0)) AS w FROM "
+               f"(SELECT conv_id, unnest(list_distinct({tk('transcript')})) AS token FROM transcripts) x "
+               f"LEFT JOIN idft i USING (token), nd WHERE length(token) >= 4 AND token NOT IN (SELECT token FROM stop)"),
+        ("wt", "SELECT t.conv_id, (t.transcript IS NOT NULL AND t.transcript <> '') AS has_t, "
+               "coalesce((SELECT sum(w) FROM tt WHERE tt.conv_id = t.conv_id), 0.0) AS Wt FROM transcripts t"),
+        ("th", f"SELECT p.pair_id, coalesce(sum(tt.w), 0.0) AS Wth FROM {pairs} p "
+               f"LEFT JOIN tw ON tw.pair_id = p.pair_id AND tw.side = 1 "
+               f"LEFT JOIN tt ON tt.conv_id = p.conv_id AND tt.token = tw.token GROUP BY p.pair_id"),
+        ("cov", f"SELECT sm.pair_id, CASE WHEN coalesce(wt.has_t, false) THEN ({pg} + {safe_div('Wth', 'Wh')}) / 2 "
+                f"ELSE {pg} END AS precision, CASE WHEN coalesce(wt.has_t, false) THEN "
+                f"({rg} + {safe_div('Wth', 'Wt')}) / 2 ELSE {rg} END AS recall "
+                f"FROM sm JOIN {pairs} p ON sm.pair_id = p.pair_id LEFT JOIN wt ON wt.conv_id = p.conv_id "
+                f"LEFT JOIN th ON th.pair_id = sm.pair_id"),
+    ]
+    return ctes
+
+
+def _coverage(pairs: str, with_transcript: bool) -> str:
+    fx = [pairs] + (["transcripts"] if with_transcript else [])
+    return with_fixtures(fx, *coverage_ctes(pairs, with_transcript)) + (
+        f"SELECT pair_id, {r6(f_measure('precision', 'recall'))} AS fscore, {r6('precision')} AS precision, "
+        f"{r6('recall')} AS recall FROM cov")
+
+
+ORACLE["answer_coverage"] = _coverage("pairs_conv", True)
+ORACLE["answer_coverage_lead"] = _coverage("pairs_lead", False)
+
+
+def _cloze(pairs: str) -> str:
+    tk = sp.tok
+    ctes = bigram_occ("documents", "doc_id", "text", "tr") + [
+        ("cc", "SELECT v, w, count(*) AS c FROM tr WHERE length(w) >= 4 GROUP BY v, w"),
+        ("tp", f"SELECT pair_id, {tk('gold')} AS g, {tk('predicted')} AS h FROM {pairs}"),
+        ("pos", "SELECT pair_id, g, unnest(range(1, len(g) + 1)) AS i FROM tp"),
+        ("masks", "SELECT pair_id, i, g[i - 1] AS v, g[i] AS answer FROM pos "
+                  "WHERE i >= 2 AND i % 6 = 0 AND length(g[i]) >= 4"),
+        ("base", "SELECT v, w AS w_base, c AS s_base FROM (SELECT v, w, c, row_number() OVER "
+                 "(PARTITION BY v ORDER BY c DESC, w) AS rn FROM cc) WHERE rn = 1"),
+        ("pw", "SELECT DISTINCT pair_id, unnest(h) AS w FROM tp"),
+        ("mpv", "SELECT DISTINCT pair_id, v FROM masks"),
+        ("hcand", "SELECT m.pair_id, m.v, cc.w, cc.c FROM mpv m JOIN cc ON m.v = cc.v "
+                  "JOIN pw ON pw.pair_id = m.pair_id AND pw.w = cc.w"),
+        ("help", "SELECT pair_id, v, w AS w_help FROM (SELECT *, row_number() OVER "
+                 "(PARTITION BY pair_id, v ORDER BY c DESC, w) AS rn FROM hcand) WHERE rn = 1"),
+    ] + bigram_occ(pairs, "pair_id", "predicted", "pbo") + [
+        ("pb", "SELECT k AS pair_id, v, w, count(*) AS cp FROM pbo WHERE length(w) >= 4 GROUP BY k, v, w"),
+        ("tcand", "SELECT pb.pair_id, pb.v, pb.w, coalesce(cc.c, 0) + 10 * pb.cp AS s FROM pb "
+                  "JOIN mpv ON mpv.pair_id = pb.pair_id AND mpv.v = pb.v LEFT JOIN cc ON cc.v = pb.v AND cc.w = pb.w "
+                  "UNION ALL SELECT mpv.pair_id, mpv.v, base.w_base, base.s_base FROM mpv JOIN base ON mpv.v = base.v"),
+        ("tune", "SELECT pair_id, v, w AS w_tune FROM (SELECT *, row_number() OVER "
+                 "(PARTITION BY pair_id, v ORDER BY s DESC, w) AS rn FROM tcand) WHERE rn = 1"),
+        ("per", "SELECT m.pair_id, count(*) AS masked, "
+                "CAST(sum(CASE WHEN m.answer = b.w_base THEN 1 ELSE 0 END) AS BIGINT) AS base_correct, "
+                "CAST(sum(CASE WHEN m.answer = coalesce(h.w_help, b.w_base) THEN 1 ELSE 0 END) AS BIGINT) AS help_correct, "
+                "CAST(sum(CASE WHEN m.answer = t.w_tune THEN 1 ELSE 0 END) AS BIGINT) AS tune_correct "
+                "FROM masks m LEFT JOIN base b ON m.v = b.v LEFT JOIN help h ON h.pair_id = m.pair_id AND h.v = m.v "
+                "LEFT JOIN tune t ON t.pair_id = m.pair_id AND t.v = m.v GROUP BY m.pair_id"),
+    ]
+    return with_fixtures([pairs], *ctes) + f"""
+SELECT p.pair_id, CAST(coalesce(masked, 0) AS BIGINT) AS masked, coalesce(base_correct, 0) AS base_correct,
+  coalesce(help_correct, 0) AS help_correct, coalesce(tune_correct, 0) AS tune_correct,
+  round(CASE WHEN masked > 0 THEN (help_correct - base_correct) / masked END, 6) AS blanc_help,
+  round(CASE WHEN masked > 0 THEN (tune_correct - base_correct) / masked END, 6) AS blanc_tune
+FROM {pairs} p LEFT JOIN per ON p.pair_id = per.pair_id"""
+
+
+ORACLE["cloze_gain_lead"] = _cloze("pairs_lead")
