@@ -504,3 +504,31 @@ def q_answer_coverage_lead(spark, d):
 @query("cloze_gain_lead")
 def q_cloze_gain_lead(spark, d):
     return cloze_m.cloze_gain(tb.pairs_lead(spark, d), tb.table(spark, d, "documents"))
+
+
+# --- vector metrics --------------------------------------------------------------------
+
+from quillmark.operators.metrics import vectors as vec_m  # noqa: E402
+
+
+def _vector_inputs(spark, d, pairs):
+    vocab = tk.build_vocab(pairs, ["gold", "predicted"])
+    return vec_m.token_vec_ids(vocab), tb.table(spark, d, "embeddings")
+
+
+@query("embedding_match")
+def q_embedding_match(spark, d):
+    p = tb.pairs_conv(spark, d)
+    return vec_m.embedding_match(p, *_vector_inputs(spark, d, p))
+
+
+@query("embedding_match_lead")
+def q_embedding_match_lead(spark, d):
+    p = tb.pairs_lead(spark, d)
+    return vec_m.embedding_match(p, *_vector_inputs(spark, d, p))
+
+
+@query("mover_score")
+def q_mover_score(spark, d):
+    p = tb.pairs_conv(spark, d)
+    return vec_m.mover_score(p, *_vector_inputs(spark, d, p))

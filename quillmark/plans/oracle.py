@@ -84,10 +84,10 @@ def strip(x: str) -> str:
     return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 
 
-def vocab_ctes() -> list[tuple[str, str]]:
+def vocab_ctes(pairs: str = "pairs_conv") -> list[tuple[str, str]]:
     return [
-        ("vtok", f"SELECT unnest({sp.tok('gold')}) AS token FROM pairs_conv "
-                 f"UNION ALL SELECT unnest({sp.tok('predicted')}) FROM pairs_conv"),
+        ("vtok", f"SELECT unnest({sp.tok('gold')}) AS token FROM {pairs} "
+                 f"UNION ALL SELECT unnest({sp.tok('predicted')}) FROM {pairs}"),
         ("vcnt", "SELECT token, count(*) AS count FROM vtok GROUP BY token"),
         ("vocab", "SELECT token, count, CAST(row_number() OVER (ORDER BY count DESC, token) - 1 AS BIGINT) AS rank, "
                   "CAST(row_number() OVER (ORDER BY count DESC, token) + 1 AS BIGINT) AS id FROM vcnt"),
@@ -576,3 +576,41 @@ FROM {pairs} p LEFT JOIN per ON p.pair_id = per.pair_id"""
 
 
 ORACLE["cloze_gain_lead"] = _cloze("pairs_lead")
+
+
+# --- vector metrics ----------------------------------------------------------------------
+
+
+def vector_ctes(pairs: str) -> list[tuple[str, str]]:
+    dbl = "CAST(embedding AS DOUBLE[])"
+    return vocab_ctes(pairs) + token_occ_ctes(pairs, "vo") + [
+        ("vid", "SELECT token, rank % 500 AS vec_id FROM vocab"),
+        ("unit", f"SELECT vec_id, list_transform({dbl}, lambda x: x / sqrt(list_dot_product({dbl}, {dbl}))) AS u "
+                 f"FROM embeddings"),
+        ("pv", "SELECT o.pair_id, o.side, v.vec_id, count(*) AS n FROM vo_o o JOIN vid v ON o.token = v.token "
+               "GROUP BY o.pair_id, o.side, v.vec_id"),
+        ("pvu", "SELECT pv.*, unit.u FROM pv JOIN unit ON pv.vec_id = unit.vec_id"),
+        ("cs", "SELECT h.pair_id, h.vec_id AS hv, h.n AS hn, g.vec_id AS gv, g.n AS gn, "
+               "list_dot_product(h.u, g.u) AS c FROM pvu h JOIN pvu g ON h.pair_id = g.pair_id "
+               "AND h.side = 1 AND g.side = 0"),
+        ("bh", "SELECT pair_id, hv, any_value(hn) AS n, max(c) AS c FROM cs GROUP BY pair_id, hv"),
+        ("bg", "SELECT pair_id, gv, any_value(gn) AS n, max(c) AS c FROM cs GROUP BY pair_id, gv"),
+        ("sh", "SELECT pair_id, sum(n * c) / sum(n) AS p, sum(n * sqrt(greatest(2.0 - 2.0 * c, 0.0))) / sum(n) AS dh "
+               "FROM bh GROUP BY pair_id"),
+        ("sg", "SELECT pair_id, sum(n * c) / sum(n) AS r, sum(n * sqrt(greatest(2.0 - 2.0 * c, 0.0))) / sum(n) AS dg "
+               "FROM bg GROUP BY pair_id"),
+        ("vs", f"SELECT p.pair_id, coalesce(sh.p, 0.0) AS p, coalesce(sg.r, 0.0) AS r, "
+               f"CASE WHEN sh.p IS NULL THEN NULL ELSE 1.0 - greatest(sh.dh, sg.dg) END AS mover "
+               f"FROM {pairs} p LEFT JOIN sh ON p.pair_id = sh.pair_id LEFT JOIN sg ON p.pair_id = sg.pair_id"),
+    ]
+
+
+def _embedding(pairs: str) -> str:
+    return with_fixtures([pairs], *vector_ctes(pairs)) + (
+        f"SELECT pair_id, {r6('p')} AS em_p, {r6('r')} AS em_r, {r6(f_measure('p', 'r'))} AS em_f FROM vs")
+
+
+ORACLE["embedding_match"] = _embedding("pairs_conv")
+ORACLE["embedding_match_lead"] = _embedding("pairs_lead")
+ORACLE["mover_score"] = with_fixtures(["pairs_conv"], *vector_ctes("pairs_conv")) + (
+    f"SELECT pair_id, {r6('mover')} AS mover_score FROM vs")
