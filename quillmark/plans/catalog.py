@@ -532,3 +532,61 @@ def q_embedding_match_lead(spark, d):
 def q_mover_score(spark, d):
     p = tb.pairs_conv(spark, d)
     return vec_m.mover_score(p, *_vector_inputs(spark, d, p))
+
+
+# --- LCS metrics, stemming (Arrow UDFs; rows-only checks plus brute-force unit tests) ----
+
+from quillmark.operators.metrics import lcs as lcs_m  # noqa: E402
+
+
+@query("rouge_l")
+def q_rouge_l(spark, d):
+    return lcs_m.rouge_l(tb.pairs_conv(spark, d))
+
+
+@query("rouge_l_lead")
+def q_rouge_l_lead(spark, d):
+    return lcs_m.rouge_l(tb.pairs_lead(spark, d))
+
+
+@query("rouge_lsum")
+def q_rouge_lsum(spark, d):
+    return lcs_m.rouge_lsum(tb.pairs_conv(spark, d))
+
+
+@query("rouge_stemmed")
+def q_rouge_stemmed(spark, d):
+    return lcs_m.rouge_stemmed(tb.pairs_conv(spark, d))
+
+
+@query("meteor_stem")
+def q_meteor_stem(spark, d):
+    return meteor_m.meteor(tb.pairs_conv(spark, d), stem_stage=True)
+
+
+# --- model seams --------------------------------------------------------------------
+
+from quillmark.operators import registry as rg  # noqa: E402
+from quillmark.operators.metrics import learned as learned_m  # noqa: E402
+
+LEARNED_FEATURES = ["rouge1_f", "perplexity", "repeat_rate", "n_tokens"]
+
+
+def _labelled_scores(spark, d):
+    lab = tb.table(spark, d, "labels").select(F.col("doc_id").alias("pair_id"), "quality")
+    return doc_scores(spark, d).join(lab, "pair_id")
+
+
+@query("score_with")
+def q_score_with(spark, d):
+    return rg.score_with(tb.pairs_conv(spark, d), rg.make_length_ratio_scorer, rg.LENGTH_RATIO_SCHEMA)
+
+
+@query("learned_score")
+def q_learned_score(spark, d):
+    return learned_m.learned_score(_labelled_scores(spark, d), LEARNED_FEATURES, "quality")
+
+
+@query("learned_score_1f")
+def q_learned_score_1f(spark, d):
+    return learned_m.learned_score(_labelled_scores(spark, d), ["rouge1_f"], "quality")

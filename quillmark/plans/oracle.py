@@ -614,3 +614,17 @@ ORACLE["embedding_match"] = _embedding("pairs_conv")
 ORACLE["embedding_match_lead"] = _embedding("pairs_lead")
 ORACLE["mover_score"] = with_fixtures(["pairs_conv"], *vector_ctes("pairs_conv")) + (
     f"SELECT pair_id, {r6('mover')} AS mover_score FROM vs")
+
+
+# --- model seams ------------------------------------------------------------------------
+
+ORACLE["score_with"] = with_fixtures(["pairs_conv"]) + (
+    "SELECT pair_id, round(CAST(length(predicted) AS DOUBLE) / nullif(length(gold), 0), 6) AS length_ratio "
+    "FROM pairs_conv")
+
+ORACLE["learned_score_1f"] = with_fixtures(["pairs_doc"], *_DS, (
+    "lab", "SELECT ds.pair_id, ds.rouge1_f AS x, CAST(l.quality AS DOUBLE) AS y FROM ds "
+           "JOIN labels l ON l.doc_id = ds.pair_id WHERE ds.rouge1_f IS NOT NULL"), (
+    "st", "SELECT avg(x) AS mu, stddev_pop(x) AS sd, sign(regr_slope(y, x)) AS sg FROM lab")) + (
+    "SELECT pair_id, round(least(greatest(50.0 + 10.0 * CASE WHEN sd > 0 THEN sg * (x - mu) / sd ELSE 0.0 END, "
+    "0.0), 100.0), 6) AS learned_score FROM lab, st")
