@@ -50,8 +50,8 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inn
     """
     salt_cols = salt_by or big.columns
     b = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols]), F.lit(salt)))
-    s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))
-                         .cast(b.schema["_salt"].dataType))
+    s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    s = s.withColumn("_salt", F.col("_salt").cast(b.schema["_salt"].dataType))
     return b.join(s, on + ["_salt"], how).drop("_salt")
 
 
