@@ -31,9 +31,9 @@ def drop_empty(arr: Column) -> Column:
 
 
 def tok(c) -> Column:
-    """ROUGE tokeniser: lower -> non-alphanumerics to space -> split -> drop empties."""
-    cleaned = F.regexp_replace(F.lower(_col(c)), ROUGE_SEPARATOR, " ")
-    return drop_empty(F.split(cleaned, " "))
+    """ROUGE tokeniser: lower -> split on runs of non-alphanumerics -> drop empties
+    (one regex pass; same tokens as replacing the runs by spaces first)."""
+    return F.array_remove(F.split(F.lower(_col(c)), ROUGE_SEPARATOR), "")
 
 
 def tok13a(c) -> Column:

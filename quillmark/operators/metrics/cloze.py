@@ -12,9 +12,16 @@ Document = gold, summary = predicted (the reference's argument order).
 
 No candidate list per position is built: the best continuation per left
 word is found by two partial aggregations (max count, then smallest word
-at that count); ``help`` semi-joins the corpus continuations of the masked
-words with the summary's words; ``tune`` only looks at the summary's own
-bigrams plus the ``base`` winner.
+at that count); ``tune`` only looks at the summary's own bigrams plus the
+``base`` winner. ``help`` needs, per (pair, masked left word v), the
+corpus continuations of v that occur in the summary. That is a
+heavy/light split (exact either way): for a v with at most
+``HEAVY_DEGREE`` corpus continuations the continuations are joined and
+semi-joined with the summary's words; for a heavier v (a hot word) the
+summary's words are paired with v and looked up in the counts on the full
+``(v, w)`` key. Work per (pair, v) is bounded by
+``min(HEAVY_DEGREE, summary words)`` and never grows with a hot word's
+corpus fan-out.
 """
 
 from __future__ import annotations
@@ -24,8 +31,10 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import text as tx
 from quillmark.operators.metrics.lm import bigrams
+from quillmark.session import cut_lineage
 
 MASK_EVERY = 6
+HEAVY_DEGREE = 1000
 MIN_WORD_LEN = 4
 TUNE_BOOST = 10
 
@@ -38,10 +47,11 @@ def _best(cands: DataFrame, keys: list[str], score: str, out: str) -> DataFrame:
 
 
 def cloze_gain(pairs: DataFrame, corpus: DataFrame, key: str = "pair_id",
-               text: str = "text") -> DataFrame:
+               text: str = "text", heavy_degree: int = HEAVY_DEGREE) -> DataFrame:
     long_w = F.length("w") >= MIN_WORD_LEN
-    cc = bigrams(corpus.select(F.lit(0).alias("_k"), text), "_k", text).where(long_w) \
-        .groupBy("v", "w").agg(F.count(F.lit(1)).alias("c"))
+    # The corpus counts are the "model": aggregated once, read three times.
+    cc = cut_lineage(bigrams(corpus.select(F.lit(0).alias("_k"), text), "_k", text).where(long_w)
+                     .groupBy("v", "w").agg(F.count(F.lit(1)).alias("c")))
 
     tp = pairs.select(key, tx.tok("gold").alias("g"), tx.tok("predicted").alias("h"))
     pos = tp.select(key, "g", F.posexplode("g").alias("p0", "answer"))
@@ -54,7 +64,12 @@ def cloze_gain(pairs: DataFrame, corpus: DataFrame, key: str = "pair_id",
     base = _best(ccv, ["v"], "c", "w_base")
 
     pw = tp.select(key, F.explode(F.array_distinct("h")).alias("w")).where(long_w)
-    cand = mpv.join(ccv, "v").join(pw, [key, "w"], "left_semi")
+    deg = ccv.groupBy("v").agg(F.count(F.lit(1)).alias("_deg"))
+    light = mpv.join(deg.where(F.col("_deg") <= heavy_degree).select("v"), "v", "left_semi")
+    heavy = mpv.join(deg.where(F.col("_deg") > heavy_degree).select("v"), "v", "left_semi")
+    cand_light = light.join(ccv, "v").join(pw, [key, "w"], "left_semi")
+    cand_heavy = heavy.join(pw, key).join(ccv, ["v", "w"])
+    cand = cand_light.select(key, "v", "w", "c").unionByName(cand_heavy.select(key, "v", "w", "c"))
     helped = _best(cand, [key, "v"], "c", "w_help").drop("w_help_score")
 
     pb = bigrams(pairs, key, "predicted").where(long_w).groupBy(key, "v", "w").agg(

@@ -9,8 +9,8 @@ rows at a time; nothing crosses the driver.
   Python integers — O(|gold| · |pred| / 64) word operations, no table.
 * ROUGE-Lsum: per gold sentence, the union of the gold positions matched
   by an LCS with every predicted sentence; a hit counts while the token
-  still has budget in both texts' token counters. The sentence DP rows are
-  computed with numpy (row recurrence ``cummax``).
+  still has budget in both texts' token counters. Each sentence DP runs on
+  the tokens the two sentences share only.
 * Stemmed ROUGE: tokens of 4+ characters are Porter-stemmed inside the
   task (memoised), then ROUGE-1/2 (exact n-gram job) and ROUGE-L.
 """
@@ -50,24 +50,35 @@ def lcs_length(a, b) -> int:
 
 def lcs_positions(ref, can) -> list[int]:
     """Indices into ``ref`` of one LCS with ``can`` (DP table + backtrack;
-    on ties the walk steps along ``ref``)."""
-    n, m = len(ref), len(can)
-    if n == 0 or m == 0:
+    on ties the walk steps along ``ref``).
+
+    Tokens that do not occur in the other sequence can never be matched, so
+    the DP runs on the two filtered sequences (original indices kept) — the
+    same LCS, a much smaller table.
+    """
+    common = set(ref) & set(can)
+    if not common:
         return []
-    table = np.zeros((n + 1, m + 1), dtype=np.int32)
-    can_arr = np.asarray(can, dtype=object)
+    ri = [i for i, t in enumerate(ref) if t in common]
+    a = [ref[i] for i in ri]
+    b = [t for t in can if t in common]
+    n, m = len(a), len(b)
+    table = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(1, n + 1):
-        eq = can_arr == ref[i - 1]
-        cand = np.where(eq, table[i - 1, :-1] + 1, table[i - 1, 1:])
-        table[i, 1:] = np.maximum.accumulate(cand)
+        ai, prev, row = a[i - 1], table[i - 1], table[i]
+        for j in range(1, m + 1):
+            if ai == b[j - 1]:
+                row[j] = prev[j - 1] + 1
+            else:
+                row[j] = prev[j] if prev[j] >= row[j - 1] else row[j - 1]
     out = []
     i, j = n, m
     while i > 0 and j > 0:
-        if ref[i - 1] == can[j - 1]:
-            out.append(i - 1)
+        if a[i - 1] == b[j - 1]:
+            out.append(ri[i - 1])
             i -= 1
             j -= 1
-        elif table[i, j - 1] > table[i - 1, j]:
+        elif table[i][j - 1] > table[i - 1][j]:
             j -= 1
         else:
             i -= 1
@@ -144,8 +155,11 @@ def _emit(df: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def rouge_l(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
-    """MET-2: ``L = LCS(tok(gold), tok(pred))``; P = L/|pred|, R = L/|gold|."""
-    tp = tokenised_pairs(pairs, tx.tok, key)
+    """MET-2: ``L = LCS(tok(gold), tok(pred))``; P = L/|pred|, R = L/|gold|.
+
+    Row-local: tokenised in the JVM, scored in the UDF, no exchange.
+    """
+    tp = pairs.select(key, tx.tok("gold").alias("g"), tx.tok("predicted").alias("h"))
     return _emit(tp.select(key, _rouge_l_udf("g", "h").alias("s")), key, "rougeL")
 
 

@@ -3,14 +3,23 @@
 Re-aimed: the reference scores with a neural LM; this is an add-0.1
 bigram model counted from a training table and scored by joins. Same
 purpose and output shape, not the same values.
+
+The model is trained once: bigram counts are aggregated (partial
+aggregation, so a hot bigram is combined map-side) and written to the
+shared checkpoint folder; the vocabulary size, the per-prefix totals and
+the log-probability table are all read from that one copy.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as tx
+from quillmark.session import cut_lineage
 
 BOS = "<s>"
 ADD_K = 0.1
@@ -18,19 +27,32 @@ ADD_K = 0.1
 
 def bigrams(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, v, w)`` for every token ``w`` with its predecessor ``v`` (``<s>`` first)."""
-    t = tx.tok(text)
-    prev = F.concat(F.array(F.lit(BOS)), t)
-    z = F.arrays_zip(F.slice(prev, 1, F.size(t)).alias("v"), t.alias("w"))
-    return df.select(key, F.inline(z))
+    t = df.select(key, tx.tok(text).alias("_t"))
+    prev = F.concat(F.array(F.lit(BOS)), F.col("_t"))
+    z = F.arrays_zip(F.slice(prev, 1, F.size("_t")).alias("v"), F.col("_t").alias("w"))
+    return t.select(key, F.inline(z))
+
+
+@dataclass
+class BigramModel:
+    counts: DataFrame        # (v, w, c_vw), checkpointed
+    logp: DataFrame          # (v, w, lnp) for seen bigrams
+    prefix_logp: DataFrame   # (v, lnp0): an unseen continuation of a seen prefix
+    vocab: float             # V = distinct continuation tokens + 1
+    unseen_logp: float       # both prefix and bigram unseen
 
 
-def bigram_model(train: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame, "F.Column"]:
-    """``(pair_counts(v, w, c_vw), prefix_counts(v, c_v), V)``; V is a scalar subquery."""
+def bigram_model(train: DataFrame, text: str = "text") -> BigramModel:
     bg = bigrams(train.select(F.lit(0).alias("_k"), text), "_k", text)
-    pair_counts = bg.groupBy("v", "w").agg(F.count(F.lit(1)).alias("c_vw"))
-    prefix_counts = pair_counts.groupBy("v").agg(F.sum("c_vw").alias("c_v"))
-    vocab = pair_counts.select(F.count_distinct("w").cast("double") + 1.0).scalar()
-    return pair_counts, prefix_counts, vocab
+    counts = cut_lineage(bg.groupBy("v", "w").agg(F.count(F.lit(1)).alias("c_vw")))
+    vocab = float(counts.select(F.count_distinct("w")).first()[0]) + 1.0
+    prefix = counts.groupBy("v").agg(F.sum("c_vw").alias("c_v"))
+    den = F.col("c_v").cast("double") + ADD_K * vocab
+    logp = counts.join(prefix, "v").select(
+        "v", "w", F.log((F.col("c_vw").cast("double") + ADD_K) / den).alias("lnp"))
+    prefix_logp = prefix.select("v", F.log((0.0 + ADD_K) / den).alias("lnp0"))
+    return BigramModel(counts, logp, prefix_logp, vocab,
+                       math.log((0.0 + ADD_K) / (0.0 + ADD_K * vocab)))
 
 
 def lm_perplexity(train: DataFrame, score: DataFrame, key: str = "doc_id",
@@ -38,16 +60,14 @@ def lm_perplexity(train: DataFrame, score: DataFrame, key: str = "doc_id",
     """Per-row ``(key, n_tokens, perplexity)``; NULL perplexity without tokens.
 
     Occurrences are first combined per ``(key, v, w)``, then left-joined to
-    the counts: unseen bigrams and prefixes fall back to add-k smoothing.
+    the model; unseen bigrams and prefixes fall back to add-k smoothing.
     A bigram that is hot across the corpus is a skewed join key; AQE's
-    skew-join split handles it (the counts side holds one row per key).
+    skew-join split handles it (the model side holds one row per key).
     """
-    pc, vc, vocab = bigram_model(train, train_text)
+    m = bigram_model(train, train_text)
     occ = bigrams(score, key, text).groupBy(key, "v", "w").agg(F.count(F.lit(1)).alias("k"))
-    j = occ.join(pc, ["v", "w"], "left").join(vc, "v", "left")
-    c_vw = F.coalesce(F.col("c_vw"), F.lit(0)).cast("double")
-    c_v = F.coalesce(F.col("c_v"), F.lit(0)).cast("double")
-    lnp = F.log((c_vw + ADD_K) / (c_v + ADD_K * vocab))
+    j = occ.join(m.logp, ["v", "w"], "left").join(m.prefix_logp, "v", "left")
+    lnp = F.coalesce(F.col("lnp"), F.col("lnp0"), F.lit(m.unseen_logp))
     per = j.groupBy(key).agg(F.sum("k").alias("n"), F.sum(F.col("k") * lnp).alias("s"))
     out = score.select(key).join(per, key, "left")
     return out.select(key, F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n_tokens"),

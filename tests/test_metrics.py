@@ -132,3 +132,20 @@ def test_empty_token_side_scores_zero(pairs):
     r = by_key(overlap.rouge_n(pairs))
     assert r[5]["rouge1_f"] == 0.0   # gold is punctuation only
     assert by_key(lcs.rouge_l(pairs))[5]["rougeL_f"] == 0.0
+
+
+def test_chrf_udf_equals_relational_form(pairs):
+    a = by_key(chrf_m.chrf(pairs))
+    b = by_key(chrf_m.chrf_relational(pairs))
+    for k, _, _ in PAIRS:
+        assert a[k]["chrf"] == pytest.approx(b[k]["chrf"], abs=1e-9)
+
+
+def test_cloze_heavy_and_light_paths_agree(spark):
+    from conftest import SMOKE
+    from quillmark.operators.metrics.cloze import cloze_gain
+    from quillmark.sources import tables as tb
+    p, docs = tb.pairs_lead(spark, SMOKE), tb.table(spark, SMOKE, "documents")
+    light = sorted(tuple(r) for r in cloze_gain(p, docs, heavy_degree=10**9).collect())
+    heavy = sorted(tuple(r) for r in cloze_gain(p, docs, heavy_degree=0).collect())
+    assert light == heavy and any(r[2] > 0 for r in light)
