@@ -138,22 +138,27 @@ def perplexity_ctes(src: str, key: str, text: str) -> list[tuple[str, str]]:
     ]
 
 
-def repeat_rate_expr(text: str) -> tuple[str, str]:
-    g = sp.ngrams(sp.tok(text), 3)
-    return (f"CAST(len({g}) AS BIGINT)",
-            f"round(CASE WHEN len({g}) > 0 THEN 1.0 - len(list_distinct({g})) / len({g}) END, 6)")
+def repeat_rate_ctes(src: str, key: str, text: str, name: str) -> list[tuple[str, str]]:
+    """CTE ``name(k, ngrams, repeat_rate)``. The token list is materialised
+    first: inside the n-gram lambda an inlined tokeniser would be re-run per
+    element."""
+    g = sp.ngrams("t", 3)
+    return [(f"{name}_t!", f"SELECT {key} AS k, {sp.tok(text)} AS t FROM {src}"),
+            (name, f"SELECT k, CAST(len(g) AS BIGINT) AS ngrams, "
+                   f"round(CASE WHEN len(g) > 0 THEN 1.0 - len(list_distinct(g)) / len(g) END, 6) AS repeat_rate "
+                   f"FROM (SELECT k, {g} AS g FROM {name}_t)")]
 
 
 def doc_scores_ctes() -> list[tuple[str, str]]:
-    ngr, rate = repeat_rate_expr("predicted")
     rouge = sp.overlap_sql("pairs_doc", sp.tok, (1,), name="dr")
     p = "(dr.ov_1 / greatest(len(t.h), 1))"
     r = "(dr.ov_1 / greatest(len(t.g), 1))"
     return rouge + perplexity_ctes("pairs_doc", "pair_id", "predicted") + [
+        *repeat_rate_ctes("pairs_doc", "pair_id", "predicted", "rr"),
         ("ds", f"SELECT d.pair_id, d.system, d.arch, {r6(f_measure(p, r))} AS rouge1_f, ppl.perplexity, "
-               f"{rate} AS repeat_rate, ppl.n_tokens FROM pairs_doc d "
+               f"rr.repeat_rate, ppl.n_tokens FROM pairs_doc d "
                f"JOIN dr_t t ON d.pair_id = t.pair_id JOIN dr ON d.pair_id = dr.pair_id "
-               f"JOIN ppl ON d.pair_id = ppl.k")]
+               f"JOIN ppl ON d.pair_id = ppl.k JOIN rr ON d.pair_id = rr.k")]
 
 
 DOC_METRICS = ["rouge1_f", "perplexity", "repeat_rate", "n_tokens"]
@@ -342,8 +347,8 @@ ORACLE["require_splits"] = with_fixtures(["docs_split"]) + """
 SELECT split FROM (VALUES ('train'), ('validation'), ('test'), ('holdout')) r(split)
 WHERE split NOT IN (SELECT DISTINCT split FROM docs_split)"""
 
-_NG, _RATE = repeat_rate_expr("text")
-ORACLE["repeat_ngram_rate"] = f"SELECT doc_id, {_NG} AS ngrams, {_RATE} AS repeat_rate FROM documents"
+ORACLE["repeat_ngram_rate"] = (with_fixtures([], *repeat_rate_ctes("documents", "doc_id", "text", "rr"))
+                               + " SELECT k AS doc_id, ngrams, repeat_rate FROM rr")
 
 _NT = f"len({sp.tok('text')})"
 ORACLE["length_bounds"] = f"""

@@ -95,7 +95,10 @@ FIXTURES = {
 def with_fixtures(names: list[str], *ctes: tuple[str, str]) -> str:
     """``WITH`` clause holding the named fixtures and extra ``(name, sql)`` CTEs."""
     parts = [f"{n} AS ({FIXTURES[n].strip()})" for n in names]
-    parts += [f"{n} AS ({s.strip()})" for n, s in ctes]
+    # A name ending in "!" is a MATERIALIZED CTE (token lists read inside
+    # list lambdas must not be re-derived per element).
+    parts += [f"{n[:-1]} AS MATERIALIZED ({s.strip()})" if n.endswith("!") else f"{n} AS ({s.strip()})"
+              for n, s in ctes]
     return "WITH " + ",\n".join(parts) + "\n"
 
 
@@ -107,7 +110,7 @@ def overlap_sql(pairs: str, tokfn, ns, name: str = "ov") -> list[tuple[str, str]
         unions.append(f"SELECT pair_id, 1 AS side, {n} AS n, unnest({ngrams('h', n)}) AS gram FROM {name}_t")
     sums = ", ".join(f"CAST(sum(CASE WHEN n = {n} THEN least(cg, ch) ELSE 0 END) AS BIGINT) AS ov_{n}" for n in ns)
     return [
-        (f"{name}_t", f"SELECT pair_id, {tokfn('gold')} AS g, {tokfn('predicted')} AS h FROM {pairs}"),
+        (f"{name}_t!", f"SELECT pair_id, {tokfn('gold')} AS g, {tokfn('predicted')} AS h FROM {pairs}"),
         (f"{name}_gr", " UNION ALL ".join(unions)),
         (f"{name}_c", f"SELECT pair_id, n, gram, sum(CASE WHEN side = 0 THEN 1 ELSE 0 END) AS cg, "
                       f"sum(CASE WHEN side = 1 THEN 1 ELSE 0 END) AS ch FROM {name}_gr GROUP BY pair_id, n, gram"),
