@@ -127,3 +127,34 @@ def bleu_corpus(pairs: DataFrame, by: str | None = "system", key: str = "pair_id
             ["hyp_len", "ref_len"] + [f"m{n}" for n in ns] + [f"t{n}" for n in ns]]
     g = st.groupBy(by).agg(*sums) if by else st.groupBy().agg(*sums)
     return bleu_from_stats(g, [by] if by else [])
+
+
+def bleu_multi_ref(hyps: DataFrame, refs: DataFrame, key: str = "pair_id",
+                   ref_key: str = "ref_id") -> DataFrame:
+    """MET-5 with several references per hypothesis: each n-gram count is
+    clipped by its maximum count over the references, and the reference
+    length is the shortest reference's.
+
+    ``hyps``: (key, predicted); ``refs``: (key, ref_key, gold). Both are
+    exploded inside the ``key`` partitioning (one move of the texts).
+    """
+    ns = range(1, BLEU_ORDER + 1)
+    h = hyps.select(key, F.lit(-1).cast("long").alias("_side"), tx.tok13a("predicted").alias("_t"))
+    r = refs.select(key, F.col(ref_key).cast("long").alias("_side"), tx.tok13a("gold").alias("_t"))
+    toks = h.unionByName(r).repartition(key)
+    lens = toks.groupBy(key).agg(
+        F.max(F.when(F.col("_side") == -1, F.size("_t"))).cast("long").alias("hyp_len"),
+        F.min(F.when(F.col("_side") >= 0, F.size("_t"))).cast("long").alias("ref_len"))
+    grams = toks.select(key, "_side", F.inline(_tagged_ngrams(F.col("_t"), ns)))
+    per_side = grams.groupBy(key, "_side", "n", "gram").agg(F.count(F.lit(1)).alias("_c"))
+    per_gram = per_side.groupBy(key, "n", "gram").agg(
+        F.max(F.when(F.col("_side") == -1, F.col("_c"))).alias("ch"),
+        F.max(F.when(F.col("_side") >= 0, F.col("_c"))).alias("cr"))
+    m = per_gram.groupBy(key).agg(*[
+        F.sum(F.when(F.col("n") == n, F.least(F.coalesce("ch", F.lit(0)), F.coalesce("cr", F.lit(0))))
+              .otherwise(0)).cast("long").alias(f"m{n}") for n in ns])
+    st = lens.join(m, key, "left").select(
+        key, "hyp_len", "ref_len",
+        *[F.coalesce(F.col(f"m{n}"), F.lit(0)).cast("long").alias(f"m{n}") for n in ns],
+        *[F.greatest(F.col("hyp_len") - (n - 1), F.lit(0)).cast("long").alias(f"t{n}") for n in ns])
+    return bleu_from_stats(st, [key])

@@ -590,3 +590,23 @@ def q_learned_score(spark, d):
 @query("learned_score_1f")
 def q_learned_score_1f(spark, d):
     return learned_m.learned_score(_labelled_scores(spark, d), ["rouge1_f"], "quality")
+
+
+@query("bleu_multi_ref")
+def q_bleu_multi_ref(spark, d):
+    """Each assistant turn against the user turn before it and the next user turn."""
+    c = tb.table(spark, d, "conversations")
+    p = tb.pairs_conv(spark, d)
+    nxt = c.where(F.col("role") == "user").select(
+        F.col("conv_id").alias("n_conv"), F.col("turn").alias("n_turn"), F.col("text").alias("ref2"))
+    j = p.join(nxt, (p.conv_id == nxt.n_conv) & (nxt.n_turn == (p.pair_id % 1000) + 2), "left")
+    refs = j.select("pair_id", F.inline(F.array(
+        F.struct(F.lit(0).alias("ref_id"), F.col("gold").alias("gold")),
+        F.struct(F.lit(1).alias("ref_id"), F.col("ref2").alias("gold"))))).where(F.col("gold").isNotNull())
+    return overlap.bleu_multi_ref(p.select("pair_id", "predicted"), refs)
+
+
+@query("unannotated_pairs")
+def q_unannotated_pairs(spark, d):
+    s = overlap.rouge_n(tb.pairs_lead(spark, d), ns=(1,)).select("pair_id", "rouge1_f")
+    return pr.unannotated_pairs(s, tb.ann_doc(spark, d))

@@ -633,3 +633,44 @@ ORACLE["learned_score_1f"] = with_fixtures(["pairs_doc"], *_DS, (
     "st", "SELECT avg(x) AS mu, stddev_pop(x) AS sd, sign(regr_slope(y, x)) AS sg FROM lab")) + (
     "SELECT pair_id, round(least(greatest(50.0 + 10.0 * CASE WHEN sd > 0 THEN sg * (x - mu) / sd ELSE 0.0 END, "
     "0.0), 100.0), 6) AS learned_score FROM lab, st")
+
+
+_MREF = ("mref", """
+SELECT p.pair_id, 0 AS ref_id, p.gold FROM pairs_conv p
+UNION ALL
+SELECT p.pair_id, 1, n.text FROM pairs_conv p
+JOIN conversations n ON n.conv_id = p.conv_id AND n.turn = p.pair_id % 1000 + 2 AND n.role = 'user'""")
+
+
+def _bleu_multi() -> str:
+    t13 = sp.tok13a
+    unions = []
+    for n in range(1, 5):
+        unions.append(f"SELECT pair_id, -1 AS side, {n} AS n, unnest({sp.ngrams('t', n)}) AS gram FROM bm_h")
+        unions.append(f"SELECT pair_id, ref_id AS side, {n} AS n, unnest({sp.ngrams('t', n)}) AS gram FROM bm_r")
+    ms = ", ".join(f"CAST(coalesce(sum(CASE WHEN n = {n} THEN least(coalesce(ch, 0), coalesce(cr, 0)) ELSE 0 END), 0) "
+                   f"AS BIGINT) AS m{n}" for n in range(1, 5))
+    ctes = [
+        _MREF,
+        ("bm_h!", f"SELECT pair_id, {t13('predicted')} AS t FROM pairs_conv"),
+        ("bm_r!", f"SELECT pair_id, ref_id, {t13('gold')} AS t FROM mref"),
+        ("bm_g", " UNION ALL ".join(unions)),
+        ("bm_s", "SELECT pair_id, side, n, gram, count(*) AS c FROM bm_g GROUP BY pair_id, side, n, gram"),
+        ("bm_pg", "SELECT pair_id, n, gram, max(CASE WHEN side = -1 THEN c END) AS ch, "
+                  "max(CASE WHEN side >= 0 THEN c END) AS cr FROM bm_s GROUP BY pair_id, n, gram"),
+        ("bm_m", f"SELECT pair_id, {ms} FROM bm_pg GROUP BY pair_id"),
+        ("bm_l", "SELECT h.pair_id, CAST(len(h.t) AS BIGINT) AS hyp_len, "
+                 "(SELECT CAST(min(len(r.t)) AS BIGINT) FROM bm_r r WHERE r.pair_id = h.pair_id) AS ref_len FROM bm_h h"),
+        ("st", "SELECT l.pair_id, hyp_len, ref_len, " + ", ".join(f"coalesce(m.m{n}, 0) AS m{n}" for n in range(1, 5))
+               + ", " + ", ".join(f"CAST(greatest(hyp_len - {n - 1}, 0) AS BIGINT) AS t{n}" for n in range(1, 5))
+               + " FROM bm_l l LEFT JOIN bm_m m ON l.pair_id = m.pair_id"),
+    ]
+    return with_fixtures(["pairs_conv"], *ctes) + _bleu_select("st", ["pair_id"])
+
+
+ORACLE["bleu_multi_ref"] = _bleu_multi()
+
+ORACLE["unannotated_pairs"] = with_fixtures(["pairs_lead"], *sp.overlap_sql("pairs_lead", sp.tok, (1,))) + (
+    f"SELECT t.pair_id, {r6(f_measure('(coalesce(ov.ov_1, 0) / greatest(len(t.h), 1))', '(coalesce(ov.ov_1, 0) / greatest(len(t.g), 1))'))} "
+    "AS rouge1_f FROM ov_t t LEFT JOIN ov ON t.pair_id = ov.pair_id "
+    "WHERE t.pair_id NOT IN (SELECT doc_id FROM labels)")

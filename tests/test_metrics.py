@@ -149,3 +149,19 @@ def test_cloze_heavy_and_light_paths_agree(spark):
     light = sorted(tuple(r) for r in cloze_gain(p, docs, heavy_degree=10**9).collect())
     heavy = sorted(tuple(r) for r in cloze_gain(p, docs, heavy_degree=0).collect())
     assert light == heavy and any(r[2] > 0 for r in light)
+
+
+def test_bleu_multi_ref_single_reference_equals_bleu(pairs):
+    from pyspark.sql import functions as F
+    refs = pairs.select("pair_id", F.lit(0).alias("ref_id"), "gold")
+    a = by_key(overlap.bleu_multi_ref(pairs.select("pair_id", "predicted"), refs))
+    b = by_key(overlap.bleu(pairs))
+    for k, _, _ in PAIRS:
+        assert a[k]["bleu"] == b[k]["bleu"] and a[k]["p1"] == b[k]["p1"]
+
+
+def test_bleu_multi_ref_clips_by_best_reference(spark):
+    hyp = spark.createDataFrame([(1, "a a b")], "pair_id long, predicted string")
+    refs = spark.createDataFrame([(1, 0, "a b c d"), (1, 1, "a a")], "pair_id long, ref_id int, gold string")
+    r = overlap.bleu_multi_ref(hyp, refs).first()
+    assert r["p1"] == pytest.approx(1.0) and r["reference_length"] == 2
