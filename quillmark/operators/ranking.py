@@ -25,11 +25,11 @@ def global_position(df: DataFrame, order: list[Column], weight: str | None = Non
     ``order`` must be a strict total order for a deterministic result (add a
     unique tie-breaker).
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
-    srt = (df.withColumn("_w", w)
-             .repartitionByRange(n, *order)
+    # Without an explicit count AQE sizes the range partitions to the data.
+    ranged = (df.withColumn("_w", w).repartitionByRange(partitions, *order) if partitions
+              else df.withColumn("_w", w).repartitionByRange(*order))
+    srt = (ranged
              .sortWithinPartitions(*order)
              .withColumn("_pid", F.spark_partition_id())
              .withColumn("_mid", F.monotonically_increasing_id()))
