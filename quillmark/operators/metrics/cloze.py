@@ -11,8 +11,7 @@ correct without) / masked. Integer counts only, so the result is exact.
 Document = gold, summary = predicted (the reference's argument order).
 
 No candidate list per position is built: the best continuation per left
-word is found by two partial aggregations (max count, then smallest word
-at that count); ``tune`` only looks at the summary's own bigrams plus the
+word is one partial aggregation (``min`` of ``(-count, word)``); ``tune`` only looks at the summary's own bigrams plus the
 ``base`` winner. ``help`` needs, per (pair, masked left word v), the
 corpus continuations of v that occur in the summary. That is a
 heavy/light split (exact either way): for a v with at most
@@ -40,10 +39,14 @@ TUNE_BOOST = 10
 
 
 def _best(cands: DataFrame, keys: list[str], score: str, out: str) -> DataFrame:
-    """Per ``keys``: the ``w`` with the highest ``score``, ties to the smaller ``w``."""
-    top = cands.groupBy(*keys).agg(F.max(score).alias("_top"))
-    win = cands.join(top, keys).where(F.col(score) == F.col("_top"))
-    return win.groupBy(*keys).agg(F.min("w").alias(out), F.first("_top").alias(f"{out}_score"))
+    """Per ``keys``: the ``w`` with the highest ``score``, ties to the smaller ``w``.
+
+    One partial aggregation: ``min(struct(-score, w))`` orders by score
+    descending, then word ascending — no join back to the maximum, so a
+    left word with a huge candidate list is combined map-side.
+    """
+    best = cands.groupBy(*keys).agg(F.min(F.struct((-F.col(score)).alias("_ns"), F.col("w"))).alias("_b"))
+    return best.select(*keys, F.col("_b")["w"].alias(out), (-F.col("_b")["_ns"]).alias(f"{out}_score"))
 
 
 def cloze_gain(pairs: DataFrame, corpus: DataFrame, key: str = "pair_id",

@@ -42,19 +42,26 @@ def drop_incomplete_pairs(df: DataFrame) -> DataFrame:
     return df.where(ok)
 
 
+# Spark plans ``row_number() <= n`` as a per-partition group limit before the
+# shuffle up to this n (spark.sql.optimizer.windowGroupLimitThreshold).
+GROUP_LIMIT_MAX = 1000
+
+
 def cap_samples(df: DataFrame, n: int, by: str = "split", order: str = "doc_id") -> DataFrame:
-    """PRJ-4: the first ``n`` rows (by ``order``) of every ``by`` group.
+    """PRJ-4: the first ``n`` rows (by ``order``, a unique key) of every ``by`` group.
 
-    ``row_number`` over ``by`` would put a whole split into one task; instead
-    each split's ``n`` smallest keys are found by a per-split top-k that Spark
-    runs as partial (per-partition) top-k plus a merge of at most
-    ``partitions * n`` rows.
+    Up to ``GROUP_LIMIT_MAX`` the window is cut to ``n`` rows per split and
+    input partition before it is exchanged, so no task sees a whole split.
+    Beyond that the position inside the split comes from the distributed
+    ordering (:func:`~quillmark.operators.ranking.global_position`).
     """
-    w = Window.partitionBy(by).orderBy(order)
-    # rank-limit pushdown: Spark plans row_number() <= n as a per-partition
-    # WindowGroupLimit before the shuffle, so only n rows per split and input
-    # partition are exchanged.
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+    if n <= GROUP_LIMIT_MAX:
+        w = Window.partitionBy(by).orderBy(order)
+        return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+    from quillmark.operators.ranking import global_position
+    pos = global_position(df, [F.col(by).asc(), F.col(order).asc()])
+    first = pos.groupBy(by).agg(F.min("_start").alias("_g0"))
+    return pos.join(first, by).where(F.col("_start") - F.col("_g0") < n).drop("_start", "_g0")
 
 
 def strip_pair_texts(df: DataFrame, cols=("gold", "predicted")) -> DataFrame:

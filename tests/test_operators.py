@@ -141,3 +141,13 @@ def test_porter_stemmer_examples():
              "rate": "rate", "sky": "sky"}
     for w, s in cases.items():
         assert porter_stem(w) == s, w
+
+
+def test_cap_samples_both_paths(spark):
+    rows = [(i, "train" if i % 3 else "test") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, split string")
+    for n in (5, 1500):
+        got = sorted((r.split, r.doc_id) for r in pr.cap_samples(df, n).collect())
+        exp = sorted((s, d) for s in ("train", "test")
+                     for d in sorted(d for d, x in rows if x == s)[:n])
+        assert got == exp
