@@ -7,7 +7,9 @@ from the end on the other (equi-join on ``(pair_id, token, k)``), and chunks
 are counted with ``lag`` over the matches in predicted order. Every window
 is partitioned by the pair (plus token), i.e. bounded by one row's text.
 
-Stages: exact, then (optionally) Porter stems on the tokens left unmatched.
+Stages: exact, then (optionally) Porter stems on the tokens left unmatched
+(stemmed inside the task by an Arrow UDF — no vocabulary shuffle), then
+(optionally) a user-supplied synonym table joined on the token.
 """
 
 from __future__ import annotations
@@ -32,20 +34,28 @@ def _stage_matches(occ: DataFrame, key: str, col: str) -> DataFrame:
     return h.join(g, [key, col, "_k"]).select(key, "hpos", "gpos")
 
 
+def _unmatched(occ: DataFrame, m: DataFrame, key: str) -> DataFrame:
+    used = m.select(key, F.lit(0).alias("side"), F.col("gpos").alias("pos")).unionByName(
+        m.select(key, F.lit(1).alias("side"), F.col("hpos").alias("pos")))
+    return occ.join(used, [key, "side", "pos"], "left_anti")
+
+
 def meteor(pairs: DataFrame, key: str = "pair_id", stem_stage: bool = False,
+           synonyms: DataFrame | None = None,
            alpha: float = ALPHA, beta: float = BETA, gamma: float = GAMMA) -> DataFrame:
-    """``(key, meteor)``: exact-stage METEOR, or exact + stem with ``stem_stage``."""
+    """``(key, meteor)``: exact stage; ``stem_stage`` adds Porter stems on the
+    still unmatched tokens; ``synonyms`` (``token``, ``synset``: tokens sharing
+    a synset are synonyms, a user table) adds a last stage on what is left."""
     tp = tokenised_pairs(pairs, tx.tok, key)
     occ = side_tokens(tp, key)
     m = _stage_matches(occ, key, "token")
     if stem_stage:
-        from quillmark.operators.metrics.lcs import stem_table
-        used_g = m.select(key, F.lit(0).alias("side"), F.col("gpos").alias("pos"))
-        used_h = m.select(key, F.lit(1).alias("side"), F.col("hpos").alias("pos"))
-        rest = occ.join(used_g.unionByName(used_h), [key, "side", "pos"], "left_anti")
-        stems = stem_table(occ.select("token").distinct())
-        rest = rest.join(stems, "token").select(key, "side", "pos", "stem")
+        from quillmark.operators.metrics.lcs import stem_words
+        rest = _unmatched(occ, m, key).select(key, "side", "pos", stem_words("token").alias("stem"))
         m = m.unionByName(_stage_matches(rest, key, "stem"))
+    if synonyms is not None:
+        rest = _unmatched(occ, m, key).join(synonyms.select("token", "synset"), "token")
+        m = m.unionByName(_stage_matches(rest.select(key, "side", "pos", "synset"), key, "synset"))
     w = Window.partitionBy(key).orderBy("hpos")
     brk = F.when((F.col("hpos") - F.lag("hpos").over(w) == 1)
                  & (F.col("gpos") - F.lag("gpos").over(w) == 1), 0).otherwise(1)

@@ -610,3 +610,12 @@ def q_bleu_multi_ref(spark, d):
 def q_unannotated_pairs(spark, d):
     s = overlap.rouge_n(tb.pairs_lead(spark, d), ns=(1,)).select("pair_id", "rouge1_f")
     return pr.unannotated_pairs(s, tb.ann_doc(spark, d))
+
+
+@query("write_scores_by_system")
+def q_write_scores_by_system(spark, d):
+    p = tb.pairs_lead(spark, d)
+    s = overlap.rouge_n(p, ns=(1,)).join(p.select("pair_id", "system"), "pair_id")
+    path = io.scratch_path(spark, "scores-by-system")
+    io.write_scores(s, path, partition_by="system")
+    return io.read_scores(spark, path, s.schema)

@@ -674,3 +674,11 @@ ORACLE["unannotated_pairs"] = with_fixtures(["pairs_lead"], *sp.overlap_sql("pai
     f"SELECT t.pair_id, {r6(f_measure('(coalesce(ov.ov_1, 0) / greatest(len(t.h), 1))', '(coalesce(ov.ov_1, 0) / greatest(len(t.g), 1))'))} "
     "AS rouge1_f FROM ov_t t LEFT JOIN ov ON t.pair_id = ov.pair_id "
     "WHERE t.pair_id NOT IN (SELECT doc_id FROM labels)")
+
+_R1 = sp.overlap_sql("pairs_lead", sp.tok, (1,))
+ORACLE["write_scores_by_system"] = with_fixtures(["pairs_lead"], *_R1) + (
+    "SELECT t.pair_id, "
+    + ", ".join([f"{r6('(coalesce(ov.ov_1, 0) / greatest(len(t.h), 1))')} AS rouge1_p",
+                 f"{r6('(coalesce(ov.ov_1, 0) / greatest(len(t.g), 1))')} AS rouge1_r",
+                 f"{r6(f_measure('(coalesce(ov.ov_1, 0) / greatest(len(t.h), 1))', '(coalesce(ov.ov_1, 0) / greatest(len(t.g), 1))'))} AS rouge1_f"])
+    + ", p.system FROM ov_t t LEFT JOIN ov ON t.pair_id = ov.pair_id JOIN pairs_lead p ON p.pair_id = t.pair_id")

@@ -165,3 +165,12 @@ def test_bleu_multi_ref_clips_by_best_reference(spark):
     refs = spark.createDataFrame([(1, 0, "a b c d"), (1, 1, "a a")], "pair_id long, ref_id int, gold string")
     r = overlap.bleu_multi_ref(hyp, refs).first()
     assert r["p1"] == pytest.approx(1.0) and r["reference_length"] == 2
+
+
+def test_meteor_synonym_stage(spark):
+    df = spark.createDataFrame([(1, "big house now", "large house now")], "pair_id long, gold string, predicted string")
+    syn = spark.createDataFrame([("big", 1), ("large", 1)], "token string, synset int")
+    exact = meteor_m.meteor(df).first()["meteor"]
+    both = meteor_m.meteor(df, synonyms=syn).first()["meteor"]
+    assert both > exact
+    assert both == pytest.approx(meteor("a b c", "a b c"), abs=1e-6)   # all three aligned in one chunk
