@@ -31,7 +31,8 @@ def rescale(df: DataFrame, col: str, out: str) -> DataFrame:
 
 def learned_score(df: DataFrame, features: list[str], label: str, key: str = "pair_id",
                   out: str = "learned_score") -> DataFrame:
-    """``(key, out)`` for rows whose features and label are all non-null."""
+    """``(key, out)`` for every input row; NULL where a feature or the label
+    is NULL (those rows are left out of the fit and of the run statistics)."""
     # Read by the fit, the prediction and the run statistics: written once
     # to the shared checkpoint folder instead of recomputing the metrics.
     clean = cut_lineage(df.select(key, *features, F.col(label).cast("double").alias("_y")).dropna())
@@ -39,4 +40,5 @@ def learned_score(df: DataFrame, features: list[str], label: str, key: str = "pa
     model = LinearRegression(featuresCol="_x", labelCol="_y", solver="normal",
                              regParam=0.0, standardization=False).fit(data)
     pred = model.transform(data).select(key, F.col("prediction").alias("_p"))
-    return rescale(pred, "_p", out).select(key, out)
+    scored = rescale(pred, "_p", out).select(key, out)
+    return df.select(key).join(scored, key, "left")
