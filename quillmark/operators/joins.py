@@ -8,6 +8,8 @@ of hot keys never lands in a handful of tasks.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,10 @@ MAX_BROADCAST_ROWS = 200_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 # Replicas of the small side in the salted fallback.
 DEFAULT_SALT = 64
+# A key whose weight is at least this share of the table's total weight is
+# "heavy"; there are at most 1 / HEAVY_SHARE of them (weights are >= 0 and
+# sum to the total), so the heavy part is broadcast with a proven bound.
+HEAVY_SHARE = 1e-5
 
 
 def estimated_size(df: DataFrame) -> tuple[int, int]:
@@ -68,3 +74,33 @@ def co_locate(df: DataFrame, key: str = "pair_id") -> DataFrame:
     """Hash-partition by ``key`` once so every later per-key aggregation and
     join on ``key`` runs without another exchange."""
     return df.repartition(key)
+
+
+def split_lookup(rows: DataFrame, table: DataFrame, keys: list[str], values: list[str],
+                 weight: str, heavy_min: int | None = None, share: float = HEAVY_SHARE) -> DataFrame:
+    """``rows`` left-joined to ``table`` (unique on ``keys``, first key a
+    token string), with hot keys split off — for lookups where one key
+    (a frequent word, a frequent bigram) may hold a large share of ``rows``.
+
+    One pass. Keys whose ``weight`` is at least ``heavy_min`` (default: the
+    table total times ``share``) are broadcast — at most ``1 / share`` rows —
+    and matched map-side. Rows matched there get a first key no token can
+    equal (a NUL-prefixed hash of the row), so the shuffle join with the
+    light part spreads them evenly instead of sending a hot key to one task.
+    Same result as a plain left join: heavy and light keys are disjoint.
+    """
+    if heavy_min is None:
+        total = table.agg(F.sum(weight)).first()[0] or 0
+        heavy_min = max(1, math.ceil(total * share))
+    k0 = keys[0]
+    heavy = table.where(F.col(weight) >= heavy_min).select(
+        *keys, F.lit(True).alias("_hit"), *[F.col(v).alias(f"_h_{v}") for v in values])
+    light = table.where(F.col(weight) < heavy_min).select(F.col(k0).alias("_k0"), *keys[1:], *values)
+    j = rows.join(F.broadcast(heavy), keys, "left")
+    spread = F.when(F.col("_hit"), F.concat(
+        F.lit("\u0000"), F.xxhash64(*[F.col(c) for c in rows.columns]).cast("string"))
+    ).otherwise(F.col(k0))
+    out = j.withColumn("_k0", spread).join(light, ["_k0"] + keys[1:], "left")
+    for v in values:
+        out = out.withColumn(v, F.when(F.col("_hit"), F.col(f"_h_{v}")).otherwise(F.col(v)))
+    return out.drop("_k0", "_hit", *[f"_h_{v}" for v in values])

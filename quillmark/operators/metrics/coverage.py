@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import text as tx
 from quillmark.operators.aggregates import idf_table
+from quillmark.operators.joins import split_lookup
 
 MIN_TERM_LEN = 4
 TOP_FREQUENT = 50
@@ -41,7 +42,7 @@ def _terms(df: DataFrame, keys: list[str], text: str, stop: DataFrame) -> DataFr
 
 def term_weights(corpus: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame, "F.Column"]:
     """``(idf(token, idf), stop(token), default weight ln(N+1))`` over a corpus."""
-    idf = idf_table(corpus, key, text).select("token", F.col("idf").alias("w"))
+    idf = idf_table(corpus, key, text).select("token", F.col("idf").alias("w"), "df")
     n_docs = corpus.select(F.count(F.lit(1)).cast("double")).scalar()
     return idf, frequent_tokens(corpus, text), F.log(n_docs + 1.0)
 
@@ -57,7 +58,7 @@ def answer_coverage(pairs: DataFrame, corpus: DataFrame, transcripts: DataFrame
     keys = [key] + ([conv_key] if transcripts is not None else [])
     g = _terms(pairs, keys, "gold", stop).withColumn("side", F.lit(0))
     h = _terms(pairs, keys, "predicted", stop).withColumn("side", F.lit(1))
-    t = g.unionByName(h).join(idf, "token", "left").withColumn("w", F.coalesce("w", w0))
+    t = split_lookup(g.unionByName(h), idf, ["token"], ["w"], "df").withColumn("w", F.coalesce("w", w0))
     per_tok = t.groupBy(*keys, "token", "w").agg(
         F.max(F.when(F.col("side") == 0, 1).otherwise(0)).alias("in_g"),
         F.max(F.when(F.col("side") == 1, 1).otherwise(0)).alias("in_h"))
@@ -70,7 +71,7 @@ def answer_coverage(pairs: DataFrame, corpus: DataFrame, transcripts: DataFrame
     if transcripts is None:
         out = base.select(key, prec_g.alias("precision"), rec_g.alias("recall"))
     else:
-        tt = _terms(transcripts, [conv_key], "transcript", stop).join(idf, "token", "left") \
+        tt = split_lookup(_terms(transcripts, [conv_key], "transcript", stop), idf, ["token"], ["w"], "df") \
             .withColumn("w", F.coalesce("w", w0))
         present = transcripts.select(conv_key, (F.col("transcript").isNotNull()
                                                 & (F.col("transcript") != "")).alias("has_t"))

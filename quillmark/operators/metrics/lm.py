@@ -19,14 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as tx
+from quillmark.operators.joins import HEAVY_SHARE, split_lookup
 from quillmark.session import cut_lineage
 
 BOS = "<s>"
 ADD_K = 0.1
-# A bigram (or prefix) with at least this share of all training bigrams is
-# "heavy". There are at most 1 / HEAVY_SHARE heavy keys (their counts sum to
-# at most the total), so the heavy part is broadcast with a proven bound.
-HEAVY_SHARE = 1e-5
+
 
 
 def bigrams(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -62,28 +60,6 @@ def bigram_model(train: DataFrame, text: str = "text") -> BigramModel:
                        math.log((0.0 + ADD_K) / (0.0 + ADD_K * vocab)), heavy_min)
 
 
-def split_lookup(rows: DataFrame, table: DataFrame, keys: list[str], value: str,
-                 weight: str, heavy_min: int) -> DataFrame:
-    """``rows`` left-joined to ``table`` on string ``keys``, hot keys split off.
-
-    One pass. Keys whose ``weight`` is at least ``heavy_min`` are broadcast
-    (bounded by the model total / ``heavy_min``) and matched map-side. The
-    rows matched there get a first key that no token can equal (a
-    NUL-prefixed hash of the row), so the shuffle join with the light part
-    spreads them evenly instead of sending a hot key to one task. Same
-    result as a plain left join (heavy and light keys are disjoint).
-    """
-    k0 = keys[0]
-    heavy = table.where(F.col(weight) >= heavy_min).select(*keys, F.col(value).alias("_vh"))
-    light = table.where(F.col(weight) < heavy_min).select(F.col(k0).alias("_k0"), *keys[1:], value)
-    j = rows.join(F.broadcast(heavy), keys, "left")
-    spread = F.when(F.col("_vh").isNotNull(), F.concat(
-        F.lit("\u0000"), F.xxhash64(*[F.col(c) for c in rows.columns]).cast("string"))
-    ).otherwise(F.col(k0))
-    out = j.withColumn("_k0", spread).join(light, ["_k0"] + keys[1:], "left")
-    return out.withColumn(value, F.coalesce(F.col("_vh"), F.col(value))).drop("_k0", "_vh")
-
-
 def lm_perplexity(train: DataFrame, score: DataFrame, key: str = "doc_id",
                   text: str = "text", train_text: str = "text") -> DataFrame:
     """Per-row ``(key, n_tokens, perplexity)``; NULL perplexity without tokens.
@@ -95,8 +71,8 @@ def lm_perplexity(train: DataFrame, score: DataFrame, key: str = "doc_id",
     """
     m = bigram_model(train, train_text)
     occ = bigrams(score, key, text).groupBy(key, "v", "w").agg(F.count(F.lit(1)).alias("k"))
-    j = split_lookup(occ, m.logp, ["v", "w"], "lnp", "c_vw", m.heavy_min)
-    j = split_lookup(j, m.prefix_logp, ["v"], "lnp0", "c_v", m.heavy_min)
+    j = split_lookup(occ, m.logp, ["v", "w"], ["lnp"], "c_vw", m.heavy_min)
+    j = split_lookup(j, m.prefix_logp, ["v"], ["lnp0"], "c_v", m.heavy_min)
     lnp = F.coalesce(F.col("lnp"), F.col("lnp0"), F.lit(m.unseen_logp))
     per = j.groupBy(key).agg(F.sum("k").alias("n"), F.sum(F.col("k") * lnp).alias("s"))
     out = score.select(key).join(per, key, "left")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmark.functions import text as tx
-from quillmark.operators.joins import sized_broadcast_join
+from quillmark.operators.joins import sized_broadcast_join, split_lookup
 from quillmark.operators.tokens import side_tokens, tokenised_pairs
 
 # Fixture convention: vocabulary rank modulo this many vectors -> vec_id.
@@ -40,8 +40,9 @@ MATCH_SCHEMA = T.StructType([T.StructField(n, T.DoubleType()) for n in ("em_p",
 
 
 def token_vec_ids(vocab: DataFrame, slots: int = VECTOR_SLOTS) -> DataFrame:
-    """``(token, vec_id)``: vocabulary rank modulo ``slots``."""
-    return vocab.select("token", (F.col("rank") % slots).alias("vec_id"))
+    """``(token, vec_id, count)``: vocabulary rank modulo ``slots`` (the corpus
+    count travels along to split frequent tokens off the join)."""
+    return vocab.select("token", (F.col("rank") % slots).alias("vec_id"), "count")
 
 
 def _unit_rows(vecs) -> np.ndarray:
@@ -94,7 +95,9 @@ def vector_scores(pairs: DataFrame, vec_ids: DataFrame, vectors: DataFrame,
     """
     occ = side_tokens(tokenised_pairs(pairs, tx.tok, key), key)
     per_tok = occ.groupBy(key, "side", "token").agg(F.count(F.lit(1)).alias("n"))
-    per_vec = per_tok.join(vec_ids, "token").groupBy(key, "side", "vec_id").agg(
+    looked = split_lookup(per_tok, vec_ids, ["token"], ["vec_id"], "count") \
+        if "count" in vec_ids.columns else per_tok.join(vec_ids, "token", "left")
+    per_vec = looked.where(F.col("vec_id").isNotNull()).groupBy(key, "side", "vec_id").agg(
         F.sum("n").alias("n"))
     with_vec = sized_broadcast_join(per_vec, vectors.select("vec_id", "embedding"), ["vec_id"],
                                     salt_by=[key, "side", "vec_id"])

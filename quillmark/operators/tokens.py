@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as tx
+from quillmark.operators.joins import split_lookup
 from quillmark.operators.ranking import global_position
 
 # Fixed ids of the encoded form.
@@ -66,9 +67,9 @@ def build_vocab(df: DataFrame, text_cols: list[str], tokenizer=tx.tok) -> DataFr
 def _ids_of(df: DataFrame, key: str, col: str, vocab: DataFrame) -> DataFrame:
     """``(key, ids)``: token ids of ``col`` in token order; unknown -> 1."""
     t = df.select(key, F.posexplode(tx.tok(col)).alias("pos", "token"))
-    # The vocabulary is joined by shuffle on ``token`` (it grows with the
-    # corpus; AQE turns this into a broadcast when it is small at runtime).
-    j = t.join(vocab.select("token", "id"), "token", "left")
+    # The vocabulary grows with the corpus, so it is shuffle-joined on the
+    # token, with frequent tokens split off to a bounded broadcast.
+    j = split_lookup(t, vocab.select("token", "id", "count"), ["token"], ["id"], "count")
     ids = j.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(
         "pos", F.coalesce("id", F.lit(UNK_ID)).alias("id")))).alias("_ids"))
     return df.select(key).join(ids, key, "left").select(

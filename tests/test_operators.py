@@ -154,9 +154,9 @@ def test_cap_samples_both_paths(spark):
 
 
 def test_split_lookup_equals_left_join(spark):
-    from quillmark.operators.metrics.lm import split_lookup
+    from quillmark.operators.joins import split_lookup
     rows = spark.createDataFrame([(i, i % 5) for i in range(100)], "id long, k long")
     table = spark.createDataFrame([(0, 50, 0.5), (1, 3, 1.5), (2, 1, 2.5)], "k long, c long, val double")
     a = sorted(tuple(r) for r in rows.join(table.select("k", "val"), "k", "left").collect())
-    b = sorted(tuple(r) for r in split_lookup(rows, table, ["k"], "val", "c", 3).select("k", "id", "val").collect())
+    b = sorted(tuple(r) for r in split_lookup(rows, table, ["k"], ["val"], "c", 3).select("k", "id", "val").collect())
     assert a == sorted((r[0], r[1], r[2]) for r in a) and sorted(a) == sorted(b)
