@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from quillmark.functions import text as tx
 from quillmark.operators.aggregates import idf_table
 from quillmark.operators.joins import split_lookup
+from quillmark.session import cut_lineage
 
 MIN_TERM_LEN = 4
 TOP_FREQUENT = 50
@@ -42,7 +43,9 @@ def _terms(df: DataFrame, keys: list[str], text: str, stop: DataFrame) -> DataFr
 
 def term_weights(corpus: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame, "F.Column"]:
     """``(idf(token, idf), stop(token), default weight ln(N+1))`` over a corpus."""
-    idf = idf_table(corpus, key, text).select("token", F.col("idf").alias("w"), "df")
+    # Read by the split lookups (total, heavy and light parts) for both the
+    # pair and the transcript terms: written once instead of re-aggregated.
+    idf = cut_lineage(idf_table(corpus, key, text).select("token", F.col("idf").alias("w"), "df"))
     n_docs = corpus.select(F.count(F.lit(1)).cast("double")).scalar()
     return idf, frequent_tokens(corpus, text), F.log(n_docs + 1.0)
 
