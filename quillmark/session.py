@@ -45,15 +45,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder (``spark.checkpoint.dir``).
 
     On a cluster this is a shared folder named by the deployment and is
-    only read. Where it is unset (local tests) a fresh scratch folder is
-    made and set.
+    only read. Where none is set (local tests) a fresh scratch folder is
+    made and set, once.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
-    if not current:
-        current = tempfile.mkdtemp(prefix="quillmark-ckpt-")
-    sc.setCheckpointDir(current)
-    return current
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    target = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillmark-ckpt-")
+    sc.setCheckpointDir(target)
+    return sc.getCheckpointDir() or target
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:

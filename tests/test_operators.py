@@ -160,3 +160,25 @@ def test_split_lookup_equals_left_join(spark):
     a = sorted(tuple(r) for r in rows.join(table.select("k", "val"), "k", "left").collect())
     b = sorted(tuple(r) for r in split_lookup(rows, table, ["k"], ["val"], "c", 3).select("k", "id", "val").collect())
     assert a == sorted((r[0], r[1], r[2]) for r in a) and sorted(a) == sorted(b)
+
+
+def test_checkpoint_dir_is_read_not_replaced(spark):
+    from quillmark.session import ensure_checkpoint_dir
+    first = ensure_checkpoint_dir(spark)
+    assert ensure_checkpoint_dir(spark) == first == spark.sparkContext.getCheckpointDir()
+
+
+def test_score_with_builds_scorer_per_task_not_per_row(spark, pairs):
+    import pandas as pd
+
+    from quillmark.operators.registry import score_with
+
+    def make():
+        built = {"n": 0}
+        built["n"] += 1
+
+        def score(pdf):
+            return pd.DataFrame({"pair_id": pdf["pair_id"], "builds": built["n"]})
+        return score
+    out = score_with(pairs.repartition(2), make, "pair_id long, builds long").collect()
+    assert len(out) == 10 and all(r.builds == 1 for r in out)
