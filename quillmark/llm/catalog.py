@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from quillmark.llm.mixing import OP7_SQL, op7_mixing
+from quillmark.llm.secrets import op6_secrets
 
 QUERIES = {
+    "op6_secrets": op6_secrets,
     "op7_mixing": op7_mixing,
 }
 
