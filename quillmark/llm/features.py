@@ -110,7 +110,7 @@ def hash_sample(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:
 
 def sparse_rows(docs: DataFrame, ids: DataFrame, bits: int, grams: tuple[int, ...], again: int = 0,
                 lower: bool = False) -> list[tuple]:
-    """``(group, buckets, counts)`` of the sampled documents, ordered by id.
+    """``(group, buckets, counts, words)`` of the sampled documents, ordered by id.
 
     ``ids`` (``doc_id, grp``) is a bounded sample, so its broadcast and the
     rows that reach the driver are bounded: a row has at most 2**bits buckets.
@@ -124,18 +124,20 @@ def sparse_rows(docs: DataFrame, ids: DataFrame, bits: int, grams: tuple[int, ..
                 weight = np.concatenate([np.full(len(d), w) for d, _, w in found]) if found else key
                 both, inverse = np.unique((doc << bits) | key, return_inverse=True)
                 counts = np.bincount(inverse, weight, len(both))
+                n_words = np.bincount(found[0][0], minlength=part.n) if found else np.zeros(part.n, np.int64)
                 cut = np.searchsorted(both, np.arange(part.n + 1) << bits)
                 key = (both & ((1 << bits) - 1)).astype(np.uint32)
                 counts = counts.astype(np.float32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(part.row, part.n), batch.column(1).slice(part.row, part.n),
                      pa.array([key[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()),
-                     pa.array([counts[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())],
-                    names=["doc_id", "grp", "buckets", "counts"])
+                     pa.array([counts[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()),
+                     pa.array(n_words.astype(np.int64))],
+                    names=["doc_id", "grp", "buckets", "counts", "words"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "grp", "text")
-    got = rows.mapInArrow(featurise, "doc_id long, grp int, buckets binary, counts binary").toArrow()
+    got = rows.mapInArrow(featurise, "doc_id long, grp int, buckets binary, counts binary, words long").toArrow()
     got = got.sort_by([("doc_id", "ascending"), ("grp", "ascending")])
-    return [(g, np.frombuffer(b, np.uint32).astype(np.int64), np.frombuffer(c, np.float32))
-            for g, b, c in zip(got["grp"].to_pylist(), got["buckets"].to_pylist(),
-                               got["counts"].to_pylist(), strict=True)]
+    return [(g, np.frombuffer(b, np.uint32).astype(np.int64), np.frombuffer(c, np.float32), n)
+            for g, b, c, n in zip(got["grp"].to_pylist(), got["buckets"].to_pylist(),
+                                  got["counts"].to_pylist(), got["words"].to_pylist(), strict=True)]

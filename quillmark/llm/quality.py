@@ -41,7 +41,7 @@ THRESHOLD = 0.5
 
 def fit(rows: list[tuple], epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> tuple[np.ndarray, float]:
     """``(weight of each bucket, bias)`` of the log odds of class 1, from
-    ``(class, buckets, counts)``; zeros if a class is missing."""
+    ``(class, buckets, counts, words)``; zeros if a class is missing."""
     size = 1 << BITS
     if len({c for c, *_ in rows}) < 2:
         return np.zeros(size, np.float32), 0.0
@@ -51,7 +51,7 @@ def fit(rows: list[tuple], epochs: int = EPOCHS, rate: float = RATE, seed: int =
     steps, done = epochs * len(rows), 0
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            c, key, n = rows[i]
+            c, key, n, _ = rows[i]
             lr, done = rate * (1 - done / steps), done + 1
             share = n / n.sum() if len(n) else n
             mean = share @ vectors[key] if len(key) else np.zeros(WIDTH, np.float32)
