@@ -6,8 +6,10 @@ from quillmark.llm.hosts import OP3_SQL, op3_host_rules
 from quillmark.llm.mixing import OP7_SQL, op7_mixing
 from quillmark.llm.quality import op10_quality
 from quillmark.llm.secrets import op6_secrets
+from quillmark.llm.toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op10_quality": op10_quality,
     "op3_host_rules": op3_host_rules,
     "op6_secrets": op6_secrets,

@@ -33,12 +33,11 @@ from quillmark.llm.tables import documents, table
 #: Buckets of features (2**BITS) and n-gram lengths, over lower-cased text.
 BITS, GRAMS = 20, (4, 6)
 #: Confirmed toxic and unlabelled documents that train the classifier, at most.
-TOXIC_ROWS, UNLABELLED_ROWS = 1000, 2000
+TOXIC_ROWS, UNLABELLED_ROWS = 1500, 3000
 #: Features kept at most, the least z score and the least number of toxic documents of one.
-FEATURES, MIN_Z, MIN_TOXIC = 2048, 4.0, 4
-STEPS, RATE, DECAY = 300, 0.05, 1e-4
-#: Below this the corrected clean risk counts as negative.
-BETA = 0.0
+FEATURES, MIN_Z, MIN_TOXIC = 2048, 4.0, 5
+#: Steps, first learning rate, weight decay and first bias of the fit.
+STEPS, RATE, DECAY, BIAS = 400, 0.05, 1e-5, -2.0
 #: The fold that is held out: crc32(doc_id) mod 4 is 2.
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
@@ -87,22 +86,26 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def fit(toxic: np.ndarray, rest: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative risk (logistic loss, Adam)."""
-    w, b = np.zeros(toxic.shape[1]), float(np.log(prior / (1 - prior)))
+    """Weights and bias that minimise the non-negative risk (sigmoid loss, Adam).
+
+    The sigmoid loss is bounded and symmetric, loss(g, 1) = s(-g) and
+    loss(g, 0) = s(g): the logistic loss of confirmed documents as "clean"
+    has no bound, and its correction would swamp the bracket.
+    """
+    w, b = np.zeros(toxic.shape[1]), BIAS
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, STEPS + 1):
-        zp, zu = toxic @ w + b, rest @ w + b
-        sp, su = _sigmoid(zp), _sigmoid(zu)
-        clean = np.mean(np.logaddexp(0, zu)) - prior * np.mean(np.logaddexp(0, zp))
-        # Derivatives of the mean losses by z: of loss(g, 1) sigmoid - 1, of loss(g, 0) sigmoid.
-        pos, neg_u, neg_p = prior * (sp - 1) / len(sp), su / len(su), prior * sp / len(sp)
-        if clean >= -BETA:
-            gp, gu = pos - neg_p, neg_u
-        else:
-            gp, gu = neg_p, -neg_u
+        sp, su = _sigmoid(toxic @ w + b), _sigmoid(rest @ w + b)
+        clean = su.mean() - prior * sp.mean()
+        dp, du = sp * (1 - sp) / len(sp), su * (1 - su) / len(su)
+        if clean >= 0:
+            gp, gu = -2 * prior * dp, du
+        else:   # the clean risk can't be negative: undo, and leave the first term alone
+            gp, gu = prior * dp, -du
         grad = np.append(toxic.T @ gp + rest.T @ gu + DECAY * w, gp.sum() + gu.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad ** 2
-        step = RATE * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
+        rate = RATE * (1 - t / STEPS) + 1e-4
+        step = rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
     return w, b
 
@@ -125,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
     p, u = ([(key, counts, words) for g, key, counts, words in rows if g == x] for x in (1, 0))
     kept = select_features(p, u)
     if not len(kept):
-        return kept, np.zeros(0, np.float32), float(np.log(prior / (1 - prior)))
+        return kept, np.zeros(0, np.float32), BIAS
     w, b = fit(_matrix(p, kept), _matrix(u, kept), prior)
     return kept, w.astype(np.float32), b
 
@@ -162,8 +165,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataF
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``.
 
-    Null and empty texts have no features and get the prior's score. Without
-    confirmed toxic documents every score is that of the prior. Equal texts
+    Null and empty texts have no features and get the bias's score. Without
+    confirmed toxic documents every score is that of the bias. Equal texts
     get equal scores; an empty table gives no rows; labels, ``lang``,
     ``source`` and ``doc_id`` are no inputs of a score.
     """
