@@ -7,8 +7,10 @@ from quillmark.llm.mixing import OP7_SQL, op7_mixing
 from quillmark.llm.quality import op10_quality
 from quillmark.llm.secrets import op6_secrets
 from quillmark.llm.toxicity import op1_toxicity
+from quillmark.llm.vectors import op9_vectors
 
 QUERIES = {
+    "op9_vectors": op9_vectors,
     "op1_toxicity": op1_toxicity,
     "op10_quality": op10_quality,
     "op3_host_rules": op3_host_rules,
