@@ -8,13 +8,15 @@ slots, which lowers the variance of the estimate, and a document stops early:
 once every slot has a value below j + 1, no later step can change one. The
 steps run for all elements of a chunk of documents at once.
 
-Equal sets are one class first. Classes that share a band meet in a bucket. A
-bucket is resolved by pivots: the member that shares most buckets overall is
-compared with the others, exactly, on full sets; links join components; what
-is left are members of different components, and the next pivot is compared
-with those. Once the pairs left are no more than a few a member, all of them
-are compared. So every pair that shares a band ends up compared or already
-joined, without ever listing the pairs of a large group of copies.
+Equal sets are one class first. Classes that share a band meet in a task,
+which hands out a union-find forest of the pairs whose signatures agree well
+enough (four and a half standard errors under the threshold). The components
+of that are groups that hold every link. Each group is then resolved exactly,
+on full sets: pairs by falling estimate, none that union-find has already
+joined. A group of more than ``BLOCK`` classes is dealt in blocks, with some
+members common to all blocks; what isn't in the group's largest component then
+is compared with every block. Pairs are never listed, nothing is left out, and
+no task holds a large group.
 """
 
 from __future__ import annotations
@@ -26,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.batches import BYTE_CODE, binaries, chunks, mix64, prefix_sums, range_hash, window_hash
+from quillmark.llm.batches import BYTE_CODE, CHUNK_BYTES, binaries, chunks, mix64, prefix_sums, range_hash, window_hash
+from quillmark.llm.blocks import block_pairs, group_tables
 from quillmark.llm.features import lowered
-from quillmark.llm.graph import components
+from quillmark.llm.graph import UnionFind, components
 from quillmark.llm.tables import documents, staged
 from quillmark.operators.joins import sized_broadcast_join
 
@@ -36,8 +39,11 @@ from quillmark.operators.joins import sized_broadcast_join
 SHINGLE, PERCENT = 5, 85
 #: Bands of rows: a pair at the threshold shares none of the bands once in 10**6 times.
 BANDS, ROWS = 24, 5
-#: All pairs left are compared once they are at most so many times the members left.
-PAIRS_A_MEMBER = 4
+SLOTS = BANDS * ROWS
+#: Equal slots from which a pair can be a link: 0.85 less 4.5 standard errors.
+AGREE = 84
+#: Classes a block, and members of a larger group that all its blocks have in common.
+BLOCK, COMMON = 512, 16
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -100,97 +106,141 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch):
             sets, bounds = shingle_sets(part)
-            sizes = np.diff(bounds)
-            sig = super_minhash(sets, bounds, BANDS * ROWS).reshape(part.n, BANDS, ROWS)
-            band = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (part.n, BANDS)) * _ODD
-            for k in range(ROWS):
-                band = mix64(band + sig[:, :, k])
             # Two sums of mixed elements name a set; with its size, 192 bits.
             names = []
             for seed in (1, 2):
                 total = np.zeros(len(sets) + 1, np.uint64)
                 np.cumsum(mix64(sets + np.uint64(seed * int(_ODD) % 2 ** 64)), out=total[1:])
                 names.append(pa.array((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)))
+            sig = mix64(super_minhash(sets, bounds, SLOTS)).astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(part.row, part.n), pa.array(sizes.astype(np.int64)), *names,
-                 binaries(band.reshape(-1), np.arange(part.n + 1) * BANDS)],
-                names=["doc_id", "n_shingles", "s1", "s2", "bands"])
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in chunks(batch):
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(part.row, part.n), binaries(*shingle_sets(part))], names=["rep", "elements"])
+                [batch.column(0).slice(part.row, part.n), pa.array(np.diff(bounds).astype(np.int64)), *names,
+                 binaries(sig.reshape(-1), np.arange(part.n + 1) * SLOTS)],
+                names=["doc_id", "n_shingles", "s1", "s2", "signature"])
 
 
-def _unband(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        bands = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
-        rows = np.repeat(np.arange(batch.num_rows), BANDS)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(bands), batch.column(0).take(pa.array(rows)), batch.column(2).take(pa.array(rows))],
-            names=["bucket", "rep", "n"])
+        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, BANDS, ROWS)
+        for band in range(BANDS):
+            h = np.full(len(sig), np.uint64(band + 1))
+            for k in range(ROWS):
+                h = mix64(h * _ODD + sig[:, band, k])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *batch.columns],
+                                             names=["bucket", "rep", "signature"])
+
+
+def _alike(sig: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row of ``left`` the rows of ``right`` (later ones, if the sides
+    are the ``same``) whose signatures agree enough, and how much."""
+    other = sig[right]
+    for n, a in enumerate(left):
+        lo = n + 1 if same else 0
+        agree = (other[lo:] == sig[a]).sum(1)
+        at = np.flatnonzero(agree >= AGREE)
+        if len(at):
+            yield a, right[lo + at], agree[at]
+
+
+def _forest_batch(sets: UnionFind) -> pa.RecordBatch:
+    pairs = np.array(sets.forest(), np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A forest of the pairs of each bucket whose signatures agree enough."""
+    for part in group_tables(batches, ("bucket", "i", "j")):
+        if part.num_rows < 2:
+            continue
+        sets, (b, rep) = UnionFind(), (part[c].to_numpy() for c in ("b", "rep"))
+        sig = np.frombuffer(b"".join(part["signature"].to_pylist()), np.uint32).reshape(-1, SLOTS)
+        i, j = part["i"][0].as_py(), part["j"][0].as_py()
+        for a, found, _ in _alike(sig, np.flatnonzero(b == i), np.flatnonzero(b == j), i == j):
+            for c in rep[found].tolist():
+                sets.union(int(rep[a]), c)
+        yield _forest_batch(sets)
+
+
+def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A forest of the links between the two sides of each dealt group:
+    ``side`` 0 against 1, 2 among themselves and against the rest. ``c`` is
+    the component of a member so far."""
+    for part in group_tables(batches, ("grp", "i", "j")):
+        sets = UnionFind()
+        rep, side, known = (part[c].to_numpy() for c in ("rep", "side", "c"))
+        for r, c in zip(rep.tolist(), known.tolist(), strict=True):
+            sets.union(r, c)
+        elements = [np.frombuffer(x.as_buffer(), np.uint64) for x in part["elements"].combine_chunks()]
+        sizes = np.array([len(x) for x in elements])
+        sig, ends = np.empty((len(rep), SLOTS), np.uint64), np.cumsum(sizes)
+        lo = 0
+        while lo < len(rep):   # some members at a time: their sets may be long
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - sizes[lo] + CHUNK_BYTES // 8, side="right")))
+            sig[lo:hi] = super_minhash(np.concatenate(elements[lo:hi]), np.append(0, np.cumsum(sizes[lo:hi])), SLOTS)
+            lo = hi
+        if (side == 2).all():
+            left = right = np.arange(len(rep))
+        else:
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        pairs = []
+        for a, found, agree in _alike(sig, left, right, left is right):
+            fits = 100 * np.minimum(sizes[a], sizes[found]) >= PERCENT * np.maximum(sizes[a], sizes[found])
+            pairs.append(np.stack([agree[fits], np.full(fits.sum(), a), found[fits]], 1))
+        pairs = np.concatenate(pairs) if pairs else np.zeros((0, 3), np.int64)
+        linked = UnionFind()
+        for _, a, c in pairs[np.argsort(-pairs[:, 0], kind="stable")].tolist():
+            p, q = int(rep[a]), int(rep[c])
+            if sets.find(p) == sets.find(q):
+                continue
+            both = len(np.intersect1d(elements[a], elements[c], assume_unique=True))
+            if 100 * both >= PERCENT * (sizes[a] + sizes[c] - both):
+                sets.union(p, q)
+                linked.union(p, q)
+        yield _forest_batch(linked)
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs whose full sets reach the similarity."""
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ok = []
-        for a, b in zip(batch.column(2), batch.column(3), strict=True):
-            a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            ok.append(100 * both >= PERCENT * (len(a) + len(b) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b`` of the distinct ``pairs`` that link; ``sets`` is ``rep, elements``."""
-    left = pairs.join(sets.withColumnRenamed("rep", "a").withColumnRenamed("elements", "x"), "a")
-    both = left.join(sets.withColumnRenamed("rep", "b").withColumnRenamed("elements", "y"), "b")
-    return staged(both.select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long"), "confirmed")
-
-
-def resolve(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """``node, component`` of the classes in ``members`` (``bucket, rep, n``,
-    buckets of two or more), linked on their full ``sets``."""
-    edges, left = None, members.withColumn("c", F.col("rep"))
-    while True:
-        # How many meetings a class has left says how central it is.
-        meet = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"))
-        weight = left.join(meet, "bucket").groupBy("rep").agg(F.sum("m").alias("w"))
-        ranked = left.join(weight, "rep")
-        pivots = ranked.groupBy("bucket").agg(
-            F.max(F.struct("w", (-F.col("rep")).alias("r"), "n", "c")).alias("p")).select(
-            "bucket", (-F.col("p.r")).alias("pivot"), F.col("p.n").alias("pn"), F.col("p.c").alias("pc"))
-        pairs = left.join(pivots, "bucket").where(F.col("c") != F.col("pc"))
-        new = confirmed(_fitting(pairs, "pivot", "pn", "rep", "n"), sets)
-        edges = new if edges is None else edges.unionByName(new)
-        stars = components(edges)
-        left = (left.join(pivots, "bucket").where(F.col("rep") != F.col("pivot")).select("bucket", "rep", "n")
-                .join(stars.withColumnRenamed("node", "rep"), "rep", "left")
-                .select("bucket", "rep", "n", F.coalesce("component", "rep").alias("c")))
-        # Pairs of members of one bucket in different components: all pairs less those inside one.
-        inside = left.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("k"))
-        open_ = inside.groupBy("bucket").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("kk")).where(
-            F.col("m") * F.col("m") > F.col("kk"))
-        left = staged(left.join(open_.select("bucket", "m", "kk"), "bucket"), "left")
-        found = left.groupBy("bucket").agg(F.first("m").alias("m"), F.first("kk").alias("kk")).agg(
-            F.sum("m").alias("m"), F.sum((F.col("m") * F.col("m") - F.col("kk")) / 2).alias("pairs")).first()
-        if not found["m"]:
-            return stars
-        if found["pairs"] <= PAIRS_A_MEMBER * found["m"]:
-            break
-        left = left.select("bucket", "rep", "n", "c")
-    other = left.select("bucket", F.col("rep").alias("other"), F.col("n").alias("on"), F.col("c").alias("oc"))
-    pairs = left.join(other, "bucket").where((F.col("rep") < F.col("other")) & (F.col("c") != F.col("oc")))
-    return components(edges.unionByName(confirmed(_fitting(pairs, "rep", "n", "other", "on"), sets)))
-
-
-def _fitting(pairs: DataFrame, a: str, an: str, b: str, bn: str) -> DataFrame:
-    """Distinct pairs whose sizes allow the similarity, smaller id first."""
-    fits = 100 * F.least(an, bn) >= PERCENT * F.greatest(an, bn)
-    return pairs.where(fits).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+        for part in chunks(batch):
+            own = batch.slice(part.row, part.n)
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), binaries(*shingle_sets(part))],
+                                             names=["rep", "grp", "elements"])
+
+
+def links(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``node, component`` of the classes in ``groups`` (``rep, grp``), by links on full sets."""
+    rows = sized_broadcast_join(docs.select("doc_id", "text"), groups.withColumnRenamed("rep", "doc_id"), ["doc_id"])
+    sets = staged(rows.select("doc_id", "grp", "text").mapInArrow(_sets, "rep long, grp long, elements binary"), "sets")
+    sizes = staged(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n")), "group-sizes")
+    sets = sized_broadcast_join(sets, sizes, ["grp"], salt_by=["rep"])
+    # First all pairs inside a block. The blocks of one large group have COMMON members in common.
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    common = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("n")) < COMMON
+    first = (sets.withColumn("i", F.explode(F.when((blocks > 1) & common, F.sequence(F.lit(0), blocks - 1))
+                                            .otherwise(F.array(own))))
+             .select("grp", "i", F.lit(0).alias("j"), "rep", F.lit(2).alias("side"), F.col("rep").alias("c"), "elements")
+             .repartition("grp", "i").sortWithinPartitions("grp", "i", "rep"))
+    edges = staged(first.mapInArrow(_resolve, "a long, b long"), "links")
+    stars = components(edges)
+    # What a large group has outside its largest component meets all its blocks.
+    large = sets.where(F.col("n") > BLOCK).join(stars.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
+        "c", F.coalesce("component", "rep"))
+    parts = large.groupBy("grp", "c").agg(F.count(F.lit(1)).alias("k"))
+    main = staged(parts.groupBy("grp").agg(F.max(F.struct("k", "c")).alias("main"), F.sum("k").alias("n")).where(
+        F.col("n") > F.col("main.k")).select("grp", F.col("main.c").alias("main"),
+                                             (F.col("n") - F.col("main.k")).alias("rest")), "main")
+    large = sized_broadcast_join(large.drop("component"), main, ["grp"], salt_by=["rep"])
+    lefts, rights = (F.ceil(F.col(x) / BLOCK).cast("int") for x in ("rest", "n"))
+    left = large.where(F.col("c") != F.col("main")).withColumn("i", F.pmod(F.xxhash64("rep"), lefts).cast("int")).withColumn(
+        "j", F.explode(F.sequence(F.lit(0), rights - 1))).withColumn("side", F.lit(0))
+    right = large.withColumn("j", F.pmod(F.xxhash64("rep"), rights).cast("int")).withColumn(
+        "i", F.explode(F.sequence(F.lit(0), lefts - 1))).withColumn("side", F.lit(1))
+    columns = ["grp", "i", "j", "rep", "side", "c", "elements"]
+    second = (left.select(*columns).unionByName(right.select(*columns))
+              .repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "rep"))
+    more = staged(second.mapInArrow(_resolve, "a long, b long"), "more-links")
+    return components(edges.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -203,18 +253,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     columns are not read.
     """
     signed = staged(docs.select("doc_id", "text").mapInArrow(
-        _sign, "doc_id long, n_shingles long, s1 long, s2 long, bands binary"), "signed")
+        _sign, "doc_id long, n_shingles long, s1 long, s2 long, signature binary"), "signed")
     name = ["n_shingles", "s1", "s2"]
     classes = staged(signed.where("n_shingles > 0").groupBy(*name).agg(
-        F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
-    rows = classes.select("rep", "bands", F.col("n_shingles").alias("n")).mapInArrow(
-        _unband, "bucket long, rep long, n long")
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
+        F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")
+    rows = classes.select("rep", "signature").mapInArrow(_band, "bucket long, rep long, signature binary")
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     members = staged(rows.join(shared, "bucket"), "members")
-    ids = staged(members.select(F.col("rep").alias("doc_id")).distinct(), "candidates")
-    sets = staged(sized_broadcast_join(docs.select("doc_id", "text"), ids, ["doc_id"])
-                  .mapInArrow(_sets, "rep long, elements binary"), "sets")
-    stars = resolve(members, sets)
+    near = components(block_pairs(members, "bucket", "rep", BLOCK).mapInArrow(_candidates, "a long, b long"))
+    groups = staged(near.select(F.col("node").alias("rep"), F.col("component").alias("grp")).unionByName(
+        near.select(F.col("component").alias("rep"), F.col("component").alias("grp")).distinct()), "groups")
+    stars = links(docs, groups)
     of_class = classes.join(stars, F.col("rep") == F.col("node"), "left").select(
         *name, F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", *name).join(of_class, name, "left")
