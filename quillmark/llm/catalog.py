@@ -5,12 +5,14 @@ from __future__ import annotations
 from quillmark.llm.hosts import OP3_SQL, op3_host_rules
 from quillmark.llm.minhash import op2_minhash
 from quillmark.llm.mixing import OP7_SQL, op7_mixing
+from quillmark.llm.passages import op8_passages
 from quillmark.llm.quality import op10_quality
 from quillmark.llm.secrets import op6_secrets
 from quillmark.llm.toxicity import op1_toxicity
 from quillmark.llm.vectors import op9_vectors
 
 QUERIES = {
+    "op8_passages": op8_passages,
     "op2_minhash": op2_minhash,
     "op9_vectors": op9_vectors,
     "op1_toxicity": op1_toxicity,
