@@ -126,8 +126,7 @@ def _band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = np.full(len(sig), np.uint64(band + 1))
             for k in range(ROWS):
                 h = mix64(h * _ODD + sig[:, band, k])
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *batch.columns],
-                                             names=["bucket", "rep", "signature"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0)], names=["bucket", "rep"])
 
 
 def _alike(sig: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -257,9 +256,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     name = ["n_shingles", "s1", "s2"]
     classes = staged(signed.where("n_shingles > 0").groupBy(*name).agg(
         F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")
-    rows = classes.select("rep", "signature").mapInArrow(_band, "bucket long, rep long, signature binary")
+    rows = classes.select("rep", "signature").mapInArrow(_band, "bucket long, rep long")
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     members = staged(rows.join(shared, "bucket"), "members")
+    # Signatures travel only to the buckets that have company.
+    members = members.join(classes.select("rep", "signature"), "rep")
     near = components(block_pairs(members, "bucket", "rep", BLOCK).mapInArrow(_candidates, "a long, b long"))
     groups = staged(near.select(F.col("node").alias("rep"), F.col("component").alias("grp")).unionByName(
         near.select(F.col("component").alias("rep"), F.col("component").alias("grp")).distinct()), "groups")
