@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.batches import BYTE_CODE, Texts, chunks, mix64, prefix_sums, range_hash, window_hash
+from quillmark.llm.batches import BYTE_CODE, CHUNK_BYTES, Texts, chunks, mix64, prefix_sums, range_hash, window_hash
 from quillmark.llm.blocks import group_tables
 from quillmark.llm.fmindex import FMIndex
 from quillmark.llm.tables import documents, staged
@@ -36,7 +36,7 @@ from quillmark.operators.joins import sized_broadcast_join
 #: Words a window, and words an anchor.
 WINDOW, ANCHOR = 13, 3
 #: Text bytes a shard, on average, before its pieces' overlap, and text bytes cut before they are sent.
-SHARD_BYTES, SEND_BYTES = 4 << 20, 16 << 20
+SHARD_BYTES, SEND_BYTES = 2 << 20, 8 << 20
 _TOP = np.uint64(2 ** 64 - 1)
 
 
@@ -53,6 +53,19 @@ def word_codes(part: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return start, end, doc, range_hash(prefix_sums(BYTE_CODE[part.data]), start, end) if len(start) else start.astype(np.uint64)
 
 
+def piece_codes(text: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Piece and code of every word of texts of the given sizes, a chunk at a time."""
+    offsets = np.append(0, np.cumsum(size))
+    pieces, codes, lo = [], [], 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + CHUNK_BYTES, side="right")) - 1)
+        _, _, piece, code = word_codes(Texts(text[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], lo))
+        pieces.append(piece + lo)
+        codes.append(code)
+        lo = hi
+    return np.concatenate(pieces), np.concatenate(codes)
+
+
 def cut(code: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Pieces of all documents: first window, one past the last, the anchor's position and hash."""
     n = len(code) - WINDOW + 1
@@ -170,9 +183,9 @@ def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
 def search_shard(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
     """(document, text's name, first word, one past the last) of removed ranges."""
     doc, rid, at, size, anchor, text = _unpack(blobs)
-    part = Texts(text, np.append(0, np.cumsum(size)), 0)
-    _, _, piece, code = word_codes(part)
-    bounds = part.bounds(piece)
+    piece, code = piece_codes(text, size)
+    bounds = np.searchsorted(piece, np.arange(len(size) + 1))
+    del text, piece
     n = np.diff(bounds)
     # A match needs its anchor in two documents.
     gram = np.zeros(len(doc), np.uint64)
