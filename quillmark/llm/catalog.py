@@ -8,10 +8,12 @@ from quillmark.llm.mixing import OP7_SQL, op7_mixing
 from quillmark.llm.passages import op8_passages
 from quillmark.llm.quality import op10_quality
 from quillmark.llm.secrets import op6_secrets
+from quillmark.llm.suffixes import op5_suffixes
 from quillmark.llm.toxicity import op1_toxicity
 from quillmark.llm.vectors import op9_vectors
 
 QUERIES = {
+    "op5_suffixes": op5_suffixes,
     "op8_passages": op8_passages,
     "op2_minhash": op2_minhash,
     "op9_vectors": op9_vectors,
