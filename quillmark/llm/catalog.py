@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quillmark.llm.bpe import op4_bpe
 from quillmark.llm.hosts import OP3_SQL, op3_host_rules
 from quillmark.llm.minhash import op2_minhash
 from quillmark.llm.mixing import OP7_SQL, op7_mixing
@@ -13,6 +14,7 @@ from quillmark.llm.toxicity import op1_toxicity
 from quillmark.llm.vectors import op9_vectors
 
 QUERIES = {
+    "op4_bpe": op4_bpe,
     "op5_suffixes": op5_suffixes,
     "op8_passages": op8_passages,
     "op2_minhash": op2_minhash,
