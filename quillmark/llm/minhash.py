@@ -32,7 +32,7 @@ from quillmark.llm.batches import BYTE_CODE, CHUNK_BYTES, binaries, chunks, mix6
 from quillmark.llm.blocks import block_pairs, group_tables
 from quillmark.llm.features import lowered
 from quillmark.llm.graph import UnionFind, components
-from quillmark.llm.tables import documents, staged
+from quillmark.llm.tables import documents, fresh, staged
 from quillmark.operators.joins import sized_broadcast_join
 
 #: Words a shingle, and the least similarity of a link in percent.
@@ -248,14 +248,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Null and empty texts and texts without words have the empty set, link
     with nothing and are kept. Texts with fewer words than a shingle have one
     element, their whole sequence. Equal sets link (their similarity is 1);
-    rows with one id are one document. An empty table gives no rows; other
+    rows with one id are one
+    document, and rows without an id join no group but that of an equal set. An empty table gives no rows; other
     columns are not read.
     """
     signed = staged(docs.select("doc_id", "text").mapInArrow(
         _sign, "doc_id long, n_shingles long, s1 long, s2 long, signature binary"), "signed")
     name = ["n_shingles", "s1", "s2"]
     classes = staged(signed.where("n_shingles > 0").groupBy(*name).agg(
-        F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")
+        F.min("doc_id").alias("rep"), F.first("signature").alias("signature")).where(
+            F.col("rep").isNotNull()), "classes")
     rows = classes.select("rep", "signature").mapInArrow(_band, "bucket long, rep long")
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     members = staged(rows.join(shared, "bucket"), "members")
@@ -269,13 +271,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         *name, F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", *name).join(of_class, name, "left")
     own = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id") == own).alias("kept"))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
 def first_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept: one document of each group."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept")).select(*docs.columns)
+    name = fresh(docs, "kept_id")
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name))).drop(name)
 
 
 def op2_minhash(spark, sf_dir: str) -> DataFrame:

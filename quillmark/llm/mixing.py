@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.tables import staged
+from quillmark.llm.tables import fresh, staged
 
 #: The separator of words: space and the five ASCII controls 0x09-0x0D.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -128,19 +128,21 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS,
     Documents without words are in no budget and pass once. Rows not taken go.
     ``doc_id`` is taken to be unique here.
     """
-    taken = mix(docs, weights, max_epochs, seed).select(
-        F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "taken")
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
-    whole = F.when(F.col("_size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("_size")))
-    part = F.when(F.col("_size") == 0, F.lit(0)).otherwise(F.col("taken") % F.col("_size"))
-    copies = F.concat(F.array_repeat(F.col("_size"), whole.cast("int")),
+    key, size, taken, words = (fresh(docs, c) for c in ("mix_id", "mix_size", "mix_taken", "mix_words"))
+    mixed = mix(docs, weights, max_epochs, seed).select(
+        F.col("doc_id").alias(key), F.col("size").alias(size), F.col("taken").alias(taken))
+    rows = docs.join(mixed, F.col("doc_id").eqNullSafe(F.col(key)))
+    whole = F.when(F.col(size) == 0, F.lit(1)).otherwise(F.floor(F.col(taken) / F.col(size)))
+    part = F.when(F.col(size) == 0, F.lit(0)).otherwise(F.col(taken) % F.col(size))
+    copies = F.concat(F.array_repeat(F.col(size), whole.cast("int")),
                       F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
-    rows = rows.withColumn("_words", F.explode(copies))
+    rows = rows.withColumn(words, F.explode(copies))
     lead = F.array_join(F.slice(F.array_remove(F.split("text", SPACES), ""), 1,
-                                F.greatest(F.col("_words"), F.lit(0)).cast("int")), " ")
-    cut = F.col("_words") < F.col("_size")
-    text = F.when(cut, lead).otherwise(F.col("text"))
-    out = {"text": text, "n_chars": F.when(cut, F.length(lead).cast("long")).otherwise(F.col("n_chars"))}
+                                F.greatest(F.col(words), F.lit(0)).cast("int")), " ")
+    cut = F.col(words) < F.col(size)
+    out = {"text": F.when(cut, lead).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(cut, F.length(lead).cast("long")).otherwise(F.col("n_chars"))
     return rows.select(*[out[c].alias(c) if c in out else F.col(c) for c in docs.columns])
 
 

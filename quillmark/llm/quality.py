@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from quillmark.llm.batches import chunks
 from quillmark.llm.features import fold_of, hash_sample, hashed_features, sparse_rows
-from quillmark.llm.tables import documents, table
+from quillmark.llm.tables import documents, fresh, table
 
 #: Buckets of features (2**BITS), n-gram lengths, length of a vector.
 BITS, GRAMS, WIDTH = 18, (3, 4), 16
@@ -87,14 +87,12 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     return weights, bias
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1), the softmax's share of class 1, from the whole text.
+def score(docs: DataFrame, model: tuple[np.ndarray, float], column: str = "score") -> DataFrame:
+    """``docs`` with another column (0 to 1): the softmax's share of class 1, from the whole text.
 
     Null and empty texts have no features and get the score of the bias.
-    All columns of ``docs`` stay but one already named ``score``.
     """
     weights, bias = model
-    docs = docs.drop("score")
     names = docs.columns
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,9 +105,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
                 z = bias + total / np.maximum(count, 1)
                 p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
                 own = batch.slice(part.row, part.n)
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(p, pa.float64())], names=[*names, "score"])
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(p, pa.float64())], names=[*names, column])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
     return docs.mapInArrow(scored, schema)
 
 
@@ -128,8 +126,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier takes for class 1, with all their columns."""
-    names = docs.columns
-    return score(docs, train(docs, labels)).where(F.col("score") >= THRESHOLD).select(*names)
+    column = fresh(docs, "score")
+    return score(docs, train(docs, labels), column).where(F.col(column) >= THRESHOLD).drop(column)
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:

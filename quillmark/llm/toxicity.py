@@ -136,7 +136,6 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
     """``docs`` with ``score``: the odds of a document by the kept features that its whole text has."""
     kept, weights, bias = model
-    docs = docs.drop("score")
     names = docs.columns
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -176,7 +176,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     (``vec_id`` long, ``embedding`` array of floats or doubles).
 
     A vector that is null, empty, zero, or holds a null or non-finite
-    component links with nothing: no links, a component of its own. Vectors
+    component links with nothing, nor do rows without an id: no links, a component of its own. Vectors
     of different lengths don't link. Equal vectors (rows repeated or not) are
     linked to each other; all their rows are returned. Scores of exactly the
     threshold link. An empty table gives no rows; other columns are not read.
@@ -184,7 +184,8 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     width = np.float64 if vectors.schema["embedding"].dataType.elementType.typeName() == "double" else np.float32
     keyed = staged(vectors.select("vec_id", "embedding").mapInArrow(_keyed, "vec_id long, key binary"), "vectors")
     classes = staged(keyed.where(F.col("key").isNotNull()).groupBy("key").agg(
-        F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult")), "classes")
+        F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult")).where(
+            F.col("rep").isNotNull()), "classes")
     found = staged(find_links(classes, classes.count(), width), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     stars = components(found.where(F.col("parent").isNotNull()).select("rep", "parent"))
@@ -194,7 +195,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     out = keyed.join(of_class, "key", "left")
     own = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-                      own.cast("long").alias("component_id"), (F.col("vec_id") == own).alias("kept"))
+                      own.cast("long").alias("component_id"), F.col("vec_id").eqNullSafe(own).alias("kept"))
 
 
 def op9_vectors(spark, sf_dir: str) -> DataFrame:
