@@ -13,6 +13,13 @@ from quillmark.llm.batches import SPACE, Texts, chunks, mix64, prefix_sums, rang
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _KNOWN = 1 << 14
+#: Kinds of code points for shapes: upper case (ASCII and Latin-1), digits, white space, other ASCII each its own.
+_SHAPE = np.full(256, ord("a"), np.uint32)
+_SHAPE[:128] = np.arange(128)
+_SHAPE[[*range(65, 91), *range(0xC0, 0xDF)]] = ord("A")
+_SHAPE[[*range(97, 123)]] = ord("a")
+_SHAPE[[*range(48, 58)]] = ord("0")
+_SHAPE[SPACE] = 32
 _CODE = mix64(np.arange(1, _KNOWN + 1, dtype=np.uint64) * _ODD)
 
 
@@ -61,10 +68,11 @@ def recency(doc: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def hashed_features(part: Texts, bits: int, grams: tuple[int, ...],
-                    again: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+                    again: int = 0, shape: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """(document, bucket, weight) of every feature occurrence, documents
     ascending: the words, the words' ``recency`` with weight ``again`` (0:
-    none), and each n-gram length.
+    none), each n-gram length, and n-grams of ``shape`` kinds of characters
+    (0: none; kinds are upper, lower, digit, space, and other characters).
 
     An n-gram lies inside a word with the white space on either side counted
     as part of it (one code), as in ``<word>``.
@@ -79,6 +87,15 @@ def hashed_features(part: Texts, bits: int, grams: tuple[int, ...],
         if again:
             seen = mix64(recency(doc, word).astype(np.uint64) + np.uint64(1 << 40))
             yield doc, (seen >> shift).astype(np.int64), again
+    if shape:
+        size = len(h) - shape + 1
+        kinds = _SHAPE[np.minimum(codes.data, 255)].astype(np.uint64)
+        g = np.full(max(size, 0), np.uint64(1 << 41))
+        for t in range(shape if size > 0 else 0):
+            g = g * _ODD + kinds[t:t + size]
+        if size > 0:
+            at = np.searchsorted(codes.offsets, np.arange(size), side="right") - 1
+            yield at, (mix64(g) >> shift).astype(np.int64), 1
     for n in grams:
         size = len(h) - n + 1
         if size <= 0:
@@ -109,7 +126,7 @@ def hash_sample(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:
 
 
 def sparse_rows(docs: DataFrame, ids: DataFrame, bits: int, grams: tuple[int, ...], again: int = 0,
-                lower: bool = False) -> list[tuple]:
+                lower: bool = False, shape: int = 0) -> list[tuple]:
     """``(group, buckets, counts, words)`` of the sampled documents, ordered by id.
 
     ``ids`` (``doc_id, grp``) is a bounded sample, so its broadcast and the
@@ -118,7 +135,7 @@ def sparse_rows(docs: DataFrame, ids: DataFrame, bits: int, grams: tuple[int, ..
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
-                found = list(hashed_features(lowered(part) if lower else part, bits, grams, again))
+                found = list(hashed_features(lowered(part) if lower else part, bits, grams, again, shape))
                 doc = np.concatenate([d for d, *_ in found]) if found else np.zeros(0, np.int64)
                 key = np.concatenate([b for _, b, _ in found]) if found else np.zeros(0, np.int64)
                 weight = np.concatenate([np.full(len(d), w) for d, _, w in found]) if found else key

@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
-Every word, every character n-gram and every step back to a word's last
-occurrence has a learned vector, found by hash. A
+Every word, every n-gram of characters or kinds of characters, and every step
+back to a word's last occurrence has a learned vector, found by hash. A
 document is the average of the vectors of all its features, and a softmax
 over that average gives its class. The vectors and the softmax are trained by
 stochastic gradient descent in numpy on a bounded, class-balanced sample of
@@ -31,9 +31,11 @@ from quillmark.llm.tables import documents, fresh, table
 BITS, GRAMS, WIDTH = 18, (3, 4), 16
 #: Weight of a word's recency (repetition) beside its other features.
 AGAIN = 8
+#: Length of n-grams of kinds of characters.
+SHAPE = 4
 #: Labelled documents of either class that train the classifier, at most.
 TRAIN_ROWS = 1000
-EPOCHS, RATE = 8, 0.5
+EPOCHS, RATE, MIN_STEPS = 8, 0.5, 12_000
 #: The fold that is held out: crc32(doc_id) mod 3 is 1.
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.5
@@ -48,11 +50,14 @@ def fit(rows: list[tuple], epochs: int = EPOCHS, rate: float = RATE, seed: int =
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / WIDTH, 1 / WIDTH, (size, WIDTH)).astype(np.float32)
     top, bias = np.zeros((WIDTH, 2), np.float32), np.zeros(2, np.float32)
-    steps, done = epochs * len(rows), 0
-    for _ in range(epochs):
-        for i in rng.permutation(len(rows)):
-            c, key, n, _ = rows[i]
-            lr, done = rate * (1 - done / steps), done + 1
+    of_class = [[r for r in rows if r[0] == c] for c in (0, 1)]
+    steps, done = max(epochs * len(rows), MIN_STEPS), 0
+    while done < steps:
+        # One pass over the larger class, the classes taking turns.
+        turns = [rng.permutation(max(map(len, of_class))) % len(some) for some in of_class]
+        for c, i in [x for pair in zip(*turns, strict=True) for x in enumerate(pair)]:
+            _, key, n, _ = of_class[c][i]
+            lr, done = rate * max(0.0, 1 - done / steps), done + 1
             share = n / n.sum() if len(n) else n
             mean = share @ vectors[key] if len(key) else np.zeros(WIDTH, np.float32)
             z = mean @ top + bias
@@ -76,12 +81,11 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     for c in (0, 1):
         some = hash_sample(known.where(F.col("quality") == c), TRAIN_ROWS).withColumn("grp", F.lit(c))
         ids = some if ids is None else ids.unionByName(some)
-    rows = sparse_rows(docs, ids, BITS, GRAMS, AGAIN)
+    rows = sparse_rows(docs, ids, BITS, GRAMS, AGAIN, shape=SHAPE)
     weights, bias = fit(rows)
-    # From the balanced sample back to the shares of all labelled rows.
-    got = [sum(c == k for c, *_ in rows) for k in (0, 1)]
-    if min(got) and len(shares) == 2:
-        bias += math.log(shares[1] / shares[0]) - math.log(got[1] / got[0])
+    # The classes took turns: back to the shares of all labelled rows.
+    if len({c for c, *_ in rows}) == 2:
+        bias += math.log(shares[1] / shares[0])
     elif shares:
         bias += 4.0 if max(shares, key=shares.get) == 1 else -4.0
     return weights, bias
@@ -99,7 +103,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], column: str = "score
         for batch in batches:
             for part in chunks(batch):
                 total, count = np.zeros(part.n), np.zeros(part.n)
-                for doc, bucket, weight in hashed_features(part, BITS, GRAMS, AGAIN):
+                for doc, bucket, weight in hashed_features(part, BITS, GRAMS, AGAIN, SHAPE):
                     total += weight * np.bincount(doc, weights[bucket], part.n)
                     count += weight * np.bincount(doc, minlength=part.n)
                 z = bias + total / np.maximum(count, 1)
