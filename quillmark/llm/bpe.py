@@ -33,13 +33,13 @@ from quillmark.llm.tables import documents
 #: Java's flag for Unicode white space in ``\s`` goes before the tokenizer's own pattern.
 UNICODE = "(?U)"
 #: Words folded once, at most, and their length in bytes, at most.
-HOT_WORDS, HOT_BYTES = 60_000, 48
+HOT_WORDS, HOT_BYTES = 40_000, 48
 #: Places of the tables of pairs and of hot words; powers of two.
-PAIR_PLACES, WORD_BITS = 1 << 19, 17
+PAIR_PLACES, WORD_BITS = 1 << 18, 17
 WORD_PLACES = 1 << WORD_BITS
 MASK = (1 << 20) - 1
 #: Two places of a pair are two parts of one product (pairs are under 2**32, so it fits 63 bits).
-SPREAD, SHIFTS = 2_654_435_761, (10, 31)
+SPREAD, SHIFTS = 2_654_435_761, (11, 30)
 #: No merge: larger than any rank.
 NONE = 2 ** 31 - 1
 
@@ -55,6 +55,11 @@ def literal(values: list, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps({"v": values}, separators=(",", ":"))), f"v {kind}")["v"]
 
 
+def joined(*parts: Column) -> Column:
+    """Arrays one after the other (inside a lambda this is cheaper than ``concat``)."""
+    return F.flatten(F.array(*parts))
+
+
 def two_choices(entries: dict[int, object], places) -> dict[int, int]:
     """A place for every key, one of its two (``places(key)``): cuckoo hashing,
     so that a lookup reads two places. Keys that find none are left out."""
@@ -128,7 +133,7 @@ class Codec:
                                              F.slice(p, F.lit(2), F.greatest(n - 1, F.lit(0))),
                                              lambda x, y: self.rank(t, x, y))
                            ).otherwise(none)
-            return F.struct(F.concat(end, p, end).alias("p"), F.concat(none, ranks, none).alias("r"),
+            return F.struct(joined(end, p, end).alias("p"), joined(none, ranks, none).alias("r"),
                             F.array_min(ranks).alias("m"))
 
         def step(s: Column, _: Column) -> Column:
@@ -136,10 +141,10 @@ class Codec:
                 m, n = s["m"], F.lit(2 ** 30)
                 left = F.slice(s["p"], F.lit(1), i - 1)
                 right = F.slice(s["p"], i + 2, n)
-                return let(F.concat(F.slice(s["r"], F.lit(1), i - 2),
-                                    F.array(self.rank(t, F.get(s["p"], i - 2), m), self.rank(t, m, F.get(s["p"], i + 1))),
-                                    F.slice(s["r"], i + 2, n)),
-                           lambda r: F.struct(F.concat(left, F.array(m), right).alias("p"), r.alias("r"),
+                return let(joined(F.slice(s["r"], F.lit(1), i - 2),
+                                  F.array(self.rank(t, F.get(s["p"], i - 2), m), self.rank(t, m, F.get(s["p"], i + 1))),
+                                  F.slice(s["r"], i + 2, n)),
+                           lambda r: F.struct(joined(left, F.array(m), right).alias("p"), r.alias("r"),
                                               F.array_min(r).alias("m")))
 
             return F.when(s["m"] == NONE, s).otherwise(
