@@ -22,6 +22,10 @@ BLEU_13A_RULES = [
 ]
 
 
+# White space as Python's str.strip() takes it (fixed values).
+WHITE_SPACE = (r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
+
+
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -46,7 +50,7 @@ def tok13a(c) -> Column:
 
 def strip_text(c) -> Column:
     """Python ``str.strip()``: leading/trailing whitespace of any kind."""
-    return F.regexp_replace(_col(c), r"^\s+|\s+$", "")
+    return F.regexp_replace(_col(c), rf"^{WHITE_SPACE}+|{WHITE_SPACE}+\z", "")
 
 
 def split_sentences_naive(c) -> Column:

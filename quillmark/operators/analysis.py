@@ -9,7 +9,7 @@ constant on a third of the pairs is one row, not a third of the data.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as tx
@@ -179,14 +179,11 @@ def turn_challenges(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     """ANA-8: speaker-dynamics features per conversation.
 
     ``turns``, distinct ``speakers``, ``switches`` (consecutive turns with a
-    different role) and mean tokens per turn. The previous turn is found by
-    an equi-join on ``(conv_id, turn + 1)`` — unique keys, so a very long
-    conversation is not one window partition in one task — and everything
-    else is a partial aggregation.
+    different role) and mean tokens per turn. The previous turn is the one
+    before it in turn order, whatever numbers are missing between them.
     """
     t = turns.select(key, "turn", "role", F.size(tx.tok("text")).alias("ntok"))
-    prev = t.select(F.col(key).alias("_k"), (F.col("turn") + 1).alias("_t"), F.col("role").alias("prev_role"))
-    j = t.join(prev, (t[key] == prev["_k"]) & (t["turn"] == prev["_t"]), "left")
+    j = t.withColumn("prev_role", F.lag("role").over(Window.partitionBy(key).orderBy("turn")))
     sw = F.when(F.col("prev_role").isNotNull() & (F.col("prev_role") != F.col("role")), 1).otherwise(0)
     return j.groupBy(key).agg(
         F.count(F.lit(1)).alias("turns"),

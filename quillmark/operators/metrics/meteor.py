@@ -55,7 +55,11 @@ def meteor(pairs: DataFrame, key: str = "pair_id", stem_stage: bool = False,
         m = m.unionByName(_stage_matches(rest, key, "stem"))
     if synonyms is not None:
         rest = _unmatched(occ, m, key).join(synonyms.select("token", "synset"), "token")
-        m = m.unionByName(_stage_matches(rest.select(key, "side", "pos", "synset"), key, "synset"))
+        # A token in several synsets counts once: by the first that the other side has too.
+        shared = rest.groupBy(key, "synset").agg(F.count_distinct("side").alias("_s")).where("_s = 2")
+        one = rest.join(shared.select(key, "synset"), [key, "synset"]).groupBy(key, "side", "pos").agg(
+            F.min("synset").alias("synset"))
+        m = m.unionByName(_stage_matches(one, key, "synset"))
     w = Window.partitionBy(key).orderBy("hpos")
     brk = F.when((F.col("hpos") - F.lag("hpos").over(w) == 1)
                  & (F.col("gpos") - F.lag("gpos").over(w) == 1), 0).otherwise(1)

@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,16 +31,14 @@ from quillmark.functions import text as tx
 from quillmark.operators.joins import sized_broadcast_join, split_lookup
 from quillmark.operators.tokens import side_tokens, tokenised_pairs
 
-# Fixture convention: vocabulary rank modulo this many vectors -> vec_id.
-VECTOR_SLOTS = 500
 BLOCK_ROWS = 2048
 
 # A StructType, not a DDL string: workers import this module without a session.
 MATCH_SCHEMA = T.StructType([T.StructField(n, T.DoubleType()) for n in ("em_p", "em_r", "em_f", "rwmd")])
 
 
-def token_vec_ids(vocab: DataFrame, slots: int = VECTOR_SLOTS) -> DataFrame:
-    """``(token, vec_id, count)``: vocabulary rank modulo ``slots`` (the corpus
+def token_vec_ids(vocab: DataFrame, slots: Column | int) -> DataFrame:
+    """``(token, vec_id, count)``: vocabulary rank modulo ``slots``, the number of vectors (the corpus
     count travels along to split frequent tokens off the join)."""
     return vocab.select("token", (F.col("rank") % slots).alias("vec_id"), "count")
 

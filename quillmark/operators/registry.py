@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quillmark.operators.metrics import chrf, lcs, meteor, overlap
+from quillmark.operators.metrics import chrf, lcs, lm, meteor, overlap, vectors
 
 METRICS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "rouge": overlap.rouge_n,
@@ -27,12 +27,22 @@ METRICS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def load(name: str) -> Callable[[DataFrame], DataFrame]:
-    """The metric function registered under ``name``."""
-    try:
+# Metrics that need tables beside the pairs: name -> function of those tables.
+FACTORIES: dict[str, Callable[..., Callable[[DataFrame], DataFrame]]] = {
+    "perplexity": lambda train: lambda pairs: lm.lm_perplexity(
+        train, pairs.select("pair_id", "predicted"), key="pair_id", text="predicted"),
+    "bertscore": lambda vec_ids, embeddings: lambda pairs: vectors.embedding_match(pairs, vec_ids, embeddings),
+    "mover_score": lambda vec_ids, embeddings: lambda pairs: vectors.mover_score(pairs, vec_ids, embeddings),
+}
+
+
+def load(name: str, **tables: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """The metric function registered under ``name``, from its tables if it needs any."""
+    if name in METRICS:
         return METRICS[name]
-    except KeyError:
-        raise KeyError(f"unknown metric {name!r}; known: {sorted(METRICS)}") from None
+    if name in FACTORIES:
+        return FACTORIES[name](**tables)
+    raise KeyError(f"unknown metric {name!r}; known: {sorted([*METRICS, *FACTORIES])}")
 
 
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]

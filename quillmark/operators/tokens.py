@@ -64,7 +64,7 @@ def build_vocab(df: DataFrame, text_cols: list[str], tokenizer=tx.tok) -> DataFr
                          (F.col("_start") + FIRST_TOKEN_ID).alias("id"))
 
 
-def _ids_of(df: DataFrame, key: str, col: str, vocab: DataFrame) -> DataFrame:
+def encode(df: DataFrame, key: str, col: str, vocab: DataFrame) -> DataFrame:
     """``(key, ids)``: token ids of ``col`` in token order; unknown -> 1."""
     t = df.select(key, F.posexplode(tx.tok(col)).alias("pos", "token"))
     # The vocabulary grows with the corpus, so it is shuffle-joined on the
@@ -87,8 +87,8 @@ def encode_truncate_pad(df: DataFrame, vocab: DataFrame, key: str = "pair_id",
                         source: str = "gold", target: str = "predicted",
                         max_source: int = 64, max_target: int = 32) -> DataFrame:
     """PRJ-9: ``input_ids`` / ``labels`` as fixed-length id arrays."""
-    a = _ids_of(df, key, source, vocab).select(key, truncate_pad(F.col("ids"), max_source).alias("input_ids"))
-    b = _ids_of(df, key, target, vocab).select(key, truncate_pad(F.col("ids"), max_target).alias("labels"))
+    a = encode(df, key, source, vocab).select(key, truncate_pad(F.col("ids"), max_source).alias("input_ids"))
+    b = encode(df, key, target, vocab).select(key, truncate_pad(F.col("ids"), max_target).alias("labels"))
     return a.join(b, key)
 
 

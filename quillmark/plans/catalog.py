@@ -153,7 +153,7 @@ def q_write_predictions_text(spark, d):
 
 @query("read_splits")
 def q_read_splits(spark, d):
-    docs = tb.documents_split(spark, d).select("doc_id", "lang", "source", "n_chars", "split")
+    docs = tb.documents_split(spark, d).select("doc_id", "text", "lang", "source", "n_chars", "split")
     schema = docs.drop("split").schema
     base = io.scratch_path(spark, "splits")
     files = {"train": (f"{base}/train", "parquet"), "validation": (f"{base}/validation", "json"),
@@ -256,8 +256,9 @@ def q_mask_labels(spark, d):
 
 @query("decode_ids")
 def q_decode_ids(spark, d):
-    e = conv_encoded(spark, d)
-    return tk.decode_ids(e, conv_vocab(spark, d), "pair_id", "input_ids", "decoded")
+    vocab = conv_vocab(spark, d)
+    e = tk.encode(tb.pairs_conv(spark, d), "pair_id", "gold", vocab)
+    return tk.decode_ids(e, vocab, "pair_id", "ids", "decoded")
 
 
 @query("flatten_scores")
@@ -314,7 +315,8 @@ def q_combine_metrics(spark, d):
 
 @query("gen_len")
 def q_gen_len(spark, d):
-    return tk.gen_len(conv_encoded(spark, d), "labels").select(tx.r6(F.col("gen_len")).alias("gen_len"))
+    e = tk.encode(tb.pairs_conv(spark, d), "pair_id", "predicted", conv_vocab(spark, d))
+    return tk.gen_len(e, "ids").select(tx.r6(F.col("gen_len")).alias("gen_len"))
 
 
 @query("corpus_mean")
@@ -330,14 +332,14 @@ def q_multi_reference_mean(spark, d):
     p = tb.pairs_conv(spark, d)
     nxt = c.where(F.col("role") == "user").select(
         F.col("conv_id").alias("n_conv"), F.col("turn").alias("n_turn"), F.col("text").alias("ref2"))
-    j = p.join(nxt, (p.conv_id == nxt.n_conv) & (nxt.n_turn == (p.pair_id % 1000) + 2), "left")
+    j = p.join(nxt, (p.conv_id == nxt.n_conv) & (nxt.n_turn == (p.pair_id % tb.PAIR_TURNS) + 2), "left")
     refs = j.select("pair_id", "predicted", F.inline(F.array(
         F.struct(F.lit(0).alias("ref_no"), F.col("gold").alias("ref")),
         F.struct(F.lit(1).alias("ref_no"), F.col("ref2").alias("ref"))))).where(F.col("ref").isNotNull())
-    refs = refs.select((F.col("pair_id") * 10 + F.col("ref_no")).alias("ref_key"),
+    refs = refs.select((F.col("pair_id") * 2 + F.col("ref_no")).alias("ref_key"),
                        F.col("ref").alias("gold"), "predicted")
     s = overlap.rouge_n(refs, ns=(1,), key="ref_key", places=None)
-    s = s.withColumn("pair_id", F.floor(F.col("ref_key") / 10).cast("long"))
+    s = s.withColumn("pair_id", F.shiftright("ref_key", 1))
     return ag.multi_reference_mean(s, "pair_id", ["rouge1_f"])
 
 
@@ -513,7 +515,8 @@ from quillmark.operators.metrics import vectors as vec_m  # noqa: E402
 
 def _vector_inputs(spark, d, pairs):
     vocab = tk.build_vocab(pairs, ["gold", "predicted"])
-    return vec_m.token_vec_ids(vocab), tb.table(spark, d, "embeddings")
+    vectors = tb.table(spark, d, "embeddings")
+    return vec_m.token_vec_ids(vocab, vectors.agg(F.count(F.lit(1))).scalar()), vectors
 
 
 @query("embedding_match")
@@ -599,7 +602,7 @@ def q_bleu_multi_ref(spark, d):
     p = tb.pairs_conv(spark, d)
     nxt = c.where(F.col("role") == "user").select(
         F.col("conv_id").alias("n_conv"), F.col("turn").alias("n_turn"), F.col("text").alias("ref2"))
-    j = p.join(nxt, (p.conv_id == nxt.n_conv) & (nxt.n_turn == (p.pair_id % 1000) + 2), "left")
+    j = p.join(nxt, (p.conv_id == nxt.n_conv) & (nxt.n_turn == (p.pair_id % tb.PAIR_TURNS) + 2), "left")
     refs = j.select("pair_id", F.inline(F.array(
         F.struct(F.lit(0).alias("ref_id"), F.col("gold").alias("gold")),
         F.struct(F.lit(1).alias("ref_id"), F.col("ref2").alias("gold"))))).where(F.col("gold").isNotNull())

@@ -81,7 +81,8 @@ PAIRS_T = ("pairs_t", "SELECT p.pair_id, p.conv_id, p.gold, p.predicted, t.trans
 
 
 def strip(x: str) -> str:
-    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+    white = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+    return f"regexp_replace({x}, '^{white}+|{white}+$', '', 'g')"
 
 
 def vocab_ctes(pairs: str = "pairs_conv") -> list[tuple[str, str]]:
@@ -205,9 +206,9 @@ FROM pairs_conv p JOIN ov_t t ON p.pair_id = t.pair_id LEFT JOIN ov ON p.pair_id
 
 ORACLE["write_predictions_text"] = (
     with_fixtures(["pairs_conv"])
-    + f"SELECT pair_id, regexp_replace({strip('predicted')}, chr(10), ' ', 'g') AS predicted FROM pairs_conv")
+    + f"SELECT pair_id, regexp_replace({strip('predicted')}, '[\r\n]', ' ', 'g') AS predicted FROM pairs_conv")
 
-ORACLE["read_splits"] = with_fixtures(["docs_split"]) + "SELECT doc_id, lang, source, n_chars, split FROM docs_split"
+ORACLE["read_splits"] = with_fixtures(["docs_split"]) + "SELECT doc_id, text, lang, source, n_chars, split FROM docs_split"
 
 ORACLE["append_run_log"] = with_fixtures(["docs_split"]) + """
 SELECT run_id, split, metric, round(value, 6) AS value FROM (
@@ -265,7 +266,7 @@ ORACLE["prune_columns"] = with_fixtures(["pairs_conv"], *encoded_ctes()) + (
     f"{ids_str(_GM, 'global_attention_mask')}, {ids_str(_ML, 'labels')} FROM enc")
 
 ORACLE["decode_ids"] = with_fixtures(["pairs_conv"]) + (
-    f"SELECT pair_id, array_to_string({sp.tok('gold')}[1:64], ' ') AS decoded FROM pairs_conv")
+    f"SELECT pair_id, array_to_string({sp.tok('gold')}, ' ') AS decoded FROM pairs_conv")
 
 
 def _rouge_cols(alias_t: str = "t", alias_o: str = "ov") -> str:
@@ -301,7 +302,7 @@ SELECT pair_id, CASE WHEN pair_id % 7 = 0 THEN 'predicted' ELSE 'gold' END AS on
 FROM pairs_conv WHERE pair_id % 7 IN (0, 3)"""
 
 ORACLE["gen_len"] = with_fixtures(["pairs_conv"]) + (
-    f"SELECT round(avg(least(len({sp.tok('predicted')}), 32)), 6) AS gen_len FROM pairs_conv")
+    f"SELECT round(avg(len({sp.tok('predicted')})), 6) AS gen_len FROM pairs_conv")
 
 _ROUGE_RAW = ("rouge", "SELECT t.pair_id, " + ", ".join(
     f"{f_measure(f'(coalesce(ov.ov_{n}, 0) / greatest(len(t.h) - {n - 1}, 1))', f'(coalesce(ov.ov_{n}, 0) / greatest(len(t.g) - {n - 1}, 1))')} AS rouge{n}_f"
@@ -311,14 +312,14 @@ ORACLE["corpus_mean"] = with_fixtures(["pairs_conv"], *sp.overlap_sql("pairs_con
     "round(avg(rouge2_f), 6) AS corpus_rouge2_f FROM rouge")
 
 _MR_REFS = ("refs", """
-SELECT p.pair_id * 10 AS pair_id, p.gold, p.predicted FROM pairs_conv p
+SELECT p.pair_id * 2 AS pair_id, p.gold, p.predicted FROM pairs_conv p
 UNION ALL
-SELECT p.pair_id * 10 + 1, n.text, p.predicted FROM pairs_conv p
-JOIN conversations n ON n.conv_id = p.conv_id AND n.turn = p.pair_id % 1000 + 2 AND n.role = 'user'""")
+SELECT p.pair_id * 2 + 1, n.text, p.predicted FROM pairs_conv p
+JOIN conversations n ON n.conv_id = p.conv_id AND n.turn = p.pair_id % 4294967296 + 2 AND n.role = 'user'""")
 _MR = sp.overlap_sql("refs", sp.tok, (1,), name="mr")
 ORACLE["multi_reference_mean"] = with_fixtures(["pairs_conv"], _MR_REFS, *_MR) + f"""
 SELECT pair_id, count(*) AS references, round(avg(f), 6) AS mean_rouge1_f FROM (
-  SELECT CAST(floor(t.pair_id / 10) AS BIGINT) AS pair_id,
+  SELECT t.pair_id // 2 AS pair_id,
          {f_measure('(coalesce(mr.ov_1,0) / greatest(len(t.h), 1))', '(coalesce(mr.ov_1,0) / greatest(len(t.g), 1))')} AS f
   FROM mr_t t LEFT JOIN mr ON t.pair_id = mr.pair_id) GROUP BY pair_id"""
 
@@ -589,7 +590,7 @@ ORACLE["cloze_gain_lead"] = _cloze("pairs_lead")
 def vector_ctes(pairs: str) -> list[tuple[str, str]]:
     dbl = "CAST(embedding AS DOUBLE[])"
     return vocab_ctes(pairs) + token_occ_ctes(pairs, "vo") + [
-        ("vid", "SELECT token, rank % 500 AS vec_id FROM vocab"),
+        ("vid", "SELECT token, rank % (SELECT count(*) FROM embeddings) AS vec_id FROM vocab"),
         ("unit", f"SELECT vec_id, list_transform({dbl}, lambda x: x / sqrt(list_dot_product({dbl}, {dbl}))) AS u "
                  f"FROM embeddings"),
         ("pv", "SELECT o.pair_id, o.side, v.vec_id, count(*) AS n FROM vo_o o JOIN vid v ON o.token = v.token "
@@ -639,7 +640,7 @@ _MREF = ("mref", """
 SELECT p.pair_id, 0 AS ref_id, p.gold FROM pairs_conv p
 UNION ALL
 SELECT p.pair_id, 1, n.text FROM pairs_conv p
-JOIN conversations n ON n.conv_id = p.conv_id AND n.turn = p.pair_id % 1000 + 2 AND n.role = 'user'""")
+JOIN conversations n ON n.conv_id = p.conv_id AND n.turn = p.pair_id % 4294967296 + 2 AND n.role = 'user'""")
 
 
 def _bleu_multi() -> str:

@@ -41,7 +41,7 @@ def safe_div(a: str, b: str) -> str:
 
 
 PAIRS_CONV = """
-SELECT a.conv_id * 1000 + a.turn AS pair_id, a.conv_id, a.text AS gold, b.text AS predicted
+SELECT a.conv_id * 4294967296 + a.turn AS pair_id, a.conv_id, a.text AS gold, b.text AS predicted
 FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
 WHERE a.role = 'user' AND b.role = 'assistant'
 """
@@ -52,14 +52,15 @@ FROM conversations GROUP BY conv_id
 """
 
 PAIRS_LEAD = """
-SELECT doc_id AS pair_id, source AS system, substr(text, 1, 600) AS gold, substr(text, 301, 600) AS predicted
-FROM documents WHERE n_chars >= 900
+SELECT doc_id AS pair_id, source AS system, substr(text, 1, (2 * length(text) + 2) // 3) AS gold,
+       substr(text, length(text) // 3 + 1) AS predicted
+FROM documents
 """
 
 PAIRS_DOC = """
 SELECT d.doc_id AS pair_id, d.source AS system, d.lang, b.text AS gold, d.text AS predicted, d.n_chars,
        CASE WHEN CAST(substr(d.source, 4) AS INT) % 2 = 0 THEN 'A' ELSE 'B' END AS arch
-FROM documents d JOIN labels l ON d.doc_id = l.doc_id JOIN benchmark b ON b.item_id = d.doc_id % 40
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)
 """
 
 ANN_DOC = """

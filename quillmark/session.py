@@ -52,7 +52,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
-    target = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillmark-ckpt-")
+    target = sc.getConf().get("spark.checkpoint.dir")
+    if not target:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        target = tempfile.mkdtemp(prefix="quillmark-ckpt-")
     sc.setCheckpointDir(target)
     return sc.getCheckpointDir() or target
 

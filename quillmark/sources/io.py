@@ -104,14 +104,14 @@ def write_predictions_text(df: DataFrame, path: str, key: str = "pair_id",
     key travels with the line.
     """
     line = F.concat_ws("\t", F.col(key).cast("string"),
-                       F.regexp_replace(tx.strip_text(col), "\n", " "))
-    df.select(line.alias("value")).write.mode("overwrite").text(path)
+                       F.regexp_replace(tx.strip_text(col), "[\r\n]", " "))
+    df.select(line.alias("value")).write.mode("overwrite").text(path, lineSep="\n")
 
 
 def read_predictions_text(spark: SparkSession, path: str, key: str = "pair_id",
                           col: str = "predicted") -> DataFrame:
     parts = F.split(F.col("value"), "\t", 2)
-    return spark.read.text(path).select(parts.getItem(0).cast("long").alias(key),
+    return spark.read.text(path, lineSep="\n").select(parts.getItem(0).cast("long").alias(key),
                                         parts.getItem(1).alias(col))
 
 

@@ -15,10 +15,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 # Fixed values of the fixture conventions (FIXTURES.md).
-PAIRS_LEAD_MIN_CHARS = 900      # documents long enough for two windows
-PAIRS_LEAD_WINDOW = 600         # characters per window
-PAIRS_LEAD_OFFSET = 300         # predicted window starts 300 chars later
-BENCHMARK_ITEMS = 40            # benchmark passage = item doc_id % 40
+PAIR_TURNS = 2 ** 32            # pair_id = conv_id * PAIR_TURNS + turn
 LONG_DOC_CHARS = 3000           # challenge "long"
 MANY_LINES = 20                 # challenge "many_lines"
 
@@ -40,7 +37,7 @@ def pairs_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("conv_id").alias("b_conv"), F.col("turn").alias("b_turn"),
         F.col("text").alias("predicted"))
     j = a.join(b, (a.conv_id == b.b_conv) & (b.b_turn == a.turn + 1))
-    return j.select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"),
+    return j.select((F.col("conv_id") * PAIR_TURNS + F.col("turn")).alias("pair_id"),
                     "conv_id", "gold", "predicted")
 
 
@@ -56,12 +53,12 @@ def pairs_conv_with_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two overlapping 600-character windows of one document."""
+    """Two overlapping parts of each whole document: its first and its last two thirds."""
     d = table(spark, sf_dir, "documents")
-    return d.where(F.col("n_chars") >= PAIRS_LEAD_MIN_CHARS).select(
+    return d.select(
         F.col("doc_id").alias("pair_id"), F.col("source").alias("system"),
-        F.substring("text", 1, PAIRS_LEAD_WINDOW).alias("gold"),
-        F.substring("text", PAIRS_LEAD_OFFSET + 1, PAIRS_LEAD_WINDOW).alias("predicted"))
+        F.expr("substr(text, 1, cast((2 * length(text) + 2) div 3 as int))").alias("gold"),
+        F.expr("substr(text, cast(length(text) div 3 + 1 as int))").alias("predicted"))
 
 
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,16 +70,14 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pairs_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents against benchmark passages.
 
-    Only ``BENCHMARK_ITEMS`` passage keys can match, so the benchmark side is
-    filtered to them and broadcast after a size check; past the bound the
-    join is salted instead (40 join keys would otherwise put every document
-    into 40 tasks).
+    A document's passage is item ``doc_id`` modulo the number of passages (a
+    scalar subquery). The passages are broadcast after a size check; past the
+    bound the join is salted, as few keys would put all documents in few tasks.
     """
     d = labelled_documents(spark, sf_dir).select("doc_id", "source", "lang", "text", "n_chars")
-    b = table(spark, sf_dir, "benchmark").where(
-        (F.col("item_id") >= 0) & (F.col("item_id") < BENCHMARK_ITEMS)).select(
-        F.col("item_id").alias("bench_key"), F.col("text").alias("gold"))
-    d = d.withColumn("bench_key", F.col("doc_id") % BENCHMARK_ITEMS)
+    passages = table(spark, sf_dir, "benchmark")
+    b = passages.select(F.col("item_id").alias("bench_key"), F.col("text").alias("gold"))
+    d = d.withColumn("bench_key", F.col("doc_id") % passages.agg(F.count(F.lit(1))).scalar())
     j = sized_broadcast_join(d, b, ["bench_key"], "inner")
     return j.select(
         F.col("doc_id").alias("pair_id"), F.col("source").alias("system"), "lang", "gold",
