@@ -56,6 +56,15 @@ def lowered(part: Texts) -> Texts:
     return Texts(data, part.offsets, part.row)
 
 
+def _inside(codes: Codes, size: int, n: int) -> np.ndarray:
+    """Which of the first ``size`` windows of ``n`` codes lie in one document."""
+    ok = np.ones(size, bool)
+    for t in range(1, n):
+        at = codes.offsets[1:-1] - t
+        ok[at[(at >= 0) & (at < size)]] = False
+    return ok
+
+
 def recency(doc: np.ndarray, word: np.ndarray) -> np.ndarray:
     """How long ago each word was last seen in its document: 0 never, else
     1 + the binary logarithm of the distance in words."""
@@ -94,19 +103,16 @@ def hashed_features(part: Texts, bits: int, grams: tuple[int, ...],
         for t in range(shape if size > 0 else 0):
             g = g * _ODD + kinds[t:t + size]
         if size > 0:
-            at = np.searchsorted(codes.offsets, np.arange(size), side="right") - 1
-            yield at, (mix64(g) >> shift).astype(np.int64), 1
+            at = np.flatnonzero(_inside(codes, size, shape))
+            yield np.searchsorted(codes.offsets, at, side="right") - 1, (mix64(g[at]) >> shift).astype(np.int64), 1
     for n in grams:
         size = len(h) - n + 1
         if size <= 0:
             continue
-        ok = np.ones(size, bool)
+        ok = _inside(codes, size, n)
         for t in range(1, n - 1):
             ok &= ~codes.space[t:t + size]
         ok &= ~(codes.space[:size] & codes.space[n - 1:]) if n < 3 else True
-        for t in range(1, n):   # none across two documents
-            at = codes.offsets[1:-1] - t
-            ok[at[(at >= 0) & (at < size)]] = False
         at = np.flatnonzero(ok)
         g = np.full(size, np.uint64(n))
         for t in range(n):
