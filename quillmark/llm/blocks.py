@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.llm.batches import mix64
 from quillmark.llm.tables import staged
 from quillmark.operators.joins import sized_broadcast_join
 
@@ -48,3 +49,27 @@ def block_pairs(rows: DataFrame, key: str, member: str, block: int) -> DataFrame
                 .withColumn("i", F.least("b", "_o")).withColumn("j", F.greatest("b", "_o"))
                 .drop("_n", "_blocks", "_o"))
     return rows.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", member)
+
+
+def span_batches(doc, rid, lo, hi, parts: int, names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
+    """Ranges by document (and name of its text), joined where they touch or
+    overlap, as pairs of 32-bit numbers; dealt over ``parts``. ``names`` are
+    the columns of the part and of the other kind of row (null here)."""
+    if not len(doc):
+        return
+    order = np.lexsort((lo, rid, doc))
+    doc, rid, lo, hi = doc[order], rid[order], lo[order], hi[order]
+    new = np.append(True, (doc[1:] != doc[:-1]) | (rid[1:] != rid[:-1]))
+    first = np.flatnonzero(new)
+    # Far apart by document, so that one running maximum serves all.
+    far = (np.cumsum(new) - 1) * (int(hi.max()) + 1)
+    reach = np.maximum.accumulate(hi + far)
+    cut = np.append(True, (lo[1:] + far[1:] > reach[:-1]) | new[1:])
+    at = np.flatnonzero(cut)
+    pairs = np.stack([lo[at], reach[np.append(at[1:], len(lo)) - 1] - far[at]], 1).astype(np.int32)
+    bounds = np.append(np.searchsorted(at, first), len(at))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array((mix64(rid[first].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)),
+         pa.nulls(len(first), pa.binary()), pa.array(doc[first]), pa.array(rid[first]),
+         pa.array([pairs[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())],
+        names=[*names, "doc_id", "rid", "spans"])

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm.batches import BYTE_CODE, CHUNK_BYTES, Texts, chunks, mix64, prefix_sums, range_hash, window_hash
-from quillmark.llm.blocks import group_tables
+from quillmark.llm.blocks import group_tables, span_batches
 from quillmark.llm.fmindex import FMIndex
 from quillmark.llm.tables import documents, staged
 from quillmark.operators.joins import sized_broadcast_join
@@ -124,8 +124,8 @@ class _Outbox:
         same[1:] = (name1[order[1:]] == name1[order[:-1]]) & (name2[order[1:]] == name2[order[:-1]])
         lead = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
         settled = order[same & (doc[order] > doc[lead])]
-        yield from _spans(doc[settled], rid[settled], at[settled], at[settled] + n[settled] + WINDOW - 1,
-                          self.shards)
+        yield from span_batches(doc[settled], rid[settled], at[settled], at[settled] + n[settled] + WINDOW - 1,
+                                self.shards, ("shard", "pieces"))
         keep = np.ones(len(doc), bool)
         keep[settled] = False
         shard = (h % np.uint64(self.shards)).astype(np.int64)
@@ -149,21 +149,6 @@ class _Outbox:
             names=["shard", "pieces", "doc_id", "rid", "spans"])
 
 
-def _spans(doc, rid, lo, hi, shards: int) -> Iterator[pa.RecordBatch]:
-    """Word ranges by document, dealt over the shards."""
-    if not len(doc):
-        return
-    order = np.lexsort((lo, rid, doc))
-    doc, rid = doc[order], rid[order]
-    pairs = np.stack([lo[order], hi[order]], 1).astype(np.int32)
-    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (rid[1:] != rid[:-1])))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array((mix64(rid[first].astype(np.uint64)) % np.uint64(shards)).astype(np.int64)),
-         pa.nulls(len(first), pa.binary()), pa.array(doc[first]), pa.array(rid[first]),
-         pa.array([pairs[a:b].tobytes() for a, b in zip(first, np.append(first[1:], len(doc)), strict=True)], pa.binary())],
-        names=["shard", "pieces", "doc_id", "rid", "spans"])
-
-
 def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
     """Documents, texts' names, first words, sizes, anchors and text of packed pieces."""
     parts = []
@@ -275,7 +260,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
                     yield b.select(["doc_id", "rid", "spans"])
             blobs = part["pieces"].filter(there).to_pylist()
             if blobs:
-                for b in _spans(*search_shard(blobs), shards):
+                for b in span_batches(*search_shard(blobs), shards, ("shard", "pieces")):
                     yield b.select(["doc_id", "rid", "spans"])
 
     sent = docs.mapInArrow(cut_up, "shard long, pieces binary, doc_id long, rid long, spans binary")

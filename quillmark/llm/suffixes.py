@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm.batches import BYTE_CODE, Texts, chunks, mix64, prefix_sums, range_hash
-from quillmark.llm.blocks import group_tables
+from quillmark.llm.blocks import group_tables, span_batches
 from quillmark.llm.features import hash_sample
 from quillmark.llm.lcpmerge import decode_run, merge_runs
 from quillmark.llm.passages import take_ranges
@@ -125,7 +125,7 @@ class _Sorter:
         done = np.zeros(len(order), bool)
         done[order] = twice
         x = np.flatnonzero(done)
-        yield from _spans(doc[x], rid[x], at[x] - hi[x], at[x] - lo[x] + LENGTH, len(self.borders) + 1)
+        yield from span_batches(doc[x], rid[x], at[x] - hi[x], at[x] - lo[x] + LENGTH, len(self.borders) + 1, ("part", "run"))
         # One of each distinct stretch goes out, by its suffix.
         r = order[~same]
         size = (LENGTH - lo[r]).astype(np.int64)
@@ -162,28 +162,6 @@ class _Sorter:
             names=["part", "run", "doc_id", "rid", "spans"])
 
 
-def _spans(doc, rid, lo, hi, ranges: int) -> Iterator[pa.RecordBatch]:
-    """Byte ranges by document, joined where they touch, dealt over the ranges."""
-    if not len(doc):
-        return
-    order = np.lexsort((lo, rid, doc))
-    doc, rid, lo, hi = doc[order], rid[order], lo[order], hi[order]
-    new = np.append(True, (doc[1:] != doc[:-1]) | (rid[1:] != rid[:-1]))
-    first = np.flatnonzero(new)
-    # Far apart by document, so that one running maximum serves all.
-    far = (np.cumsum(new) - 1) * (int(hi.max()) + 1)
-    reach = np.maximum.accumulate(hi + far)
-    cut = np.append(True, (lo[1:] + far[1:] > reach[:-1]) | new[1:])
-    at = np.flatnonzero(cut)
-    pairs = np.stack([lo[at], reach[np.append(at[1:], len(lo)) - 1] - far[at]], 1).astype(np.int32)
-    bounds = np.append(np.searchsorted(at, first), len(at))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array((mix64(rid[first].astype(np.uint64)) % np.uint64(ranges)).astype(np.int64)),
-         pa.nulls(len(first), pa.binary()), pa.array(doc[first]), pa.array(rid[first]),
-         pa.array([pairs[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())],
-        names=["part", "run", "doc_id", "rid", "spans"])
-
-
 def _unpack(blob: bytes):
     body = zstandard.ZstdDecompressor().decompress(blob)
     docs, n = np.frombuffer(body, np.int64, 2).tolist()
@@ -291,7 +269,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
                 yield b.select(["doc_id", "rid", "spans"])
             blobs = part["run"].filter(there).to_pylist()
             if blobs:
-                for b in _spans(*search_range(blobs), ranges):
+                for b in span_batches(*search_range(blobs), ranges, ("part", "run")):
                     yield b.select(["doc_id", "rid", "spans"])
 
     sent = docs.mapInArrow(sort, "part long, run binary, doc_id long, rid long, spans binary")
