@@ -29,8 +29,11 @@ def estimated_size(df: DataFrame) -> tuple[int, int]:
     """``(rows, bytes)`` of a DataFrame, bytes estimated from its columns."""
     parts = []
     for f in df.schema.fields:
-        if isinstance(f.dataType, T.StringType):
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
             parts.append(F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)))
+        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, (T.StringType, T.BinaryType)):
+            parts.append(F.coalesce(F.aggregate(F.col(f.name), F.lit(0).cast("long"), lambda n, x: n + 16 + F.coalesce(
+                F.octet_length(x), F.lit(0))), F.lit(0)))
         elif isinstance(f.dataType, T.ArrayType):
             parts.append(F.coalesce(F.size(F.col(f.name)), F.lit(0)) * 8)
         else:

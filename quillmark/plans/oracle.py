@@ -456,7 +456,6 @@ def _chrf(pairs: str) -> str:
 
 
 ORACLE["chrf"] = _chrf("pairs_conv")
-ORACLE["chrf_lead"] = _chrf("pairs_lead")
 
 
 def token_occ_ctes(pairs: str, name: str = "mt") -> list[tuple[str, str]]:
