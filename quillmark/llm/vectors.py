@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm.batches import mix64
+from quillmark.llm.blocks import block_pairs, group_tables
 from quillmark.llm.graph import UnionFind, components
 from quillmark.llm.tables import staged, table
-from quillmark.operators.joins import sized_broadcast_join
 
 THRESHOLD = 0.9
 #: Chance that a pair exactly at the threshold meets in some table.
@@ -110,18 +110,9 @@ def find_links(classes: DataFrame, n: int, width: type = np.float32,
 
     rows = classes.select("rep", "mult", "key").mapInArrow(
         spread, "bucket long, t int, rep long, mult long, key binary")
-    big = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK)
-    rows = sized_broadcast_join(rows, staged(big, "big-buckets"), ["bucket"], "left", salt_by=["rep"])
-    blocks = F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int")
-    rows = (rows.withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-                .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-                .select("bucket", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "t", "b",
-                        "rep", "mult", "key"))
-    rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep")
+    rows = block_pairs(rows, "bucket", "rep", BLOCK)
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
         def group(part: pa.Table):
             b, rep, mult = (part[c].to_numpy() for c in ("b", "rep", "mult"))
             i, j, t = part["i"][0].as_py(), part["j"][0].as_py(), part["t"][0].as_py()
@@ -150,23 +141,9 @@ def find_links(classes: DataFrame, n: int, width: type = np.float32,
                 [pa.array(rep[at]), pa.array(links[at].astype(np.int64)), pa.array(parent, pa.int64())],
                 names=["rep", "links", "parent"])
 
-        def flush(last: bool):
-            whole = pa.Table.from_batches(held).combine_chunks()
-            cut = np.ones(whole.num_rows, bool)
-            key = [whole[c].to_numpy() for c in ("bucket", "i", "j")]
-            cut[1:] = np.any([k[1:] != k[:-1] for k in key], axis=0)
-            at = np.append(np.flatnonzero(cut), whole.num_rows)
-            for a, c in zip(at[:-1] if last else at[:-2], at[1:], strict=False):
-                if c - a > 1 and (out := group(whole.slice(a, c - a))) is not None:
-                    yield out
-            held[:] = [] if last else whole.slice(at[-2]).to_batches()
-
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                yield from flush(False)
-        if held:
-            yield from flush(True)
+        for part in group_tables(batches, ("bucket", "i", "j")):
+            if part.num_rows > 1 and (out := group(part)) is not None:
+                yield out
 
     return rows.mapInArrow(linked, "rep long, links long, parent long")
 
