@@ -38,6 +38,8 @@ HOT_WORDS, HOT_BYTES = 40_000, 48
 PAIR_PLACES, WORD_BITS = 1 << 18, 17
 WORD_PLACES = 1 << WORD_BITS
 MASK = (1 << 20) - 1
+#: Characters of a plan's text that are kept where a plan holds these tables.
+PLAN_TEXT = 20_000
 #: Two places of a pair are two parts of one product (pairs are under 2**32, so it fits 63 bits).
 SPREAD, SHIFTS = 2_654_435_761, (11, 30)
 #: No merge: larger than any rank.
@@ -206,6 +208,8 @@ def encoded(docs: DataFrame, bpe: Codec | None = None) -> DataFrame:
     in one task, in time that grows with the square of its length.
     """
     bpe = bpe or codec()
+    # The literal tables have no place in plan texts, which the driver keeps.
+    docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
     hot = bpe.hot(docs)
     return docs.select("doc_id", bpe.encode(F.col("text"), hot).alias("ids"))
 

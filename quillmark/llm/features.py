@@ -161,9 +161,7 @@ def sparse_rows(docs: DataFrame, ids: DataFrame, bits: int, grams: tuple[int, ..
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "grp", "text")
     got = rows.mapInArrow(featurise, "doc_id long, grp int, buckets binary, counts binary, words long").toArrow()
     got = got.sort_by([("doc_id", "ascending"), ("grp", "ascending")])
-    rows = [(g, np.frombuffer(b, np.uint32), np.frombuffer(c, np.float32), n)
-            for g, b, c, n in zip(got["grp"].to_pylist(), got["buckets"].to_pylist(),
-                                  got["counts"].to_pylist(), got["words"].to_pylist(), strict=True)]
-    del got
-    pa.default_memory_pool().release_unused()
-    return rows
+    # Views of the Arrow buffers: no second copy of the sample is made.
+    return [(g, np.frombuffer(b.as_buffer(), np.uint32), np.frombuffer(c.as_buffer(), np.float32), n)
+            for g, b, c, n in zip(got["grp"].to_pylist(), got["buckets"], got["counts"],
+                                  got["words"].to_pylist(), strict=True)]
