@@ -17,6 +17,9 @@ from quillmark.llm.quality import good_documents
 from quillmark.llm.secrets import redacted_documents
 from quillmark.llm.tables import documents, staged, table
 
+#: The least similarity of word shingles, in percent, at which documents are near-duplicates.
+NEAR_PERCENT = 80
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
@@ -24,8 +27,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    return first_documents(docs)
+    """One document of each near-duplicate group (similarity ``NEAR_PERCENT``) stays."""
+    return first_documents(docs, NEAR_PERCENT)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,9 @@ no task holds a large group.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,16 +37,35 @@ from quillmark.llm.graph import UnionFind, components
 from quillmark.llm.tables import documents, fresh, staged
 from quillmark.operators.joins import sized_broadcast_join
 
-#: Words a shingle, and the least similarity of a link in percent.
+#: Words a shingle, and the least similarity of a link in percent where none is given.
 SHINGLE, PERCENT = 5, 85
-#: Bands of rows: a pair at the threshold shares none of the bands once in 10**6 times.
-BANDS, ROWS = 24, 5
-SLOTS = BANDS * ROWS
-#: Equal slots from which a pair can be a link: 0.85 less 4.5 standard errors.
-AGREE = 84
+#: Slots a band, how often a pair at the threshold may share none of the bands, and
+#: standard errors under the threshold from which a pair can be a link.
+ROWS, MISS, ERRORS = 5, 1e-6, 4.5
 #: Classes a block, and members of a larger group that all its blocks have in common.
 BLOCK, COMMON = 512, 16
 
+
+
+class Scheme(NamedTuple):
+    """What follows from the least similarity of a link, in percent."""
+
+    percent: int
+    bands: int
+    slots: int
+    #: Equal slots from which a pair can be a link.
+    agree: int
+
+
+def scheme(percent: int) -> Scheme:
+    if not 0 < percent <= 100:
+        raise ValueError(f"percent must be in 1..100, not {percent}")
+    p = percent / 100
+    bands = 1 if percent == 100 else math.ceil(math.log(MISS) / math.log1p(-p ** ROWS))
+    slots = bands * ROWS
+    return Scheme(percent, bands, slots, max(0, math.floor(slots * p - ERRORS * math.sqrt(slots * p * (1 - p)))))
+
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -102,7 +123,7 @@ def super_minhash(elements: np.ndarray, bounds: np.ndarray, slots: int) -> np.nd
     return out.reshape(n, slots)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], to: Scheme) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch):
             sets, bounds = shingle_sets(part)
@@ -112,31 +133,32 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 total = np.zeros(len(sets) + 1, np.uint64)
                 np.cumsum(mix64(sets + np.uint64(seed * int(_ODD) % 2 ** 64)), out=total[1:])
                 names.append(pa.array((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)))
-            sig = mix64(super_minhash(sets, bounds, SLOTS)).astype(np.uint32)
+            sig = mix64(super_minhash(sets, bounds, to.slots)).astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(part.row, part.n), pa.array(np.diff(bounds).astype(np.int64)), *names,
-                 binaries(sig.reshape(-1), np.arange(part.n + 1) * SLOTS)],
+                 binaries(sig.reshape(-1), np.arange(part.n + 1) * to.slots)],
                 names=["doc_id", "n_shingles", "s1", "s2", "signature"])
 
 
-def _band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _band(batches: Iterator[pa.RecordBatch], to: Scheme) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, BANDS, ROWS)
-        for band in range(BANDS):
+        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, to.bands, ROWS)
+        for band in range(to.bands):
             h = np.full(len(sig), np.uint64(band + 1))
             for k in range(ROWS):
                 h = mix64(h * _ODD + sig[:, band, k])
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0)], names=["bucket", "rep"])
 
 
-def _alike(sig: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _alike(sig: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool,
+           least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each row of ``left`` the rows of ``right`` (later ones, if the sides
-    are the ``same``) whose signatures agree enough, and how much."""
+    are the ``same``) whose signatures agree in ``least`` slots, and in how many."""
     other = sig[right]
     for n, a in enumerate(left):
         lo = n + 1 if same else 0
         agree = (other[lo:] == sig[a]).sum(1)
-        at = np.flatnonzero(agree >= AGREE)
+        at = np.flatnonzero(agree >= least)
         if len(at):
             yield a, right[lo + at], agree[at]
 
@@ -146,21 +168,21 @@ def _forest_batch(sets: UnionFind) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _candidates(batches: Iterator[pa.RecordBatch], to: Scheme) -> Iterator[pa.RecordBatch]:
     """A forest of the pairs of each bucket whose signatures agree enough."""
     for part in group_tables(batches, ("bucket", "i", "j")):
         if part.num_rows < 2:
             continue
         sets, (b, rep) = UnionFind(), (part[c].to_numpy() for c in ("b", "rep"))
-        sig = np.frombuffer(b"".join(part["signature"].to_pylist()), np.uint32).reshape(-1, SLOTS)
+        sig = np.frombuffer(b"".join(part["signature"].to_pylist()), np.uint32).reshape(-1, to.slots)
         i, j = part["i"][0].as_py(), part["j"][0].as_py()
-        for a, found, _ in _alike(sig, np.flatnonzero(b == i), np.flatnonzero(b == j), i == j):
+        for a, found, _ in _alike(sig, np.flatnonzero(b == i), np.flatnonzero(b == j), i == j, to.agree):
             for c in rep[found].tolist():
                 sets.union(int(rep[a]), c)
         yield _forest_batch(sets)
 
 
-def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _resolve(batches: Iterator[pa.RecordBatch], to: Scheme) -> Iterator[pa.RecordBatch]:
     """A forest of the links between the two sides of each dealt group:
     ``side`` 0 against 1, 2 among themselves and against the rest. ``c`` is
     the component of a member so far."""
@@ -171,19 +193,19 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets.union(r, c)
         elements = [np.frombuffer(x.as_buffer(), np.uint64) for x in part["elements"].combine_chunks()]
         sizes = np.array([len(x) for x in elements])
-        sig, ends = np.empty((len(rep), SLOTS), np.uint64), np.cumsum(sizes)
+        sig, ends = np.empty((len(rep), to.slots), np.uint64), np.cumsum(sizes)
         lo = 0
         while lo < len(rep):   # some members at a time: their sets may be long
             hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - sizes[lo] + CHUNK_BYTES // 8, side="right")))
-            sig[lo:hi] = super_minhash(np.concatenate(elements[lo:hi]), np.append(0, np.cumsum(sizes[lo:hi])), SLOTS)
+            sig[lo:hi] = super_minhash(np.concatenate(elements[lo:hi]), np.append(0, np.cumsum(sizes[lo:hi])), to.slots)
             lo = hi
         if (side == 2).all():
             left = right = np.arange(len(rep))
         else:
             left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         pairs = []
-        for a, found, agree in _alike(sig, left, right, left is right):
-            fits = 100 * np.minimum(sizes[a], sizes[found]) >= PERCENT * np.maximum(sizes[a], sizes[found])
+        for a, found, agree in _alike(sig, left, right, left is right, to.agree):
+            fits = 100 * np.minimum(sizes[a], sizes[found]) >= to.percent * np.maximum(sizes[a], sizes[found])
             pairs.append(np.stack([agree[fits], np.full(fits.sum(), a), found[fits]], 1))
         pairs = np.concatenate(pairs) if pairs else np.zeros((0, 3), np.int64)
         linked = UnionFind()
@@ -192,7 +214,7 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if sets.find(p) == sets.find(q):
                 continue
             both = len(np.intersect1d(elements[a], elements[c], assume_unique=True))
-            if 100 * both >= PERCENT * (sizes[a] + sizes[c] - both):
+            if 100 * both >= to.percent * (sizes[a] + sizes[c] - both):
                 sets.union(p, q)
                 linked.union(p, q)
         yield _forest_batch(linked)
@@ -206,7 +228,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              names=["rep", "grp", "elements"])
 
 
-def links(docs: DataFrame, groups: DataFrame) -> DataFrame:
+def links(docs: DataFrame, groups: DataFrame, to: Scheme) -> DataFrame:
     """``node, component`` of the classes in ``groups`` (``rep, grp``), by links on full sets."""
     rows = sized_broadcast_join(docs.select("doc_id", "text"), groups.withColumnRenamed("rep", "doc_id"), ["doc_id"])
     sets = staged(rows.select("doc_id", "grp", "text").mapInArrow(_sets, "rep long, grp long, elements binary"), "sets")
@@ -220,7 +242,7 @@ def links(docs: DataFrame, groups: DataFrame) -> DataFrame:
                                             .otherwise(F.array(own))))
              .select("grp", "i", F.lit(0).alias("j"), "rep", F.lit(2).alias("side"), F.col("rep").alias("c"), "elements")
              .repartition("grp", "i").sortWithinPartitions("grp", "i", "rep"))
-    edges = staged(first.mapInArrow(_resolve, "a long, b long"), "links")
+    edges = staged(first.mapInArrow(lambda b: _resolve(b, to), "a long, b long"), "links")
     stars = components(edges)
     # What a large group has outside its largest component meets all its blocks.
     large = sets.where(F.col("n") > BLOCK).join(stars.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
@@ -238,13 +260,16 @@ def links(docs: DataFrame, groups: DataFrame) -> DataFrame:
     columns = ["grp", "i", "j", "rep", "side", "c", "elements"]
     second = (left.select(*columns).unionByName(right.select(*columns))
               .repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "rep"))
-    more = staged(second.mapInArrow(_resolve, "a long, b long"), "more-links")
+    more = staged(second.mapInArrow(lambda b: _resolve(b, to), "a long, b long"), "more-links")
     return components(edges.unionByName(more))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
+    Documents link from a similarity of ``percent`` on; the bands and the
+    agreement of signatures follow from it.
+
     Null and empty texts and texts without words have the empty set, link
     with nothing and are kept. Texts with fewer words than a shingle have one
     element, their whole sequence. Equal sets link (their similarity is 1);
@@ -252,21 +277,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     document, and rows without an id join no group but that of an equal set. An empty table gives no rows; other
     columns are not read.
     """
+    to = scheme(percent)
     signed = staged(docs.select("doc_id", "text").mapInArrow(
-        _sign, "doc_id long, n_shingles long, s1 long, s2 long, signature binary"), "signed")
+        lambda b: _sign(b, to), "doc_id long, n_shingles long, s1 long, s2 long, signature binary"), "signed")
     name = ["n_shingles", "s1", "s2"]
     classes = staged(signed.where("n_shingles > 0").groupBy(*name).agg(
         F.min("doc_id").alias("rep"), F.first("signature").alias("signature")).where(
             F.col("rep").isNotNull()), "classes")
-    rows = classes.select("rep", "signature").mapInArrow(_band, "bucket long, rep long")
+    rows = classes.select("rep", "signature").mapInArrow(lambda b: _band(b, to), "bucket long, rep long")
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     members = staged(rows.join(shared, "bucket"), "members")
     # Signatures travel only to the buckets that have company.
     members = members.join(classes.select("rep", "signature"), "rep")
-    near = components(block_pairs(members, "bucket", "rep", BLOCK).mapInArrow(_candidates, "a long, b long"))
+    near = components(block_pairs(members, "bucket", "rep", BLOCK).mapInArrow(
+        lambda b: _candidates(b, to), "a long, b long"))
     groups = staged(near.select(F.col("node").alias("rep"), F.col("component").alias("grp")).unionByName(
         near.select(F.col("component").alias("rep"), F.col("component").alias("grp")).distinct()), "groups")
-    stars = links(docs, groups)
+    stars = links(docs, groups, to)
     of_class = classes.join(stars, F.col("rep") == F.col("node"), "left").select(
         *name, F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", *name).join(of_class, name, "left")
@@ -274,12 +301,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
-def first_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept: one document of each group."""
+def first_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that are kept: one document of each group of similarity ``percent``."""
     name = fresh(docs, "kept_id")
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias(name)).distinct()
+    kept = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias(name)).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name))).drop(name)
 
 
 def op2_minhash(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir), 85)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillmark.llm import catalog, quality, toxicity, vectors
+from quillmark.llm import catalog, minhash, quality, toxicity, vectors
 from quillmark.llm.graph import UnionFind
 
 from .conftest import fold, prose
@@ -123,6 +123,32 @@ def test_pipeline_stages_keep_columns(spark, docs, no_docs):
             out.count()
 
 
+def test_pipeline_keeps_one_of_each_group_at_80(spark):
+    """The stage's ids against brute force, with pairs on both sides of 0.80 and up to 0.85."""
+    base = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join(base))]
+    for k in range(2, 12):   # k - 1 changed words, 5 shingles each: from 0.975 down to 0.775
+        words = list(base)
+        for c in range(k - 1):
+            words[7 + c * 35 + k] = f"n{k}x{c}"
+        rows.append((k, " ".join(words)))
+    # Apart from those: pairs of 100 words that share 0.81 and 0.79 of their shingles.
+    for first, n in ((100, 10), (200, 11)):
+        text = [f"t{first}y{i}" for i in range(100)]
+        rows += [(first, " ".join(text)), (first + 1, " ".join(text[:-n] + [f"z{first}y{i}" for i in range(n)]))]
+    sets = {i: {tuple(w[k:k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    share = {(a, b): 100 * len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    assert any(80 <= x < 85 for x in share.values()) and any(75 < x < 80 for x in share.values())
+    groups = UnionFind()
+    for (a, b), x in share.items():
+        if x >= 80:
+            groups.union(a, b)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({groups.find(i) for i in sets})
+    assert minhash.scheme(85) == (85, 24, 120, 84)
+
+
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE))
 def test_oracles(spark, name):
     import duckdb
