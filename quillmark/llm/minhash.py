@@ -34,7 +34,7 @@ from quillmark.llm.batches import BYTE_CODE, CHUNK_BYTES, binaries, chunks, mix6
 from quillmark.llm.blocks import block_pairs, group_tables
 from quillmark.llm.features import lowered
 from quillmark.llm.graph import UnionFind, components
-from quillmark.llm.tables import documents, fresh, staged
+from quillmark.llm.tables import documents, named_rows, staged
 from quillmark.operators.joins import sized_broadcast_join
 
 #: Words a shingle, and the least similarity of a link in percent where none is given.
@@ -302,10 +302,19 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def first_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that are kept: one document of each group of similarity ``percent``."""
-    name = fresh(docs, "kept_id")
-    kept = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name))).drop(name)
+    """One row of each group of similarity ``percent``: that of its smallest id
+    (null last; rows with one id by a hash of their columns).
+
+    Every row is a document of its own here, whatever id it shares or lacks;
+    rows without words are each kept.
+    """
+    named, row, content = named_rows(docs)
+    found = near_duplicates(named.select(F.col(row).alias("doc_id"), "text"), percent).select(
+        F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", content, F.col(row).alias("row"))
+    kept = named.select("doc_id", content, row).join(found, F.col(row) == F.col("_row")).groupBy("component_id").agg(
+        F.min(order).alias("first")).select(F.col("first.row").alias(row))
+    return named.join(kept, row, "left_semi").drop(row, content).select(docs.columns)
 
 
 def op2_minhash(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.tables import fresh, staged
+from quillmark.llm.tables import fresh, named_rows, staged
 
 #: The separator of words: space and the five ASCII controls 0x09-0x0D.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -72,14 +72,16 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS,
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS,
-        seed: int = 0) -> DataFrame:
+        seed: int = 0, ties: Sequence[str] = ()) -> DataFrame:
     """``doc_id, source, size, source_size, target, taken`` for every row.
 
+    The columns ``ties`` follow in the order, and are returned as well.
+
     ``taken`` is the number of words the mix takes from the row: ``epochs``
     times its size, plus what of it lies before the cut of the last, partial
     epoch. The taken words of a source add up to its target rounded down, and
     never pass ``max_epochs`` times a row's size. The order depends on
-    ``doc_id``, ``size`` and ``seed`` only, so reruns agree.
+    ``doc_id``, ``size``, ``seed`` and ``ties`` only, so reruns agree.
 
     Null text counts 0 words and takes 0. Null or repeated ids are rows of
     their own: rows equal in (source, key, doc_id, size) are interchangeable,
@@ -89,7 +91,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX
     slim = staged(docs.select(
         "doc_id", "source", word_count(F.col("text")).alias("size"),
         F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
-                                   F.lit(f":{seed}"))), 1, KEY_HEX).alias("_key")), "mix")
+                                   F.lit(f":{seed}"))), 1, KEY_HEX).alias("_key"), *ties), "mix")
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n"))
     targets = source_targets(sizes.select("source", "source_size"), weights, max_epochs)
     targets = targets.join(sizes.select(F.col("source").alias("_s"), "_n"),
@@ -107,7 +109,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX
     offsets = cells.withColumn("_offset", F.coalesce(F.sum("_in_range").over(
         Window.partitionBy("_src").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0))).select(F.col("_src").alias("_osrc"), F.col("_range").alias("_orange"), "_offset")
-    inside = (Window.partitionBy("_src", "_range").orderBy("_key", "doc_id", "size")
+    inside = (Window.partitionBy("_src", "_range").orderBy("_key", "doc_id", "size", *ties)
               .rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(offsets, F.col("_src").eqNullSafe(F.col("_osrc"))
@@ -115,7 +117,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX
     rest = F.floor(F.col("target")).cast("long") - F.col("_epochs") * F.col("source_size")
     part = F.least(F.col("size"), F.greatest(F.lit(0), rest - F.col("_offset") - F.col("_before")))
     return rows.select("doc_id", "source", "size", "source_size", "target",
-                       (F.col("_epochs") * F.col("size") + part).cast("long").alias("taken"))
+                       (F.col("_epochs") * F.col("size") + part).cast("long").alias("taken"), *ties)
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS,
@@ -126,12 +128,15 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS,
     source's cut appears once more with its leading words (joined by one
     space, ``n_chars`` counted anew) so that the budget is met to the word.
     Documents without words are in no budget and pass once. Rows not taken go.
-    ``doc_id`` is taken to be unique here.
+    Rows that share an id, or have none, are rows of their own: the mix comes
+    back to each by a row name of its own. Ties in the mix's order go by a hash of the
+    row's columns, so that the cut doesn't depend on where rows stand.
     """
-    key, size, taken, words = (fresh(docs, c) for c in ("mix_id", "mix_size", "mix_taken", "mix_words"))
-    mixed = mix(docs, weights, max_epochs, seed).select(
-        F.col("doc_id").alias(key), F.col("size").alias(size), F.col("taken").alias(taken))
-    rows = docs.join(mixed, F.col("doc_id").eqNullSafe(F.col(key)))
+    key, size, taken, words = (fresh(docs, c) for c in ("mix_row", "mix_size", "mix_taken", "mix_words"))
+    named, row, content = named_rows(docs)
+    mixed = mix(named, weights, max_epochs, seed, (content, row)).select(
+        F.col(row).alias(key), F.col("size").alias(size), F.col("taken").alias(taken))
+    rows = named.join(mixed, F.col(row) == F.col(key))
     whole = F.when(F.col(size) == 0, F.lit(1)).otherwise(F.floor(F.col(taken) / F.col(size)))
     part = F.when(F.col(size) == 0, F.lit(0)).otherwise(F.col(taken) % F.col(size))
     copies = F.concat(F.array_repeat(F.col(size), whole.cast("int")),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillmark.session import ensure_checkpoint_dir
 
@@ -27,6 +28,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def named_rows(df: DataFrame) -> tuple[DataFrame, str, str]:
+    """``df`` staged with a unique number per row and a hash of the row's
+    columns (the same wherever the row stands), and the names of those two."""
+    row, content = fresh(df, "row_name"), fresh(df, "row_content")
+    out = df.withColumn(content, F.xxhash64(*df.columns)).withColumn(row, F.monotonically_increasing_id())
+    return staged(out, "named-rows"), row, content
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` doesn't have."""
     taken = {c.lower() for c in df.columns}

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillmark.llm import catalog, minhash, quality, toxicity, vectors
+from quillmark.llm import catalog, minhash, mixing, quality, toxicity, vectors
 from quillmark.llm.graph import UnionFind
 
 from .conftest import fold, prose
@@ -149,6 +149,33 @@ def test_pipeline_keeps_one_of_each_group_at_80(spark):
     assert minhash.scheme(85) == (85, 24, 120, 84)
 
 
+def test_pipeline_rows_with_repeated_and_null_ids(spark):
+    """Shared and missing ids: one row of each group stays, and the mix takes its words once."""
+    copy, other = prose(31, 80), prose(32, 90)
+    rows = [(1, copy, "a"), (1, copy, "b"), (1, other, "a"), (2, copy, "a"), (None, copy, "a"),
+            *[(None, prose(40 + i, 60 + i), "ab"[i % 2]) for i in range(6)], (None, prose(40, 60), "a"),
+            (None, other, "b"), (7, prose(60, 50), "b"), (7, prose(61, 50), "b"), (None, None, None), (7, "", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
+    assert sorted(str(r["text"]) for r in kept) == sorted(
+        str(t) for t in [*{t for _, t, _ in rows if t}, None, ""])
+    assert {r["doc_id"] for r in kept if r["text"] in (copy, other)} == {1}
+
+    def words(found):
+        out = {}
+        for r in found:
+            out[r["source"]] = out.get(r["source"], 0) + len((r["text"] or "").split())
+        return out
+
+    taken = {}
+    for r in mixing.mix(docs).collect():
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+    mixed = corpus_pipeline.mix_sources(spark, docs, SF).collect()
+    assert words(mixed) == taken
+    again = corpus_pipeline.mix_sources(spark, docs.orderBy(F.length("text")).coalesce(1), SF).collect()
+    assert sorted(map(str, again)) == sorted(map(str, mixed))
+
+
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE))
 def test_oracles(spark, name):
     import duckdb
