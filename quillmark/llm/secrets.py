@@ -1,18 +1,24 @@
 """Secret scan: fixed patterns, and zstandard novelty of strings in a sensitive context.
 
 Beside the three fixed kinds, every unbroken string of 16 or more characters
-that follows a sensitive word on its line is a candidate. What it says that
+that follows a sensitive word is a candidate: up to the end of its line, over
+the lines of a private key's block, and over the lines below a name that ends
+its line without a value. What it says that
 its surroundings don't is measured by compression: a zstandard compressor is
 primed with a dictionary (names that code is full of, then the text around
 the candidate without the candidate), and the candidate's marginal size is
 what its own bytes add to an empty frame. A name, a word or a path that the
 surroundings or the dictionary already hold costs a few bytes; a random
 string costs nearly its own information. Candidates whose marginal bits a
-character pass the threshold are reported as kind ``novel``.
+character pass the threshold are reported as kind ``novel``. A string of one
+kind of letter is too short for a frame of its own to tell a word from random
+letters: its marginal size is taken behind common words, names and the
+surroundings in one frame, whose statistics of letters it shares.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -35,11 +41,20 @@ HEX = re.compile(rb"[0-9a-f]{32,}")
 
 # Fixed values of the method.
 SENSITIVE = re.compile(
-    rb"(?i:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential"
-    rb"|auth(?:orization)?|bearer|signature|client[_-]?id|connection[_-]?string)")
+    rb"(?i:passw(?:or)?d|passwd|pwd|secret|token|api[\x20_-]?key|access[\x20_-]?key|private[\x20_-]?key|credential"
+    rb"|auth(?:orization)?|bearer|signature|client[\x20_-]?id|connection[\x20_-]?string)")
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=~-]{16,}")
-#: A name or word of one kind of letter (one leading capital, joiners allowed) is no candidate.
+#: A string of one kind of letter (one leading capital, joiners allowed), like a name or word.
 WORDLIKE = re.compile(rb"[+/_=~-]*(?:[A-Z]?[a-z]+|[A-Z]+)(?:[+/_=~-]+(?:[A-Z]?[a-z]+|[A-Z]+))*[+/_=~-]*")
+JOINERS = re.compile(rb"[+/_=~-]+")
+#: A line that ends in a name without a value: the characters of a name, and what may open a value below it.
+NAME = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.-"
+OPENERS = b" \t\r|>+\\\"'{[(-"
+SPACES = re.compile(rb"[ \t\r]*+")
+#: The line that opens a private key's block, and the lines of a block that nothing closes.
+BEGIN = re.compile(rb"-----BEGIN [A-Z0-9 ]*\Z")
+KEY_BLOCK = re.compile(rb"(?i:private[ _-]?key)(?: BLOCK)?-----")
+KEY_LINE = re.compile(rb"[ \t]*+(?:[A-Za-z0-9-]++:[ ][^\n]*+|[A-Za-z0-9+/=]*+)[ \t\r]*+")
 #: In lower case, a text without any of these has no match of the pattern: a cheap first look.
 ASSIGN_STEMS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 SENSITIVE_STEMS = (b"passw", b"pwd", b"secret", b"token", b"key", b"credential", b"auth", b"bearer",
@@ -53,12 +68,36 @@ IDENTIFIERS = b" ".join([
     b"integer boolean value values key keys name names path paths file files directory http https",
     b"localhost example.com www index main test tests request response session connection database",
     b"abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0123456789abcdef"])
+#: Names, common words and endings, in parts; primes the letters of strings of one kind.
+LANGUAGE = (
+    JOINERS.sub(b" ", IDENTIFIERS[:IDENTIFIERS.index(b"abcdefg")]),
+    b"the of and to in is that for it as was with be by on not he his but at are this have from or had an "
+    b"they which one you were all her she there would their we him been has when who will no more if out "
+    b"so up said what its about than into them can only other time new some could these two may first then "
+    b"do any like my now over such our man me even most made after also did many off before must well back "
+    b"through years where much your way down should because long each just state people those how too",
+    b"little good world make very year still see own work men day get here old life both between being "
+    b"under three never know same last another while us might great go come since against right came take "
+    b"used himself few house use place during without again home around small however found mrs part "
+    b"school thought went say general once upon war every does got united left number course until always "
+    b"away something fact water though less public put think almost hand enough far took head yet "
+    b"government system better set told nothing night end why called find going look asked later knew "
+    b"point next program city business group second",
+    b"example message account service server client user data name file list item order page view model "
+    b"table event option value field index query state local remote cache buffer stream thread process "
+    b"worker handler manager factory builder provider controller helper util parser reader writer loader "
+    b"module package version number address company tion ation ition ational able ible ing ings ment ness "
+    b"less ful ously ous ive ative ity ally ence ance ent ant ist ism ize ized ise er ers ing est ed ly th "
+    b"ther erable tional entation ering ingly ifying ification pre pro con com dis un in re sub trans "
+    b"inter over under micro auto multi",
+)
 #: Bytes around a candidate that prime its compressor, on either side.
 AROUND = 2048
-#: A sensitive word stands at most so many bytes before its candidate, on the same line.
-REACH = 64
 #: Marginal bits a character from which a string counts as incompressible, and the least bytes.
 MIN_BITS, MIN_BYTES = 4.0, 14
+#: The same bits for strings of one kind of letter (random ones cost about 5.4, words 3 to 4.5),
+#: and the orders of the words before them over which they are averaged: a frame's size is whole bytes.
+LETTER_BITS, TURNS = 4.55, 4
 
 FOUND = ("doc_id long, n_assign long, n_access long, n_hex long, n_novel long, "
          "base_sha256 string, spans string")
@@ -74,6 +113,82 @@ def marginal_bytes(candidate: bytes, around: bytes) -> int:
     return len(comp.compress(candidate)) - len(comp.compress(b""))
 
 
+def letter_bytes(candidate: bytes, around: bytes) -> float:
+    """What the letters of ``candidate`` add to one frame of common words and
+    ``around``, on average over the orders of the words."""
+    comp = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters.from_level(
+        19, min_match=3, window_log=17, write_content_size=False, write_checksum=False, write_dict_id=False))
+    letters, end = (JOINERS.sub(b" ", x.lower()) for x in (candidate, b"\n" + around + b"\n"))
+    total = 0
+    for k in range(TURNS):
+        before = b"\n".join([*LANGUAGE[k:], *LANGUAGE[:k]]) + end
+        total += len(comp.compress(before + letters)) - len(comp.compress(before))
+    return total / TURNS
+
+
+def is_novel(candidate: bytes, around: bytes) -> bool:
+    if WORDLIKE.fullmatch(candidate):
+        return 8 * letter_bytes(candidate, around) >= LETTER_BITS * len(candidate)
+    n = marginal_bytes(candidate, around)
+    return n >= MIN_BYTES and 8 * n >= MIN_BITS * len(candidate)
+
+
+class _Contexts:
+    """Where the context of each sensitive word ends, asked in the order of the text."""
+
+    def __init__(self, text: bytes):
+        self.text, self.end, self.name, self.close, self.value = text, -1, -1, -1, -1
+
+    def line_end(self, at: int) -> int:
+        end = self.text.find(b"\n", at)
+        return len(self.text) if end < 0 else end
+
+    def depth(self, start: int, end: int) -> int:
+        """Leading spaces of a line; -1 if it is blank."""
+        n = SPACES.match(self.text, start, end).end()
+        return -1 if n == end else n - start
+
+    def context_end(self, word: int, at: int) -> int:
+        """One past the context of the sensitive word at [word, at)."""
+        if self.end < at:   # a new line: where its last name begins, if that has no value
+            self.end = self.line_end(at)
+            rest = self.text[at:self.end].rstrip(OPENERS)
+            named = rest.endswith((b":", b"="))
+            self.name = at + len(rest.rstrip(b":=").rstrip(b" \t").rstrip(b"\"'])").rstrip(NAME)) if named else self.end + 1
+        if KEY_BLOCK.match(self.text, word) and BEGIN.search(self.text, max(0, word - 48), word):
+            return self.block_end(at)
+        return self.value_end(word) if at >= self.name else self.end
+
+    def block_end(self, at: int) -> int:
+        """The block's closing line; without one, past the lines that look like a key's."""
+        if self.close < at:
+            close = self.text.find(b"-----END", at)
+            self.close = len(self.text) + 1 if close < 0 else close
+        if self.close < len(self.text) and self.text.find(b"-----BEGIN", at, self.close) < 0:
+            return self.close
+        end = self.end
+        while end < len(self.text):
+            after = self.line_end(end + 1)
+            if not KEY_LINE.fullmatch(self.text, end + 1, after):
+                break
+            end = after
+        return end
+
+    def value_end(self, word: int) -> int:
+        """Past the next line that isn't blank and the lines below it that are deeper than the name's."""
+        if self.end < self.value:   # inside the lines of a value already
+            return self.value
+        depth, end, found = self.depth(self.text.rfind(b"\n", 0, word) + 1, self.end), self.end, False
+        while end < len(self.text):
+            after = self.line_end(end + 1)
+            deep = self.depth(end + 1, after)
+            if found and deep <= depth:
+                break
+            found, end = found or deep >= 0, after
+        self.value = end
+        return end
+
+
 def base_spans(text: bytes) -> list[tuple[int, int, int]]:
     """(start, kind, end) in bytes of the fixed patterns."""
     out, low = [], text.lower()
@@ -90,19 +205,24 @@ def novel_spans(text: bytes, base: list[tuple[int, int, int]]) -> list[tuple[int
     out, done, low = [], 0, text.lower()
     if not any(x in low for x in SENSITIVE_STEMS):
         return out
+    contexts, starts, ends = _Contexts(text), [], []
+    for s, _, e in base:   # joined where they overlap
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
     for m in SENSITIVE.finditer(text):
-        line_end = text.find(b"\n", m.end())
-        stop = min(len(text) if line_end < 0 else line_end, m.end() + REACH)
-        for c in CANDIDATE.finditer(text, max(m.end(), done)):
-            if c.start() >= stop:
-                break
-            done = c.end()
-            if WORDLIKE.fullmatch(c.group()) or any(s < c.end() and c.start() < e for s, _, e in base):
+        stop = contexts.context_end(m.start(), m.end())
+        start, done = max(m.end(), done), max(stop, done)
+        # A context ends at a line's end or before the dashes of a block's: no candidate is cut.
+        for c in CANDIDATE.finditer(text, start, max(start, stop)):
+            k = bisect.bisect_right(ends, c.start())
+            if k < len(ends) and starts[k] < c.end():
                 continue
             around = text[max(0, c.start() - AROUND):c.start()] + b" " + text[c.end():c.end() + AROUND]
             around = around.replace(c.group(), b" ")   # a secret written twice doesn't vouch for itself
-            n = marginal_bytes(c.group(), around)
-            if n >= MIN_BYTES and 8 * n >= MIN_BITS * len(c.group()):
+            if is_novel(c.group(), around):
                 out.append((c.start(), 3, c.end()))
     return out
 

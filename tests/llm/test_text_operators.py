@@ -182,6 +182,39 @@ def test_secret_novelty():
     assert secrets.marginal_bytes(b"aB3dE5gH7jK9mN1pQ3", b"x = aB3dE5gH7jK9mN1pQ3;") < secrets.MIN_BYTES
 
 
+def test_secret_contexts():
+    """Key blocks, values on the next lines, long lines and letters of one kind."""
+    rng = np.random.default_rng(7)
+
+    def draw(letters, n):
+        return "".join(rng.choice(list(letters), n))
+
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    mixed = lower + upper + "0123456789"
+
+    def novel(text):
+        return [text[s:e] for s, _, e in secrets.scan(text.encode())[1]]
+
+    body = [draw(mixed, 64) for _ in range(6)]
+    for kind in ("PRIVATE KEY", "OPENSSH PRIVATE KEY", "RSA PRIVATE KEY"):
+        block = f"-----BEGIN {kind}-----\n" + "\n".join(body)
+        after = "\nordinary words about nothing " + draw(mixed, 30)
+        assert novel(f"text\n{block}\n-----END {kind}-----{after}") == body
+        assert novel(f"text\n{block}{after}") == body   # never closed
+    value = draw(mixed, 32)
+    for text in (f"client_secret:\n    {value}\n", f"client_secret: |\n\n  {value}\nother: 1", f'"token" =>\n"{value}"',
+                 f"auth:\n  user: me\n  value: {value}\nplain: {draw(mixed, 24)}"):
+        assert novel(text) == [value], text
+    assert novel(f"client_secret: none\nplain: {value}") == []
+    far = "connection_string=DefaultEndpointsProtocol=https;" + "Name=app;" * 30 + f"AccountKey={value};x=1\n{draw(mixed, 24)}"
+    assert novel(far)[-1].endswith(value)
+    letters = [draw(kind, n) for kind in (lower, upper) for n in (20, 24, 32, 40) for _ in range(5)]
+    found = [novel(f"the header is bearer {x} as before") for x in letters]
+    assert all(got in ([], [x]) for got, x in zip(found, letters, strict=True)) and sum(map(bool, found)) >= 36
+    for x in ("internationalization", "authentication-manager", "SOME_LONG_CONSTANT_NAME", "responsibilities/of/the/owner"):
+        assert novel(f"the auth is {x} as before") == []
+
+
 def test_host_rules(docs, no_docs, fixture_rows):
     got = by_id(hosts.judged(docs))
     for i, t, *_ in fixture_rows:
