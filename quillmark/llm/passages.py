@@ -13,6 +13,12 @@ where it can match, not in every shard.
 A piece that also begins, word for word, in a smaller document of the same
 batch is settled there and isn't sent: thousands of copies of one passage send
 a few. In a shard, a piece whose anchor is in one document only can't match.
+
+A triple with more pieces than a task should hold is split: its windows are
+dealt by their own 128-bit hash instead, and the smallest document of each is
+found first in the batch, then in the shard. Which triples are that common is
+counted beforehand, on some of the documents if there are many; the result is
+the same whichever way a triple goes.
 """
 
 from __future__ import annotations
@@ -37,6 +43,9 @@ from quillmark.operators.joins import sized_broadcast_join
 WINDOW, ANCHOR = 13, 3
 #: Text bytes a shard, on average, before its pieces' overlap, and text bytes cut before they are sent.
 SHARD_BYTES, SEND_BYTES = 2 << 20, 8 << 20
+#: Pieces of an anchor in all documents from which its windows are dealt by their own hash,
+#: and text bytes (of documents chosen by hash) in which pieces are counted.
+HOT_PIECES, COUNT_BYTES = 1 << 14, 128 << 20
 _TOP = np.uint64(2 ** 64 - 1)
 
 
@@ -88,15 +97,50 @@ def cut(code: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return at[first], at[last] + 1, anchor[first], best[first]
 
 
+def hot_anchors(docs: DataFrame, total: int) -> np.ndarray:
+    """Hashes, in order, of the anchors with about ``HOT_PIECES`` pieces or more (at
+    most one for each ``HOT_PIECES`` pieces there are)."""
+    share = max(1, min(-(-total // COUNT_BYTES), HOT_PIECES // 32))   # a common one is met 32 times and more
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "rid"), F.lit(share)) == 0) if share > 1 else docs
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            anchor, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
+            often = n > 1   # a common anchor comes again within so many bytes
+            return pa.RecordBatch.from_arrays([pa.array(anchor[often].view(np.int64)), pa.array(n[often])], names=["anchor", "n"])
+
+        for batch in batches:
+            for part in chunks(batch):
+                _, _, doc, code = word_codes(part)
+                held.append(cut(code, doc)[3])
+                size += len(part.data)
+                if size >= SEND_BYTES:
+                    yield out()
+                    held, size = [], 0
+        yield out()
+
+    counted = some.select("text").mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    found = counted.where(F.col("n") >= max(2, HOT_PIECES // share)).select("anchor").toArrow()
+    return np.sort(found["anchor"].to_numpy().astype(np.int64).view(np.uint64))
+
+
+def is_in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
 class _Outbox:
-    """Pieces of some documents, by shard."""
+    """Pieces of some documents, by shard; windows of the ``hot`` anchors, by shard."""
 
-    def __init__(self, shards: int):
-        self.shards = shards
+    def __init__(self, shards: int, hot: np.ndarray):
+        self.shards, self.hot = shards, hot
         self.clear()
 
     def clear(self):
-        self.parts, self.bytes = [], 0
+        self.parts, self.windows, self.bytes = [], [], 0
 
     def add(self, part: Texts, ids: np.ndarray, rids: np.ndarray) -> None:
         self.bytes += len(part.data)
@@ -104,14 +148,47 @@ class _Outbox:
         lo, hi, anchor, h = cut(code, doc)
         if not len(lo):
             return
-        stop = hi + WINDOW - 1
         bounds = part.bounds(doc)
-        names = [range_hash(prefix_sums(mix64(code + np.uint64(k))), lo, stop) for k in (1, 2)]
+        prefixes = [prefix_sums(mix64(code + np.uint64(k))) for k in (1, 2)]
+        if (hot := is_in(h, self.hot)).any():
+            n = (hi - lo)[hot]
+            at = np.repeat(lo[hot] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            self.windows.append((ids[doc[at]], rids[doc[at]], at - bounds[doc[at]],
+                                 *[range_hash(x, at, at + WINDOW) for x in prefixes]))
+            lo, hi, anchor, h = (x[~hot] for x in (lo, hi, anchor, h))
+        if not len(lo):
+            return
+        stop = hi + WINDOW - 1
+        names = [range_hash(x, lo, stop) for x in prefixes]
         a, b = start[lo], end[stop - 1]
         self.parts.append((ids[doc[lo]], rids[doc[lo]], lo - bounds[doc[lo]], hi - lo, anchor - lo, h, *names,
                            b - a, take_ranges(part.data, a, b)))
 
+    def send_windows(self) -> Iterator[pa.RecordBatch]:
+        """Windows of hot anchors, without those that a smaller document of the batch has (they are settled)."""
+        if not self.windows:
+            return
+        doc, rid, at, name1, name2 = (np.concatenate(c) for c in zip(*self.windows, strict=True))
+        self.windows = []
+        later = after_least(doc, name1, name2)
+        yield from span_batches(doc[later], rid[later], at[later], at[later] + WINDOW, self.shards, ("shard", "pieces"))
+        rows = np.flatnonzero(~later)
+        shard = (name1 % np.uint64(self.shards)).astype(np.int64)
+        rows = rows[np.argsort(shard[rows], kind="stable")]
+        edges = np.flatnonzero(np.append(True, shard[rows][1:] != shard[rows][:-1]))
+        out: tuple[list, list] = ([], [])
+        for x, y in zip(edges, np.append(edges[1:], len(rows)), strict=True):
+            r = rows[x:y]
+            out[0].append(int(shard[r[0]]))
+            out[1].append(np.stack([doc[r], rid[r], at[r], name1[r].view(np.int64), name2[r].view(np.int64)]).tobytes())
+        none = pa.nulls(len(out[0]), pa.int64())
+        # A name of text beside the pieces tells that they are windows.
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), none, pa.array(np.zeros(len(none), np.int64)),
+             pa.nulls(len(none), pa.binary())], names=["shard", "pieces", "doc_id", "rid", "spans"])
+
     def send(self) -> Iterator[pa.RecordBatch]:
+        yield from self.send_windows()
         if not self.parts:
             return self.clear()
         *columns, text = (np.concatenate(c) for c in zip(*self.parts, strict=True))
@@ -149,6 +226,24 @@ class _Outbox:
             names=["shard", "pieces", "doc_id", "rid", "spans"])
 
 
+def after_least(doc: np.ndarray, name1: np.ndarray, name2: np.ndarray) -> np.ndarray:
+    """Whether a smaller document has the same names."""
+    order = np.lexsort((doc, name2, name1))
+    same = np.zeros(len(order), bool)
+    same[1:] = (name1[order[1:]] == name1[order[:-1]]) & (name2[order[1:]] == name2[order[:-1]])
+    lead = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+    out = np.zeros(len(order), bool)
+    out[order] = doc[order] > doc[lead]
+    return out
+
+
+def search_windows(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(document, text's name, first word, one past the last) of the windows that a smaller document has."""
+    doc, rid, at, name1, name2 = np.concatenate([np.frombuffer(b, np.int64).reshape(5, -1) for b in blobs], 1)
+    later = after_least(doc, name1, name2)
+    return doc[later], rid[later], at[later], at[later] + WINDOW
+
+
 def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
     """Documents, texts' names, first words, sizes, anchors and text of packed pieces."""
     parts = []
@@ -239,9 +334,10 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     smaller document, lists of word ranges (pairs of 32-bit numbers)."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(16, -(-int(total) // SHARD_BYTES))
+    hot = hot_anchors(docs, int(total))
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        box = _Outbox(shards)
+        box = _Outbox(shards, hot)
         for batch in batches:
             ids, rids = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
             for part in chunks(batch):
@@ -258,10 +354,12 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
             if done.num_rows:
                 for b in done.combine_chunks().to_batches():
                     yield b.select(["doc_id", "rid", "spans"])
-            blobs = part["pieces"].filter(there).to_pylist()
-            if blobs:
-                for b in span_batches(*search_shard(blobs), shards, ("shard", "pieces")):
-                    yield b.select(["doc_id", "rid", "spans"])
+            windows = pc.and_(there, part["rid"].is_valid())
+            for find, kind in ((search_shard, pc.and_not(there, windows)), (search_windows, windows)):
+                blobs = part["pieces"].filter(kind).to_pylist()
+                if blobs:
+                    for b in span_batches(*find(blobs), shards, ("shard", "pieces")):
+                        yield b.select(["doc_id", "rid", "spans"])
 
     sent = docs.mapInArrow(cut_up, "shard long, pieces binary, doc_id long, rid long, spans binary")
     sent = sent.repartition("shard").sortWithinPartitions("shard")

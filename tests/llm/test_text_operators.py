@@ -5,14 +5,18 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillmark.llm import bpe, hosts, minhash, mixing, passages, secrets, suffixes
+from quillmark.llm.batches import chunks
 from quillmark.llm.fmindex import FMIndex
 from quillmark.llm.graph import components
 from quillmark.llm.lcpmerge import merge_runs
 
+from .conftest import prose
+
 SPLIT = re.compile("[^\x20\x09-\x0D]+")
 
 
@@ -89,6 +93,33 @@ def test_passages(docs, no_docs, fixture_rows, monkeypatch):
     assert passages.without_repeats(no_docs).collect() == []
 
 
+def test_passages_split_hot_anchors(spark, monkeypatch):
+    """A passage in many documents, different text on either side: same results, spread over the shards."""
+    shared = " ".join(f"common{i}" for i in range(14))
+    rows = [(i, f"{prose(i + 100, 30)} {shared} {prose(i + 500, 30)} {prose(3, 15) if i % 9 == 0 else ''} {shared}")
+            for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = by_id(passages.without_repeats(docs))
+    assert [want[i]["n_removed"] for i in (0, 1, 9)] == [0, 28, 43]
+    monkeypatch.setattr(passages, "HOT_PIECES", 100)
+    assert by_id(passages.without_repeats(docs)) == want
+    hot = passages.hot_anchors(docs.withColumn("rid", F.xxhash64("text")), 1)
+    assert 1 <= len(hot) <= 14
+    most = []
+    for anchors in (hot[:0], hot):
+        sent = Counter()
+        for i, text in rows:   # a batch each
+            box = passages._Outbox(16, anchors)
+            for part in chunks(pa.RecordBatch.from_pydict({"text": [text]})):
+                box.add(part, np.array([i]), np.array([i]))
+            for b in box.send():
+                for shard, pieces in zip(b["shard"].to_pylist(), b["pieces"].to_pylist(), strict=True):
+                    if pieces is not None and b["rid"].null_count:   # whole pieces, not windows
+                        sent["passage"] += shared.encode() in passages._unpack([pieces])[5].tobytes()
+        most.append(sent["passage"])
+    assert most[0] >= 120 and most[1] == 0
+
+
 def test_fm_index():
     rng = np.random.default_rng(1)
     pieces = [rng.integers(1, 4, rng.integers(3, 9)) for _ in range(50)]
