@@ -42,6 +42,8 @@ SHINGLE, PERCENT = 5, 85
 #: Slots a band, how often a pair at the threshold may share none of the bands, and
 #: standard errors under the threshold from which a pair can be a link.
 ROWS, MISS, ERRORS = 5, 1e-6, 4.5
+#: Text bytes whose shingles a task holds at once.
+SIGN_BYTES = 1 << 18
 #: Classes a block, and members of a larger group that all its blocks have in common.
 BLOCK, COMMON = 512, 16
 
@@ -125,7 +127,7 @@ def super_minhash(elements: np.ndarray, bounds: np.ndarray, slots: int) -> np.nd
 
 def _sign(batches: Iterator[pa.RecordBatch], to: Scheme) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in chunks(batch):
+        for part in chunks(batch, limit=SIGN_BYTES):
             sets, bounds = shingle_sets(part)
             # Two sums of mixed elements name a set; with its size, 192 bits.
             names = []
@@ -222,7 +224,7 @@ def _resolve(batches: Iterator[pa.RecordBatch], to: Scheme) -> Iterator[pa.Recor
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in chunks(batch):
+        for part in chunks(batch, limit=SIGN_BYTES):
             own = batch.slice(part.row, part.n)
             yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), binaries(*shingle_sets(part))],
                                              names=["rep", "grp", "elements"])
