@@ -10,6 +10,7 @@ from quillmark.llm.passages import op8_passages
 from quillmark.llm.quality import op10_quality
 from quillmark.llm.runs import OP13_SQL, op13_runs
 from quillmark.llm.secrets import op6_secrets
+from quillmark.llm.spelling import OP12_SQL, op12_spelling
 from quillmark.llm.suffixes import op5_suffixes
 from quillmark.llm.toxicity import op1_toxicity
 from quillmark.llm.vectors import op9_vectors
@@ -25,11 +26,13 @@ QUERIES = {
     "op3_host_rules": op3_host_rules,
     "op6_secrets": op6_secrets,
     "op7_mixing": op7_mixing,
+    "op12_spelling": op12_spelling,
     "op13_runs": op13_runs,
 }
 
 ORACLE = {
     "op3_host_rules": OP3_SQL,
     "op7_mixing": OP7_SQL,
+    "op12_spelling": OP12_SQL,
     "op13_runs": OP13_SQL,
 }

@@ -193,11 +193,11 @@ def op13_runs(spark, sf_dir: str) -> DataFrame:
 def crc32_sql(text: str) -> str:
     """SQL for the unsigned crc32 of the UTF-8 bytes of the SQL expression ``text``, bit by bit."""
     digits = "'0123456789ABCDEF'"
-    byte = (f"16 * (strpos({digits}, substr(hex({text}), 2 * k + 1, 1)) - 1) "
-            f"+ strpos({digits}, substr(hex({text}), 2 * k + 2, 1)) - 1")
-    steps = f"flatten(list_transform(range(strlen({text})), lambda k: [{byte}, -1, -1, -1, -1, -1, -1, -1, -1]))"
-    return (f"xor(4294967295, list_reduce(list_prepend(4294967295, {steps}), lambda c, x: CASE WHEN x >= 0 "
-            "THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END))")
+    byte = (f"16 * (strpos({digits}, substr(hex({text}), 2 * crc_i + 1, 1)) - 1) "
+            f"+ strpos({digits}, substr(hex({text}), 2 * crc_i + 2, 1)) - 1")
+    steps = f"flatten(list_transform(range(strlen({text})), lambda crc_i: [{byte}, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return (f"xor(4294967295, list_reduce(list_prepend(4294967295, {steps}), lambda crc_c, crc_x: CASE WHEN crc_x >= 0 "
+            "THEN xor(crc_c, crc_x) WHEN crc_c % 2 = 1 THEN xor(crc_c // 2, 3988292384) ELSE crc_c // 2 END))")
 
 
 OP13_SQL = rf"""
