@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillmark.llm.bpe import op4_bpe
+from quillmark.llm.extraction import op11_pages
 from quillmark.llm.hosts import OP3_SQL, op3_host_rules
 from quillmark.llm.minhash import op2_minhash
 from quillmark.llm.mixing import OP7_SQL, op7_mixing
@@ -26,6 +27,7 @@ QUERIES = {
     "op3_host_rules": op3_host_rules,
     "op6_secrets": op6_secrets,
     "op7_mixing": op7_mixing,
+    "op11_pages": op11_pages,
     "op12_spelling": op12_spelling,
     "op13_runs": op13_runs,
 }
