@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,10 +20,12 @@ MAX_BROADCAST_ROWS = 200_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 # Replicas of the small side in the salted fallback.
 DEFAULT_SALT = 64
-# A key whose weight is at least this share of the table's total weight is
-# "heavy"; there are at most 1 / HEAVY_SHARE of them (weights are >= 0 and
-# sum to the total), so the heavy part is broadcast with a proven bound.
-HEAVY_SHARE = 1e-5
+# A key that holds at least this share of the rows is "hot"; there are at most
+# 1 / HOT_SHARE of them, so what is broadcast for them has a proven bound.
+HOT_SHARE = 1e-4
+# Keys that one task's sketch counts. Its error is 3.5 / SKETCH_KEYS of the rows
+# at most, less than HOT_SHARE.
+SKETCH_KEYS = 1 << 17
 
 
 def estimated_size(df: DataFrame) -> tuple[int, int]:
@@ -79,31 +82,53 @@ def co_locate(df: DataFrame, key: str = "pair_id") -> DataFrame:
     return df.repartition(key)
 
 
+def probe_sample(df: DataFrame) -> DataFrame:
+    """A sixteenth of the rows, the same in every run, for ``split_lookup``'s
+    ``probe`` where making the rows to look up is dear. It decides only what
+    is matched map-side, never a result."""
+    return df.sample(fraction=1 / 16, seed=16)
+
+
+def hot_keys(rows: DataFrame, keys: list[str], share: float = HOT_SHARE) -> DataFrame:
+    """``_h``: the 64-bit hash of every key that holds at least ``share`` of ``rows``.
+
+    A mergeable frequency sketch over the rows themselves (one pass, one row
+    out), so a key is found hot by what is looked up, whatever the table holds.
+    At most ``1 / share`` hashes reach the driver.
+    """
+    k = math.ceil(1 / share)
+    row = rows.select(F.xxhash64(*keys).alias("_h")).agg(
+        F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(_h, {k}, {max(SKETCH_KEYS, 2 * k)})").alias("top")).first()
+    least = max(2.0, row["n"] * share)
+    found = [r["item"] for r in row["top"] or [] if r["count"] >= least]
+    return rows.sparkSession.createDataFrame(pa.table({"_h": pa.array(found, pa.int64())}))
+
+
 def split_lookup(rows: DataFrame, table: DataFrame, keys: list[str], values: list[str],
-                 weight: str, heavy_min: int | None = None, share: float = HEAVY_SHARE) -> DataFrame:
-    """``rows`` left-joined to ``table`` (unique on ``keys``, first key a
-    token string), with hot keys split off — for lookups where one key
-    (a frequent word, a frequent bigram) may hold a large share of ``rows``.
-
-    One pass. Keys whose ``weight`` is at least ``heavy_min`` (default: the
-    table total times ``share``) are broadcast — at most ``1 / share`` rows —
-    and matched map-side. Rows matched there get a first key no token can
-    equal (a NUL-prefixed hash of the row), so the shuffle join with the
-    light part spreads them evenly instead of sending a hot key to one task.
-    Same result as a plain left join: heavy and light keys are disjoint.
+                 share: float = HOT_SHARE, probe: DataFrame | None = None) -> DataFrame:
+    """``rows`` left-joined to ``table`` (unique on ``keys``), with hot keys split
+    off — for lookups where one key (a frequent word, bigram or id) may hold a
+    large share of ``rows``.
+
+    Hot keys are found by a sketch over the rows (:func:`hot_keys`; ``probe``:
+    over these instead, a sample of them say). Their part of the table is
+    broadcast — at most ``1 / share`` rows — and matched map-side. Rows with a
+    hot key, found in the table or not, go through the shuffle join with the
+    rest under a null key and a hash of their own, which spreads them evenly.
+    Same result as a plain left join, whatever the sketch finds.
     """
-    if heavy_min is None:
-        total = table.agg(F.sum(weight)).first()[0] or 0
-        heavy_min = max(1, math.ceil(total * share))
-    k0 = keys[0]
-    heavy = table.where(F.col(weight) >= heavy_min).select(
-        *keys, F.lit(True).alias("_hit"), *[F.col(v).alias(f"_h_{v}") for v in values])
-    light = table.where(F.col(weight) < heavy_min).select(F.col(k0).alias("_k0"), *keys[1:], *values)
-    j = rows.join(F.broadcast(heavy), keys, "left")
-    spread = F.when(F.col("_hit"), F.concat(
-        F.lit("\u0000"), F.xxhash64(*[F.col(c) for c in rows.columns]).cast("string"))
-    ).otherwise(F.col(k0))
-    out = j.withColumn("_k0", spread).join(light, ["_k0"] + keys[1:], "left")
-    for v in values:
-        out = out.withColumn(v, F.when(F.col("_hit"), F.col(f"_h_{v}")).otherwise(F.col(v)))
-    return out.drop("_k0", "_hit", *[f"_h_{v}" for v in values])
+    hot = hot_keys(rows if probe is None else probe, keys, share)
+    named = table.select(*keys, *values, F.xxhash64(*keys).alias("_h"))
+    few = named.join(F.broadcast(hot), "_h", "left_semi").drop("_h")
+    # 0 in every row, but no literal: Spark would take a literal out of the join's keys.
+    rest = named.join(F.broadcast(hot), "_h", "left_anti").withColumn("_s", F.pmod("_h", F.lit(1))).drop("_h")
+    few = few.select(*keys, *[F.col(v).alias(f"_h_{v}") for v in values])
+    # Bounded by 1 / share rows.
+    j = (rows.withColumn("_h", F.xxhash64(*keys)).join(F.broadcast(hot.withColumn("_hit", F.lit(True))), "_h", "left")
+         .drop("_h").join(F.broadcast(few), keys, "left"))
+    hit = F.col("_hit").isNotNull()
+    j = j.select("*", F.when(hit, F.xxhash64(*rows.columns)).otherwise(F.lit(0)).alias("_s"),
+                 *[F.when(~hit, F.col(k)).alias(f"_k_{k}") for k in keys])
+    rest = rest.select("_s", *[F.col(k).alias(f"_k_{k}") for k in keys], *values)
+    out = j.join(rest, ["_s", *[f"_k_{k}" for k in keys]], "left")
+    return out.select(*rows.columns, *[F.when(hit, F.col(f"_h_{v}")).otherwise(F.col(v)).alias(v) for v in values])

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import text as tx
 from quillmark.operators.aggregates import idf_table
-from quillmark.operators.joins import split_lookup
+from quillmark.operators.joins import probe_sample, split_lookup
 from quillmark.session import cut_lineage
 
 MIN_TERM_LEN = 4
@@ -61,7 +61,8 @@ def answer_coverage(pairs: DataFrame, corpus: DataFrame, transcripts: DataFrame
     keys = [key] + ([conv_key] if transcripts is not None else [])
     g = _terms(pairs, keys, "gold", stop).withColumn("side", F.lit(0))
     h = _terms(pairs, keys, "predicted", stop).withColumn("side", F.lit(1))
-    t = split_lookup(g.unionByName(h), idf, ["token"], ["w"], "df").withColumn("w", F.coalesce("w", w0))
+    t = split_lookup(g.unionByName(h), idf, ["token"], ["w"],
+                     probe=_terms(probe_sample(pairs), keys, "gold", stop)).withColumn("w", F.coalesce("w", w0))
     per_tok = t.groupBy(*keys, "token", "w").agg(
         F.max(F.when(F.col("side") == 0, 1).otherwise(0)).alias("in_g"),
         F.max(F.when(F.col("side") == 1, 1).otherwise(0)).alias("in_h"))
@@ -74,7 +75,7 @@ def answer_coverage(pairs: DataFrame, corpus: DataFrame, transcripts: DataFrame
     if transcripts is None:
         out = base.select(key, prec_g.alias("precision"), rec_g.alias("recall"))
     else:
-        tt = split_lookup(_terms(transcripts, [conv_key], "transcript", stop), idf, ["token"], ["w"], "df") \
+        tt = split_lookup(_terms(transcripts, [conv_key], "transcript", stop), idf, ["token"], ["w"]) \
             .withColumn("w", F.coalesce("w", w0))
         present = transcripts.select(conv_key, (F.col("transcript").isNotNull()
                                                 & (F.col("transcript") != "")).alias("has_t"))

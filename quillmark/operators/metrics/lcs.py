@@ -9,10 +9,10 @@ rows at a time; nothing crosses the driver.
   Python integers — O(|gold| · |pred| / 64) word operations, no table.
 * ROUGE-Lsum: per gold sentence, the union of the gold positions matched
   by an LCS with every predicted sentence; a hit counts while the token
-  still has budget in both texts' token counters. Each sentence DP runs on
-  the tokens the two sentences share only.
-* Stemmed ROUGE: tokens of 4+ characters are Porter-stemmed inside the
-  task (memoised), then ROUGE-1/2 (exact n-gram job) and ROUGE-L.
+  still has budget in both texts' token counters.
+* Stemmed ROUGE: tokens of 4+ characters are Porter-stemmed, each distinct
+  token of a batch once, or replaced by a user's stem table; then ROUGE-1/2
+  (exact n-gram job), ROUGE-L and ROUGE-Lsum.
 """
 
 from __future__ import annotations
@@ -21,14 +21,15 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmark.functions import text as tx
 from quillmark.functions.stem import stem_token
+from quillmark.operators.joins import probe_sample, split_lookup
 from quillmark.operators.metrics.overlap import ngram_overlap
-from quillmark.operators.tokens import tokenised_pairs
 
 
 def lcs_length(a, b) -> int:
@@ -52,16 +53,15 @@ def lcs_positions(ref, can) -> list[int]:
     """Indices into ``ref`` of one LCS with ``can`` (DP table + backtrack;
     on ties the walk steps along ``ref``).
 
-    Tokens that do not occur in the other sequence can never be matched, so
-    the DP runs on the two filtered sequences (original indices kept) — the
-    same LCS, a much smaller table.
+    ``ref`` tokens that ``can`` lacks are left out of the table: the walk steps
+    over them wherever it meets them. ``can`` tokens stay, for they decide ties.
     """
-    common = set(ref) & set(can)
-    if not common:
-        return []
+    common = set(can)
     ri = [i for i, t in enumerate(ref) if t in common]
+    if not ri:
+        return []
     a = [ref[i] for i in ri]
-    b = [t for t in can if t in common]
+    b = can
     n, m = len(a), len(b)
     table = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(1, n + 1):
@@ -132,10 +132,27 @@ def _rouge_lsum_udf(g: pd.Series, h: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["p", "r", "f"])
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stem_tokens(arr: pd.Series) -> pd.Series:
-    """Porter stems of tokens of 4+ characters (shorter tokens unchanged)."""
-    return pd.Series([[stem_token(t) for t in a] for a in arr])
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def stem_sentences(sents: pa.Array) -> pa.Array:
+    """Porter stems of the tokens of 4+ characters (shorter tokens unchanged) of
+    sentences; each distinct token of a batch is stemmed once."""
+    lines = sents.flatten()
+    words = lines.flatten().dictionary_encode()
+    stems = pa.array([stem_token(t) for t in words.dictionary.to_pylist()], pa.string()).take(words.indices)
+
+    def nested(like: pa.Array, values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(like.value_lengths())), pa.int32()), values)
+
+    return nested(sents, nested(lines, stems))
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def _replaced(sents: pd.Series, tokens: pd.Series, stems: pd.Series) -> pd.Series:
+    out = []
+    for rows, k, v in zip(sents, tokens, stems, strict=True):
+        by = {} if k is None else dict(zip(k, v, strict=True))
+        out.append([[by.get(t, t) for t in line] for line in rows])
+    return pd.Series(out)
 
 
 @F.pandas_udf(T.StringType())
@@ -164,7 +181,7 @@ def rouge_l(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
 
 
 def _sentence_tokens(c: str):
-    return F.transform(F.split(tx.sentence_lines(c), "\n"), lambda s: tx.tok(s))
+    return F.transform(F.split(F.coalesce(tx.sentence_lines(c), F.lit("")), "\n"), lambda s: tx.tok(s))
 
 
 def rouge_lsum(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
@@ -173,20 +190,43 @@ def rouge_lsum(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
     return _emit(sp.select(key, _rouge_lsum_udf("g", "h").alias("s")), key, "rougeLsum")
 
 
-def rouge_stemmed(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
-    """MET-4: ROUGE-1, ROUGE-2 and ROUGE-L on Porter-stemmed tokens.
+def _with_stems(sp: DataFrame, stems: DataFrame, key: str) -> DataFrame:
+    """``sp`` (``key, gs, hs``) with tokens replaced by those of a ``token, stem`` table.
+
+    Each pair's distinct tokens are looked up once (hot ones map-side) and come
+    back as one short list a pair; the texts themselves stay where they are.
+    """
+    def tokens(rows: DataFrame) -> DataFrame:
+        return rows.select(key, F.explode(F.array_distinct(F.flatten(F.concat("gs", "hs")))).alias("token"))
+
+    found = split_lookup(tokens(sp), stems.select("token", "stem"), ["token"], ["stem"], probe=tokens(probe_sample(sp)))
+    found = found.where(F.col("stem").isNotNull()).groupBy(key).agg(F.collect_list(F.struct("token", "stem")).alias("_s"))
+    j = sp.join(found, key, "left").withColumn("_t", F.col("_s.token")).withColumn("_s", F.col("_s.stem"))
+    return j.select(key, _replaced("gs", "_t", "_s").alias("gs"), _replaced("hs", "_t", "_s").alias("hs"))
+
+
+def rouge_stemmed(pairs: DataFrame, key: str = "pair_id", stems: DataFrame | None = None) -> DataFrame:
+    """MET-4: ROUGE-1, ROUGE-2, ROUGE-L and ROUGE-Lsum on stems, each with P, R and F.
 
-    One pass: the LCS struct is computed next to the stemmed arrays and
-    carried through the n-gram aggregation as a group key.
+    Porter stems, each distinct token of a batch stemmed once where it stands;
+    or, with ``stems``, a user's ``token, stem`` table (tokens it lacks stay).
+    One move of the texts: the LCS scores are computed next to the stemmed
+    sentences and carried through the n-gram aggregation as group keys.
     """
-    tp = tokenised_pairs(pairs, tx.tok, key).select(
-        key, stem_tokens("g").alias("g"), stem_tokens("h").alias("h"))
-    tp = tp.select(key, "g", "h", _rouge_l_udf("g", "h").alias("s"))
-    ov = ngram_overlap(tp, (1, 2), key, extra=("s",))
+    sp = pairs.select(key, _sentence_tokens("gold").alias("gs"), _sentence_tokens("predicted").alias("hs")).repartition(key)
+    if stems is None:
+        sp = sp.select(key, stem_sentences("gs").alias("gs"), stem_sentences("hs").alias("hs"))
+    else:
+        sp = _with_stems(sp, stems, key)
+    tp = sp.select(key, "gs", "hs", F.flatten("gs").alias("g"), F.flatten("hs").alias("h"))
+    tp = tp.select(key, "g", "h", _rouge_l_udf("g", "h").alias("l"), _rouge_lsum_udf("gs", "hs").alias("ls"))
+    ov = ngram_overlap(tp, (1, 2), key, extra=("l", "ls"))
     cols = []
     for n in (1, 2):
         o = F.col(f"ov_{n}")
         p = o / F.greatest(F.col("lh") - (n - 1), F.lit(1))
         r = o / F.greatest(F.col("lg") - (n - 1), F.lit(1))
-        cols += [tx.r6(tx.f_measure(p, r)).alias(f"rouge{n}_f")]
-    return ov.select(key, *cols, tx.r6(F.col("s")["f"]).alias("rougeL_f"))
+        cols += [tx.r6(p).alias(f"rouge{n}_p"), tx.r6(r).alias(f"rouge{n}_r"), tx.r6(tx.f_measure(p, r)).alias(f"rouge{n}_f")]
+    for c, name in (("l", "rougeL"), ("ls", "rougeLsum")):
+        cols += [tx.r6(F.col(c)[x]).alias(f"{name}_{x}") for x in ("p", "r", "f")]
+    return ov.select(key, *cols)

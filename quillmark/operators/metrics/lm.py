@@ -19,14 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as tx
-from quillmark.operators.joins import HEAVY_SHARE, split_lookup
+from quillmark.operators.joins import probe_sample, split_lookup
 from quillmark.session import cut_lineage
 
 BOS = "<s>"
 ADD_K = 0.1
 
 
-
 def bigrams(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, v, w)`` for every token ``w`` with its predecessor ``v`` (``<s>`` first)."""
     t = df.select(key, tx.tok(text).alias("_t"))
@@ -38,43 +37,48 @@ def bigrams(df: DataFrame, key: str, text: str) -> DataFrame:
 @dataclass
 class BigramModel:
     counts: DataFrame        # (v, w, c_vw), checkpointed
-    logp: DataFrame          # (v, w, lnp) for seen bigrams
-    prefix_logp: DataFrame   # (v, lnp0): an unseen continuation of a seen prefix
+    logs: DataFrame          # (v, w, ln): ln(c_vw + k) per bigram; w '' : ln(c_v + kV) per prefix
     vocab: float             # V = distinct continuation tokens + 1
-    unseen_logp: float       # both prefix and bigram unseen
-    heavy_min: int           # count from which a key is broadcast
 
 
 def bigram_model(train: DataFrame, text: str = "text") -> BigramModel:
     bg = bigrams(train.select(F.lit(0).alias("_k"), text), "_k", text)
     counts = cut_lineage(bg.groupBy("v", "w").agg(F.count(F.lit(1)).alias("c_vw")))
-    row = counts.agg(F.count_distinct("w"), F.sum("c_vw")).first()
-    vocab = float(row[0]) + 1.0
-    heavy_min = max(1, math.ceil((row[1] or 0) * HEAVY_SHARE))
-    prefix = counts.groupBy("v").agg(F.sum("c_vw").alias("c_v"))
-    den = F.col("c_v").cast("double") + ADD_K * vocab
-    logp = counts.join(prefix, "v").select(
-        "v", "w", "c_vw", F.log((F.col("c_vw").cast("double") + ADD_K) / den).alias("lnp"))
-    prefix_logp = prefix.select("v", "c_v", F.log((0.0 + ADD_K) / den).alias("lnp0"))
-    return BigramModel(counts, logp, prefix_logp, vocab,
-                       math.log((0.0 + ADD_K) / (0.0 + ADD_K * vocab)), heavy_min)
+    vocab = float(counts.agg(F.count_distinct("w")).first()[0]) + 1.0
+    prefix = counts.groupBy("v").agg(F.sum("c_vw").alias("c"))
+    logs = counts.select("v", "w", F.log(F.col("c_vw").cast("double") + ADD_K).alias("ln")).unionByName(
+        prefix.select("v", F.lit("").alias("w"), F.log(F.col("c").cast("double") + ADD_K * vocab).alias("ln")))
+    return BigramModel(counts, logs, vocab)
 
 
 def lm_perplexity(train: DataFrame, score: DataFrame, key: str = "doc_id",
                   text: str = "text", train_text: str = "text") -> DataFrame:
     """Per-row ``(key, n_tokens, perplexity)``; NULL perplexity without tokens.
 
-    Occurrences are first combined per ``(key, v, w)``, then looked up in
-    the model; unseen bigrams and prefixes fall back to add-k smoothing.
-    Hot bigrams and prefixes are matched against a bounded broadcast
-    (:func:`split_lookup`), so no join key holds a large share of the rows.
+    ``ln p(w|v) = ln(c(v,w) + k) - ln(c(v) + kV)``, so a text's sum is over its
+    bigrams and, apart from them, over its prefixes (no token is empty: a
+    prefix is a bigram with ``w = ''``). Both are combined per text and looked
+    up in one table by one join; what the table lacks has a count of 0. Hot
+    keys of the scored texts are matched map-side (:func:`split_lookup`).
     """
     m = bigram_model(train, train_text)
-    occ = bigrams(score, key, text).groupBy(key, "v", "w").agg(F.count(F.lit(1)).alias("k"))
-    j = split_lookup(occ, m.logp, ["v", "w"], ["lnp"], "c_vw", m.heavy_min)
-    j = split_lookup(j, m.prefix_logp, ["v"], ["lnp0"], "c_v", m.heavy_min)
-    lnp = F.coalesce(F.col("lnp"), F.col("lnp0"), F.lit(m.unseen_logp))
-    per = j.groupBy(key).agg(F.sum("k").alias("n"), F.sum(F.col("k") * lnp).alias("s"))
+
+    def both(texts: DataFrame) -> DataFrame:
+        return bigrams(texts, key, text).select(key, "v", F.explode(F.array(F.col("w"), F.lit(""))).alias("w"))
+
+    occ = both(score).groupBy(key, "v", "w").agg(F.count(F.lit(1)).alias("k"))
+    j = split_lookup(occ, m.logs, ["v", "w"], ["ln"], probe=both(probe_sample(score)))
+    pair = F.col("w") != ""
+    unseen = F.when(pair, F.lit(math.log(ADD_K))).otherwise(F.lit(math.log(ADD_K * m.vocab)))
+    ln = F.coalesce(F.col("ln"), unseen) * F.col("k")
+    per = j.groupBy(key).agg(F.sum(F.when(pair, F.col("k"))).alias("n"),
+                             F.sum(F.when(pair, ln).otherwise(-ln)).alias("s"))
     out = score.select(key).join(per, key, "left")
     return out.select(key, F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n_tokens"),
                       F.round(F.exp(-F.col("s") / F.col("n")), 4).alias("perplexity"))
+
+
+def mean_perplexity(scores: DataFrame, by: str | None = None) -> DataFrame:
+    """``mean_perplexity`` (texts without tokens left out) and ``texts`` that have one, per ``by`` or in all."""
+    g = scores.groupBy(by) if by else scores.groupBy()
+    return g.agg(tx.r6(F.avg("perplexity")).alias("mean_perplexity"), F.count("perplexity").alias("texts"))

@@ -14,7 +14,7 @@ Stages: exact, then (optionally) Porter stems on the tokens left unmatched
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as tx
@@ -25,6 +25,16 @@ BETA = 3.0
 GAMMA = 0.5
 
 
+def meteor_score(matches: Column, chunks: Column, lh: Column, lg: Column, alpha: float = ALPHA,
+                 beta: float = BETA, gamma: float = GAMMA) -> Column:
+    """The score of an alignment from its counts and the texts' token counts."""
+    m = matches.cast("double")
+    p = m / F.greatest(lh, F.lit(1))
+    r = m / F.greatest(lg, F.lit(1))
+    fmean = F.when(m == 0, F.lit(0.0)).otherwise(p * r / (alpha * p + (1 - alpha) * r))
+    return F.when(m == 0, F.lit(0.0)).otherwise(fmean * (1 - gamma * F.pow(chunks / m, beta)))
+
+
 def _stage_matches(occ: DataFrame, key: str, col: str) -> DataFrame:
     """``(key, hpos, gpos)`` matches of one stage on ``col``."""
     w = Window.partitionBy(key, "side", col).orderBy(F.col("pos").desc())
@@ -67,10 +77,5 @@ def meteor(pairs: DataFrame, key: str = "pair_id", stem_stage: bool = False,
         F.count(F.lit(1)).alias("m"), F.sum("_b").alias("chunks"))
     lens = tp.select(key, F.size("g").alias("lg"), F.size("h").alias("lh"))
     j = lens.join(per, key, "left")
-    mm = F.coalesce(F.col("m"), F.lit(0)).cast("double")
-    p = mm / F.greatest(F.col("lh"), F.lit(1))
-    r = mm / F.greatest(F.col("lg"), F.lit(1))
-    fmean = F.when(mm == 0, F.lit(0.0)).otherwise(p * r / (alpha * p + (1 - alpha) * r))
-    pen = gamma * F.pow(F.col("chunks") / mm, beta)
-    score = F.when(mm == 0, F.lit(0.0)).otherwise(fmean * (1 - pen))
+    score = meteor_score(F.coalesce("m", F.lit(0)), F.col("chunks"), F.col("lh"), F.col("lg"), alpha, beta, gamma)
     return j.select(key, tx.r6(score).alias("meteor"))

@@ -85,28 +85,34 @@ def bleu_stats(pairs: DataFrame, key: str = "pair_id", extra: tuple[str, ...] =
                     *[F.greatest(F.col("lh") - (n - 1), F.lit(0)).cast("long").alias(f"t{n}") for n in ns])
 
 
-def bleu_from_stats(df: DataFrame, keep: list[str]) -> DataFrame:
-    """BLEU from (summed) statistics: no smoothing, brevity penalty on lengths."""
+def bleu_scores(match, total, hyp_len: Column, ref_len: Column) -> list[Column]:
+    """BLEU's score columns from ``match(n)``, ``total(n)`` and the lengths:
+    no smoothing, brevity penalty on lengths."""
     ns = range(1, BLEU_ORDER + 1)
-    ps = {n: tx.safe_div(F.col(f"m{n}"), F.col(f"t{n}")) for n in ns}
+    ps = {n: tx.safe_div(match(n), total(n)) for n in ns}
     all_pos = None
     for n in ns:
         c = ps[n] > 0
         all_pos = c if all_pos is None else (all_pos & c)
     geo = F.when(all_pos, F.exp(sum(F.log(F.when(ps[n] > 0, ps[n]).otherwise(F.lit(1.0))) for n in ns)
                                / BLEU_ORDER)).otherwise(F.lit(0.0))
-    ratio = tx.safe_div(F.col("hyp_len"), F.col("ref_len"))
-    bp = (F.when(F.col("hyp_len") == 0, F.lit(0.0))
+    ratio = tx.safe_div(hyp_len, ref_len)
+    bp = (F.when(hyp_len == 0, F.lit(0.0))
            .when(ratio > 1, F.lit(1.0))
            .when(ratio == 0, F.lit(0.0))
            .otherwise(F.exp(1.0 - 1.0 / F.when(ratio == 0, F.lit(1.0)).otherwise(ratio))))
-    return df.select(*keep,
-                     tx.r6(geo * bp).alias("bleu"),
-                     *[tx.r6(ps[n]).alias(f"p{n}") for n in ns],
-                     tx.r6(bp).alias("brevity_penalty"),
-                     tx.r6(ratio).alias("length_ratio"),
-                     F.col("hyp_len").alias("translation_length"),
-                     F.col("ref_len").alias("reference_length"))
+    return [tx.r6(geo * bp).alias("bleu"),
+            *[tx.r6(ps[n]).alias(f"p{n}") for n in ns],
+            tx.r6(bp).alias("brevity_penalty"),
+            tx.r6(ratio).alias("length_ratio"),
+            hyp_len.alias("translation_length"),
+            ref_len.alias("reference_length")]
+
+
+def bleu_from_stats(df: DataFrame, keep: list[str]) -> DataFrame:
+    """BLEU from (summed) statistics."""
+    return df.select(*keep, *bleu_scores(lambda n: F.col(f"m{n}"), lambda n: F.col(f"t{n}"),
+                                         F.col("hyp_len"), F.col("ref_len")))
 
 
 def bleu(pairs: DataFrame, key: str = "pair_id") -> DataFrame:

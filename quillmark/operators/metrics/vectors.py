@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmark.functions import text as tx
-from quillmark.operators.joins import sized_broadcast_join, split_lookup
+from quillmark.operators.joins import probe_sample, sized_broadcast_join, split_lookup
 from quillmark.operators.tokens import side_tokens, tokenised_pairs
 
 BLOCK_ROWS = 2048
@@ -38,9 +38,8 @@ MATCH_SCHEMA = T.StructType([T.StructField(n, T.DoubleType()) for n in ("em_p",
 
 
 def token_vec_ids(vocab: DataFrame, slots: Column | int) -> DataFrame:
-    """``(token, vec_id, count)``: vocabulary rank modulo ``slots``, the number of vectors (the corpus
-    count travels along to split frequent tokens off the join)."""
-    return vocab.select("token", (F.col("rank") % slots).alias("vec_id"), "count")
+    """``(token, vec_id)``: vocabulary rank modulo ``slots``, the number of vectors."""
+    return vocab.select("token", (F.col("rank") % slots).alias("vec_id"))
 
 
 def _unit_rows(vecs) -> np.ndarray:
@@ -85,16 +84,20 @@ def _match_udf(gv: pd.Series, gn: pd.Series, hv: pd.Series, hn: pd.Series) -> pd
 
 
 def vector_scores(pairs: DataFrame, vec_ids: DataFrame, vectors: DataFrame,
-                  key: str = "pair_id") -> DataFrame:
+                  key: str = "pair_id", move_texts: bool = True) -> DataFrame:
     """``(key, em_p, em_r, em_f, mover_score)`` for every pair.
 
     ``vec_ids``: ``(token, vec_id)``; ``vectors``: ``(vec_id, embedding)``.
-    Tokens without a vector are dropped.
+    Tokens without a vector are dropped. ``move_texts=False`` counts tokens
+    where the texts stand and exchanges the counts instead of the texts.
     """
-    occ = side_tokens(tokenised_pairs(pairs, tx.tok, key), key)
+    tp = tokenised_pairs(pairs, tx.tok, key) if move_texts else pairs.select(
+        key, tx.tok("gold").alias("g"), tx.tok("predicted").alias("h"))
+    occ = side_tokens(tp, key)
     per_tok = occ.groupBy(key, "side", "token").agg(F.count(F.lit(1)).alias("n"))
-    looked = split_lookup(per_tok, vec_ids, ["token"], ["vec_id"], "count") \
-        if "count" in vec_ids.columns else per_tok.join(vec_ids, "token", "left")
+    probe = probe_sample(pairs).select(F.explode(F.concat(
+        F.array_distinct(tx.tok("gold")), F.array_distinct(tx.tok("predicted")))).alias("token"))
+    looked = split_lookup(per_tok, vec_ids, ["token"], ["vec_id"], probe=probe)
     per_vec = looked.where(F.col("vec_id").isNotNull()).groupBy(key, "side", "vec_id").agg(
         F.sum("n").alias("n"))
     with_vec = sized_broadcast_join(per_vec, vectors.select("vec_id", "embedding"), ["vec_id"],

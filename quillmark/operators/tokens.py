@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as tx
-from quillmark.operators.joins import split_lookup
+from quillmark.operators.joins import probe_sample, split_lookup
 from quillmark.operators.ranking import global_position
 
 # Fixed ids of the encoded form.
@@ -64,17 +64,36 @@ def build_vocab(df: DataFrame, text_cols: list[str], tokenizer=tx.tok) -> DataFr
                          (F.col("_start") + FIRST_TOKEN_ID).alias("id"))
 
 
-def encode(df: DataFrame, key: str, col: str, vocab: DataFrame) -> DataFrame:
-    """``(key, ids)``: token ids of ``col`` in token order; unknown -> 1."""
-    t = df.select(key, F.posexplode(tx.tok(col)).alias("pos", "token"))
+def encode_columns(df: DataFrame, key: str, vocab: DataFrame, cols: dict[str, tuple[str, int | None]]) -> DataFrame:
+    """``(key, <out>...)``: token ids in token order of several text columns,
+    ``cols`` naming each output's column and length (None: whole).
+
+    One pass over all columns and one lookup. Positions beyond a length are
+    cut before tokens are exploded, so no more is looked up or gathered than
+    the result holds. Unknown tokens have id 1.
+    """
+    def part(n: int, col: str, length: int | None) -> Column:
+        toks = tx.tok(col) if length is None else F.slice(tx.tok(col), 1, length)
+        return F.struct(F.lit(n).alias("_side"), toks.alias("_toks"))
+
+    def tokens(rows: DataFrame) -> DataFrame:
+        sides = rows.select(key, F.inline(F.array(*[part(n, *c) for n, c in enumerate(cols.values())])))
+        return sides.select(key, "_side", F.posexplode("_toks").alias("pos", "token"))
+
     # The vocabulary grows with the corpus, so it is shuffle-joined on the
-    # token, with frequent tokens split off to a bounded broadcast.
-    j = split_lookup(t, vocab.select("token", "id", "count"), ["token"], ["id"], "count")
-    ids = j.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(
-        "pos", F.coalesce("id", F.lit(UNK_ID)).alias("id")))).alias("_ids"))
-    return df.select(key).join(ids, key, "left").select(
-        key, F.coalesce(F.transform("_ids", lambda s: s["id"].cast("int")),
-                        F.array().cast("array<int>")).alias("ids"))
+    # token, with the tokens that are hot in these texts matched map-side.
+    j = split_lookup(tokens(df), vocab.select("token", "id"), ["token"], ["id"], probe=tokens(probe_sample(df)))
+    item = F.struct("pos", F.coalesce("id", F.lit(UNK_ID)).cast("int").alias("id"))
+    # One sort for all sides: positions within, sides by filter.
+    ids = j.groupBy(key).agg(*[F.sort_array(F.collect_list(F.when(F.col("_side") == n, item))).alias(f"_{out}")
+                               for n, out in enumerate(cols)])
+    return df.select(key).join(ids, key, "left").select(key, *[
+        F.coalesce(F.transform(f"_{out}", lambda s: s["id"]), F.array().cast("array<int>")).alias(out) for out in cols])
+
+
+def encode(df: DataFrame, key: str, col: str, vocab: DataFrame) -> DataFrame:
+    """``(key, ids)``: token ids of the whole text ``col`` in token order; unknown -> 1."""
+    return encode_columns(df, key, vocab, {"ids": (col, None)})
 
 
 def truncate_pad(ids: Column, length: int) -> Column:
@@ -83,13 +102,18 @@ def truncate_pad(ids: Column, length: int) -> Column:
     return F.concat(cut, F.array_repeat(F.lit(PAD_ID), F.greatest(F.lit(length) - F.size(cut), F.lit(0))))
 
 
+def pad_to_multiple(ids: Column, length: int) -> Column:
+    """Pad an id array with ``PAD_ID`` to the next multiple of ``length``, cutting nothing."""
+    return F.concat(ids, F.array_repeat(F.lit(PAD_ID), F.pmod(-F.size(ids), F.lit(length))))
+
+
 def encode_truncate_pad(df: DataFrame, vocab: DataFrame, key: str = "pair_id",
                         source: str = "gold", target: str = "predicted",
                         max_source: int = 64, max_target: int = 32) -> DataFrame:
     """PRJ-9: ``input_ids`` / ``labels`` as fixed-length id arrays."""
-    a = encode(df, key, source, vocab).select(key, truncate_pad(F.col("ids"), max_source).alias("input_ids"))
-    b = encode(df, key, target, vocab).select(key, truncate_pad(F.col("ids"), max_target).alias("labels"))
-    return a.join(b, key)
+    ids = encode_columns(df, key, vocab, {"input_ids": (source, max_source), "labels": (target, max_target)})
+    return ids.select(key, truncate_pad(F.col("input_ids"), max_source).alias("input_ids"),
+                      truncate_pad(F.col("labels"), max_target).alias("labels"))
 
 
 def attention_masks(df: DataFrame, ids: str = "input_ids") -> DataFrame:
@@ -110,14 +134,28 @@ def unmask_labels(df: DataFrame, col: str = "labels") -> DataFrame:
     return df.withColumn(col, F.transform(col, lambda x: F.when(x == LABEL_IGNORE, F.lit(PAD_ID)).otherwise(x)))
 
 
+def decode_columns(df: DataFrame, vocab: DataFrame, cols: dict[str, str], key: str = "pair_id") -> DataFrame:
+    """``(key, <out>...)``: the texts of several id arrays (``cols``: output -> id
+    column), special ids (pad, unknown, -100) skipped; one lookup for all, hot
+    ids matched map-side."""
+    def ids(rows: DataFrame) -> DataFrame:
+        sides = rows.select(key, F.inline(F.array(*[F.struct(F.lit(n).alias("_side"), F.col(c).alias("_ids"))
+                                                    for n, c in enumerate(cols.values())])))
+        return sides.select(key, "_side", F.posexplode("_ids").alias("pos", "id")).where(F.col("id") >= FIRST_TOKEN_ID)
+
+    j = split_lookup(ids(df), vocab.select(F.col("id").cast("int").alias("id"), "token"), ["id"], ["token"],
+                     probe=ids(probe_sample(df)))
+    item = F.struct("pos", "token")
+    g = j.where(F.col("token").isNotNull()).groupBy(key).agg(*[
+        F.sort_array(F.collect_list(F.when(F.col("_side") == n, item))).alias(f"_{out}") for n, out in enumerate(cols)])
+    return df.select(key).join(g, key, "left").select(key, *[
+        F.coalesce(F.array_join(F.transform(f"_{out}", lambda s: s["token"]), " "), F.lit("")).alias(out) for out in cols])
+
+
 def decode_ids(df: DataFrame, vocab: DataFrame, key: str = "pair_id", col: str = "input_ids",
                out: str = "decoded") -> DataFrame:
     """PRJ-12: ids back to text, special ids (pad, unknown, -100) skipped."""
-    e = df.select(key, F.posexplode(col).alias("pos", "id")).where(F.col("id") >= FIRST_TOKEN_ID)
-    j = e.join(vocab.select(F.col("id").cast("int").alias("id"), "token"), "id")
-    g = j.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("_t"))
-    return df.select(key).join(g, key, "left").select(
-        key, F.coalesce(F.array_join(F.transform("_t", lambda s: s["token"]), " "), F.lit("")).alias(out))
+    return decode_columns(df, vocab, {out: col}, key)
 
 
 def gen_len(df: DataFrame, col: str = "labels", by: str | None = None) -> DataFrame:

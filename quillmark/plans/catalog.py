@@ -622,3 +622,52 @@ def q_write_scores_by_system(spark, d):
     path = io.scratch_path(spark, "scores-by-system")
     io.write_scores(s, path, partition_by="system")
     return io.read_scores(spark, path, s.schema)
+
+
+# --- all metrics, evaluation of a run ----------------------------------------------------
+
+from quillmark.operators import evaluation as ev  # noqa: E402
+from quillmark.operators.metrics import combined as comb_m  # noqa: E402
+
+N_SYSTEMS = 5
+
+
+def pairs_by_system(spark, d):
+    """Conversation pairs as the outputs of five systems."""
+    return tb.pairs_conv(spark, d).withColumn(
+        "system", F.concat(F.lit("s"), (F.col("conv_id") % N_SYSTEMS).cast("string")))
+
+
+@query("all_metrics")
+def q_all_metrics(spark, d):
+    p = pairs_by_system(spark, d)
+    vec_ids, vectors = _vector_inputs(spark, d, p)
+    return comb_m.all_metrics(p, train=tb.table(spark, d, "documents"), vec_ids=vec_ids, embeddings=vectors)
+
+
+def run_outputs(spark, d):
+    """``(outputs, vocab)``: a run's predictions and labels as padded id arrays, labels masked."""
+    vocab = conv_vocab(spark, d)
+    e = tk.encode_columns(tb.pairs_conv(spark, d), "pair_id", vocab,
+                          {"predictions": ("predicted", None), "labels": ("gold", None)})
+    e = e.select("pair_id", *[tk.pad_to_multiple(F.col(c), MAX_SOURCE).alias(c) for c in ("predictions", "labels")])
+    return tk.mask_labels(e), vocab
+
+
+@query("evaluate_predictions")
+def q_evaluate_predictions(spark, d):
+    path = io.scratch_path(spark, "evaluation")
+    ev.evaluate_predictions(*run_outputs(spark, d), path, run_id="run1", split="eval")
+    return ev.read_evaluation(spark, path).drop("run_id", "split")
+
+
+@query("evaluate_summary")
+def q_evaluate_summary(spark, d):
+    path = io.scratch_path(spark, "evaluation")
+    return ev.evaluate_predictions(*run_outputs(spark, d), path, run_id="run1", split="eval")
+
+
+@query("mean_perplexity")
+def q_mean_perplexity(spark, d):
+    docs = tb.table(spark, d, "documents")
+    return lm.mean_perplexity(lm.lm_perplexity(docs, docs, "doc_id", "text"))

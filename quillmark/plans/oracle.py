@@ -7,6 +7,7 @@ column names as the Spark query.
 from __future__ import annotations
 
 from quillmark.plans import sqlparts as sp
+from quillmark.plans import sqlscores as sq
 from quillmark.plans.sqlparts import f_measure, r6, safe_div, with_fixtures
 
 ORACLE: dict[str, str] = {}
@@ -341,7 +342,7 @@ g AS (SELECT token, count(*) AS df FROM t GROUP BY token)
 SELECT token, df, round(ln((n.n + 1.0) / (df + 1.0)), 6) AS idf FROM g, n"""
 
 ORACLE["lm_perplexity"] = (with_fixtures([], *perplexity_ctes("documents", "doc_id", "text"))
-                           .replace("WITH ,", "WITH ")
+                           
                            + "SELECT k AS doc_id, n_tokens, perplexity FROM ppl")
 
 ORACLE["require_splits"] = with_fixtures(["docs_split"]) + """
@@ -682,3 +683,59 @@ ORACLE["write_scores_by_system"] = with_fixtures(["pairs_lead"], *_R1) + (
                  f"{r6('(coalesce(ov.ov_1, 0) / greatest(len(t.g), 1))')} AS rouge1_r",
                  f"{r6(f_measure('(coalesce(ov.ov_1, 0) / greatest(len(t.h), 1))', '(coalesce(ov.ov_1, 0) / greatest(len(t.g), 1))'))} AS rouge1_f"])
     + ", p.system FROM ov_t t LEFT JOIN ov ON t.pair_id = ov.pair_id JOIN pairs_lead p ON p.pair_id = t.pair_id")
+
+
+# --- longest common subsequences, stems ---------------------------------------------------
+
+_LCS_T = ("lt!", f"SELECT pair_id AS k, {sp.tok('gold')} AS g, {sp.tok('predicted')} AS h FROM pairs_conv")
+ORACLE["rouge_l"] = with_fixtures(["pairs_conv"], _LCS_T, *sq.lcs_ctes("lt")) + (
+    f"SELECT t.k AS pair_id, {sq.prf('lcs.n', 'rougeL')} FROM lt t JOIN lcs ON t.k = lcs.k")
+ORACLE["rouge_lsum"] = with_fixtures(["pairs_conv"], *sq.sentence_ctes("pairs_conv", "ss"), *sq.flat_ctes("ss", "sf"),
+                                     *sq.union_lcs_ctes("ss", "su")) + (
+    f"SELECT t.k AS pair_id, {sq.prf('coalesce(su.n, 0)', 'rougeLsum')} FROM sf t LEFT JOIN su ON t.k = su.k")
+_STEMMED, _STEMMED_SELECT = sq.stemmed_rouge("pairs_conv")
+ORACLE["rouge_stemmed"] = with_fixtures(["pairs_conv"], *_STEMMED) + _STEMMED_SELECT
+
+
+# --- all metrics, evaluation of a run ------------------------------------------------------
+
+_BY_SYSTEM = ("pairs_sys", "SELECT *, 's' || (conv_id % 5) AS system FROM pairs_conv")
+
+
+def _all_metrics() -> str:
+    vec = [c for c in vector_ctes("pairs_conv")]
+    ctes = [*_RB, _LCS_T, *sq.lcs_ctes("lt"), ("mtr", _body(ORACLE["meteor"])), ("crf", _body(ORACLE["chrf"])),
+            *perplexity_ctes("pairs_conv", "pair_id", "predicted"), *vec, _BY_SYSTEM]
+    return with_fixtures(["pairs_conv"], *ctes) + f"""
+SELECT p.system, p.pair_id, p.gold, p.predicted, r.* EXCLUDE (pair_id), {sq.prf('lcs.n', 'rougeL', 'len(lt.h)', 'len(lt.g)')},
+  {r6('vs.p')} AS em_p, {r6('vs.r')} AS em_r, {r6(f_measure('vs.p', 'vs.r'))} AS em_f, b.* EXCLUDE (pair_id),
+  mtr.meteor, crf.chrf, ppl.n_tokens, ppl.perplexity
+FROM pairs_sys p JOIN rouge r USING (pair_id) JOIN bleu_s b USING (pair_id) JOIN lt ON lt.k = p.pair_id
+JOIN lcs ON lcs.k = p.pair_id JOIN vs ON vs.pair_id = p.pair_id JOIN mtr ON mtr.pair_id = p.pair_id
+JOIN crf ON crf.pair_id = p.pair_id JOIN ppl ON ppl.k = p.pair_id"""
+
+
+def _body(sql: str) -> str:
+    """A query with its own WITH clause, as the body of another's."""
+    return f"SELECT * FROM ({sql})"
+
+
+ORACLE["all_metrics"] = _all_metrics()
+
+# Decoded texts: the known tokens, joined by spaces (no sentence ends are left).
+_DECODED = ("dec!", f"SELECT pair_id, array_to_string({sp.tok('gold')}, ' ') AS gold, "
+                    f"array_to_string({sp.tok('predicted')}, ' ') AS predicted FROM pairs_conv")
+_DEC_CTES, _DEC_SELECT = sq.stemmed_rouge("dec")
+_EVALUATED = [_DECODED, *_DEC_CTES, ("rs", _DEC_SELECT), (
+    "evr", "SELECT rs.pair_id, d.predicted AS prediction, d.gold AS label, "
+           + ", ".join(f"round(rs.{r}_f * 100, 4) AS {r}" for r in ("rouge1", "rouge2", "rougeL", "rougeLsum"))
+           + f", CAST(len({sp.tok('d.predicted')}) AS BIGINT) AS gen_len FROM rs JOIN dec d USING (pair_id)")]
+# A text without tokens is written to CSV, and read again, as none.
+ORACLE["evaluate_predictions"] = with_fixtures(["pairs_conv"], *_EVALUATED) + (
+    "SELECT pair_id, nullif(prediction, '') AS prediction, nullif(label, '') AS label, rouge1, rouge2, rougeL, rougeLsum, gen_len FROM evr")
+ORACLE["evaluate_summary"] = with_fixtures(["pairs_conv"], *_EVALUATED) + (
+    "SELECT " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in ("rouge1", "rouge2", "rougeL", "rougeLsum", "gen_len"))
+    + ", count(*) AS rows FROM evr")
+
+ORACLE["mean_perplexity"] = with_fixtures([], *perplexity_ctes("documents", "doc_id", "text")) + (
+    "SELECT round(avg(perplexity), 6) AS mean_perplexity, count(perplexity) AS texts FROM ppl")

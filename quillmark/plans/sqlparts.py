@@ -100,7 +100,8 @@ def with_fixtures(names: list[str], *ctes: tuple[str, str]) -> str:
     # list lambdas must not be re-derived per element).
     parts += [f"{n[:-1]} AS MATERIALIZED ({s.strip()})" if n.endswith("!") else f"{n} AS ({s.strip()})"
               for n, s in ctes]
-    return "WITH " + ",\n".join(parts) + "\n"
+    # RECURSIVE changes nothing for a query that doesn't read itself.
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n"
 
 
 def overlap_sql(pairs: str, tokfn, ns, name: str = "ov") -> list[tuple[str, str]]:

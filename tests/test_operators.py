@@ -154,12 +154,37 @@ def test_cap_samples_both_paths(spark):
 
 
 def test_split_lookup_equals_left_join(spark):
+    from quillmark.operators.joins import hot_keys, split_lookup
+    rows = spark.createDataFrame([(i, i % 5 if i < 95 else None, "x" if i % 2 else None) for i in range(100)],
+                                 "id long, k long, s string")
+    table = spark.createDataFrame([(0, "x", 0.5), (1, "x", 1.5), (2, "y", 2.5), (3, "x", None)], "k long, s string, val double")
+    for share in (1e-4, 0.15, 1.0):
+        for keys in (["k"], ["k", "s"]):
+            want = sorted(map(str, rows.join(table.select(*keys, "val"), keys, "left").select("id", *keys, "val").collect()))
+            got = split_lookup(rows, table, keys, ["val"], share).select("id", *keys, "val")
+            assert sorted(map(str, got.collect())) == want
+    assert hot_keys(rows, ["k"], 0.15).count() == 5 and hot_keys(rows.limit(0), ["k"]).count() == 0
+
+
+def test_split_lookup_spreads_tokens_that_the_table_lacks(spark):
+    """A third of the rows have one token; the table doesn't know it."""
     from quillmark.operators.joins import split_lookup
-    rows = spark.createDataFrame([(i, i % 5) for i in range(100)], "id long, k long")
-    table = spark.createDataFrame([(0, 50, 0.5), (1, 3, 1.5), (2, 1, 2.5)], "k long, c long, val double")
-    a = sorted(tuple(r) for r in rows.join(table.select("k", "val"), "k", "left").collect())
-    b = sorted(tuple(r) for r in split_lookup(rows, table, ["k"], ["val"], "c", 3).select("k", "id", "val").collect())
-    assert a == sorted((r[0], r[1], r[2]) for r in a) and sorted(a) == sorted(b)
+    rows = spark.range(30_000).select("id", F.when(F.col("id") % 3 == 0, "user").otherwise(
+        F.concat(F.lit("t"), (F.col("id") % 4001).cast("string"))).alias("token"))
+    table = spark.range(4001).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("token"), F.col("id").alias("n"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plain = rows.join(table, "token", "left").groupBy(F.spark_partition_id()).count().collect()
+        got = split_lookup(rows, table, ["token"], ["n"])
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert got.where("n is null").count() == 10_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(r["count"] for r in plain) > 2 * 30_000 / 8
+    assert len(sizes) == 8 and sum(sizes) == 30_000 and max(sizes) < 2 * 30_000 / 8
 
 
 def test_checkpoint_dir_is_read_not_replaced(spark):
