@@ -10,92 +10,111 @@ correct without) / masked. Integer counts only, so the result is exact.
 
 Document = gold, summary = predicted (the reference's argument order).
 
-No candidate list per position is built: the best continuation per left
-word is one partial aggregation (``min`` of ``(-count, word)``); ``tune`` only looks at the summary's own bigrams plus the
-``base`` winner. ``help`` needs, per (pair, masked left word v), the
-corpus continuations of v that occur in the summary. That is a
-heavy/light split (exact either way): for a v with at most
-``HEAVY_DEGREE`` corpus continuations the continuations are joined and
-semi-joined with the summary's words; for a heavier v (a hot word) the
-summary's words are paired with v and looked up in the counts on the full
-``(v, w)`` key. Work per (pair, v) is bounded by
-``min(HEAVY_DEGREE, summary words)`` and never grows with a hot word's
-corpus fan-out.
+No candidate list per position is built. Of each left word v the corpus gives
+one row: its ``TOP`` most frequent continuations in order and a bitmap of all
+of them (a Bloom filter of ``BITS`` bits, one hash); both are cut down inside
+the tasks before v is exchanged. A pair's masked left words fetch that row, hot
+ones map-side. The first of the top words that the summary has is the exact
+``help`` guess. Only where it has none, and v has more continuations, are the
+summary's words tested against the bitmap and those that pass looked up, in one
+join on the whole ``(v, w)`` with the summary's own bigrams for ``tune``. No
+candidates are joined by v alone, whatever a word's fan-out in the corpus.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as tx
+from quillmark.operators.joins import probe_sample, split_lookup
 from quillmark.operators.metrics.lm import bigrams
 from quillmark.session import cut_lineage
 
 MASK_EVERY = 6
-HEAVY_DEGREE = 1000
 MIN_WORD_LEN = 4
 TUNE_BOOST = 10
+# Continuations of a left word that are kept in order, and bits of the bitmap of all.
+TOP = 64
+BITS = 1024
+_WORDS = BITS // 64
+
+
+def _place(w: Column) -> Column:
+    """A word's place in a bitmap."""
+    return F.pmod(F.xxhash64(w), F.lit(BITS)).cast("int")
+
+
+def left_words(cc: DataFrame, top: int = TOP) -> DataFrame:
+    """``(v, top, s_base, bits)`` of corpus counts ``(v, w, c)``: the ``top`` most
+    frequent continuations (ties: the smaller word first), the count of the
+    first, and the bitmap of all as ``array<bigint>`` (null where ``top`` has them all)."""
+    first = Window.partitionBy("v").orderBy(F.col("c").desc(), "w")
+    # Planned as a limit a word and task before the exchange, then at most ``top`` rows a word.
+    heads = cc.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= top).groupBy("v").agg(
+        F.sort_array(F.collect_list(F.struct("_r", "w"))).alias("_t"), F.max("c").alias("s_base"))
+    at = cc.withColumn("_at", _place(F.col("w")))
+    word, bit = F.floor(F.col("_at") / 64), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_at") % 64)
+    maps = at.groupBy("v").agg(F.count(F.lit(1)).alias("_n"), *[
+        F.bit_or(F.when(word == i, bit)).alias(f"_m{i}") for i in range(_WORDS)]).where(F.col("_n") > top)
+    maps = maps.select("v", F.array(*[F.coalesce(f"_m{i}", F.lit(0).cast("long")) for i in range(_WORDS)]).alias("bits"))
+    return heads.join(maps, "v", "left").select(
+        "v", F.transform("_t", lambda x: x["w"]).alias("top"), "s_base", "bits")
+
+
+def _masks(tp: DataFrame, key: str) -> DataFrame:
+    pos = tp.select(key, "g", F.posexplode("g").alias("p0", "answer"))
+    i = F.col("p0") + 1
+    return pos.where((i >= 2) & (i % MASK_EVERY == 0) & (F.length("answer") >= MIN_WORD_LEN)) \
+        .select(key, F.element_at("g", F.col("p0")).alias("v"), "answer")
 
 
-def _best(cands: DataFrame, keys: list[str], score: str, out: str) -> DataFrame:
-    """Per ``keys``: the ``w`` with the highest ``score``, ties to the smaller ``w``.
-
-    One partial aggregation: ``min(struct(-score, w))`` orders by score
-    descending, then word ascending — no join back to the maximum, so a
-    left word with a huge candidate list is combined map-side.
-    """
-    best = cands.groupBy(*keys).agg(F.min(F.struct((-F.col(score)).alias("_ns"), F.col("w"))).alias("_b"))
-    return best.select(*keys, F.col("_b")["w"].alias(out), (-F.col("_b")["_ns"]).alias(f"{out}_score"))
-
-
-def cloze_gain(pairs: DataFrame, corpus: DataFrame, key: str = "pair_id",
-               text: str = "text", heavy_degree: int = HEAVY_DEGREE) -> DataFrame:
+def cloze_gain(pairs: DataFrame, corpus: DataFrame, key: str = "pair_id", text: str = "text",
+               top: int = TOP) -> DataFrame:
+    """``(key, masked, base_correct, help_correct, tune_correct, blanc_help, blanc_tune)`` of every pair.
+    ``top`` decides how much is settled without a lookup, never a result."""
     long_w = F.length("w") >= MIN_WORD_LEN
-    # The corpus counts are the "model": aggregated once, read three times.
+    # The corpus counts are the "model": aggregated once, read twice.
     cc = cut_lineage(bigrams(corpus.select(F.lit(0).alias("_k"), text), "_k", text).where(long_w)
                      .groupBy("v", "w").agg(F.count(F.lit(1)).alias("c")))
 
-    tp = pairs.select(key, tx.tok("gold").alias("g"), tx.tok("predicted").alias("h"))
-    pos = tp.select(key, "g", F.posexplode("g").alias("p0", "answer"))
-    i = F.col("p0") + 1
-    masks = pos.where((i >= 2) & (i % MASK_EVERY == 0) & (F.length("answer") >= MIN_WORD_LEN)) \
-        .select(key, F.col("p0"), F.element_at("g", F.col("p0")).alias("v"), "answer")
-    mpv = masks.select(key, "v").distinct()
-
-    ccv = cc.join(mpv.select("v").distinct(), "v", "left_semi")
-    base = _best(ccv, ["v"], "c", "w_base")
-
-    pw = tp.select(key, F.explode(F.array_distinct("h")).alias("w")).where(long_w)
-    deg = ccv.groupBy("v").agg(F.count(F.lit(1)).alias("_deg"))
-    light = mpv.join(deg.where(F.col("_deg") <= heavy_degree).select("v"), "v", "left_semi")
-    heavy = mpv.join(deg.where(F.col("_deg") > heavy_degree).select("v"), "v", "left_semi")
-    cand_light = light.join(ccv, "v").join(pw, [key, "w"], "left_semi")
-    cand_heavy = heavy.join(pw, key).join(ccv, ["v", "w"])
-    cand = cand_light.select(key, "v", "w", "c").unionByName(cand_heavy.select(key, "v", "w", "c"))
-    helped = _best(cand, [key, "v"], "c", "w_help").drop("w_help_score")
-
-    pb = bigrams(pairs, key, "predicted").where(long_w).groupBy(key, "v", "w").agg(
-        F.count(F.lit(1)).alias("cp"))
-    pbm = pb.join(mpv, [key, "v"], "left_semi")
-    own = pbm.join(cc, ["v", "w"], "left").select(
-        key, "v", "w", (F.coalesce("c", F.lit(0)) + TUNE_BOOST * F.col("cp")).alias("s"))
-    from_base = mpv.join(base, "v").select(key, "v", F.col("w_base").alias("w"),
-                                           F.col("w_base_score").alias("s"))
-    tuned = _best(own.unionByName(from_base), [key, "v"], "s", "w_tune").drop("w_tune_score")
-
-    m = masks.join(base.drop("w_base_score"), "v", "left") \
-        .join(helped, [key, "v"], "left").join(tuned, [key, "v"], "left")
-
-    def hit(c):
-        return F.when(F.col("answer") == c, 1).otherwise(0)
-    per = m.groupBy(key).agg(
-        F.count(F.lit(1)).alias("masked"),
-        F.sum(hit(F.col("w_base"))).cast("long").alias("base_correct"),
-        F.sum(hit(F.coalesce("w_help", "w_base"))).cast("long").alias("help_correct"),
-        F.sum(hit(F.col("w_tune"))).cast("long").alias("tune_correct"))
-    out = pairs.select(key).join(per, key, "left").fillna(0, ["masked", "base_correct",
-                                                              "help_correct", "tune_correct"])
+    def tokens(rows: DataFrame) -> DataFrame:
+        return rows.select(key, tx.tok("gold").alias("g"), tx.tok("predicted").alias("h"))
+
+    tp = tokens(pairs).repartition(key)
+    masks = _masks(tp, key).groupBy(key, "v", "answer").agg(F.count(F.lit(1)).alias("k"))
+    asked = masks.select(key, "v").distinct()
+    asked = split_lookup(asked, left_words(cc, top), ["v"], ["top", "s_base", "bits"],
+                         probe=_masks(tokens(probe_sample(pairs)), key).select("v"))
+    words = tp.select(key, F.array_distinct(F.filter("h", lambda w: F.length(w) >= MIN_WORD_LEN)).alias("_w"))
+    # ``array_intersect`` keeps the order of its first side.
+    asked = cut_lineage(asked.join(words, key).select(
+        key, "v", F.get("top", F.lit(0)).alias("w_base"), "s_base",
+        F.get(F.array_intersect("top", "_w"), F.lit(0)).alias("w_help"), "bits", "_w").select(
+        key, "v", "w_base", "s_base", "w_help", F.when(F.col("w_help").isNull() & F.col("bits").isNotNull(), F.filter(
+            "_w", lambda w: F.call_function("getbit", F.get("bits", F.floor(_place(w) / 64).cast("int")), _place(w) % 64) == 1
+        )).alias("_c")))
+
+    helping = asked.select(key, "v", F.explode("_c").alias("w"), F.lit(0).cast("long").alias("cp"))
+    own = bigrams(pairs, key, "predicted").where(long_w).groupBy(key, "v", "w").agg(F.count(F.lit(1)).alias("cp"))
+    own = own.join(asked.select(key, "v"), [key, "v"], "left_semi")
+    cand = split_lookup(helping.unionByName(own), cc, ["v", "w"], ["c"],
+                        probe=bigrams(probe_sample(pairs), key, "predicted").where(long_w).select("v", "w"))
+    helps, boost = F.col("cp") == 0, F.coalesce("c", F.lit(0)) + TUNE_BOOST * F.col("cp")
+    best = cand.groupBy(key, "v").agg(
+        F.min(F.when(helps & F.col("c").isNotNull(), F.struct((-F.col("c")).alias("s"), F.col("w")))).alias("_help"),
+        F.min(F.when(~helps, F.struct((-boost).alias("s"), F.col("w")))).alias("_tune"))
+    from_base = F.when(F.col("w_base").isNotNull(), F.struct((-F.col("s_base")).alias("s"), F.col("w_base").alias("w")))
+    guesses = asked.join(best, [key, "v"], "left").select(
+        key, "v", "w_base", F.coalesce("w_help", F.col("_help")["w"], "w_base").alias("w_help"),
+        F.least("_tune", from_base)["w"].alias("w_tune"))
+
+    def hits(c):
+        return F.sum(F.when(F.col("answer") == F.col(c), F.col("k")).otherwise(0)).cast("long")
+    per = masks.join(guesses, [key, "v"]).groupBy(key).agg(
+        F.sum("k").alias("masked"), hits("w_base").alias("base_correct"),
+        hits("w_help").alias("help_correct"), hits("w_tune").alias("tune_correct"))
+    out = pairs.select(key).join(per, key, "left").fillna(0, ["masked", "base_correct", "help_correct", "tune_correct"])
     mk = F.col("masked").cast("double")
     return out.select(
         key, F.col("masked").cast("long").alias("masked"), "base_correct", "help_correct", "tune_correct",

@@ -57,8 +57,8 @@ def lm_perplexity(train: DataFrame, score: DataFrame, key: str = "doc_id",
 
     ``ln p(w|v) = ln(c(v,w) + k) - ln(c(v) + kV)``, so a text's sum is over its
     bigrams and, apart from them, over its prefixes (no token is empty: a
-    prefix is a bigram with ``w = ''``). Both are combined per text and looked
-    up in one table by one join; what the table lacks has a count of 0. Hot
+    prefix is a bigram with ``w = ''``). Both are looked up in
+    one table by one join; what the table lacks has a count of 0. Hot
     keys of the scored texts are matched map-side (:func:`split_lookup`).
     """
     m = bigram_model(train, train_text)
@@ -66,13 +66,12 @@ def lm_perplexity(train: DataFrame, score: DataFrame, key: str = "doc_id",
     def both(texts: DataFrame) -> DataFrame:
         return bigrams(texts, key, text).select(key, "v", F.explode(F.array(F.col("w"), F.lit(""))).alias("w"))
 
-    occ = both(score).groupBy(key, "v", "w").agg(F.count(F.lit(1)).alias("k"))
-    j = split_lookup(occ, m.logs, ["v", "w"], ["ln"], probe=both(probe_sample(score)))
+    # Every occurrence is looked up: counting them per text first would exchange them once more.
+    j = split_lookup(both(score), m.logs, ["v", "w"], ["ln"], probe=both(probe_sample(score)))
     pair = F.col("w") != ""
     unseen = F.when(pair, F.lit(math.log(ADD_K))).otherwise(F.lit(math.log(ADD_K * m.vocab)))
-    ln = F.coalesce(F.col("ln"), unseen) * F.col("k")
-    per = j.groupBy(key).agg(F.sum(F.when(pair, F.col("k"))).alias("n"),
-                             F.sum(F.when(pair, ln).otherwise(-ln)).alias("s"))
+    ln = F.coalesce(F.col("ln"), unseen)
+    per = j.groupBy(key).agg(F.count(F.when(pair, 1)).alias("n"), F.sum(F.when(pair, ln).otherwise(-ln)).alias("s"))
     out = score.select(key).join(per, key, "left")
     return out.select(key, F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n_tokens"),
                       F.round(F.exp(-F.col("s") / F.col("n")), 4).alias("perplexity"))
