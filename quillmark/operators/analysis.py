@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as tx
+from quillmark.operators.joins import sized_broadcast_join, split_lookup
 from quillmark.operators.ranking import global_position
 from quillmark.session import cut_lineage
 
@@ -36,7 +37,8 @@ def average_ranks(obs: DataFrame, groups: list[str], value: str, out: str) -> Da
     d = obs.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_c"))
     pos = global_position(d, [F.col(g).asc() for g in groups] + [F.col(value).asc()], weight="_c")
     first = pos.groupBy(*groups).agg(F.min("_start").alias("_g0"))
-    r = pos.join(first, groups)
+    # One row a group: matched map-side where they are few, else dealt by the value too.
+    r = sized_broadcast_join(pos, first, groups, salt_by=[value])
     rank = (F.col("_start") - F.col("_g0")).cast("double") + (F.col("_c") + 1) / 2.0
     return r.select(*groups, value, rank.alias(out))
 
@@ -51,10 +53,12 @@ def correlations(obs: DataFrame, groups: list[str], x: str, y: str) -> DataFrame
     obs = cut_lineage(obs.select(*groups, x, y))
     pear = obs.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"),
                                     tx.r6(guarded_pearson(x, y)).alias("pearson"))
-    cell = obs.groupBy(*groups, x, y).agg(F.count(F.lit(1)).alias("_k"))
+    cell = cut_lineage(obs.groupBy(*groups, x, y).agg(F.count(F.lit(1)).alias("_k")))
     rx = average_ranks(obs, groups, x, "_rx")
     ry = average_ranks(obs, groups, y, "_ry")
-    c = cell.join(rx, groups + [x]).join(ry, groups + [y])
+    # Few values of ``x`` or ``y`` may hold most cells: hot ones are matched map-side.
+    c = split_lookup(cell, rx, groups + [x], ["_rx"], probe=cell)
+    c = split_lookup(c, ry, groups + [y], ["_ry"], probe=cell)
     k = F.col("_k").cast("double")
     s = c.groupBy(*groups).agg(
         F.sum(k).alias("n_"), F.sum(k * F.col("_rx")).alias("sx"), F.sum(k * F.col("_ry")).alias("sy"),
@@ -175,15 +179,37 @@ def error_rates_by_system(ann: DataFrame, systems: DataFrame, error_types: list[
         tx.r6(F.avg("present")))
 
 
+def previous_in_order(df: DataFrame, key: str, order: str, col: str, out: str) -> DataFrame:
+    """``df`` with ``out``: ``col`` of the row before, in ``order``, of the same ``key`` (null: first).
+
+    Rows are range-partitioned by ``(key, order)``, so one key with a third of
+    all rows lies in many tasks. Within a range the row before is a step back;
+    the first row of a range takes the last row of the range before, one row a
+    range being carried over.
+    """
+    s = cut_lineage(df.repartitionByRange(key, order).sortWithinPartitions(key, order).withColumn(
+        "_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
+    inside = Window.partitionBy("_pid").orderBy("_mid")
+    # One row a range: as many as partitions.
+    ends = s.groupBy("_pid").agg(F.max_by(F.struct(key, col), "_mid").alias("_end"))
+    ends = ends.select((F.lead("_pid").over(Window.orderBy("_pid"))).alias("_pid"), "_end").where(F.col("_pid").isNotNull())
+    j = s.withColumn("_back", F.lag(F.struct(key, col)).over(inside)).join(F.broadcast(ends), "_pid", "left")
+    back = F.coalesce("_back", "_end")
+    return j.withColumn(out, F.when(back[key].eqNullSafe(F.col(key)) & back.isNotNull(), back[col])).drop(
+        "_pid", "_mid", "_back", "_end")
+
+
 def turn_challenges(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     """ANA-8: speaker-dynamics features per conversation.
 
     ``turns``, distinct ``speakers``, ``switches`` (consecutive turns with a
     different role) and mean tokens per turn. The previous turn is the one
-    before it in turn order, whatever numbers are missing between them.
+    before it in turn order, whatever numbers are missing between them. No task
+    needs a whole conversation: turns are ordered over ranges and the features
+    are partial aggregates.
     """
     t = turns.select(key, "turn", "role", F.size(tx.tok("text")).alias("ntok"))
-    j = t.withColumn("prev_role", F.lag("role").over(Window.partitionBy(key).orderBy("turn")))
+    j = previous_in_order(t, key, "turn", "role", "prev_role")
     sw = F.when(F.col("prev_role").isNotNull() & (F.col("prev_role") != F.col("role")), 1).otherwise(0)
     return j.groupBy(key).agg(
         F.count(F.lit(1)).alias("turns"),

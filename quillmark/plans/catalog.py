@@ -92,18 +92,20 @@ def ids_str(c: str):
     return F.array_join(F.col(c), ",").alias(c)
 
 
-def doc_scores(spark, d):
-    """Per labelled document: ROUGE-1 vs its benchmark passage, bigram
-    perplexity (model counted on all documents), trigram repeat rate and
-    token count, with system and architecture."""
+def doc_scores(spark, d, metrics=("rouge1_f", "perplexity", "repeat_rate", "n_tokens")):
+    """Per labelled document, with system and architecture, the asked of: ROUGE-1
+    vs its benchmark passage, bigram perplexity (model counted on all documents)
+    and token count, trigram repeat rate."""
     p = tb.pairs_doc(spark, d)
-    r = overlap.rouge_n(p, ns=(1,)).select("pair_id", "rouge1_f")
-    ppl = lm.lm_perplexity(tb.table(spark, d, "documents"), p.select("pair_id", "predicted"),
-                           key="pair_id", text="predicted")
-    rep = dq.repeat_ngram_rate(p, "pair_id", "predicted").select("pair_id", "repeat_rate")
-    base = p.select("pair_id", "system", "arch")
-    return base.join(r, "pair_id").join(ppl, "pair_id").join(rep, "pair_id").select(
-        "pair_id", "system", "arch", "rouge1_f", "perplexity", "repeat_rate", "n_tokens")
+    out = p.select("pair_id", "system", "arch")
+    if "rouge1_f" in metrics:
+        out = out.join(overlap.rouge_n(p, ns=(1,)).select("pair_id", "rouge1_f"), "pair_id")
+    if {"perplexity", "n_tokens"} & set(metrics):
+        out = out.join(lm.lm_perplexity(tb.table(spark, d, "documents"), p.select("pair_id", "predicted"),
+                                        key="pair_id", text="predicted"), "pair_id")
+    if "repeat_rate" in metrics:
+        out = out.join(dq.repeat_ngram_rate(p, "pair_id", "predicted").select("pair_id", "repeat_rate"), "pair_id")
+    return out.select("pair_id", "system", "arch", *metrics)
 
 
 def doc_correlations(spark, d):
@@ -169,9 +171,10 @@ def q_read_splits(spark, d):
 
 @query("append_run_log")
 def q_append_run_log(spark, d):
+    """Two runs, the first of them tried twice."""
     docs = tb.documents_split(spark, d)
     path = io.scratch_path(spark, "runlog")
-    for run, col in (("run1", "n_chars"), ("run2", "doc_id")):
+    for run, col in (("run1", "doc_id"), ("run2", "doc_id"), ("run1", "n_chars")):
         m = docs.groupBy("split").agg(F.count(F.lit(1)).cast("double").alias("samples"),
                                       F.avg(col).alias("mean_value"))
         long_ = m.select(F.lit(run).alias("run_id"), "split", F.inline(F.array(
@@ -403,7 +406,7 @@ def q_turn_challenges(spark, d):
 
 @query("union_systems")
 def q_union_systems(spark, d):
-    s = doc_scores(spark, d)
+    s = doc_scores(spark, d, ("rouge1_f",))
     frames = {"arch_A": s.where(F.col("arch") == "A").drop("system"),
               "arch_B": s.where(F.col("arch") == "B").drop("system")}
     return pr.union_systems(frames).select("pair_id", "system", "rouge1_f")
@@ -416,12 +419,12 @@ def q_mean_scores(spark, d):
 
 @query("leaderboard")
 def q_leaderboard(spark, d):
-    return ag.leaderboard(doc_scores(spark, d), "rouge1_f", "system")
+    return ag.leaderboard(doc_scores(spark, d, ("rouge1_f",)), "rouge1_f", "system")
 
 
 @query("join_annotations")
 def q_join_annotations(spark, d):
-    s = doc_scores(spark, d).select("pair_id", "rouge1_f", "perplexity")
+    s = doc_scores(spark, d, ("rouge1_f", "perplexity")).select("pair_id", "rouge1_f", "perplexity")
     return pr.join_annotations(s, tb.ann_doc(spark, d))
 
 
@@ -452,7 +455,7 @@ def q_strength_labels(spark, d):
 
 @query("composite_score")
 def q_composite_score(spark, d):
-    return an.composite_score(doc_scores(spark, d), COMPOSITE_WEIGHTS)
+    return an.composite_score(doc_scores(spark, d, tuple(COMPOSITE_WEIGHTS)), COMPOSITE_WEIGHTS)
 
 
 @query("error_rates_by_system")
@@ -575,9 +578,9 @@ from quillmark.operators.metrics import learned as learned_m  # noqa: E402
 LEARNED_FEATURES = ["rouge1_f", "perplexity", "repeat_rate", "n_tokens"]
 
 
-def _labelled_scores(spark, d):
+def _labelled_scores(spark, d, metrics):
     lab = tb.table(spark, d, "labels").select(F.col("doc_id").alias("pair_id"), "quality")
-    return doc_scores(spark, d).join(lab, "pair_id")
+    return doc_scores(spark, d, tuple(metrics)).join(lab, "pair_id")
 
 
 @query("score_with")
@@ -587,12 +590,12 @@ def q_score_with(spark, d):
 
 @query("learned_score")
 def q_learned_score(spark, d):
-    return learned_m.learned_score(_labelled_scores(spark, d), LEARNED_FEATURES, "quality")
+    return learned_m.learned_score(_labelled_scores(spark, d, LEARNED_FEATURES), LEARNED_FEATURES, "quality")
 
 
 @query("learned_score_1f")
 def q_learned_score_1f(spark, d):
-    return learned_m.learned_score(_labelled_scores(spark, d), ["rouge1_f"], "quality")
+    return learned_m.learned_score(_labelled_scores(spark, d, ["rouge1_f"]), ["rouge1_f"], "quality")
 
 
 @query("bleu_multi_ref")
@@ -671,3 +674,18 @@ def q_evaluate_summary(spark, d):
 def q_mean_perplexity(spark, d):
     docs = tb.table(spark, d, "documents")
     return lm.mean_perplexity(lm.lm_perplexity(docs, docs, "doc_id", "text"))
+
+
+BATCH_ROWS = 64
+
+
+@query("map_batches")
+def q_map_batches(spark, d):
+    """A function that depends on the batch: each prediction's length against its batch's mean."""
+    def make():
+        def centred(pdf):
+            n = pdf["predicted"].str.len().astype("float64")
+            return pdf[["pair_id"]].assign(batch_rows=len(pdf), centred=(n - n.mean()).round(6))
+        return centred
+    p = tb.pairs_conv(spark, d).select("pair_id", "predicted")
+    return rg.map_batches(p, make, BATCH_ROWS, "pair_id long, batch_rows long, centred double", order=["pair_id"])

@@ -739,3 +739,7 @@ ORACLE["evaluate_summary"] = with_fixtures(["pairs_conv"], *_EVALUATED) + (
 
 ORACLE["mean_perplexity"] = with_fixtures([], *perplexity_ctes("documents", "doc_id", "text")) + (
     "SELECT round(avg(perplexity), 6) AS mean_perplexity, count(perplexity) AS texts FROM ppl")
+
+ORACLE["map_batches"] = with_fixtures(["pairs_conv"], (
+    "bt", "SELECT pair_id, length(predicted) AS n, (row_number() OVER (ORDER BY pair_id) - 1) // 64 AS b FROM pairs_conv")) + (
+    "SELECT pair_id, count(*) OVER (PARTITION BY b) AS batch_rows, round(n - avg(n) OVER (PARTITION BY b), 6) AS centred FROM bt")

@@ -116,10 +116,15 @@ def read_predictions_text(spark: SparkSession, path: str, key: str = "pair_id",
 
 
 def append_run_log(df: DataFrame, path: str) -> None:
-    """SNK-4: append long rows ``(run_id, split, metric, value)``."""
+    """SNK-4: append long rows ``(run_id, split, metric, value)``.
+
+    A run's split is a folder of its own that is published whole and replaces
+    what an earlier attempt of the same run left there, so a run that is tried
+    again is in the log once; other runs stay.
+    """
     df.select([F.col(f.name).cast(f.dataType) for f in RUN_LOG_SCHEMA.fields]) \
-      .write.mode("append").parquet(path)
+      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "split").parquet(path)
 
 
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RUN_LOG_SCHEMA).parquet(path)
+    return spark.read.schema(RUN_LOG_SCHEMA).parquet(path).select(*RUN_LOG_SCHEMA.names)

@@ -154,3 +154,69 @@ def test_encoding_cuts_before_the_lookup(spark, pairs):
     cut = by_key(tk.encode_truncate_pad(pairs, vocab, max_source=3, max_target=2))
     assert all(cut[k]["input_ids"] == (r["ids"] + [0, 0, 0])[:3] for k, r in whole.items())
     assert Counter(len(r["labels"]) for r in cut.values()) == {2: 10}
+
+
+def test_map_batches_are_exact(spark):
+    from quillmark.operators import registry as rg
+
+    def make():
+        def fn(pdf):
+            return pdf.assign(n=len(pdf), first=pdf["id"].min())
+        return fn
+    df = spark.range(1000).withColumn("_batch", F.lit("own")).repartition(7, "id")
+    got = rg.map_batches(df.select("id"), make, 64, "id long, n long, first long", order=["id"]).collect()
+    assert {(r["id"], r["n"], r["first"]) for r in got} == {(i, 64 if i < 960 else 40, i // 64 * 64) for i in range(1000)}
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("10", "100000"):    # the session's batches don't matter
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = rg.map_batches(spark.range(0, 1000, 1, 3), make, 50, "id long, n long, first long").collect()
+            sizes = Counter(r["n"] for r in got)
+            assert len(got) == 1000 and sizes[50] >= 900 and len(sizes) <= 2
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert rg.map_batches(spark.range(0), make, 5, "id long, n long, first long").collect() == []
+    with pytest.raises(ValueError):
+        rg.map_batches(spark.range(3), make, 0, "id long")
+
+
+def test_registry_knows_the_metrics_with_tables(spark, pairs):
+    from quillmark.operators import registry as rg
+    docs = pairs.select(F.col("pair_id").alias("doc_id"), F.col("gold").alias("text"))
+    assert "blanc_help" in rg.load("cloze", corpus=docs)(pairs).columns
+    assert "fscore" in rg.load("coverage", corpus=docs)(pairs).columns
+    scored = spark.createDataFrame([(i, float(i), float(i % 3)) for i in range(9)], "pair_id long, a double, y double")
+    assert rg.load("learned", features=["a"], label="y")(scored).count() == 9
+    with pytest.raises(KeyError):
+        rg.load("nothing")
+
+
+def test_previous_row_is_carried_over_ranges(spark):
+    from quillmark.operators.analysis import previous_in_order, turn_challenges
+    rng = np.random.default_rng(2)
+    rows = [(0, 3 * t, "user" if rng.random() < 0.5 else "bot", "a b") for t in range(300)]     # one long conversation
+    rows += [(int(c), t, "user" if t % 2 else None, None) for c in range(1, 40) for t in range(c % 5)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = previous_in_order(df, "conv_id", "turn", "role", "prev").collect()
+    before = {}
+    for c, t, role, _ in sorted(rows, key=lambda r: r[:2]):
+        before.setdefault(c, []).append((t, role))
+    want = {(c, t): (x[i - 1][1] if i else None) for c, x in before.items() for i, (t, _) in enumerate(x)}
+    assert {(r["conv_id"], r["turn"]): r["prev"] for r in got} == want and len(got) == len(rows)
+    ranges = df.repartitionByRange(8, "conv_id", "turn").groupBy(F.spark_partition_id()).count().collect()
+    assert len(ranges) == 8 and max(r["count"] for r in ranges) < 150     # 300 turns in many tasks
+    one = {r["conv_id"]: r for r in turn_challenges(df).collect()}[0]
+    roles = [r[2] for r in rows[:300]]
+    assert one["switches"] == sum(a != b for a, b in zip(roles, roles[1:])) and one["turns"] == 300
+
+
+def test_run_log_of_a_retried_run(spark):
+    path = io.scratch_path(spark, "log-test")
+
+    def rows(run, value):
+        return spark.createDataFrame([(run, s, "m", value) for s in ("eval", "test")], io.RUN_LOG_SCHEMA)
+    io.append_run_log(rows("a", 1.0), path)
+    io.append_run_log(rows("b", 2.0), path)
+    io.append_run_log(rows("a", 3.0).where("split = 'eval'"), path)
+    assert sorted(tuple(r) for r in io.read_run_log(spark, path).collect()) == [
+        ("a", "eval", "m", 3.0), ("a", "test", "m", 1.0), ("b", "eval", "m", 2.0), ("b", "test", "m", 2.0)]
