@@ -131,12 +131,11 @@ def hash_sample(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return rows.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().orderBy(key, "doc_id").limit(n)
 
 
-def sparse_rows(docs: DataFrame, ids: DataFrame, bits: int, grams: tuple[int, ...], again: int = 0,
-                lower: bool = False, shape: int = 0) -> list[tuple]:
-    """``(group, buckets, counts, words)`` of the sampled documents, ordered by id.
+def sparse_sample(docs: DataFrame, ids: DataFrame, bits: int, grams: tuple[int, ...], again: int = 0,
+                  lower: bool = False, shape: int = 0) -> DataFrame:
+    """``doc_id, grp, buckets, counts, words`` of the sampled documents.
 
-    ``ids`` (``doc_id, grp``) is a bounded sample, so its broadcast and the
-    rows that reach the driver are bounded: a row has at most 2**bits buckets.
+    ``ids`` (``doc_id, grp``) is a bounded sample, so its broadcast is bounded.
     """
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,9 +158,25 @@ def sparse_rows(docs: DataFrame, ids: DataFrame, bits: int, grams: tuple[int, ..
                     names=["doc_id", "grp", "buckets", "counts", "words"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "grp", "text")
-    got = rows.mapInArrow(featurise, "doc_id long, grp int, buckets binary, counts binary, words long").toArrow()
+    return rows.mapInArrow(featurise, "doc_id long, grp int, buckets binary, counts binary, words long")
+
+
+def sparse_rows(got: pa.Table) -> list[tuple]:
+    """``(group, buckets, counts, words)`` of a table of :func:`sparse_sample`, ordered by id."""
     got = got.sort_by([("doc_id", "ascending"), ("grp", "ascending")])
     # Views of the Arrow buffers: no second copy of the sample is made.
     return [(g, np.frombuffer(b.as_buffer(), np.uint32), np.frombuffer(c.as_buffer(), np.float32), n)
             for g, b, c, n in zip(got["grp"].to_pylist(), got["buckets"], got["counts"],
                                   got["words"].to_pylist(), strict=True)]
+
+
+def fit_in_one_task(sample: DataFrame, fit, schema: str) -> pa.Table:
+    """What ``fit`` (a function of the rows of :func:`sparse_rows`, to an Arrow
+    table of ``schema``) makes of a bounded sample: it runs in one task on an
+    executor, and only its result reaches the driver."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            yield from fit(sparse_rows(pa.Table.from_batches(held))).to_batches()
+
+    return sample.repartition(1).mapInArrow(run, schema).toArrow()

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmark.llm.batches import chunks
-from quillmark.llm.features import fold_of, hash_sample, hashed_features, sparse_rows
+from quillmark.llm.features import fit_in_one_task, fold_of, hash_sample, hashed_features, sparse_sample
 from quillmark.llm.tables import documents, fresh, table
 
 #: Buckets of features (2**BITS), n-gram lengths, length of a vector.
@@ -74,17 +74,25 @@ def fit(rows: list[tuple], epochs: int = EPOCHS, rate: float = RATE, seed: int =
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
-    """Fit on the labelled rows outside the held-out fold."""
+    """Fit on the labelled rows outside the held-out fold, in one task on an executor."""
     known = labels.where((fold_of(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("quality").isin(0, 1))
     shares = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     ids = None
     for c in (0, 1):
         some = hash_sample(known.where(F.col("quality") == c), TRAIN_ROWS).withColumn("grp", F.lit(c))
         ids = some if ids is None else ids.unionByName(some)
-    rows = sparse_rows(docs, ids, BITS, GRAMS, AGAIN, shape=SHAPE)
-    weights, bias = fit(rows)
+    def fitted(rows: list[tuple]) -> pa.Table:
+        weights, bias = fit(rows)
+        return pa.table({"weights": pa.array([weights.tobytes()], pa.binary()), "bias": [bias],
+                         "classes": pa.array([len({c for c, *_ in rows})], pa.int64())})
+
+    sample = sparse_sample(docs, ids, BITS, GRAMS, AGAIN, shape=SHAPE)
+    found = fit_in_one_task(sample, fitted, "weights binary, bias double, classes long").to_pylist()
+    weights, bias, classes = np.zeros(1 << BITS, np.float32), 0.0, 0
+    if found:
+        weights, bias, classes = np.frombuffer(found[0]["weights"], np.float32), found[0]["bias"], found[0]["classes"]
     # The classes took turns: back to the shares of all labelled rows.
-    if len({c for c, *_ in rows}) == 2:
+    if classes == 2:
         bias += math.log(shares[1] / shares[0])
     elif shares:
         bias += 4.0 if max(shares, key=shares.get) == 1 else -4.0

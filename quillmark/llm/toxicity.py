@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmark.llm.batches import chunks
-from quillmark.llm.features import fold_of, hash_sample, hashed_features, lowered, sparse_rows
+from quillmark.llm.features import fold_of, hash_sample, hashed_features, lowered, sparse_rows, sparse_sample
 from quillmark.llm.tables import documents, table
 
 #: Buckets of features (2**BITS) and n-gram lengths, over lower-cased text.
@@ -124,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
     # The unlabelled sample is of all text (confirmed documents may be drawn too): its toxic share is the prior.
     ids = hash_sample(toxic, TOXIC_ROWS).withColumn("grp", F.lit(1)).unionByName(
         hash_sample(docs.where(fold), UNLABELLED_ROWS, seed=1).withColumn("grp", F.lit(0)))
-    rows = sparse_rows(docs, ids, BITS, GRAMS, lower=True)
+    rows = sparse_rows(sparse_sample(docs, ids, BITS, GRAMS, lower=True).toArrow())
     p, u = ([(key, counts, words) for g, key, counts, words in rows if g == x] for x in (1, 0))
     kept = select_features(p, u)
     if not len(kept):
