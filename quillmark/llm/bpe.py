@@ -7,11 +7,13 @@ pairs it now makes, until no pair has a rank. Ranks come from a literal rank
 map: every way to split a token of the vocabulary into two others, hashed into a
 flat array so that a lookup reads two places.
 
-Words that are frequent in the corpus are folded once, as distinct words: all
-words are counted, the most frequent ``HOT_WORDS`` (a bound, whatever the size
-of the corpus) are encoded by that fold in Spark and go back into the plan as a
-literal, hashed the same way. Every other word is folded where it stands. What
-is hot changes no result.
+Only distinct words are folded. The words of the corpus are counted; the most
+frequent ones (at most ``HOT_WORDS``, a bound at any size) are folded once for
+all and sent to the tasks. Every other word is folded once in the task that
+meets it: Python splits the texts of a chunk and names words by numbers, Spark
+folds the words that the task has not met before, and numpy puts the ids in the
+numbers' places. A task remembers at most ``TASK_WORDS`` words, then it starts
+afresh. What is remembered changes no result, and no text is shuffled.
 
 Decoding looks up every id's bytes in a literal array and concatenates.
 """
@@ -20,23 +22,30 @@ from __future__ import annotations
 
 import base64
 import json
-import struct
-import zlib
+import math
+from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm.hosts import let
-from quillmark.llm.tables import documents
-
-#: Java's flag for Unicode white space in ``\s`` goes before the tokenizer's own pattern.
-UNICODE = "(?U)"
-#: Words folded once, at most, and their length in bytes, at most.
-HOT_WORDS, HOT_BYTES = 40_000, 48
-#: Places of the tables of pairs and of hot words; powers of two.
-PAIR_PLACES, WORD_BITS = 1 << 18, 17
-WORD_PLACES = 1 << WORD_BITS
+from quillmark.llm.tables import documents, staged
+
+#: Words folded once for the whole corpus, at most, and their length in bytes, at most.
+HOT_WORDS, HOT_BYTES = 1 << 18, 48
+#: Other words that a task remembers.
+TASK_WORDS = 1 << 19
+#: Characters of text and documents of a chunk, at most (a longer text is a chunk of its own).
+CHUNK_CHARS, CHUNK_DOCS = 1 << 21, 1 << 13
+#: Classes of word counts in each doubling, from which the least count of a hot word is chosen.
+STEPS = 16
+#: Places of the table of pairs; a power of two.
+PAIR_PLACES = 1 << 18
 MASK = (1 << 20) - 1
 #: Characters of a plan's text that are kept where a plan holds these tables.
 PLAN_TEXT = 20_000
@@ -85,7 +94,7 @@ class Codec:
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN):
-        self.pattern = UNICODE + pattern
+        self.pattern = pattern
         self.end = max(ranks.values()) + 1      # a token that merges with nothing
         self.size = self.end + 1
         pairs = {}
@@ -107,7 +116,6 @@ class Codec:
             "bytes": literal([ranks[bytes([b])] for b in range(256)], "array<int>"),
             "pairs": literal(table, "array<bigint>"),
             "text": literal(text, "array<string>"),
-            "little": literal([struct.pack("<I", i).hex() for i in range(self.end)], "array<string>"),
         }
 
     def using(self, names: str, body, **more: Column) -> Column:
@@ -158,37 +166,39 @@ class Codec:
                                                 begin(p), step,
                                                 lambda s: F.slice(s["p"], F.lit(2), F.size(s["p"]) - 2)))
 
-    def words(self, text: Column) -> Column:
-        """The parts of a text that are encoded one by one."""
-        return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
-
-    def hot(self, docs: DataFrame, text: str = "text") -> dict[str, Column]:
-        """Tables of the encoded most frequent words of a corpus (at most HOT_WORDS)."""
-        counts = (docs.select(F.explode(self.words(F.col(text))).alias("word")).groupBy("word")
-                  .agg(F.count(F.lit(1)).alias("n")).where((F.octet_length("word") <= HOT_BYTES) & (F.col("n") > 1)))
-        top = counts.orderBy(F.desc("n"), "word").limit(HOT_WORDS).select("word")
-        rows = top.select("word", self.using("bytes pairs", lambda t: self.fold(t, F.col("word"))).alias("ids")).collect()
-        by_crc = {zlib.crc32(word.encode()): (word, ids) for word, ids in rows}
-        words, ids = [""] * WORD_PLACES, [[]] * WORD_PLACES
-        for place, key in two_choices(by_crc, lambda key: (key % WORD_PLACES, key // WORD_PLACES)).items():
-            words[place], ids[place] = by_crc[key]
-        return {"words": literal(words, "array<string>"), "ids": literal(ids, "array<array<int>>")}
-
-    def encode(self, text: Column, hot: dict[str, Column]) -> Column:
-        """Ids of a text (null: none)."""
-        def one(t: Column, w: Column) -> Column:
-            def known(crc: Column) -> Column:
-                a, b = (crc % WORD_PLACES).cast("int"), F.shiftright(crc, WORD_BITS).cast("int")
-                return F.when(F.get(t["words"], a) == w, F.get(t["ids"], a)).when(
-                    F.get(t["words"], b) == w, F.get(t["ids"], b)).otherwise(self.fold(t, w))
-            return let(F.crc32(w.cast("binary")), known)
-
-        return self.using("bytes pairs", lambda t: F.flatten(F.transform(self.words(text), lambda w: one(t, w))), **hot)
-
-    def packed(self, ids: Column) -> Column:
-        """Ids as little-endian unsigned 32-bit integers."""
-        return self.using("little", lambda t: F.unhex(F.array_join(
-            F.transform(ids, lambda i: F.get(t["little"], i)), "")))
+    def folded(self, word: Column) -> Column:
+        """``fold`` of a column."""
+        return self.using("bytes pairs", lambda t: self.fold(t, word))
+
+    def hot(self, docs: DataFrame, text: str = "text") -> pa.Table:
+        """``word, ids`` of the most frequent words of a corpus (at most HOT_WORDS).
+
+        The least count comes from the numbers of words in classes of counts,
+        so no words are sorted.
+        """
+        counts = staged(
+            docs.select(F.col(text).alias("text")).mapInArrow(word_counts(self.pattern, TASK_WORDS), "word string, n bigint")
+            .groupBy("word").agg(F.sum("n").alias("n"))
+            .where((F.octet_length("word") <= HOT_BYTES) & (F.col("n") > 1)), "word-counts")
+        step = F.floor(F.log2("n") * STEPS)
+        least, words = math.inf, 0
+        for row in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("step")).collect():
+            words += row.words
+            if words > HOT_WORDS:
+                break
+            least = row.step
+        return counts.where(step >= F.lit(least)).select("word", self.folded(F.col("word")).alias("ids")).toArrow()
+
+    def encode(self, docs: DataFrame, hot: pa.Table, text: str = "text") -> DataFrame:
+        """``doc_id, ids, packed`` of every row; ``hot`` from ``hot``."""
+        name = docs.schema["doc_id"].dataType.simpleString()
+        known = docs.sparkSession.sparkContext.broadcast(hot)
+        chunks = docs.select("doc_id", F.col(text).alias("text")).mapInArrow(
+            numbered_words(self.pattern, known, TASK_WORDS, CHUNK_CHARS),
+            f"doc_id array<{name}>, sizes array<bigint>, numbers binary, words array<string>, afresh boolean")
+        chunks = chunks.withColumn("words", self.using("bytes pairs", lambda t: F.transform(
+            "words", lambda word: self.fold(t, word))))
+        return chunks.mapInArrow(ids_of_numbers(known), f"doc_id {name}, ids array<int>, packed binary")
 
     def decode(self, ids: Column) -> Column:
         """The bytes of ids, as binary."""
@@ -196,12 +206,115 @@ class Codec:
             F.transform(ids, lambda i: F.get(t["text"], i)), "")))
 
 
+def word_counts(pattern: str, most: int):
+    """A function for ``mapInArrow``: ``word, n`` of texts, in parts of bounded size."""
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, counts = regex.compile(pattern).findall, Counter()
+
+        def part() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.string()),
+                                               "n": pa.array(list(counts.values()), pa.int64())})
+        for batch in batches:
+            for text in batch.column(0):
+                # Words that can't be hot need not be counted.
+                counts.update(w for w in split(text.as_py() or "") if len(w) <= HOT_BYTES)
+                if len(counts) > most:
+                    yield part()
+                    counts.clear()
+        yield part()
+    return counted
+
+
+class Numbers(dict):
+    """Numbers of words in the order in which they are met; ``new`` has those met since it was emptied."""
+
+    def __init__(self, words: list[str]):
+        super().__init__(zip(words, range(len(words))))
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
+def numbered_words(pattern: str, hot, task_words: int, chunk_chars: int):
+    """A function for ``mapInArrow``: chunks of documents as numbers of words, with the
+    words that are new to the task. ``afresh``: all but the hot words were forgotten before."""
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, words = regex.compile(pattern).findall, hot.value["word"].to_pylist()
+        numbers, afresh = Numbers(words), True
+        names, sizes, parts, chars = [], [], [], 0
+
+        def chunk() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([
+                pa.array([names], pa.list_(kind)), pa.array([sizes], pa.list_(pa.int64())),
+                pa.array([b"".join(parts)], pa.binary()), pa.array([numbers.new], pa.list_(pa.string())),
+                pa.array([afresh])], ["doc_id", "sizes", "numbers", "words", "afresh"])
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = text.as_py() or ""
+                if names and (chars + len(text) > chunk_chars or len(names) == CHUNK_DOCS):
+                    yield chunk()
+                    numbers.new, afresh = [], False
+                    names, sizes, parts, chars = [], [], [], 0
+                    if len(numbers) > len(words) + task_words:
+                        numbers, afresh = Numbers(words), True
+                found = np.array([numbers[w] for w in split(text)], "<u4")
+                names.append(name)
+                sizes.append(len(found))
+                parts.append(found.tobytes())
+                chars += len(text)
+        if names:
+            yield chunk()
+    return numbered
+
+
+def flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and sizes of an array of lists."""
+    return lists.flatten().to_numpy(zero_copy_only=False).astype("<u4"), np.diff(lists.offsets.to_numpy())
+
+
+def ids_of_numbers(hot):
+    """A function for ``mapInArrow``: ids of every document of the chunks of ``numbered_words``,
+    whose new words are folded. A task's chunks come in their order."""
+    def restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = flat(hot.value["ids"].combine_chunks())
+        ids, sizes = first
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                name, counts, numbers, new, afresh = (row.column(i) for i in range(5))
+                if afresh[0].as_py():
+                    ids, sizes = first
+                more = flat(new.flatten())
+                ids, sizes = np.concatenate([ids, more[0]]), np.concatenate([sizes, more[1]])
+                numbers = np.frombuffer(numbers[0].as_buffer(), "<u4")
+                lengths = sizes[numbers]
+                ends = np.cumsum(lengths)
+                starts = (np.cumsum(sizes) - sizes)[numbers]
+                total = int(ends[-1]) if len(ends) else 0
+                out = ids[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
+                # Where each document's words, and with them its ids, end.
+                at = np.concatenate([[0], np.cumsum(counts.flatten().to_numpy())])
+                at = np.concatenate([[0], ends])[at]
+                yield pa.RecordBatch.from_arrays([
+                    name.flatten(), pa.ListArray.from_arrays(at.astype(np.int32), pa.array(out.astype(np.int32))),
+                    pa.Array.from_buffers(pa.binary(), len(at) - 1, [
+                        None, pa.py_buffer((at * 4).astype(np.int32).tobytes()), pa.py_buffer(out.tobytes())])],
+                    ["doc_id", "ids", "packed"])
+    return restored
+
+
 def codec(name: str = "byte_bpe_50k.tiktoken") -> Codec:
     return Codec(read_ranks(public_tokenizers.path(name)))
 
 
 def encoded(docs: DataFrame, bpe: Codec | None = None) -> DataFrame:
-    """``doc_id, ids`` of every row of ``docs``.
+    """``doc_id, ids, packed`` of every row of ``docs``; ``packed`` has the ids as
+    little-endian unsigned 32-bit integers.
 
     Null and empty texts have no ids. Equal rows give equal rows; an empty
     table gives none; other columns are not read. One unbroken word is folded
@@ -210,14 +323,11 @@ def encoded(docs: DataFrame, bpe: Codec | None = None) -> DataFrame:
     bpe = bpe or codec()
     # The literal tables have no place in plan texts, which the driver keeps.
     docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
-    hot = bpe.hot(docs)
-    return docs.select("doc_id", bpe.encode(F.col("text"), hot).alias("ids"))
+    return bpe.encode(docs, bpe.hot(docs))
 
 
 def op4_bpe(spark, sf_dir: str) -> DataFrame:
     bpe = codec()
-    rows = encoded(documents(spark, sf_dir), bpe)
-    return rows.select("doc_id", let(F.col("ids"), lambda ids: F.struct(
-        F.size(ids).cast("long").alias("n_tokens"),
-        F.sha2(bpe.packed(ids), 256).alias("ids_sha256"),
-        F.sha2(bpe.decode(ids), 256).alias("decoded_sha256"))).alias("x")).select("doc_id", "x.*")
+    return encoded(documents(spark, sf_dir), bpe).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"),
+        F.sha2(bpe.decode(F.col("ids")), 256).alias("decoded_sha256"))

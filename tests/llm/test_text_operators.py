@@ -172,21 +172,29 @@ def test_merge_runs():
     assert prefix[1:] == [common(a, b) for a, b in zip(merged, merged[1:], strict=False)]
 
 
-def test_bpe(docs, no_docs, fixture_rows):
+def test_bpe(docs, no_docs, fixture_rows, monkeypatch):
+    """Equal to the library on all texts, whether a task's memory of words is large, full or next to nothing."""
     import public_tokenizers
     import tiktoken
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     codec = bpe.codec()
-    short = docs.where(F.coalesce(F.length("text"), F.lit(0)) < 5000)
-    got = by_id(bpe.encoded(short, codec).select("doc_id", "ids", codec.packed(F.col("ids")).alias("packed"),
-                                                 codec.decode(F.col("ids")).alias("bytes")))
-    for i, t, *_ in fixture_rows:
-        if len(t or "") < 5000:
-            ids = library.encode_ordinary(t or "")
-            assert list(got[i]["ids"]) == ids, i
-            assert bytes(got[i]["packed"]) == np.array(ids, "<u4").tobytes()
+    expected = {i: library.encode_ordinary(t or "") for i, t, *_ in fixture_rows}
+    for hot, task, chars in ((bpe.HOT_WORDS, bpe.TASK_WORDS, bpe.CHUNK_CHARS), (8, 30, 200)):
+        monkeypatch.setattr(bpe, "HOT_WORDS", hot)
+        monkeypatch.setattr(bpe, "TASK_WORDS", task)
+        monkeypatch.setattr(bpe, "CHUNK_CHARS", chars)
+        assert codec.hot(docs).num_rows <= hot
+        got = by_id(bpe.encoded(docs, codec).withColumn("bytes", codec.decode(F.col("ids"))))
+        assert len(got) == len(fixture_rows)
+        for i, t, *_ in fixture_rows:
+            assert list(got[i]["ids"]) == expected[i], i
+            assert bytes(got[i]["packed"]) == np.array(expected[i], "<u4").tobytes()
             assert bytes(got[i]["bytes"]) == (t or "").encode()
+    # Repeated rows and null ids stand for themselves.
+    twice = docs.union(docs).withColumn("doc_id", F.lit(None).cast("long"))
+    assert sorted(bytes(r.packed) for r in bpe.encoded(twice, codec).collect()) == sorted(
+        np.array(ids, "<u4").tobytes() for ids in expected.values() for _ in range(2))
     assert bpe.encoded(no_docs, codec).collect() == []
 
 
