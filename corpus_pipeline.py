@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm.bpe import codec, encoded
+from quillmark.llm.bpe import encoded
 from quillmark.llm.minhash import first_documents
 from quillmark.llm.mixing import mixed_documents
 from quillmark.llm.quality import good_documents
@@ -43,9 +43,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids`` (little-endian unsigned 32-bit integers) of every row."""
-    bpe = codec()
-    return encoded(docs, bpe).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.packed(F.col("ids")).alias("ids"))
+    return encoded(docs).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.col("packed").alias("ids"))
 
 
 STAGES = [
