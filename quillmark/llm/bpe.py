@@ -15,7 +15,7 @@ folds the words that the task has not met before, and numpy puts the ids in the
 numbers' places. A task remembers at most ``TASK_WORDS`` words, then it starts
 afresh. What is remembered changes no result, and no text is shuffled.
 
-Decoding looks up every id's bytes in a literal array and concatenates.
+Decoding looks up every id's piece of bytes and concatenates the pieces, in numpy.
 """
 
 from __future__ import annotations
@@ -29,9 +29,11 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillmark.llm.hosts import let
 from quillmark.llm.tables import documents, staged
@@ -39,20 +41,19 @@ from quillmark.llm.tables import documents, staged
 #: Words folded once for the whole corpus, at most, and their length in bytes, at most.
 HOT_WORDS, HOT_BYTES = 1 << 18, 48
 #: Other words that a task remembers.
-TASK_WORDS = 1 << 19
+TASK_WORDS = 3 << 17
 #: Characters of text and documents of a chunk, at most (a longer text is a chunk of its own).
 CHUNK_CHARS, CHUNK_DOCS = 1 << 21, 1 << 13
 #: Classes of word counts in each doubling, from which the least count of a hot word is chosen.
 STEPS = 16
 #: Places of the table of pairs; a power of two.
 PAIR_PLACES = 1 << 18
-MASK = (1 << 20) - 1
 #: Characters of a plan's text that are kept where a plan holds these tables.
 PLAN_TEXT = 20_000
 #: Two places of a pair are two parts of one product (pairs are under 2**32, so it fits 63 bits).
 SPREAD, SHIFTS = 2_654_435_761, (11, 30)
-#: No merge: larger than any rank.
-NONE = 2 ** 31 - 1
+#: No merge: more than any rank. A place of the table of pairs holds ``pair * NONE + rank``.
+NONE = 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -103,19 +104,18 @@ class Codec:
                 a, b = ranks.get(token[:k]), ranks.get(token[k:])
                 if a is not None and b is not None:
                     pairs[a * self.size + b] = rank
-        table = [-1] * PAIR_PLACES
+        table = [2 ** 62] * PAIR_PLACES
         at = two_choices(pairs, lambda key: tuple(key * SPREAD >> k & PAIR_PLACES - 1 for k in SHIFTS))
         if len(at) < len(pairs):
             raise ValueError("PAIR_PLACES is too small for this vocabulary")
         for place, key in at.items():
-            table[place] = key << 20 | pairs[key]
-        text = [""] * self.end
+            table[place] = key * NONE + pairs[key]
+        self.pieces = [b""] * self.end
         for token, rank in ranks.items():
-            text[rank] = token.hex()
+            self.pieces[rank] = token
         self.tables = {
-            "bytes": literal([ranks[bytes([b])] for b in range(256)], "array<int>"),
+            "bytes": literal([ranks[bytes([b])] for b in range(256)], "array<bigint>"),
             "pairs": literal(table, "array<bigint>"),
-            "text": literal(text, "array<string>"),
         }
 
     def using(self, names: str, body, **more: Column) -> Column:
@@ -123,52 +123,40 @@ class Codec:
         parts = {n: self.tables[n] for n in names.split()} | more
         return let(F.struct(*[c.alias(n) for n, c in parts.items()]), body)
 
-    def rank(self, t: Column, a: Column, b: Column) -> Column:
-        """Rank of the pair of tokens, NONE if they don't merge."""
-        def found(key: Column) -> Column:
-            one, two = (F.get(t["pairs"], F.shiftright(key * SPREAD, k).bitwiseAND(PAIR_PLACES - 1).cast("int"))
-                        for k in SHIFTS)
-            return (F.when(F.shiftright(one, 20) == key, one.bitwiseAND(MASK))
-                    .when(F.shiftright(two, 20) == key, two.bitwiseAND(MASK)).otherwise(F.lit(NONE))).cast("int")
-        return found(a.cast("long") * self.size + b)
+    def ranks(self, t: Column, keys: Column) -> Column:
+        """Ranks of pairs ``a * size + b``; NONE or more for those that don't merge."""
+        def rank(key: Column) -> Column:
+            # A place that holds the pair leaves its rank, every other place more.
+            return F.least(*[F.get(t["pairs"], F.shiftright(key * SPREAD, k).bitwiseAND(PAIR_PLACES - 1).cast("int"))
+                             .bitwiseXOR(key * NONE) for k in SHIFTS])
+        return F.transform(keys, rank)
 
     def fold(self, t: Column, word: Column) -> Column:
-        """Ids of one word by ranked merges."""
+        """Ids of one word by ranked merges; ``word`` has its bytes as numbers."""
         # Tokens stand between two ends that merge with nothing; ranks[i] is that of tokens i and i + 1.
-        end, none = F.array(F.lit(self.end)), F.array(F.lit(NONE))
+        end, none = F.array(F.lit(self.end).cast("long")), F.array(F.lit(NONE))
 
         def begin(p: Column) -> Column:
-            n = F.size(p)
-            ranks = F.when(n > 1, F.zip_with(F.slice(p, F.lit(1), F.greatest(n - 1, F.lit(0))),
-                                             F.slice(p, F.lit(2), F.greatest(n - 1, F.lit(0))),
-                                             lambda x, y: self.rank(t, x, y))
-                           ).otherwise(none)
-            return F.struct(joined(end, p, end).alias("p"), joined(none, ranks, none).alias("r"),
-                            F.array_min(ranks).alias("m"))
+            n = F.greatest(F.size(p) - 1, F.lit(0))
+            ranks = self.ranks(t, F.zip_with(F.slice(p, F.lit(1), n), F.slice(p, F.lit(2), n),
+                                             lambda x, y: x * self.size + y))
+            return F.struct(joined(end, p, end).alias("p"), joined(none, ranks, none).alias("r"))
 
         def step(s: Column, _: Column) -> Column:
-            def merged(i: Column) -> Column:
-                m, n = s["m"], F.lit(2 ** 30)
-                left = F.slice(s["p"], F.lit(1), i - 1)
-                right = F.slice(s["p"], i + 2, n)
-                return let(joined(F.slice(s["r"], F.lit(1), i - 2),
-                                  F.array(self.rank(t, F.get(s["p"], i - 2), m), self.rank(t, m, F.get(s["p"], i + 1))),
-                                  F.slice(s["r"], i + 2, n)),
-                           lambda r: F.struct(joined(left, F.array(m), right).alias("p"), r.alias("r"),
-                                              F.array_min(r).alias("m")))
-
-            return F.when(s["m"] == NONE, s).otherwise(
-                let(F.array_position(s["r"], s["m"]).cast("int"), merged))
-
-        codes = F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""),
-                            lambda c: F.get(t["bytes"], F.ascii(c)))
-        return let(codes, lambda p: F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(p) - 1, F.lit(1))),
-                                                begin(p), step,
-                                                lambda s: F.slice(s["p"], F.lit(2), F.size(s["p"]) - 2)))
-
-    def folded(self, word: Column) -> Column:
-        """``fold`` of a column."""
-        return self.using("bytes pairs", lambda t: self.fold(t, word))
+            def merged(x: Column) -> Column:
+                m, i, n = x["m"], x["i"], F.lit(2 ** 30)
+                keys = F.array(F.get(s["p"], i - 2) * self.size + m, F.get(s["p"], i + 1) + m * self.size)
+                return F.struct(joined(F.slice(s["p"], F.lit(1), i - 1), F.array(m), F.slice(s["p"], i + 2, n)).alias("p"),
+                                joined(F.slice(s["r"], F.lit(1), i - 2), self.ranks(t, keys),
+                                       F.slice(s["r"], i + 2, n)).alias("r"))
+
+            return let(F.array_min(s["r"]), lambda m: F.when(m >= NONE, s).otherwise(
+                let(F.struct(m.alias("m"), F.array_position(s["r"], m).cast("int").alias("i")), merged)))
+
+        codes = F.transform(word, lambda b: F.get(t["bytes"], b))
+        return let(codes, lambda p: F.aggregate(
+            F.sequence(F.lit(1), F.greatest(F.size(p) - 1, F.lit(1))), begin(p), step,
+            lambda s: F.transform(F.slice(s["p"], F.lit(2), F.size(s["p"]) - 2), lambda i: i.cast("int"))))
 
     def hot(self, docs: DataFrame, text: str = "text") -> pa.Table:
         """``word, ids`` of the most frequent words of a corpus (at most HOT_WORDS).
@@ -179,7 +167,7 @@ class Codec:
         counts = staged(
             docs.select(F.col(text).alias("text")).mapInArrow(word_counts(self.pattern, TASK_WORDS), "word string, n bigint")
             .groupBy("word").agg(F.sum("n").alias("n"))
-            .where((F.octet_length("word") <= HOT_BYTES) & (F.col("n") > 1)), "word-counts")
+            .where("n > 1"), "word-counts")
         step = F.floor(F.log2("n") * STEPS)
         least, words = math.inf, 0
         for row in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("step")).collect():
@@ -187,7 +175,9 @@ class Codec:
             if words > HOT_WORDS:
                 break
             least = row.step
-        return counts.where(step >= F.lit(least)).select("word", self.folded(F.col("word")).alias("ids")).toArrow()
+        codes = F.transform(F.split(F.decode(F.col("word").cast("binary"), "ISO-8859-1"), ""), F.ascii)
+        return counts.where(step >= F.lit(least)).select(
+            "word", self.using("bytes pairs", lambda t: self.fold(t, codes)).alias("ids")).toArrow()
 
     def encode(self, docs: DataFrame, hot: pa.Table, text: str = "text") -> DataFrame:
         """``doc_id, ids, packed`` of every row; ``hot`` from ``hot``."""
@@ -195,33 +185,33 @@ class Codec:
         known = docs.sparkSession.sparkContext.broadcast(hot)
         chunks = docs.select("doc_id", F.col(text).alias("text")).mapInArrow(
             numbered_words(self.pattern, known, TASK_WORDS, CHUNK_CHARS),
-            f"doc_id array<{name}>, sizes array<bigint>, numbers binary, words array<string>, afresh boolean")
+            f"doc_id array<{name}>, sizes array<bigint>, numbers binary, words array<array<int>>, afresh boolean")
         chunks = chunks.withColumn("words", self.using("bytes pairs", lambda t: F.transform(
             "words", lambda word: self.fold(t, word))))
         return chunks.mapInArrow(ids_of_numbers(known), f"doc_id {name}, ids array<int>, packed binary")
 
-    def decode(self, ids: Column) -> Column:
-        """The bytes of ids, as binary."""
-        return self.using("text", lambda t: F.unhex(F.array_join(
-            F.transform(ids, lambda i: F.get(t["text"], i)), "")))
+    def decode(self, rows: DataFrame, ids: str = "ids") -> DataFrame:
+        """``rows`` with the bytes of their ids as a binary column ``decoded``: the ids' pieces one after the other."""
+        schema = T.StructType([*rows.schema, T.StructField("decoded", T.BinaryType())])
+        return rows.mapInArrow(bytes_of_ids(rows.sparkSession.sparkContext.broadcast(self.pieces), ids), schema)
 
 
 def word_counts(pattern: str, most: int):
-    """A function for ``mapInArrow``: ``word, n`` of texts, in parts of bounded size."""
+    """A function for ``mapInArrow``: ``word, n`` of texts, in tables of bounded size."""
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, counts = regex.compile(pattern).findall, Counter()
 
-        def part() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.string()),
-                                               "n": pa.array(list(counts.values()), pa.int64())})
+        def table() -> pa.RecordBatch:
+            words = pa.array(list(counts), pa.string())
+            rows = pa.RecordBatch.from_pydict({"word": words, "n": pa.array(list(counts.values()), pa.int64())})
+            return rows.filter(pc.less_equal(pc.binary_length(words), HOT_BYTES))
         for batch in batches:
             for text in batch.column(0):
-                # Words that can't be hot need not be counted.
-                counts.update(w for w in split(text.as_py() or "") if len(w) <= HOT_BYTES)
+                counts.update(split(text.as_py() or ""))
                 if len(counts) > most:
-                    yield part()
+                    yield table()
                     counts.clear()
-        yield part()
+        yield table()
     return counted
 
 
@@ -249,7 +239,7 @@ def numbered_words(pattern: str, hot, task_words: int, chunk_chars: int):
         def chunk() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([
                 pa.array([names], pa.list_(kind)), pa.array([sizes], pa.list_(pa.int64())),
-                pa.array([b"".join(parts)], pa.binary()), pa.array([numbers.new], pa.list_(pa.string())),
+                pa.array([b"".join(parts)], pa.binary()), byte_numbers(numbers.new),
                 pa.array([afresh])], ["doc_id", "sizes", "numbers", "words", "afresh"])
 
         for batch in batches:
@@ -262,7 +252,7 @@ def numbered_words(pattern: str, hot, task_words: int, chunk_chars: int):
                     names, sizes, parts, chars = [], [], [], 0
                     if len(numbers) > len(words) + task_words:
                         numbers, afresh = Numbers(words), True
-                found = np.array([numbers[w] for w in split(text)], "<u4")
+                found = np.array(list(map(numbers.__getitem__, split(text))), "<u4")
                 names.append(name)
                 sizes.append(len(found))
                 parts.append(found.tobytes())
@@ -272,6 +262,14 @@ def numbered_words(pattern: str, hot, task_words: int, chunk_chars: int):
     return numbered
 
 
+def byte_numbers(words: list[str]) -> pa.Array:
+    """One row: the bytes of each word as numbers."""
+    coded = [w.encode() for w in words]
+    ends = np.cumsum([0, *map(len, coded)]).astype(np.int32)
+    each = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(coded), np.uint8).astype(np.int32)))
+    return pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), each)
+
+
 def flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Values and sizes of an array of lists."""
     return lists.flatten().to_numpy(zero_copy_only=False).astype("<u4"), np.diff(lists.offsets.to_numpy())
@@ -292,22 +290,48 @@ def ids_of_numbers(hot):
                 more = flat(new.flatten())
                 ids, sizes = np.concatenate([ids, more[0]]), np.concatenate([sizes, more[1]])
                 numbers = np.frombuffer(numbers[0].as_buffer(), "<u4")
-                lengths = sizes[numbers]
-                ends = np.cumsum(lengths)
-                starts = (np.cumsum(sizes) - sizes)[numbers]
-                total = int(ends[-1]) if len(ends) else 0
-                out = ids[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
+                out, ends = taken(ids, sizes, numbers)
                 # Where each document's words, and with them its ids, end.
-                at = np.concatenate([[0], np.cumsum(counts.flatten().to_numpy())])
-                at = np.concatenate([[0], ends])[at]
+                at = ends[np.concatenate([[0], np.cumsum(counts.flatten().to_numpy())])]
                 yield pa.RecordBatch.from_arrays([
                     name.flatten(), pa.ListArray.from_arrays(at.astype(np.int32), pa.array(out.astype(np.int32))),
-                    pa.Array.from_buffers(pa.binary(), len(at) - 1, [
-                        None, pa.py_buffer((at * 4).astype(np.int32).tobytes()), pa.py_buffer(out.tobytes())])],
-                    ["doc_id", "ids", "packed"])
+                    binaries(out, at * 4)], ["doc_id", "ids", "packed"])
     return restored
 
 
+def taken(values: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists ``which`` of flat lists, one after the other, and where each ends (0 first)."""
+    lengths = sizes[which]
+    ends = np.cumsum(lengths)
+    starts = (np.cumsum(sizes) - sizes)[which]
+    total = int(ends[-1]) if len(ends) else 0
+    return values[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)], np.concatenate([[0], ends])
+
+
+def binaries(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Binary values: the bytes of ``values`` between the byte positions ``bounds``."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [
+        None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def bytes_of_ids(pieces, column: str):
+    """A function for ``mapInArrow``: rows with the concatenated pieces of their ids."""
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = np.frombuffer(b"".join(pieces.value), np.uint8)
+        sizes = np.array([len(piece) for piece in pieces.value])
+        for batch in batches:
+            # Rows of at most CHUNK_CHARS ids at once, one at least.
+            first, lengths = 0, np.diff(batch.column(column).offsets.to_numpy())
+            while first < batch.num_rows:
+                n = max(1, int(np.searchsorted(np.cumsum(lengths[first:]), CHUNK_CHARS)))
+                rows = batch.slice(first, n)
+                out, ends = taken(values, sizes, rows.column(column).flatten().to_numpy())
+                at = ends[np.concatenate([[0], np.cumsum(lengths[first:first + n])])]
+                yield rows.append_column("decoded", binaries(out, at))
+                first += n
+    return decoded
+
+
 def codec(name: str = "byte_bpe_50k.tiktoken") -> Codec:
     return Codec(read_ranks(public_tokenizers.path(name)))
 
@@ -328,6 +352,6 @@ def encoded(docs: DataFrame, bpe: Codec | None = None) -> DataFrame:
 
 def op4_bpe(spark, sf_dir: str) -> DataFrame:
     bpe = codec()
-    return encoded(documents(spark, sf_dir), bpe).select(
+    return bpe.decode(encoded(documents(spark, sf_dir), bpe)).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"),
-        F.sha2(bpe.decode(F.col("ids")), 256).alias("decoded_sha256"))
+        F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -185,12 +185,12 @@ def test_bpe(docs, no_docs, fixture_rows, monkeypatch):
         monkeypatch.setattr(bpe, "TASK_WORDS", task)
         monkeypatch.setattr(bpe, "CHUNK_CHARS", chars)
         assert codec.hot(docs).num_rows <= hot
-        got = by_id(bpe.encoded(docs, codec).withColumn("bytes", codec.decode(F.col("ids"))))
+        got = by_id(codec.decode(bpe.encoded(docs, codec)))
         assert len(got) == len(fixture_rows)
         for i, t, *_ in fixture_rows:
             assert list(got[i]["ids"]) == expected[i], i
             assert bytes(got[i]["packed"]) == np.array(expected[i], "<u4").tobytes()
-            assert bytes(got[i]["bytes"]) == (t or "").encode()
+            assert bytes(got[i]["decoded"]) == (t or "").encode()
     # Repeated rows and null ids stand for themselves.
     twice = docs.union(docs).withColumn("doc_id", F.lit(None).cast("long"))
     assert sorted(bytes(r.packed) for r in bpe.encoded(twice, codec).collect()) == sorted(
