@@ -39,11 +39,13 @@ from quillmark.llm.hosts import let
 from quillmark.llm.tables import documents, staged
 
 #: Words folded once for the whole corpus, at most, and their length in bytes, at most.
-HOT_WORDS, HOT_BYTES = 1 << 18, 48
+HOT_WORDS, HOT_BYTES = 1 << 17, 48
 #: Other words that a task remembers.
-TASK_WORDS = 3 << 17
+TASK_WORDS = 1 << 17
 #: Characters of text and documents of a chunk, at most (a longer text is a chunk of its own).
-CHUNK_CHARS, CHUNK_DOCS = 1 << 21, 1 << 13
+CHUNK_CHARS, CHUNK_DOCS = 1 << 20, 1 << 13
+#: Bytes of a batch that Spark sends to Python, at most (a chunk or a longer text is a batch of its own).
+BATCH_BYTES = 8 << 20
 #: Classes of word counts in each doubling, from which the least count of a hot word is chosen.
 STEPS = 16
 #: Places of the table of pairs; a power of two.
@@ -347,6 +349,7 @@ def encoded(docs: DataFrame, bpe: Codec | None = None) -> DataFrame:
     bpe = bpe or codec()
     # The literal tables have no place in plan texts, which the driver keeps.
     docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return bpe.encode(docs, bpe.hot(docs))
 
 
