@@ -75,8 +75,9 @@ def _usable(column: pa.Array) -> tuple[np.ndarray, list[bytes]]:
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = [None] * batch.num_rows
+        named = batch.column(0).is_valid()
         for i, k in zip(*_usable(batch.column(1)), strict=True):
-            keys[i] = k
+            keys[i] = k if named[int(i)].as_py() else None
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary())], names=["vec_id", "key"])
 
 
@@ -153,16 +154,16 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     (``vec_id`` long, ``embedding`` array of floats or doubles).
 
     A vector that is null, empty, zero, or holds a null or non-finite
-    component links with nothing, nor do rows without an id: no links, a component of its own. Vectors
-    of different lengths don't link. Equal vectors (rows repeated or not) are
-    linked to each other; all their rows are returned. Scores of exactly the
+    component links with nothing, nor do rows without an id: no links, a component
+    of its own (null and kept without an id). Vectors of different lengths don't
+    link. Equal vectors (rows repeated or not) are linked to each other; all their rows are returned. Scores of exactly the
     threshold link. An empty table gives no rows; other columns are not read.
     """
     width = np.float64 if vectors.schema["embedding"].dataType.elementType.typeName() == "double" else np.float32
     keyed = staged(vectors.select("vec_id", "embedding").mapInArrow(_keyed, "vec_id long, key binary"), "vectors")
+    # A row without an id has no key: it takes no part.
     classes = staged(keyed.where(F.col("key").isNotNull()).groupBy("key").agg(
-        F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult")).where(
-            F.col("rep").isNotNull()), "classes")
+        F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult")), "classes")
     found = staged(find_links(classes, classes.count(), width), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     stars = components(found.where(F.col("parent").isNotNull()).select("rep", "parent"))

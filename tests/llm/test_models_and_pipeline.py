@@ -97,6 +97,15 @@ def test_vectors(spark, monkeypatch):
     assert vectors.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_vectors_without_ids_and_repeated_rows(spark):
+    """Rows without an id take no part, with or without a named twin; repeated rows link with each other."""
+    a, b, c = [1.0, 2.0, 3.0], [-3.0, 1.0, 0.5], [0.1, -9.0, 4.0]
+    rows = [(1, a), (2, a), (None, a), (None, b), (None, b), (7, c), (7, c)]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(
+        [(1, 1, 1, True), (2, 1, 1, False), *[(None, 0, None, True)] * 3, *[(7, 1, 7, True)] * 2], key=str)
+
+
 def test_vectors_recall(spark):
     """All links of a whole table against brute force."""
     got = {r["vec_id"]: r["n_links"] for r in catalog.QUERIES["op9_vectors"](spark, "/root/testdata/sf0.1").collect()}
