@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillmark.llm.batches import tidy
 from quillmark.llm.hosts import let
 from quillmark.llm.tables import documents, staged
 
@@ -167,7 +168,8 @@ class Codec:
         so no words are sorted.
         """
         counts = staged(
-            docs.select(F.col(text).alias("text")).mapInArrow(word_counts(self.pattern, TASK_WORDS), "word string, n bigint")
+            docs.select(F.col(text).alias("text")).mapInArrow(
+                tidy(word_counts(self.pattern, TASK_WORDS)), "word string, n bigint")
             .groupBy("word").agg(F.sum("n").alias("n"))
             .where("n > 1"), "word-counts")
         step = F.floor(F.log2("n") * STEPS)
@@ -186,16 +188,16 @@ class Codec:
         name = docs.schema["doc_id"].dataType.simpleString()
         known = docs.sparkSession.sparkContext.broadcast(hot)
         chunks = docs.select("doc_id", F.col(text).alias("text")).mapInArrow(
-            numbered_words(self.pattern, known, TASK_WORDS, CHUNK_CHARS),
+            tidy(numbered_words(self.pattern, known, TASK_WORDS, CHUNK_CHARS)),
             f"doc_id array<{name}>, sizes array<bigint>, numbers binary, words array<array<int>>, afresh boolean")
         chunks = chunks.withColumn("words", self.using("bytes pairs", lambda t: F.transform(
             "words", lambda word: self.fold(t, word))))
-        return chunks.mapInArrow(ids_of_numbers(known), f"doc_id {name}, ids array<int>, packed binary")
+        return chunks.mapInArrow(tidy(ids_of_numbers(known)), f"doc_id {name}, ids array<int>, packed binary")
 
     def decode(self, rows: DataFrame, ids: str = "ids") -> DataFrame:
         """``rows`` with the bytes of their ids as a binary column ``decoded``: the ids' pieces one after the other."""
         schema = T.StructType([*rows.schema, T.StructField("decoded", T.BinaryType())])
-        return rows.mapInArrow(bytes_of_ids(rows.sparkSession.sparkContext.broadcast(self.pieces), ids), schema)
+        return rows.mapInArrow(tidy(bytes_of_ids(rows.sparkSession.sparkContext.broadcast(self.pieces), ids)), schema)
 
 
 def word_counts(pattern: str, most: int):

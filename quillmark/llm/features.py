@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.batches import SPACE, Texts, chunks, mix64, prefix_sums, range_hash
+from quillmark.llm.batches import SPACE, Texts, chunks, mix64, prefix_sums, range_hash, tidy
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _KNOWN = 1 << 14
@@ -158,7 +158,7 @@ def sparse_sample(docs: DataFrame, ids: DataFrame, bits: int, grams: tuple[int,
                     names=["doc_id", "grp", "buckets", "counts", "words"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "grp", "text")
-    return rows.mapInArrow(featurise, "doc_id long, grp int, buckets binary, counts binary, words long")
+    return rows.mapInArrow(tidy(featurise), "doc_id long, grp int, buckets binary, counts binary, words long")
 
 
 def sparse_rows(got: pa.Table) -> list[tuple]:
@@ -179,4 +179,4 @@ def fit_in_one_task(sample: DataFrame, fit, schema: str) -> pa.Table:
         if held:
             yield from fit(sparse_rows(pa.Table.from_batches(held))).to_batches()
 
-    return sample.repartition(1).mapInArrow(run, schema).toArrow()
+    return sample.repartition(1).mapInArrow(tidy(run), schema).toArrow()

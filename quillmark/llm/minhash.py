@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.batches import BYTE_CODE, CHUNK_BYTES, binaries, chunks, mix64, prefix_sums, range_hash, window_hash
+from quillmark.llm.batches import BYTE_CODE, CHUNK_BYTES, binaries, chunks, mix64, prefix_sums, range_hash, tidy, window_hash
 from quillmark.llm.blocks import block_pairs, group_tables
 from quillmark.llm.features import lowered
 from quillmark.llm.graph import UnionFind, components
@@ -233,7 +233,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(docs: DataFrame, groups: DataFrame, to: Scheme) -> DataFrame:
     """``node, component`` of the classes in ``groups`` (``rep, grp``), by links on full sets."""
     rows = sized_broadcast_join(docs.select("doc_id", "text"), groups.withColumnRenamed("rep", "doc_id"), ["doc_id"])
-    sets = staged(rows.select("doc_id", "grp", "text").mapInArrow(_sets, "rep long, grp long, elements binary"), "sets")
+    sets = staged(rows.select("doc_id", "grp", "text").mapInArrow(tidy(_sets), "rep long, grp long, elements binary"), "sets")
     sizes = staged(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n")), "group-sizes")
     sets = sized_broadcast_join(sets, sizes, ["grp"], salt_by=["rep"])
     # First all pairs inside a block. The blocks of one large group have COMMON members in common.
@@ -244,7 +244,7 @@ def links(docs: DataFrame, groups: DataFrame, to: Scheme) -> DataFrame:
                                             .otherwise(F.array(own))))
              .select("grp", "i", F.lit(0).alias("j"), "rep", F.lit(2).alias("side"), F.col("rep").alias("c"), "elements")
              .repartition("grp", "i").sortWithinPartitions("grp", "i", "rep"))
-    edges = staged(first.mapInArrow(lambda b: _resolve(b, to), "a long, b long"), "links")
+    edges = staged(first.mapInArrow(tidy(lambda b: _resolve(b, to)), "a long, b long"), "links")
     stars = components(edges)
     # What a large group has outside its largest component meets all its blocks.
     large = sets.where(F.col("n") > BLOCK).join(stars.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
@@ -262,7 +262,7 @@ def links(docs: DataFrame, groups: DataFrame, to: Scheme) -> DataFrame:
     columns = ["grp", "i", "j", "rep", "side", "c", "elements"]
     second = (left.select(*columns).unionByName(right.select(*columns))
               .repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "rep"))
-    more = staged(second.mapInArrow(lambda b: _resolve(b, to), "a long, b long"), "more-links")
+    more = staged(second.mapInArrow(tidy(lambda b: _resolve(b, to)), "a long, b long"), "more-links")
     return components(edges.unionByName(more))
 
 
@@ -281,18 +281,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     to = scheme(percent)
     signed = staged(docs.select("doc_id", "text").mapInArrow(
-        lambda b: _sign(b, to), "doc_id long, n_shingles long, s1 long, s2 long, signature binary"), "signed")
+        tidy(lambda b: _sign(b, to)), "doc_id long, n_shingles long, s1 long, s2 long, signature binary"), "signed")
     name = ["n_shingles", "s1", "s2"]
     classes = staged(signed.where("n_shingles > 0").groupBy(*name).agg(
         F.min("doc_id").alias("rep"), F.first("signature").alias("signature")).where(
             F.col("rep").isNotNull()), "classes")
-    rows = classes.select("rep", "signature").mapInArrow(lambda b: _band(b, to), "bucket long, rep long")
+    rows = classes.select("rep", "signature").mapInArrow(tidy(lambda b: _band(b, to)), "bucket long, rep long")
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     members = staged(rows.join(shared, "bucket"), "members")
     # Signatures travel only to the buckets that have company.
     members = members.join(classes.select("rep", "signature"), "rep")
     near = components(block_pairs(members, "bucket", "rep", BLOCK).mapInArrow(
-        lambda b: _candidates(b, to), "a long, b long"))
+        tidy(lambda b: _candidates(b, to)), "a long, b long"))
     groups = staged(near.select(F.col("node").alias("rep"), F.col("component").alias("grp")).unionByName(
         near.select(F.col("component").alias("rep"), F.col("component").alias("grp")).distinct()), "groups")
     stars = links(docs, groups, to)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmark.llm.batches import chunks
+from quillmark.llm.batches import chunks, tidy
 from quillmark.llm.features import fit_in_one_task, fold_of, hash_sample, hashed_features, sparse_sample
 from quillmark.llm.tables import documents, fresh, table
 
@@ -120,7 +120,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], column: str = "score
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(p, pa.float64())], names=[*names, column])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
-    return docs.mapInArrow(scored, schema)
+    return docs.mapInArrow(tidy(scored), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

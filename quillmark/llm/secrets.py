@@ -27,7 +27,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from quillmark.llm.batches import chunks
+from quillmark.llm.batches import chunks, tidy
 
 # Fixed values of the base contract: kinds in their order, least lengths.
 KINDS = ("assign", "access", "hex", "novel")
@@ -277,7 +277,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     table gives none; other columns are not read. A base span is never
     dropped; a novel span never touches a base one. Nothing is shuffled.
     """
-    return docs.select("doc_id", "text").mapInArrow(_scan, FOUND)
+    return docs.select("doc_id", "text").mapInArrow(tidy(_scan), FOUND)
 
 
 def redacted_documents(docs: DataFrame) -> DataFrame:
@@ -310,7 +310,7 @@ def redacted_documents(docs: DataFrame) -> DataFrame:
                 cols[names.index("n_chars")] = pa.array(counts, batch.column(names.index("n_chars")).type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.mapInArrow(redact, schema)
+    return docs.mapInArrow(tidy(redact), schema)
 
 
 def op6_secrets(spark, sf_dir: str) -> DataFrame:
