@@ -5,9 +5,12 @@ it where the hash of ``GRAM`` bytes is smallest (the first such): equal strings
 have their anchors at the same offset. Only suffixes at anchors are sorted,
 about one for seventy bytes; strings that share an anchor lie side by side.
 
-Each task sorts the suffixes of some megabytes of text, front-codes the sorted
-run (common prefix with the suffix before, then the rest) and sends it in
+Each task sorts the suffixes of some megabytes of text by the hash of their
+first ``GRAM`` bytes, in ranges, and by their bytes; it front-codes the sorted
+run (common prefix with the suffix before, then the rest) and sends it in those
 ranges; a suffix carries the bytes before it that strings over it can reach.
+Suffixes that share less than ``GRAM`` bytes have no string in common, so ranges
+of the hash part no class, and are even whatever the texts are.
 A range's runs are merged by a loser tree that never compares a known common
 prefix again, which also yields every suffix's common prefix with its
 neighbour. For an offset ``o``, two strings are equal if their suffixes share
@@ -16,6 +19,11 @@ order gives the classes of the first, and the second is compared in each class.
 
 Stretches of text around an anchor that a task has seen twice are settled
 there, and one of them is sent, so copies of one passage send a few.
+
+A passage in very many documents, with different text on either side, gives as
+many different suffixes with the same first bytes. Such grams are counted first,
+and the strings of their stretches are dealt by a hash of the whole string
+instead, so that no task holds all of them.
 """
 
 from __future__ import annotations
@@ -30,11 +38,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.batches import BYTE_CODE, Texts, chunks, mix64, prefix_sums, range_hash
+from quillmark.llm.batches import BYTE_CODE, Texts, chunks, mix64, prefix_sums, range_hash, tidy
 from quillmark.llm.blocks import group_tables, span_batches
-from quillmark.llm.features import hash_sample
 from quillmark.llm.lcpmerge import decode_run, merge_runs
-from quillmark.llm.passages import take_ranges
+from quillmark.llm.passages import is_in, take_ranges
 from quillmark.llm.tables import documents, staged
 from quillmark.operators.joins import sized_broadcast_join
 
@@ -43,8 +50,12 @@ LENGTH, GRAM = 200, 64
 STARTS = LENGTH - GRAM + 1
 #: Text bytes a range, on average, before overlap, and text bytes sorted at once by a task.
 RANGE_BYTES, SORT_BYTES = 4 << 20, 8 << 20
-#: Documents whose anchors set the borders of the ranges, at most; borders don't change results.
-BORDER_DOCS = 500
+#: A gram is hot from about so many different stretches on, and grams that can be hot, at most (the most frequent).
+HOT_STRETCHES, HOT_GRAMS = 1 << 14, 1 << 20
+#: Text bytes, at least, in which hot grams are counted (of more text a share, by a hash).
+COUNT_BYTES = 64 << 20
+#: Ranges of hot strings for each range of suffixes, and stretches whose strings are named at once.
+HOT_PARTS, HOT_BLOCK = 8, 1 << 11
 #: An anchor's place in a chunk takes so many bits; the rest are its hash.
 PLACE_BITS = 28
 
@@ -80,19 +91,29 @@ def anchors(part: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return doc[first], anchor[first], start[first], start[last], sums
 
 
-def leading(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The first eight bytes of suffixes, as numbers of the same order."""
-    out = np.zeros(len(at), np.uint64)
-    for k in range(8):
-        out = (out << np.uint64(8)) | data[at + k]
-    return out
+def names_of(sums: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit names of ranges of bytes: the whole, and its two halves."""
+    middle = (first + end) // 2
+    return range_hash(sums, first, end), mix64(range_hash(sums, first, middle) * _ODD + range_hash(sums, middle, end))
+
+
+def repeats(name1: np.ndarray, name2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What has a twin by both names, and one of each kind."""
+    order = np.lexsort((name2, name1))
+    same = np.zeros(len(order), bool)
+    same[1:] = (name1[order[1:]] == name1[order[:-1]]) & (name2[order[1:]] == name2[order[:-1]])
+    twice = same.copy()
+    twice[:-1] |= same[1:]
+    out = np.zeros(len(order), bool)
+    out[order] = twice
+    return out, order[~same]
 
 
 class _Sorter:
     """Stretches of some documents: settles repeats, sorts the rest into a front-coded run."""
 
-    def __init__(self, borders: np.ndarray):
-        self.borders = borders
+    def __init__(self, ranges: int, hot: np.ndarray):
+        self.ranges, self.hot = ranges, hot
         self.clear()
 
     def clear(self):
@@ -100,47 +121,47 @@ class _Sorter:
 
     def add(self, part: Texts, ids: np.ndarray, rids: np.ndarray) -> None:
         doc, anchor, first, last, sums = anchors(part)
-        # Two independent names of a stretch and its anchor's place in it: the whole, and its two halves.
-        end, middle = last + LENGTH, (first + last + LENGTH) // 2
-        names = [mix64(range_hash(sums, first, end) + (anchor - first).astype(np.uint64)),
-                 mix64(range_hash(sums, first, middle) * _ODD + range_hash(sums, middle, end))]
+        name1, name2 = names_of(sums, first, last + LENGTH)
+        name1 = mix64(name1 + (anchor - first).astype(np.uint64))   # with the anchor's place
+        gram = range_hash(sums, anchor, anchor + GRAM)
         begin = part.offsets[doc]
-        self.parts.append((ids[doc], rids[doc], anchor - begin, anchor - last, anchor - first, anchor + self.bytes, *names))
+        self.parts.append((ids[doc], rids[doc], anchor - begin, anchor - last, anchor - first, anchor + self.bytes,
+                           name1, name2, gram))
         self.data.append(part.data)
         self.bytes += len(part.data)
 
     def send(self) -> Iterator[pa.RecordBatch]:
         if not self.parts:
             return
-        doc, rid, at, lo, hi, place, name1, name2 = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        doc, rid, at, lo, hi, place, name1, name2, gram = (np.concatenate(c) for c in zip(*self.parts, strict=True))
         data = np.concatenate(self.data)
         self.clear()
         if not len(doc):
             return
-        order = np.lexsort((name2, name1))
-        same = np.zeros(len(order), bool)
-        same[1:] = (name1[order[1:]] == name1[order[:-1]]) & (name2[order[1:]] == name2[order[:-1]])
-        twice = same.copy()
-        twice[:-1] |= same[1:]
-        done = np.zeros(len(order), bool)
-        done[order] = twice
+        done, r = repeats(name1, name2)
         x = np.flatnonzero(done)
-        yield from span_batches(doc[x], rid[x], at[x] - hi[x], at[x] - lo[x] + LENGTH, len(self.borders) + 1, ("part", "run"))
+        yield from span_batches(doc[x], rid[x], at[x] - hi[x], at[x] - lo[x] + LENGTH, self.ranges, ("part", "run"))
+        hot = is_in(gram[r], self.hot)
+        if hot.any():
+            k = r[hot]
+            yield from self.send_strings(data, *(c[k] for c in (doc, rid, at, lo, hi, place, done)))
+            r = r[~hot]
+        if not len(r):
+            return
         # One of each distinct stretch goes out, by its suffix.
-        r = order[~same]
+        where = (mix64(gram[r]) % np.uint64(self.ranges)).astype(np.int64)
         size = (LENGTH - lo[r]).astype(np.int64)
         padded = np.append(data, np.zeros(LENGTH, np.uint8))
         text = padded[place[r][:, None] + np.arange(LENGTH)]
         text[np.arange(LENGTH) >= size[:, None]] = 0
-        by = np.lexsort((size, text.view(f"S{LENGTH}").ravel()))
-        r, size, text = r[by], size[by], text[by]
+        by = np.lexsort((size, text.view(f"S{LENGTH}").ravel(), where))
+        r, size, text, where = r[by], size[by], text[by], where[by]
         lcp = np.zeros(len(r), np.int64)
         for a in range(1, len(r), 1 << 16):
             b = min(len(r), a + (1 << 16))
             differ = text[a:b] != text[a - 1:b - 1]
             lcp[a:b] = np.where(differ.any(1), differ.argmax(1), LENGTH)
         lcp[1:] = np.minimum(lcp[1:], np.minimum(size[1:], size[:-1]))
-        where = np.searchsorted(self.borders, leading(data, place[r]), side="right")
         edges = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
         pack, out = zstandard.ZstdCompressor(level=1), ([], [])
         for p, q in zip(edges, np.append(edges[1:], len(r)), strict=True):
@@ -156,10 +177,60 @@ class _Sorter:
                 hi[k].astype(np.uint8).tobytes(), done[k].astype(np.uint8).tobytes(), known.astype(np.uint8).tobytes(),
                 take_ranges(data, begin - hi[k], begin).tobytes(),
                 take_ranges(data, begin + known, begin + size[p:q]).tobytes()])))
-        none = pa.nulls(len(out[0]), pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), none, none, pa.nulls(len(none), pa.binary())],
-            names=["part", "run", "doc_id", "rid", "spans"])
+        yield _runs(*out)
+
+    def send_strings(self, data, doc, rid, at, lo, hi, place, done) -> Iterator[pa.RecordBatch]:
+        """The strings of stretches, by their names: those a task sees twice are settled, one of each goes out."""
+        for a in range(0, len(doc), HOT_BLOCK):
+            own = slice(a, a + HOT_BLOCK)
+            first, end, n = (place - hi)[own], (place - lo)[own] + LENGTH, (hi - lo)[own] + 1
+            sums = prefix_sums(BYTE_CODE[take_ranges(data, first, end)])
+            which = np.repeat(np.arange(len(n)), n) + a
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            begin = np.repeat(np.cumsum(end - first) - (end - first), n) + step
+            name1, name2 = names_of(sums, begin, begin + LENGTH)
+            start = (at - hi)[which] + step
+            twice, r = repeats(name1, name2)
+            x = np.flatnonzero(twice & ~done[which])
+            yield from span_batches(doc[which[x]], rid[which[x]], start[x], start[x] + LENGTH, self.ranges, ("part", "run"))
+            settled = (twice | done[which])[r]
+            where = (mix64(name1[r]) % np.uint64(HOT_PARTS * self.ranges)).astype(np.int64) + self.ranges
+            by = np.argsort(where, kind="stable")
+            r, settled, where = r[by], settled[by], where[by]
+            edges = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
+            pack, out = zstandard.ZstdCompressor(level=1), ([], [])
+            for p, q in zip(edges, np.append(edges[1:], len(r)), strict=True):
+                k = r[p:q]
+                out[0].append(int(where[p]))
+                out[1].append(pack.compress(b"".join([
+                    name1[k].tobytes(), name2[k].tobytes(), doc[which[k]].astype(np.int64).tobytes(),
+                    rid[which[k]].astype(np.int64).tobytes(), start[k].astype(np.int32).tobytes(),
+                    settled[p:q].astype(np.uint8).tobytes()])))
+            yield _runs(*out)
+
+
+def _runs(parts: list[int], blobs: list[bytes]) -> pa.RecordBatch:
+    none = pa.nulls(len(parts), pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(parts, pa.int64()), pa.array(blobs, pa.binary()), none, none, pa.nulls(len(none), pa.binary())],
+        names=["part", "run", "doc_id", "rid", "spans"])
+
+
+def match_strings(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(document, text's name, first byte, one past the last) of hot strings that have a twin."""
+    columns = []
+    for blob in blobs:
+        body = zstandard.ZstdDecompressor().decompress(blob)
+        n, at, out = len(body) // 37, 0, []
+        for kind in (np.uint64, np.uint64, np.int64, np.int64, np.int32, np.uint8):
+            out.append(np.frombuffer(body, kind, n, at))
+            at += out[-1].nbytes
+        columns.append(out)
+    name1, name2, doc, rid, start, settled = (np.concatenate(c) for c in zip(*columns, strict=True))
+    twice, _ = repeats(name1, name2)
+    x = np.flatnonzero(twice & (settled == 0))
+    start = start[x].astype(np.int64)
+    return doc[x], rid[x], start, start + LENGTH
 
 
 def _unpack(blob: bytes):
@@ -227,20 +298,25 @@ def search_range(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
     return doc[x], rid[x], place[x] - b, place[x] - a + LENGTH
 
 
-def borders_of(docs: DataFrame, ranges: int) -> np.ndarray:
-    """Borders of about equal ranges, from the anchors of a bounded sample of documents."""
-    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def hot_grams(docs: DataFrame, total: int) -> np.ndarray:
+    """Hashes, in order, of the grams at anchors with about ``HOT_STRETCHES``
+    different stretches or more (copies of one stretch count once: tasks settle
+    them). At most HOT_GRAMS, the most frequent."""
+    share = max(1, min(total // COUNT_BYTES, HOT_STRETCHES // 32))   # a hot one is met 32 times and more
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "rid"), F.lit(share)) == 0) if share > 1 else docs
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
-                _, anchor, *_ = anchors(part)
-                some = leading(part.data, anchor) if len(anchor) else anchor
-                yield pa.RecordBatch.from_arrays([pa.array((some ^ np.uint64(1 << 63)).view(np.int64) if len(anchor) else anchor)],
-                                                 names=["k"])
+                _, anchor, first, last, sums = anchors(part)
+                both = np.stack([range_hash(sums, anchor, anchor + GRAM), names_of(sums, first, last + LENGTH)[0]], 1)
+                both = np.unique(both, axis=0).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["gram", "name"])
 
-    ids = hash_sample(docs, BORDER_DOCS, seed=3)
-    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text").mapInArrow(lead, "k long")
-    cuts = found.select(F.percentile_approx("k", [i / ranges for i in range(1, ranges)], 100 * 100)).first()[0] or []
-    return np.unique(np.array(cuts, np.int64).view(np.uint64) ^ np.uint64(1 << 63))
+    found = some.select("text").mapInArrow(tidy(grams), "gram long, name long").groupBy("gram", "name").agg(
+        F.lit(1).alias("one")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    found = found.where(F.col("n") >= max(2, HOT_STRETCHES // share)).orderBy(F.desc("n"), "gram").limit(HOT_GRAMS)
+    return np.sort(found.select("gram").toArrow()["gram"].to_numpy().astype(np.int64).view(np.uint64))
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
@@ -248,10 +324,10 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     covered by strings that start in two places."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(16, -(-int(total) // RANGE_BYTES))
-    borders = borders_of(docs, ranges)
+    hot = hot_grams(docs, int(total))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sorter = _Sorter(borders)
+        sorter = _Sorter(ranges, hot)
         for batch in batches:
             ids, rids = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
             for part in chunks(batch):
@@ -269,12 +345,13 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
                 yield b.select(["doc_id", "rid", "spans"])
             blobs = part["run"].filter(there).to_pylist()
             if blobs:
-                for b in span_batches(*search_range(blobs), ranges, ("part", "run")):
+                found = (search_range if part["part"][0].as_py() < ranges else match_strings)(blobs)
+                for b in span_batches(*found, ranges, ("part", "run")):
                     yield b.select(["doc_id", "rid", "spans"])
 
-    sent = docs.mapInArrow(sort, "part long, run binary, doc_id long, rid long, spans binary")
+    sent = docs.mapInArrow(tidy(sort), "part long, run binary, doc_id long, rid long, spans binary")
     sent = sent.repartition("part").sortWithinPartitions("part")
-    return sent.mapInArrow(merge, "doc_id long, rid long, spans binary")
+    return sent.mapInArrow(tidy(merge), "doc_id long, rid long, spans binary")
 
 
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,7 +398,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     rows = named.withColumn("_id", known)
     rows = sized_broadcast_join(rows, spans.withColumnRenamed("doc_id", "_id"), ["_id", "rid"], "left", salt=1)
     return rows.select("doc_id", "text", "spans").mapInArrow(
-        _rest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        tidy(_rest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op5_suffixes(spark, sf_dir: str) -> DataFrame:

@@ -136,7 +136,36 @@ def test_fm_index():
     assert dict(zip(which.tolist(), (hi - lo).tolist(), strict=True)) == expect and flat
 
 
-def test_suffixes(docs, no_docs, fixture_rows):
+def test_suffixes_split_hot_grams(spark, monkeypatch):
+    """A passage in many documents, different text on either side: same results, spread over the ranges."""
+    shared = "every one of the documents carries this passage of a hundred and fifty bytes, and around it stands other text; " \
+        "the passage ends about here, at its last word"
+    rows = [(i, f"{prose(i + 100, 60)} {shared} {prose(i // 2 + 900, 60)}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    monkeypatch.setattr(suffixes, "RANGE_BYTES", 8 << 10)
+    want = by_id(suffixes.without_repeats(docs))
+    assert all(r["n_removed"] > 150 for r in want.values())
+    monkeypatch.setattr(suffixes, "HOT_STRETCHES", 12)    # about a quarter of a range, as at full size
+    named = docs.withColumn("rid", F.xxhash64("text"))
+    hot = suffixes.hot_grams(named, 1)
+    assert len(hot)
+    assert by_id(suffixes.without_repeats(docs)) == want
+    most = []
+    for grams in (hot[:0], hot):
+        sorter, sent = suffixes._Sorter(40, grams), Counter()
+        for i, text in rows:
+            for part in chunks(pa.RecordBatch.from_pydict({"text": [text]})):
+                sorter.add(part, np.array([i]), np.array([i]))
+        for b in sorter.send():
+            for k, run in zip(b["part"].to_pylist(), b["run"].to_pylist(), strict=True):
+                if run is not None and k < 40:
+                    sent[k] += len(suffixes._unpack(run)[0][0])
+        most.append(max(sent.values()) / np.median(list(sent.values())))
+    assert most[0] > 2 > most[1]
+
+
+def test_suffixes(docs, no_docs, fixture_rows, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT_STRETCHES", 3)    # some grams are hot here
     got = by_id(suffixes.without_repeats(docs))
     seen, data = Counter(), {}
     for i, t, *_ in fixture_rows:
