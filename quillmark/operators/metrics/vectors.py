@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmark.functions import text as tx
+from quillmark.operators.aggregates import idf_table
 from quillmark.operators.joins import probe_sample, sized_broadcast_join, split_lookup
 from quillmark.operators.tokens import side_tokens, tokenised_pairs
 
@@ -128,3 +129,63 @@ def mover_score(pairs: DataFrame, vec_ids: DataFrame, vectors: DataFrame,
                 key: str = "pair_id") -> DataFrame:
     """MET-11: ``1 - relaxed word mover's distance``."""
     return vector_scores(pairs, vec_ids, vectors, key).select(key, "mover_score")
+
+
+IDF_SCHEMA = T.StructType([T.StructField("references", T.LongType()), T.StructField("score", T.DoubleType())])
+
+
+def moved_by_reference(ref, gw, gv, hw, hv) -> tuple:
+    """References with a score, and the mean of their scores: the predicted vectors are gathered once."""
+    if gv is None or hv is None or len(gv) == 0 or len(hv) == 0:
+        return 0, None
+    h, hw = _unit_rows(hv), np.asarray(hw, dtype=np.float64)
+    ref, gw, g = np.asarray(ref), np.asarray(gw, dtype=np.float64), _unit_rows(gv)
+    scores = []
+    for r in np.unique(ref):
+        own = ref == r
+        best_h, best_g = _best_cosines(h, g[own])
+        far_h, far_g = (np.sqrt(np.maximum(2.0 - 2.0 * b, 0.0)) for b in (best_h, best_g))
+        scores.append(1.0 - max(hw @ far_h / hw.sum(), gw[own] @ far_g / gw[own].sum()))
+    return len(scores), float(np.mean(scores))
+
+
+@F.pandas_udf(IDF_SCHEMA)
+def _moved_udf(ref: pd.Series, gw: pd.Series, gv: pd.Series, hw: pd.Series, hv: pd.Series) -> pd.DataFrame:
+    rows = [moved_by_reference(*x) for x in zip(ref, gw, gv, hw, hv)]
+    return pd.DataFrame(rows, columns=["references", "score"])
+
+
+def mover_score_idf(pairs: DataFrame, refs: DataFrame, vec_ids: DataFrame, vectors: DataFrame,
+                    key: str = "pair_id") -> DataFrame:
+    """MET-11 with idf weights and several references: ``(key, references, mover_score_idf)``.
+
+    ``pairs``: ``(key, predicted)``; ``refs``: ``(key, ref_id, gold)``, any number a pair.
+    A token weighs its count times its idf, taken over the references for gold and over the
+    predicted texts for predicted tokens, and each side's weights are normalised.
+    The score is the mean over the references; a reference without a weighted vector
+    has none, and a pair without any is null. Null texts have no tokens.
+    """
+    gold = refs.select(key, F.col("ref_id").cast("long").alias("ref"), "gold")
+    weights = None
+    for side, table, text in ((0, gold, "gold"), (1, pairs, "predicted")):
+        some = idf_table(table, key, text).where("idf > 0").select(F.lit(side).alias("side"), "token", "idf")
+        weights = some if weights is None else weights.unionByName(some)
+    weights = weights.join(vec_ids, "token")
+    sides = gold.select(key, "ref", F.lit(0).alias("side"), tx.tok("gold").alias("t")).unionByName(
+        pairs.select(key, F.lit(-1).cast("long").alias("ref"), F.lit(1).alias("side"), tx.tok("predicted").alias("t")))
+    counted = sides.select(key, "ref", "side", F.explode("t").alias("token")).groupBy(key, "ref", "side", "token").agg(
+        F.count(F.lit(1)).alias("n"))
+    probe = probe_sample(sides).select("side", F.explode(F.array_distinct("t")).alias("token"))
+    looked = split_lookup(counted, weights, ["side", "token"], ["vec_id", "idf"], probe=probe)
+    per_vec = looked.where(F.col("vec_id").isNotNull()).groupBy(key, "ref", "side", "vec_id").agg(
+        F.sum(F.col("n") * F.col("idf")).alias("w"))
+    with_vec = sized_broadcast_join(per_vec, vectors.select("vec_id", "embedding"), ["vec_id"],
+                                    salt_by=[key, "ref", "side", "vec_id"])
+    item = F.struct("ref", "w", "embedding")
+    scored = with_vec.groupBy(key).agg(
+        F.collect_list(F.when(F.col("side") == 0, item)).alias("_g"),
+        F.collect_list(F.when(F.col("side") == 1, item)).alias("_h")).select(key, _moved_udf(
+            "_g.ref", "_g.w", "_g.embedding", "_h.w", "_h.embedding").alias("s"))
+    return pairs.select(key).join(scored, key, "left").select(
+        key, F.coalesce("s.references", F.lit(0)).cast("long").alias("references"),
+        tx.r6(F.col("s.score")).alias("mover_score_idf"))

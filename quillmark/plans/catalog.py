@@ -598,20 +598,32 @@ def q_learned_score_1f(spark, d):
     return learned_m.learned_score(_labelled_scores(spark, d, ["rouge1_f"]), ["rouge1_f"], "quality")
 
 
-@query("bleu_multi_ref")
-def q_bleu_multi_ref(spark, d):
-    """Each assistant turn against the user turn before it and the next user turn."""
+def _two_references(spark, d, p):
+    """``pair_id, ref_id, gold``: the user turn before an assistant turn and the next one."""
     c = tb.table(spark, d, "conversations")
-    p = tb.pairs_conv(spark, d)
     nxt = c.where(F.col("role") == "user").select(
         F.col("conv_id").alias("n_conv"), F.col("turn").alias("n_turn"), F.col("text").alias("ref2"))
     j = p.join(nxt, (p.conv_id == nxt.n_conv) & (nxt.n_turn == (p.pair_id % tb.PAIR_TURNS) + 2), "left")
-    refs = j.select("pair_id", F.inline(F.array(
+    return j.select("pair_id", F.inline(F.array(
         F.struct(F.lit(0).alias("ref_id"), F.col("gold").alias("gold")),
         F.struct(F.lit(1).alias("ref_id"), F.col("ref2").alias("gold"))))).where(F.col("gold").isNotNull())
+
+
+@query("bleu_multi_ref")
+def q_bleu_multi_ref(spark, d):
+    """Each assistant turn against the user turn before it and the next user turn."""
+    p = tb.pairs_conv(spark, d)
+    refs = _two_references(spark, d, p)
     return overlap.bleu_multi_ref(p.select("pair_id", "predicted"), refs)
 
 
+@query("mover_score_idf")
+def q_mover_score_idf(spark, d):
+    """Tokens weighed by idf, against the user turns before and after."""
+    p = tb.pairs_conv(spark, d)
+    return vec_m.mover_score_idf(p, _two_references(spark, d, p), *_vector_inputs(spark, d, p))
+
+
 @query("unannotated_pairs")
 def q_unannotated_pairs(spark, d):
     s = overlap.rouge_n(tb.pairs_lead(spark, d), ns=(1,)).select("pair_id", "rouge1_f")

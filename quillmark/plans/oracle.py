@@ -622,6 +622,41 @@ ORACLE["mover_score"] = with_fixtures(["pairs_conv"], *vector_ctes("pairs_conv")
     f"SELECT pair_id, {r6('mover')} AS mover_score FROM vs")
 
 
+def _mover_idf() -> str:
+    far = "sum(w * sqrt(greatest(2.0 - 2.0 * c, 0.0))) / sum(w)"
+    ctes = [("rf", """
+SELECT pair_id, 0 AS ref, gold AS x FROM pairs_conv WHERE gold IS NOT NULL
+UNION ALL
+SELECT p.pair_id, 1, n.text FROM pairs_conv p JOIN conversations n
+ON n.conv_id = p.conv_id AND n.turn = p.pair_id % 4294967296 + 2 AND n.role = 'user' WHERE n.text IS NOT NULL"""),
+            ("hy", "SELECT pair_id, -1 AS ref, predicted AS x FROM pairs_conv")]
+    for s, texts in (("g", "rf"), ("h", "hy")):
+        ctes += [
+            (f"{s}t", f"SELECT pair_id, ref, {sp.tok('x')} AS t FROM {texts}"),
+            (f"{s}df", f"SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS token FROM {s}t) GROUP BY token"),
+            (f"{s}i", f"SELECT token, round(ln(((SELECT CAST(count(*) AS DOUBLE) FROM {s}t) + 1.0) / (df + 1.0)), 6) AS idf "
+                      f"FROM {s}df"),
+            (f"{s}w", f"SELECT pair_id, ref, vec_id, sum(idf) AS w FROM (SELECT pair_id, ref, unnest(t) AS token FROM {s}t) o "
+                      f"JOIN {s}i USING (token) JOIN vid USING (token) WHERE idf > 0 GROUP BY pair_id, ref, vec_id"),
+            (f"{s}u", f"SELECT {s}w.*, unit.u FROM {s}w JOIN unit USING (vec_id)"),
+        ]
+    ctes += [
+        ("near", "SELECT g.pair_id, g.ref, g.vec_id AS gv, g.w AS gw, h.vec_id AS hv, h.w AS hw, "
+                 "list_dot_product(h.u, g.u) AS c FROM gu g JOIN hu h ON g.pair_id = h.pair_id"),
+        ("nh", f"SELECT pair_id, ref, {far} AS far FROM (SELECT pair_id, ref, hv, any_value(hw) AS w, max(c) AS c FROM near "
+               "GROUP BY pair_id, ref, hv) GROUP BY pair_id, ref"),
+        ("ng", f"SELECT pair_id, ref, {far} AS far FROM (SELECT pair_id, ref, gv, any_value(gw) AS w, max(c) AS c FROM near "
+               "GROUP BY pair_id, ref, gv) GROUP BY pair_id, ref"),
+        ("sc", "SELECT pair_id, ref, 1.0 - greatest(nh.far, ng.far) AS score FROM nh JOIN ng USING (pair_id, ref)"),
+    ]
+    return with_fixtures(["pairs_conv"], *vector_ctes("pairs_conv"), *ctes) + (
+        "SELECT p.pair_id, count(score) AS references, round(avg(score), 6) AS mover_score_idf "
+        "FROM pairs_conv p LEFT JOIN sc ON p.pair_id = sc.pair_id GROUP BY p.pair_id")
+
+
+ORACLE["mover_score_idf"] = _mover_idf()
+
+
 # --- model seams ------------------------------------------------------------------------
 
 ORACLE["score_with"] = with_fixtures(["pairs_conv"]) + (

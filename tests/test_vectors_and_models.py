@@ -58,3 +58,34 @@ def test_learned_score_is_rescaled(spark):
     vals = sorted(r["learned_score"] for r in out)
     assert len(vals) == 20 and 0.0 <= vals[0] <= vals[-1] <= 100.0
     assert sum(vals) / 20 == pytest.approx(50.0, abs=1e-4)
+
+
+def test_mover_score_idf_matches_brute_force(spark):
+    """Weights by count times idf of the own side, the mean over a pair's references."""
+    vec_ids, vectors, vecs = _tables(spark)
+    ids = {"a": 0, "b": 1, "c": 2}
+    hyps = {1: "a a c", 2: "b", 3: "zz", 4: None}
+    refs = [(1, 0, "a b"), (1, 1, "c c b"), (1, 2, "zz"), (2, 0, "a b b"), (3, 0, "a"), (4, 0, "c"), (2, 1, None)]
+    got = {r["pair_id"]: r for r in vec_m.mover_score_idf(
+        spark.createDataFrame(list(hyps.items()), "pair_id long, predicted string"),
+        spark.createDataFrame(refs, "pair_id long, ref_id int, gold string"), vec_ids, vectors).collect()}
+
+    def idf(texts):
+        sets = [set((t or "").split()) for t in texts]
+        return {t: round(math.log((len(sets) + 1) / (sum(t in s for s in sets) + 1)), 6) for s in sets for t in s}
+
+    def bag(text, weight):
+        found = [t for t in (text or "").split() if t in ids and weight[t] > 0]
+        return [(np.asarray(vecs[ids[t]]) / np.linalg.norm(vecs[ids[t]]), weight[t]) for t in found]
+
+    def far(xs, ys):
+        d = [(w, min(math.sqrt(max(2 - 2 * float(x @ y), 0)) for y, _ in ys)) for x, w in xs]
+        return sum(w * v for w, v in d) / sum(w for w, _ in d)
+    of_g, of_h = idf([g for *_, g in refs]), idf(hyps.values())
+    for k, text in hyps.items():
+        h = bag(text, of_h)
+        pairs = [(bag(g, of_g), h) for i, _, g in refs if i == k]
+        want = [1 - max(far(x, y), far(y, x)) for x, y in pairs if x and y]
+        assert got[k]["references"] == len(want)
+        assert got[k]["mover_score_idf"] == (pytest.approx(np.mean(want), abs=1e-6) if want else None)
+    assert got[1]["references"] == 2
