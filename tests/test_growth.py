@@ -53,3 +53,16 @@ def test_clipped_by_the_best_reference():
             for t, s in row:
                 c[s] += Counter(tuple(t[i:i + n]) for i in range(len(t) - n + 1))
             assert found[n - 1] == sum((c[-1] & (c[0] | c[1])).values())
+
+
+def test_vectors_travel_once_a_block(spark):
+    """300 pairs of three tokens: no join or cogroup input has a row a pair and token, however many vectors."""
+    from quillmark.operators.metrics import vectors
+    pairs = spark.range(300).select(F.col("id").alias("pair_id"), F.lit("a b c").alias("gold"), F.lit("c d").alias("predicted"))
+    ids = spark.createDataFrame([(t, i) for i, t in enumerate("abcd")], "token string, vec_id long")
+    vecs = spark.createDataFrame([(i, [float(i == j) for j in range(4)]) for i in range(4)], "vec_id long, embedding array<float>")
+    out = vectors.embedding_match(pairs, ids, vecs)
+    p = plan(out)
+    assert "FlatMapCoGroupsInArrow" in p and "collect_list(embedding" not in p and "_salt" not in p
+    rows = {tuple(r)[1:] for r in out.collect()}
+    assert rows == {(0.5, 0.333333, 0.4)}
