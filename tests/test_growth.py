@@ -66,3 +66,12 @@ def test_vectors_travel_once_a_block(spark):
     assert "FlatMapCoGroupsInArrow" in p and "collect_list(embedding" not in p and "_salt" not in p
     rows = {tuple(r)[1:] for r in out.collect()}
     assert rows == {(0.5, 0.333333, 0.4)}
+
+
+def test_null_vector_is_none(spark):
+    from quillmark.operators.metrics import vectors
+    pairs = spark.createDataFrame([(1, "a b", "a"), (2, "b", "b")], "pair_id long, gold string, predicted string")
+    ids = spark.createDataFrame([("a", 0), ("b", 1)], "token string, vec_id long")
+    vecs = spark.createDataFrame([(0, [1.0, 0.0]), (1, None)], "vec_id long, embedding array<float>")
+    got = {r["pair_id"]: (r["em_f"], r["mover_score"]) for r in vectors.vector_scores(pairs, ids, vecs).collect()}
+    assert got == {1: (1.0, 1.0), 2: (0.0, None)}
