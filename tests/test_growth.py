@@ -75,3 +75,66 @@ def test_null_vector_is_none(spark):
     vecs = spark.createDataFrame([(0, [1.0, 0.0]), (1, None)], "vec_id long, embedding array<float>")
     got = {r["pair_id"]: (r["em_f"], r["mover_score"]) for r in vectors.vector_scores(pairs, ids, vecs).collect()}
     assert got == {1: (1.0, 1.0), 2: (0.0, None)}
+
+
+PERPLEXITY_TEXTS = [
+    (1, "The cat sat. The cat sat on THE mat İstanbul Kelvin"), (2, "the cat ran"), (2, "a dog ran, the cat sat"), (3, None),
+    (4, "..."), (None, "the mat the mat"), (5, "word " * 40), (6, "café naïve x1y2"), (7, ""), (8, "sat")]
+
+
+def perplexities(train, scored):
+    """``key: (tokens, perplexity)`` by loops; rows of one key are one text's, null keys have none."""
+    import math
+    import re
+
+    def grams(text):
+        t = re.findall("[a-z0-9]+", (text or "").lower())
+        return list(zip(["<s>", *t], t))
+    c = Counter(g for text in train for g in grams(text))
+    prefix = Counter()
+    for (v, _), n in c.items():
+        prefix[v] += n
+    size = len({w for _, w in c}) + 1
+    found = defaultdict(list)
+    for k, text in scored:
+        found[k] += [math.log((c[g] + 0.1) / (prefix[g[0]] + 0.1 * size)) for g in grams(text) if k is not None]
+    return {k: (len(x), round(math.exp(-sum(x) / len(x)), 4) if x else None) for k, x in found.items()}
+
+
+@pytest.mark.parametrize("size", [1 << 24, 16])
+def test_perplexity_in_blocks(spark, monkeypatch, size):
+    """The same in one block and in many, with the training texts scored and with others."""
+    from quillmark.operators.metrics import lm
+    monkeypatch.setattr(lm, "BLOCK_BYTES", size)
+    docs = spark.createDataFrame(PERPLEXITY_TEXTS, "doc_id long, text string").repartition(3)
+    others = [(k, (t or "")[::-1] + " the cat") for k, t in PERPLEXITY_TEXTS]
+    train = [t for _, t in PERPLEXITY_TEXTS]
+    for scored, rows in ((docs, PERPLEXITY_TEXTS), (spark.createDataFrame(others, "doc_id long, text string"), others)):
+        got = lm.lm_perplexity(docs, scored)
+        assert "Generate" not in plan(got)   # no row a token
+        got = got.collect()
+        assert len(got) == len(rows)
+        for r in got:
+            n, p = perplexities(train, rows)[r["doc_id"]]
+            assert r["n_tokens"] == n and r["perplexity"] == (p if p is None else pytest.approx(p, abs=1e-4))
+
+
+def test_blocks_are_cut_by_bytes():
+    from quillmark.operators.metrics.lm import text_blocks
+    texts = ["aa", "bbb", "", "c" * 50, "d", "ee"]
+    batches = [pa.record_batch([pa.array(range(len(t))), pa.array(t)], ["k", "t"]) for t in (texts[:4], texts[4:])]
+    cut = [t.column("t").to_pylist() for t in text_blocks(iter(batches), 5)]
+    assert sum(cut, []) == texts and cut == [["aa", "bbb"], ["", "c" * 50], ["d", "ee"]]
+
+
+def test_word_codes_are_the_tokeniser(spark):
+    from quillmark.functions import text as tx
+    from quillmark.functions.counting import word_codes
+    rows = [t for _, t in PERPLEXITY_TEXTS if t is not None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string")
+    want = [r[0] for r in df.orderBy("i").select(tx.tok("t")).collect()]
+    low = [r[0] for r in df.orderBy("i").selectExpr("lower(t)").collect()]
+    code, offs, words = word_codes(pa.array(["zz", *low]).slice(1))
+    words = words.to_pylist()
+    assert [[words[c] for c in code[a:b]] for a, b in zip(offs, offs[1:])] == want
+    assert word_codes(pa.array([], pa.string()))[1].tolist() == [0]
