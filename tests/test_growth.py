@@ -138,3 +138,59 @@ def test_word_codes_are_the_tokeniser(spark):
     words = words.to_pylist()
     assert [[words[c] for c in code[a:b]] for a, b in zip(offs, offs[1:])] == want
     assert word_codes(pa.array([], pa.string()))[1].tolist() == [0]
+
+
+def cloze_hits(rows, corpus):
+    """``key: [masked, base, help, tune]`` by loops."""
+    import re
+
+    def toks(text):
+        return re.findall("[a-z0-9]+", (text or "").lower())
+    follows = defaultdict(Counter)
+    for text in corpus:
+        t = toks(text)
+        for v, w in zip(["<s>", *t], t):
+            if len(w) >= 4:
+                follows[v][w] += 1
+
+    def best(scores):
+        return min(scores, key=lambda s: (-s[0], s[1]), default=(0, None))[1]
+    out = {}
+    for key, gold, predicted in rows:
+        g, h = toks(gold), toks(predicted)
+        own = Counter((v, w) for v, w in zip(["<s>", *h], h) if len(w) >= 4)
+        hits = [0] * 4
+        for i in range(5, len(g), 6):
+            if len(g[i]) < 4:
+                continue
+            v, c = g[i - 1], follows[g[i - 1]]
+            base = best([(n, w) for w, n in c.items()])
+            helped = best([(n, w) for w, n in c.items() if w in h])
+            top = [(c[base], base)] if base else []
+            tuned = best([(c[w] + 10 * n, w) for (x, w), n in own.items() if x == v] + top)
+            hits = [a + b for a, b in zip(hits, (1, base == g[i], (helped or base) == g[i], tuned == g[i]))]
+        out[key] = hits if key is not None else [0] * 4
+    return out
+
+
+@pytest.mark.parametrize("size,top", [(1 << 24, 64), (64, 64), (300, 1), (64, 2)])
+def test_cloze_in_blocks(spark, monkeypatch, size, top):
+    """The same however texts are cut and few top words are kept; no row a masked word or candidate."""
+    import random
+
+    from quillmark.operators.metrics import cloze, lm
+    monkeypatch.setattr(lm, "BLOCK_BYTES", size)
+    rnd = random.Random(5)
+    words = ["the", "of", "Café", *[f"word{chr(97 + i)}{chr(97 + i // 2)}" for i in range(40)]]
+
+    def text(n):
+        return " ".join(words[min(int(rnd.expovariate(0.12)), len(words) - 1)] for _ in range(n))
+    corpus = [text(n) for n in (60, 40, 0, 90, 5)] + [None]
+    rows = [(k, text(rnd.choice((0, 4, 7, 30, 80))), text(rnd.choice((0, 1, 12, 40)))) for k in range(25)]
+    rows += [(None, text(30), text(30)), (90, None, text(20)), (91, text(30), None), (92, "zzzz " * 20, text(9)),
+             (93, "a b c d e unseen " * 4, "e other e unseen")]
+    p = spark.createDataFrame(rows, "pair_id long, gold string, predicted string").repartition(3)
+    got = cloze.cloze_gain(p, spark.createDataFrame([(t,) for t in corpus], "text string"), top=top)
+    assert "Generate" not in plan(got)
+    got = {r["pair_id"]: [r[c] for c in ("masked", "base_correct", "help_correct", "tune_correct")] for r in got.collect()}
+    assert got == cloze_hits(rows, corpus)
