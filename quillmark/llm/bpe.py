@@ -1,18 +1,17 @@
-"""Byte-level BPE encoding and decoding in Spark's higher-order functions.
+"""Byte-level BPE encoding and decoding.
 
-A word is the ids of its bytes, and the ranks of its neighbouring pairs. One
-``aggregate`` folds the merges: each step takes the pair of lowest rank (the
-first of equals), puts the merged token in its place and looks up the two
-pairs it now makes, until no pair has a rank. Ranks come from a literal rank
-map: every way to split a token of the vocabulary into two others, hashed into a
+A word is the ids of its bytes, and the ranks of its neighbouring pairs. Many
+words are folded at once in numpy: each step takes every word's pair of lowest rank
+(the first of equals), puts the merged token in its place and looks up the two
+pairs it now makes; a word is done when no pair has a rank. Ranks come from a
+table of every way to split a token of the vocabulary into two others, hashed into a
 flat array so that a lookup reads two places.
 
 Only distinct words are folded. The words of the corpus are counted; the most
 frequent ones (at most ``HOT_WORDS``, a bound at any size) are folded once for
 all and sent to the tasks. Every other word is folded once in the task that
-meets it: Python splits the texts of a chunk and names words by numbers, Spark
-folds the words that the task has not met before, and numpy puts the ids in the
-numbers' places. A task remembers at most ``TASK_WORDS`` words, then it starts
+meets it: a chunk's texts are split and words named by numbers, the words that the
+task has not met before are folded, and the ids put in the numbers' places. A task remembers at most ``TASK_WORDS`` words, then it starts
 afresh. What is remembered changes no result, and no text is shuffled.
 
 Decoding looks up every id's piece of bytes and concatenates the pieces, in numpy.
@@ -31,12 +30,11 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmark.llm.batches import tidy
-from quillmark.llm.hosts import let
 from quillmark.llm.tables import documents, staged
 
 #: Words folded once for the whole corpus, at most, and their length in bytes, at most.
@@ -51,8 +49,6 @@ BATCH_BYTES = 8 << 20
 STEPS = 16
 #: Places of the table of pairs; a power of two.
 PAIR_PLACES = 1 << 18
-#: Characters of a plan's text that are kept where a plan holds these tables.
-PLAN_TEXT = 20_000
 #: Two places of a pair are two parts of one product (pairs are under 2**32, so it fits 63 bits).
 SPREAD, SHIFTS = 2_654_435_761, (11, 30)
 #: No merge: more than any rank. A place of the table of pairs holds ``pair * NONE + rank``.
@@ -65,16 +61,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def literal(values: list, kind: str) -> Column:
-    """A constant of a nested type: one JSON text, parsed when the plan is optimised."""
-    return F.from_json(F.lit(json.dumps({"v": values}, separators=(",", ":"))), f"v {kind}")["v"]
-
-
-def joined(*parts: Column) -> Column:
-    """Arrays one after the other (inside a lambda this is cheaper than ``concat``)."""
-    return F.flatten(F.array(*parts))
-
-
 def two_choices(entries: dict[int, object], places) -> dict[int, int]:
     """A place for every key, one of its two (``places(key)``): cuckoo hashing,
     so that a lookup reads two places. Keys that find none are left out."""
@@ -91,11 +77,7 @@ def two_choices(entries: dict[int, object], places) -> dict[int, int]:
 
 
 class Codec:
-    """Expressions over the ranks of one vocabulary.
-
-    Every table is one flat literal, and occurs once in a plan: ``tables`` is
-    bound by ``let`` outside, and ``t`` below is that binding.
-    """
+    """The tables of one vocabulary and the operators over them."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN):
         self.pattern = pattern
@@ -116,50 +98,8 @@ class Codec:
         self.pieces = [b""] * self.end
         for token, rank in ranks.items():
             self.pieces[rank] = token
-        self.tables = {
-            "bytes": literal([ranks[bytes([b])] for b in range(256)], "array<bigint>"),
-            "pairs": literal(table, "array<bigint>"),
-        }
-
-    def using(self, names: str, body, **more: Column) -> Column:
-        """``body(t)`` with the named tables bound once."""
-        parts = {n: self.tables[n] for n in names.split()} | more
-        return let(F.struct(*[c.alias(n) for n, c in parts.items()]), body)
-
-    def ranks(self, t: Column, keys: Column) -> Column:
-        """Ranks of pairs ``a * size + b``; NONE or more for those that don't merge."""
-        def rank(key: Column) -> Column:
-            # A place that holds the pair leaves its rank, every other place more.
-            return F.least(*[F.get(t["pairs"], F.shiftright(key * SPREAD, k).bitwiseAND(PAIR_PLACES - 1).cast("int"))
-                             .bitwiseXOR(key * NONE) for k in SHIFTS])
-        return F.transform(keys, rank)
-
-    def fold(self, t: Column, word: Column) -> Column:
-        """Ids of one word by ranked merges; ``word`` has its bytes as numbers."""
-        # Tokens stand between two ends that merge with nothing; ranks[i] is that of tokens i and i + 1.
-        end, none = F.array(F.lit(self.end).cast("long")), F.array(F.lit(NONE))
-
-        def begin(p: Column) -> Column:
-            n = F.greatest(F.size(p) - 1, F.lit(0))
-            ranks = self.ranks(t, F.zip_with(F.slice(p, F.lit(1), n), F.slice(p, F.lit(2), n),
-                                             lambda x, y: x * self.size + y))
-            return F.struct(joined(end, p, end).alias("p"), joined(none, ranks, none).alias("r"))
-
-        def step(s: Column, _: Column) -> Column:
-            def merged(x: Column) -> Column:
-                m, i, n = x["m"], x["i"], F.lit(2 ** 30)
-                keys = F.array(F.get(s["p"], i - 2) * self.size + m, F.get(s["p"], i + 1) + m * self.size)
-                return F.struct(joined(F.slice(s["p"], F.lit(1), i - 1), F.array(m), F.slice(s["p"], i + 2, n)).alias("p"),
-                                joined(F.slice(s["r"], F.lit(1), i - 2), self.ranks(t, keys),
-                                       F.slice(s["r"], i + 2, n)).alias("r"))
-
-            return let(F.array_min(s["r"]), lambda m: F.when(m >= NONE, s).otherwise(
-                let(F.struct(m.alias("m"), F.array_position(s["r"], m).cast("int").alias("i")), merged)))
-
-        codes = F.transform(word, lambda b: F.get(t["bytes"], b))
-        return let(codes, lambda p: F.aggregate(
-            F.sequence(F.lit(1), F.greatest(F.size(p) - 1, F.lit(1))), begin(p), step,
-            lambda s: F.transform(F.slice(s["p"], F.lit(2), F.size(s["p"]) - 2), lambda i: i.cast("int"))))
+        #: Ids of single bytes, and the table of pairs.
+        self.tables = np.array([ranks[bytes([b])] for b in range(256)]), np.array(table)
 
     def hot(self, docs: DataFrame, text: str = "text") -> pa.Table:
         """``word, ids`` of the most frequent words of a corpus (at most HOT_WORDS).
@@ -179,20 +119,24 @@ class Codec:
             if words > HOT_WORDS:
                 break
             least = row.step
-        codes = F.transform(F.split(F.decode(F.col("word").cast("binary"), "ISO-8859-1"), ""), F.ascii)
-        return counts.where(step >= F.lit(least)).select(
-            "word", self.using("bytes pairs", lambda t: self.fold(t, codes)).alias("ids")).toArrow()
+        known = docs.sparkSession.sparkContext.broadcast(self.tables)
+        size = self.size
+
+        def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                words = batch.column(0)
+                yield pa.RecordBatch.from_arrays([words, folded_words(words.to_pylist(), *known.value, size)], ["word", "ids"])
+        return counts.where(step >= F.lit(least)).select("word").mapInArrow(tidy(folded), "word string, ids array<int>").toArrow()
 
     def encode(self, docs: DataFrame, hot: pa.Table, text: str = "text") -> DataFrame:
         """``doc_id, ids, packed`` of every row; ``hot`` from ``hot``."""
         name = docs.schema["doc_id"].dataType.simpleString()
-        known = docs.sparkSession.sparkContext.broadcast(hot)
-        chunks = docs.select("doc_id", F.col(text).alias("text")).mapInArrow(
-            tidy(numbered_words(self.pattern, known, TASK_WORDS, CHUNK_CHARS)),
-            f"doc_id array<{name}>, sizes array<bigint>, numbers binary, words array<array<int>>, afresh boolean")
-        chunks = chunks.withColumn("words", self.using("bytes pairs", lambda t: F.transform(
-            "words", lambda word: self.fold(t, word))))
-        return chunks.mapInArrow(tidy(ids_of_numbers(known)), f"doc_id {name}, ids array<int>, packed binary")
+        context = docs.sparkSession.sparkContext
+        known, tables, size = context.broadcast(hot), context.broadcast(self.tables), self.size
+        numbered = numbered_words(self.pattern, known, TASK_WORDS, CHUNK_CHARS, lambda words: folded_words(words, *tables.value, size))
+        restored = ids_of_numbers(known)
+        return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(
+            tidy(lambda batches: restored(numbered(batches))), f"doc_id {name}, ids array<int>, packed binary")
 
     def decode(self, rows: DataFrame, ids: str = "ids") -> DataFrame:
         """``rows`` with the bytes of their ids as a binary column ``decoded``: the ids' pieces one after the other."""
@@ -232,9 +176,9 @@ class Numbers(dict):
         return n
 
 
-def numbered_words(pattern: str, hot, task_words: int, chunk_chars: int):
-    """A function for ``mapInArrow``: chunks of documents as numbers of words, with the
-    words that are new to the task. ``afresh``: all but the hot words were forgotten before."""
+def numbered_words(pattern: str, hot, task_words: int, chunk_chars: int, fold):
+    """Chunks of documents as numbers of words, with the ids (``fold``) of the words that
+    are new to the task. ``afresh``: all but the hot words were forgotten before."""
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, words = regex.compile(pattern).findall, hot.value["word"].to_pylist()
         numbers, afresh = Numbers(words), True
@@ -243,7 +187,7 @@ def numbered_words(pattern: str, hot, task_words: int, chunk_chars: int):
         def chunk() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([
                 pa.array([names], pa.list_(kind)), pa.array([sizes], pa.list_(pa.int64())),
-                pa.array([b"".join(parts)], pa.binary()), byte_numbers(numbers.new),
+                pa.array([b"".join(parts)], pa.binary()), one_row(fold(numbers.new)),
                 pa.array([afresh])], ["doc_id", "sizes", "numbers", "words", "afresh"])
 
         for batch in batches:
@@ -266,12 +210,61 @@ def numbered_words(pattern: str, hot, task_words: int, chunk_chars: int):
     return numbered
 
 
-def byte_numbers(words: list[str]) -> pa.Array:
-    """One row: the bytes of each word as numbers."""
+def one_row(lists: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(lists)], pa.int32()), lists)
+
+
+def pair_ranks(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Ranks of pairs ``a * size + b``; NONE or more for those that don't merge."""
+    # A place that holds the pair leaves its rank, every other place more.
+    places = [table[keys * SPREAD >> k & PAIR_PLACES - 1] ^ keys * NONE for k in SHIFTS]
+    return np.minimum(np.minimum(*places), NONE)
+
+
+def folded_words(words: list[str], byte_ids: np.ndarray, table: np.ndarray, size: int) -> pa.Array:
+    """Ids of each word by ranked merges, all words a step at a time."""
     coded = [w.encode() for w in words]
-    ends = np.cumsum([0, *map(len, coded)]).astype(np.int32)
-    each = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(coded), np.uint8).astype(np.int32)))
-    return pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), each)
+    sizes = np.array(list(map(len, coded)), np.int64)
+    done = np.zeros(len(words), np.int64)
+    pieces = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]   # words, ids
+    word = np.flatnonzero(sizes)
+    sizes = sizes[word]
+    p = byte_ids[np.frombuffer(b"".join(coded), np.uint8)].astype(np.int64)
+    r = np.full(len(p), NONE)   # r[i] is the rank of tokens i and i + 1, NONE at a word's end
+    r[:-1] = pair_ranks(table, p[:-1] * size + p[1:])
+    r[np.cumsum(sizes) - 1] = NONE
+    while len(word):
+        starts = np.cumsum(sizes) - sizes
+        least = np.minimum.reduceat(r, starts)
+        open_ = least < NONE
+        if not open_.all():
+            at = np.repeat(open_, sizes)
+            pieces.append((np.repeat(word[~open_], sizes[~open_]), p[~at]))
+            done[word[~open_]] = sizes[~open_]
+            word, sizes, least, p, r = word[open_], sizes[open_], least[open_], p[at], r[at]
+            if not len(word):
+                break
+            starts = np.cumsum(sizes) - sizes
+        owner = np.repeat(np.arange(len(word)), sizes)
+        at = np.flatnonzero(r == least[owner])
+        at = at[np.append(True, owner[at][1:] != owner[at][:-1])]   # the first of equals
+        p[at] = least
+        keep = np.ones(len(p), bool)
+        keep[at + 1] = False
+        p, owner = p[keep], owner[keep]
+        left = r[keep]
+        at = at - np.arange(len(at))
+        sizes = sizes - 1
+        last = np.cumsum(sizes) - 1
+        inner = at < last
+        left[at] = NONE
+        i = at[inner]
+        left[i] = pair_ranks(table, p[i] * size + p[i + 1])
+        i = at[at > last - sizes + 1] - 1
+        left[i] = pair_ranks(table, p[i] * size + p[i + 1])
+        r = left
+    of, ids = (np.concatenate(x) for x in zip(*pieces, strict=True))
+    return pa.ListArray.from_arrays(np.append(0, np.cumsum(done)).astype(np.int32), pa.array(ids[np.argsort(of, kind="stable")].astype(np.int32)))
 
 
 def flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -280,7 +273,7 @@ def flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ids_of_numbers(hot):
-    """A function for ``mapInArrow``: ids of every document of the chunks of ``numbered_words``,
+    """Ids of every document of the chunks of ``numbered_words``,
     whose new words are folded. A task's chunks come in their order."""
     def restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = flat(hot.value["ids"].combine_chunks())
@@ -349,8 +342,6 @@ def encoded(docs: DataFrame, bpe: Codec | None = None) -> DataFrame:
     in one task, in time that grows with the square of its length.
     """
     bpe = bpe or codec()
-    # The literal tables have no place in plan texts, which the driver keeps.
-    docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return bpe.encode(docs, bpe.hot(docs))
 

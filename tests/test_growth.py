@@ -194,3 +194,22 @@ def test_cloze_in_blocks(spark, monkeypatch, size, top):
     assert "Generate" not in plan(got)
     got = {r["pair_id"]: [r[c] for c in ("masked", "base_correct", "help_correct", "tune_correct")] for r in got.collect()}
     assert got == cloze_hits(rows, corpus)
+
+
+def test_bpe_folds_words_together(spark):
+    """All words a step at a time, as the tokenizer library; no table is a literal of the plan."""
+    import random
+
+    import public_tokenizers
+    import tiktoken
+
+    from quillmark.llm import bpe
+    codec, rnd = bpe.codec(), random.Random(3)
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={})
+    words = ["", "a", "é" * 30, "ab" * 400, "", *["".join(rnd.choices("aeinorst hl", k=rnd.randint(1, 30))) for _ in range(500)], ""]
+    assert bpe.folded_words(words, *codec.tables, codec.size).to_pylist() == [library.encode_ordinary(w) for w in words]
+    assert bpe.folded_words([], *codec.tables, codec.size).to_pylist() == []
+    docs = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
+    p = bpe.encoded(docs, codec)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in p and "Project [doc_id" not in p.split("MapInArrow")[0]
