@@ -213,3 +213,87 @@ def test_bpe_folds_words_together(spark):
     docs = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
     p = bpe.encoded(docs, codec)._jdf.queryExecution().optimizedPlan().toString()
     assert "lambda" not in p and "Project [doc_id" not in p.split("MapInArrow")[0]
+
+
+def test_composite_scores_are_made_once(spark):
+    """The run's statistics and the rows read the same scores; these ran twice before."""
+    from quillmark.operators import analysis as an
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def score(i):
+        made.add(1)
+        return float(i) if i else None
+
+    got = an.composite_score(spark.range(5).select(F.col("id").alias("pair_id"), score("id").alias("m"), F.lit(1.0).alias("one")),
+                             {"m": 2.0, "one": 1.0})
+    rows = dict(tuple(r) for r in got.collect())
+    assert made.value == 5
+    assert rows == {0: None} | {i: pytest.approx(2 * (i - 2.5) / 1.25 ** 0.5, abs=1e-6) for i in range(1, 5)}
+
+
+REPEATS = ["a b c a b c", "A b. C a, b c a B c", "a b", "", "...", "x " * 9, "İx y ß z İx y ß z", "a b c", "c a b c a b"]
+
+
+def test_repeats_make_no_ngram_strings(spark):
+    import re
+
+    from quillmark.operators import quality as dq
+    df = spark.createDataFrame([*enumerate(REPEATS), (90, None), (None, "a b c a b c"), (0, "a a a a")], "k long, t string")
+    for n in (1, 3):
+        out = dq.repeat_ngram_rate(df, "k", "t", n)
+        assert "array_distinct" not in plan(out) and "Exchange" not in plan(out)
+        want = []
+        for k, t in df.collect():
+            w = re.findall("[a-z0-9]+", (t or "").lower())
+            grams = [tuple(w[i:i + n]) for i in range(len(w) - n + 1)]
+            want.append((k, len(grams), round(1 - len(set(grams)) / len(grams), 6) if grams else None))
+        assert [tuple(r) for r in out.collect()] == want
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 1])
+def test_texts_are_counted_in_chunks(monkeypatch, chunk):
+    """The same in one chunk and in many, of a slice of a longer column too."""
+    from quillmark.functions import counting
+    monkeypatch.setattr(counting, "CHUNK_ITEMS", chunk)
+    low = pa.array(["zz zz", *[t.lower() for t in REPEATS]])
+    a, b = low.slice(1), pa.concat_arrays([low.slice(2), low.slice(0, 1)])
+    import re
+    toks = [[re.findall("[a-z0-9]+", t) for t in c.to_pylist()] for c in (a, b)]
+    want = []
+    for g, h in zip(*toks, strict=True):
+        grams = [[Counter(tuple(t[i:i + n]) for i in range(len(t) - n + 1)) for n in (1, 2)] for t in (g, h)]
+        want.append([len(g), len(h), *[(x & y).total() for x, y in zip(*grams, strict=True)]])
+    assert counting.text_matches(a, b, 2).tolist() == want
+    kinds = [{tuple(t[i:i + 3]) for i in range(len(t) - 2)} for t in toks[0]]
+    assert counting.ngram_kinds(a, 3).tolist() == [[max(len(t) - 2, 0), len(k)] for t, k in zip(toks[0], kinds, strict=True)]
+    assert counting.ngram_kinds(a.slice(0, 0), 3).shape == (0, 2) and counting.text_matches(a.slice(0, 0), a.slice(0, 0), 2).shape == (0, 4)
+
+
+def test_rouge_makes_no_token_a_string(spark):
+    """Null texts have no tokens and no match, as where the tokens are arrays."""
+    from quillmark.functions import text as tx
+    rows = spark.createDataFrame([*PAIRS, (20, None, "a b"), (21, "a b", None), (22, None, None), (23, "", "")],
+                                 "pair_id long, gold string, predicted string")
+    ours = overlap.word_overlap(rows, tx.tok, (1, 2))
+    assert "split(" not in plan(ours)
+    by_arrays = overlap.word_overlap(rows, lambda c: tx.tok(c), (1, 2))
+    assert ours.schema == by_arrays.schema
+    assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, by_arrays.collect()))
+
+
+def test_grams_are_dealt_alike_by_either_sort():
+    import numpy as np
+
+    from quillmark.operators.metrics.lm import dealt_grams, numbers_used
+    names = pa.array([f"w{i}" for i in range(50)])
+    left, right = np.arange(2000) % 50, np.arange(2000) // 40
+    for buckets in (7, 1 << 16, (1 << 16) + 1):
+        order, grams, cut = dealt_grams(names, left, right, buckets)
+        assert cut[0] == 0 and cut[-1] == 2000 and sorted(order) == list(range(2000))
+        assert all((np.diff(order[a:b]) > 0).all() for a, b in zip(cut, cut[1:]))
+        assert grams.to_pylist()[:3] == [f"w{left[i]} w{right[i]}" for i in order[:3]]
+    x = np.array([5, 2, 5, 0])
+    used, place = numbers_used(x, 9)
+    assert used.tolist() == [0, 2, 5] and place.tolist() == [2, 1, 2, 0]
+    assert [len(a) for a in numbers_used(x[:0], 0)] == [0, 0]
