@@ -173,7 +173,8 @@ def near_counts(words: DataFrame) -> DataFrame:
     """
     pre = trie_nodes(words.select("id", F.col("word").alias("w")), "before")
     suf = trie_nodes(words.select("id", F.reverse("word").alias("w")), "after")
-    both = words.select("id", "word").join(pre, "id").join(suf, "id").select("id", "word", "before", "after")
+    both = words.select("id", "word").join(pre.hint("merge"), "id").join(suf.hint("merge"), "id").select(
+        "id", "word", "before", "after")
     pairs = both.mapInArrow(_pairs, "p bigint, s bigint, m bigint")
     met = pairs.groupBy("p", "s").agg(F.sort_array(F.collect_list("m")).alias("m")).where(F.size("m") > 1)
 
@@ -207,8 +208,10 @@ def spelling_variants(counts: DataFrame) -> DataFrame:
     ranked = staged(global_position(counts, [F.col("n").desc(), F.col("word")])
                     .withColumnRenamed("_start", "id"), "ranked-words")
     near = staged(near_counts(ranked), "near-words")
+    # As many rows as words on either side: never broadcast, however small Spark takes their files to be.
     named = ranked.select(F.col("id").alias("best"), F.col("word").alias("form"), F.col("n").alias("form_n"))
-    out = staged(ranked.join(near, "id", "left").join(named, "best", "left").select(
+    found = near.join(named.hint("merge"), "best")
+    out = staged(ranked.join(found.hint("merge"), "id", "left").select(
         "id", "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         *[F.when(F.col("form_n") >= MIN_RATIO * F.col("n"), F.col(c)).alias(c) for c in ("best", "form", "form_n")]),
         "word-forms")
@@ -221,8 +224,8 @@ def spelling_variants(counts: DataFrame) -> DataFrame:
             break
         link = link.select("id", "to")
     roots = ranked.select(F.col("id").alias("to"), F.col("word").alias("root"))
-    roots = link.select("id", "to").join(roots, "to").select("id", "root")
-    return out.join(roots, "id", "left").select(
+    roots = link.select("id", "to").join(roots.hint("merge"), "to").select("id", "root")
+    return out.join(roots.hint("merge"), "id", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 

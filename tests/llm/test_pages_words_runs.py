@@ -306,3 +306,24 @@ def test_runs_of_null_ids_and_long_texts(spark):
         (str(i), r, hashlib.md5(t.encode()).hexdigest()) for i, r, t in [
             (None, [(0, 15, 3)], line[:-1]), (None, [(0, 15, 3)], line[:-1]), (7, [(0, 300_000, 3)], line[:-1]),
             (8, [], "w" * 3_000_000), (9, [(0, 400_000, 1)], "w")])
+
+
+def test_spelling_joins_send_no_words_through_the_driver(spark, monkeypatch):
+    """Tables that are over the broadcast bound, though Spark takes their files to be small."""
+    from quillmark.operators import joins
+    plans, write = {}, spelling.staged
+
+    def staged(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(spelling, "staged", staged)
+    monkeypatch.setattr(joins, "fits_broadcast", lambda *_: False)
+    counts = [("abcdefg", 100), ("abcdefgh", 10), ("abcdefghi", 2), ("abcdefgx", 11), ("qqqqqq", 7)]
+    got = {r["word"]: tuple(r)[1:] for r in spelling.spelling_variants(spark.createDataFrame(counts, "word string, n long")).collect()}
+    assert got == {"abcdefg": (None, "abcdefg", 100, 2, None), "abcdefgh": ("abcdefg", "abcdefg", 10, 3, 100),
+                   "abcdefghi": ("abcdefgh", "abcdefg", 2, 1, 10), "abcdefgx": ("abcdefg", "abcdefg", 11, 2, 100),
+                   "qqqqqq": (None, "qqqqqq", 7, 0, None)}
+    for name in ("near-words", "word-forms", "roots"):
+        assert "SortMergeJoin" in plans[name], name
+    assert "BroadcastHashJoin" not in plans["word-forms"]

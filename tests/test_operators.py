@@ -133,6 +133,37 @@ def test_salted_join_equals_plain_join(spark):
     assert a == b == c
 
 
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_salted_join_sends_no_table_through_the_driver(spark, tmp_path):
+    """Rows that were too many to broadcast: their compressed files look small to Spark."""
+    spark.range(3000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")).write.parquet(str(tmp_path / "s"))
+    small = spark.read.parquet(str(tmp_path / "s"))
+    big = spark.range(6000).select("id", (F.col("id") % 4000).alias("k"))
+    got = salted_join(big, small, ["k"], "left", salt_by=["id"])
+    assert "Broadcast" not in _plan(got) and "Generate" not in _plan(got) and "SortMergeJoin" in _plan(got)
+    want = big.join(small, "k", "left")
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_salted_join_copies_the_rows_of_hot_keys_only(spark, tmp_path):
+    spark.range(3000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")).write.parquet(str(tmp_path / "s"))
+    small = spark.read.parquet(str(tmp_path / "s"))
+    big = spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, 7).otherwise(
+        F.col("id")).alias("k"))
+    for how in ("left", "inner"):
+        got = salted_join(big, small, ["k"], how, salt=16, salt_by=["id"])
+        assert "SortMergeJoin" in _plan(got)
+        want = big.join(small, "k", how)
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    # Keys of two types have no common hash.
+    other = small.withColumn("k", F.col("k").cast("int"))
+    got = salted_join(big, other, ["k"], "left", salt=4, salt_by=["id"]).select("id", "v")
+    assert got.exceptAll(big.join(small, "k", "left").select("id", "v")).isEmpty() and got.count() == 6000
+
+
 def test_porter_stemmer_examples():
     cases = {"caresses": "caress", "ponies": "poni", "cats": "cat", "agreed": "agre",
              "plastered": "plaster", "motoring": "motor", "hopping": "hop", "filing": "file",
