@@ -247,7 +247,7 @@ def links(docs: DataFrame, groups: DataFrame, to: Scheme) -> DataFrame:
     edges = staged(first.mapInArrow(tidy(lambda b: _resolve(b, to)), "a long, b long"), "links")
     stars = components(edges)
     # What a large group has outside its largest component meets all its blocks.
-    large = sets.where(F.col("n") > BLOCK).join(stars.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
+    large = sets.where(F.col("n") > BLOCK).join(stars.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn(
         "c", F.coalesce("component", "rep"))
     parts = large.groupBy("grp", "c").agg(F.count(F.lit(1)).alias("k"))
     main = staged(parts.groupBy("grp").agg(F.max(F.struct("k", "c")).alias("main"), F.sum("k").alias("n")).where(
@@ -296,7 +296,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     groups = staged(near.select(F.col("node").alias("rep"), F.col("component").alias("grp")).unionByName(
         near.select(F.col("component").alias("rep"), F.col("component").alias("grp")).distinct()), "groups")
     stars = links(docs, groups, to)
-    of_class = classes.join(stars, F.col("rep") == F.col("node"), "left").select(
+    of_class = classes.join(stars.hint("merge"), F.col("rep") == F.col("node"), "left").select(
         *name, F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", *name).join(of_class, name, "left")
     own = F.coalesce("component", "doc_id")

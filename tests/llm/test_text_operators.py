@@ -346,3 +346,22 @@ def test_components(spark):
     found = {r["node"]: r["component"] for r in got.collect()}
     assert all(found[i] == 0 for i in range(1, 60)) and all(found[1000 + i] == 1000 for i in range(1, 200))
     assert found[501] == 500 and 0 not in found and 1000 not in found
+
+
+def test_minhash_joins_send_no_groups_through_the_driver(spark, docs, monkeypatch):
+    """Groups and forests that are over the broadcast bound, though Spark takes their files to be small."""
+    from quillmark.llm import graph
+    from quillmark.operators import joins
+    want = sorted(map(tuple, minhash.near_duplicates(docs).collect()), key=str)
+    plans, write = defaultdict(list), minhash.staged
+
+    def staged(df, name):
+        plans[name].append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(minhash, "staged", staged)
+    monkeypatch.setattr(graph, "staged", staged)
+    monkeypatch.setattr(joins, "fits_broadcast", lambda *_: False)
+    assert sorted(map(tuple, minhash.near_duplicates(docs).collect()), key=str) == want
+    for plan in [*plans["sets"], *plans["stars"]]:
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan.replace("BroadcastHashJoin [_h", "")
