@@ -89,3 +89,17 @@ def test_mover_score_idf_matches_brute_force(spark):
         assert got[k]["references"] == len(want)
         assert got[k]["mover_score_idf"] == (pytest.approx(np.mean(want), abs=1e-6) if want else None)
     assert got[1]["references"] == 2
+
+
+def test_mover_score_idf_moves_a_vector_once_a_block(spark):
+    """No vector is gathered for a pair or a token, and rows that share a key are one text."""
+    vec_ids, vectors, _ = _tables(spark)
+    hyps = spark.createDataFrame([(1, "a a"), (1, "c"), (2, "b"), (None, "a"), (5, "c")], "pair_id long, predicted string")
+    refs = spark.createDataFrame([(1, 0, "a"), (1, 0, "b"), (2, 0, None), (None, 0, "b"), (3, 0, "a c"), (5, 1, "c a"), (5, None, "b")],
+                                 "pair_id long, ref_id int, gold string")
+    out = vec_m.mover_score_idf(hyps, refs, vec_ids, vectors)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Aggregate" in x and "embedding" in x]
+    got = sorted(map(tuple, out.collect()), key=str)
+    assert [(k, n) for k, n, _ in got] == [(1, 1), (1, 1), (2, 0), (5, 2), (None, 0)]
+    assert [s is None for *_, s in got] == [False, False, True, False, True] and got[0] == got[1]
