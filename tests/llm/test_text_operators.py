@@ -365,3 +365,15 @@ def test_minhash_joins_send_no_groups_through_the_driver(spark, docs, monkeypatc
     assert sorted(map(tuple, minhash.near_duplicates(docs).collect()), key=str) == want
     for plan in [*plans["sets"], *plans["stars"]]:
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan.replace("BroadcastHashJoin [_h", "")
+
+
+def test_first_documents_over_the_broadcast_bound(spark, docs, monkeypatch):
+    """The pipeline's second stage: the same rows where its groups are too many to broadcast."""
+    from quillmark.operators import joins
+    want = sorted(map(tuple, minhash.first_documents(docs, 80).collect()), key=str)
+    plans, write = [], minhash.staged
+    monkeypatch.setattr(minhash, "staged", lambda df, name: (
+        plans.append(df._jdf.queryExecution().executedPlan().toString()) if name == "sets" else None, write(df, name))[1])
+    monkeypatch.setattr(joins, "fits_broadcast", lambda *_: False)
+    assert sorted(map(tuple, minhash.first_documents(docs, 80).collect()), key=str) == want
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Generate explode" not in plans[0]
